@@ -24,6 +24,7 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tarn.llm.common import slices
@@ -314,10 +315,10 @@ def _count(path: str, limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator
     found = counter(path)
     for batch in slices(batches):
         texts = [t or "" for t in batch.column(1).to_pylist()]
-        sizes = pa.compute.binary_length(batch.column(1)).fill_null(0).cast(pa.int64())
+        sizes = pc.binary_length(batch.column(1)).fill_null(0).cast(pa.int64())
         tokens = pa.array(found.count_texts(texts), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), sizes, tokens, pa.compute.greater(tokens, limit)],
+            [batch.column(0), sizes, tokens, pc.greater(tokens, limit)],
             [batch.schema.names[0], "n_bytes", "n_tokens", "over_limit"],
         )
 
