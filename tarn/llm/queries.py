@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import language, near_dup, secrets, token_count
+from tarn.llm import language, near_dup, packing, secrets, token_count
 from tarn.llm.common import table
 
 
@@ -20,10 +20,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_count, op6_language_id, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_count, op6_language_id, op7_best_fit_packing, op10_near_duplicates)}
 
 ORACLES: dict[str, str] = {}

@@ -25,6 +25,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 VALUE = BYTE[LOWER]
 VALUE[SPACE] = 0
+#: The same with A-Z kept apart from a-z.
+EXACT = np.where(SPACE, np.uint64(0), BYTE)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -56,7 +58,8 @@ class Words:
     hashes: np.ndarray
 
 
-def words(data: np.ndarray, at: np.ndarray) -> Words:
+def words(data: np.ndarray, at: np.ndarray, value: np.ndarray = VALUE, tails: bytes = b"") -> Words:
+    """``tails``: such a byte at a word's end, after an ASCII letter, is a word of its own."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
@@ -70,12 +73,18 @@ def words(data: np.ndarray, at: np.ndarray) -> Words:
     cut[at] = True
     cut[1:n] |= ~inside[1:]
     end = np.flatnonzero(inside & cut[1:]) + 1
+    if tails:
+        last = end - 1
+        before = data[np.maximum(last - 1, 0)] | 0x20
+        tail = np.isin(data[last], np.frombuffer(tails, np.uint8)) & (last > start) & (before >= 97) & (before <= 122)
+        cuts = last[tail]
+        start, end = np.sort(np.concatenate((start, cuts))), np.sort(np.concatenate((end, cuts)))
     first = np.searchsorted(start, at)
     if not len(start):
         return Words(start, end, first, np.zeros(0, np.uint64))
     place = np.arange(n, dtype=np.int64)
     place[start[0] :] -= np.repeat(start, np.diff(np.append(start, n)))
-    values = VALUE[data]
+    values = value[data]
     values *= PLACE[place & (PLACES - 1)]
     if (end - start).max() > PLACES:
         turn = (place // PLACES).astype(np.uint64)
