@@ -27,6 +27,9 @@ VALUE = BYTE[LOWER]
 VALUE[SPACE] = 0
 #: The same with A-Z kept apart from a-z.
 EXACT = np.where(SPACE, np.uint64(0), BYTE)
+#: For words of letters and digits only, as VALUE: other ASCII bytes separate words too.
+PLAIN = VALUE.copy()
+PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 0
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -59,12 +62,12 @@ class Words:
 
 
 def words(data: np.ndarray, at: np.ndarray, value: np.ndarray = VALUE, tails: bytes = b"") -> Words:
-    """``tails``: such a byte at a word's end, after an ASCII letter, is a word of its own."""
+    """``value``: a number for each byte, 0 for those between words. ``tails``: such a byte at a word's end, after an ASCII letter, is a word of its own."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(none, none, np.zeros(len(at), np.int64), np.zeros(0, np.uint64))
-    inside = ~SPACE[data]
+    inside = (value != 0)[data]
     cut = np.zeros(n + 1, bool)
     cut[at] = True
     cut[1:n] |= ~inside[:-1]
