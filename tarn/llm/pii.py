@@ -25,6 +25,7 @@ from itertools import pairwise
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tarn.llm.common import persisted
 
@@ -160,6 +161,10 @@ def _number(digits: str, key: bytes, *tweak: object) -> str:
     return str(permuted(int(digits) - low, size, key, *tweak, len(digits)) + low).zfill(len(digits))
 
 
+def _free(digits: str, key: bytes, *tweak: object) -> str:
+    return str(permuted(int(digits), 10 ** len(digits), key, *tweak, len(digits))).zfill(len(digits))
+
+
 def _network(value: int) -> tuple[int, int]:
     """(first address, size) of the private or reserved network that holds the address; (0, 2 ** 32) for public ones."""
     for first, bits in ((10 << 24, 24), (172 << 24 | 16 << 16, 20), (192 << 24 | 168 << 16, 16), (127 << 24, 24), (0, 24), (224 << 24, 29)):
@@ -186,7 +191,7 @@ def surrogate(kind: str, form: str, attempt: int = 0, key: bytes = KEY) -> str:
     if kind == "ssn":
         return _number(form + "0" * longer, key, kind, attempt)
     if kind == "card":
-        body = form[0] + _number("1" + form[1:-1], key, kind, form[0], attempt)[1:] if False else form[0] + _free(form[1:-1], key, kind, form[0], attempt)
+        body = form[0] + _free(form[1:-1], key, kind, form[0], attempt)
         return body + next(d for d in "0123456789" if luhn(body + d))
     if kind == "ip":
         value = sum(int(o) << s for o, s in zip(form.split("."), (24, 16, 8, 0), strict=True))
@@ -207,10 +212,6 @@ def surrogate(kind: str, form: str, attempt: int = 0, key: bytes = KEY) -> str:
     return "".join(made) + ENDINGS[script(form)][kind]
 
 
-def _free(digits: str, key: bytes, *tweak: object) -> str:
-    return str(permuted(int(digits), 10 ** len(digits), key, *tweak, len(digits))).zfill(len(digits))
-
-
 def render(original: str, kind: str, form: str) -> str:
     """The surrogate's canonical form written as the original was."""
     if kind in ("phone", "card", "ssn", "iban"):
@@ -299,9 +300,16 @@ def replaced(
     docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST
 ) -> DataFrame:
     """doc_id, the text with surrogates, and how many entities of each kind it held (n_email, …)."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _replaced(docs, key, id_col, text_col, most, []).select("doc_id", "text", *(f"n_{k}" for k in KINDS))
+
+
+def _replaced(docs: DataFrame, key: bytes, id_col: str, text_col: str, most: int, rest: list[str]) -> DataFrame:
+    """As replaced(), with the columns ``rest`` in a struct ``row`` beside."""
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)]).alias("row")
+    narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row, F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    found = persisted(narrow.mapInArrow(_found, f"doc_id {kind}, kind string, form string"), "entities")
+    found = narrow.select("doc_id", "text").mapInArrow(_found, f"doc_id {kind}, kind string, form string")
+    found = persisted(found, "entities")
     entities = persisted(found.select("kind", "form").distinct(), "distinct")
     again = persisted(assign(entities, key).filter("attempt > 0").select("kind", "form", "attempt"), "again")
     special = "array<struct<kind string, form string, attempt int>>"
@@ -310,16 +318,21 @@ def replaced(
         rows = narrow.withColumn("special", F.lit(None).cast(special))
     else:
         known = {}
-        own = found.join(again, ["kind", "form"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "form", "attempt")).alias("special"))
-        rows = narrow.join(own, "doc_id", "left")
+        own = found.join(again, ["kind", "form"]).groupBy("doc_id")
+        rows = narrow.join(own.agg(F.collect_set(F.struct("kind", "form", "attempt")).alias("special")), "doc_id", "left")
     shared = docs.sparkSession.sparkContext.broadcast(known)
-    out = f"doc_id {kind}, text string, " + ", ".join(f"n_{k} int" for k in KINDS)
-    return rows.select("doc_id", "text", "special").mapInArrow(lambda b: _rewrite(key, shared.value, b), out)
+    rows = rows.select("doc_id", "row", "text", "special")
+    out = StructType([*rows.schema.fields[:3], *(StructField(f"n_{k}", IntegerType()) for k in KINDS)])
+    return rows.mapInArrow(lambda b: _rewrite(key, shared.value, b), out)
 
 
-def with_surrogates(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST) -> DataFrame:
+def with_surrogates(
+    docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST
+) -> DataFrame:
     """The documents with all their columns and surrogates in the text; n_chars, if there, follows the text."""
-    held = docs.withColumn("tarn row", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]))
-    out = replaced(held.select(F.struct("tarn row", F.col(f"`{id_col}`").alias("id")).alias("doc_id"), text_col), key, "doc_id", text_col, most)
-    new = {text_col: F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.select(*[new.get(c, F.col(f"doc_id.`tarn row`.`{c}`")).alias(c) for c in docs.columns])
+    rest = [c for c in docs.columns if c != text_col]
+    out = _replaced(docs, key, id_col, text_col, most, rest)
+    new = {c: F.col(f"row.c{k}") for k, c in enumerate(rest)} | {text_col: F.col("text")}
+    if "n_chars" in rest:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new[c].alias(c) for c in docs.columns])

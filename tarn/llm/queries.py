@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import language, near_dup, packing, secrets, token_count
+from tarn.llm import decontaminate, language, near_dup, packing, pii, secrets, token_count
 from tarn.llm.common import table
 
 
@@ -16,6 +16,14 @@ def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -28,6 +36,17 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_count, op6_language_id, op7_best_fit_packing, op10_near_duplicates)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan,
+        op2_token_count,
+        op4_pii_surrogates,
+        op5_decontamination,
+        op6_language_id,
+        op7_best_fit_packing,
+        op10_near_duplicates,
+    )
+}
 
 ORACLES: dict[str, str] = {}
