@@ -8,8 +8,9 @@
 3. Classes that share a band key are candidates. No bucket is ever expanded into all its pairs. First each class is
    compared with one leader of its buckets. In buckets where more than one component is left, the sketches (one byte
    per signature value) of members in different components are compared in blocks of bounded size, which Spark deals
-   out; first only a spanning forest of likely pairs is confirmed, and then, of what is still apart, all pairs whose
-   sketches do not rule the threshold out (five standard deviations below it). Nothing is capped.
+   out, and a spanning forest of likely pairs is confirmed. Of what is still apart then, the members that sketches do
+   not rule out (five standard deviations below the threshold) meet once more with their whole sets, and a spanning
+   forest of the links is returned. So pairs are compared within tasks but never become rows. Nothing is capped.
 
 Defined cases: null and empty texts, or ones without words, have an empty set, link with nothing and are kept; with fewer
 than five words the whole sequence is the one shingle; rows that repeat a
@@ -104,59 +105,117 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").filter(both * 100 >= every * PERCENT).select("a", "b").distinct()
 
 
-def _apart(ids: np.ndarray, comps: np.ndarray, sketches: np.ndarray, left: int, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of one block in different components whose sketches may be similar enough.
-
-    Only pairs of a row before ``left`` with one from it on count, or all pairs if ``left`` is 0. ``forest``: those of a
-    spanning forest of the components, most alike first.
-    """
-    n, found = len(ids), []
-    rows, begin = (range(left), left) if left else (range(n), 0)
-    for i in rows:
-        j = np.arange(max(begin, i + 1), n)
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows of each group, of batches sorted by their first ``keys`` columns; list columns as arrays."""
+    block, held = None, []
+    for batch in batches:
+        columns = []
+        for c in batch.columns:
+            if pa.types.is_list(c.type):
+                at, flat = c.offsets.to_numpy(), c.values.to_numpy()
+                columns.append([flat[x:y] for x, y in zip(at[:-1], at[1:], strict=True)])
+            else:
+                columns.append(c.to_pylist())
+        for row in zip(*columns, strict=True):
+            if row[:keys] != block:
+                if held:
+                    yield held
+                block, held = row[:keys], []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _sides(rows: list[tuple]) -> tuple[list[tuple], int]:
+    """Rows of a block, those of its first part before ``left``; left is 0 if the block is of one part."""
+    rows = sorted(rows, key=lambda r: (r[3], r[4]))
+    return rows, sum(r[3] == 0 for r in rows) % len(rows)
+
+
+def _alike(rows: list[tuple], left: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row i, rows j of other components whose sketches don't rule the threshold out, and how many bytes agree."""
+    comps = np.array([r[5] for r in rows])
+    sketches = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
+    for i in range(left or len(rows)):
+        j = np.arange(max(left, i + 1), len(rows))
         j = j[comps[j] != comps[i]]
         same = (sketches[j] == sketches[i]).sum(axis=1)
-        for k in np.flatnonzero(same >= AGREE):
-            found.append((-int(same[k]), i, int(j[k])))
-    if forest:
-        up: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while x in up:
-                x = up[x]
-            return x
-
-        tree = []
-        for one in sorted(found):
-            a, b = top(int(comps[one[1]])), top(int(comps[one[2]]))
-            if a != b:
-                up[max(a, b)] = min(a, b)
-                tree.append(one)
-        found = tree
-    return [tuple(sorted((int(ids[i]), int(ids[j])))) for _, i, j in found]
-
-
-def _propose(forest: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, one, two, side, doc_id, component, sketch), sorted by block (key, one, two) -> pairs (a, b)."""
-    held: list[tuple] = []
-    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-        rows.sort(key=lambda r: r[0])
-        ids, comps = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        sketches = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-        return _apart(ids, comps, sketches, sum(r[0] == 0 for r in rows) % len(rows), forest)
-
-    block = None
-    for batch in batches:
-        out = []
-        for key, one, two, side, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (key, one, two) != block:
-                out += pairs(held) if len(held) > 1 else []
-                block, held = (key, one, two), []
-            held.append((side, *row))
-        yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], kinds)
-    yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in (pairs(held) if len(held) > 1 else [])], kinds)
+        near = same >= AGREE
+        if near.any():
+            yield i, j[near], same[near]
+
+
+class _Union(dict):
+    def top(self, x: int) -> int:
+        while x in self:
+            x = self[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.top(x), self.top(y)
+        if x != y:
+            self[max(x, y)] = min(x, y)
+        return x != y
+
+
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], schema=_PAIRS)
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of (key, one, two, side, doc_id, component, sketch) -> likely links that would join their components."""
+    for rows in _groups(batches, 3):
+        rows, left = _sides(rows)
+        found = [(-int(n), i, int(k)) for i, j, same in _alike(rows, left) for k, n in zip(j, same, strict=True)]
+        comps = _Union()
+        tree = [(rows[i][4], rows[j][4]) for _, i, j in sorted(found) if comps.join(rows[i][5], rows[j][5])]
+        if tree:
+            yield _pairs([(min(p), max(p)) for p in tree])
+
+
+def _undecided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of blocks as before, the members that may be linked with one of another component, without sketches."""
+    for rows in _groups(batches, 3):
+        rows, left = _sides(rows)
+        keep: set[int] = set()
+        for i, j, _ in _alike(rows, left):
+            keep.add(i)
+            keep.update(j.tolist())
+        if keep:
+            columns = list(zip(*(rows[k][:6] for k in sorted(keep)), strict=True))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "one", "two", "side", "doc_id", "component"]
+            )
+
+
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of (key, one, two, side, doc_id, component, shingles) -> links, by whole sets, that join their components.
+
+    One row at a time is held against all others: its shingles are marked, and the marks that each set holds are counted.
+    Rows of the most frequent component need no turn of their own.
+    """
+    for rows in _groups(batches, 3):
+        rows, left = _sides(rows)
+        comps = np.array([r[5] for r in rows])
+        sizes = np.array([len(r[6]) for r in rows])
+        _, flat = np.unique(np.concatenate([r[6] for r in rows]), return_inverse=True)
+        first = np.cumsum(sizes) - sizes
+        values, count = np.unique(comps, return_counts=True)
+        large = values[count.argmax()]
+        marks, union, links = np.zeros(flat.max() + 1, np.int32), _Union(), []
+        for i in np.flatnonzero(comps != large):
+            own = flat[first[i] : first[i] + sizes[i]]
+            marks[own] = 1
+            both = np.add.reduceat(marks[flat], first)
+            marks[own] = 0
+            near = (both * 100 >= (sizes + sizes[i] - both) * PERCENT) & (comps != comps[i])
+            links += [(rows[i][4], rows[j][4]) for j in np.flatnonzero(near) if union.join(int(comps[i]), int(comps[j]))]
+        if links:
+            yield _pairs([(min(p), max(p)) for p in links])
 
 
 def _blocks(crowded: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -204,17 +263,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = classes.join(involved, "doc_id", "left_semi").select("doc_id", "sketch")
     stars = crowded.filter("doc_id <> leader").groupBy("doc_id").agg(F.min("leader").alias("a"))
     links = persisted(_confirmed(stars.select("a", F.col("doc_id").alias("b")), sets), "links")
-    seen = stars.select("a", F.col("doc_id").alias("b"))
     labels = components(links)
-    for forest in (True, False):
-        blocks = _blocks(crowded, labels, sketches).repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
-        proposed = blocks.mapInArrow(lambda b, f=forest: _propose(f, b), "a long, b long").distinct()
-        proposed = persisted(proposed.join(seen, ["a", "b"], "left_anti"), "proposed")
-        if proposed.isEmpty():
-            break
-        more = persisted(_confirmed(proposed, sets), "links")
-        seen, links = seen.union(proposed), links.union(more)
+    block = ("key", "one", "two")
+    likely = _blocks(crowded, labels, sketches).repartition(*block).sortWithinPartitions(*block)
+    likely = persisted(likely.mapInArrow(_forest, "a long, b long").distinct(), "likely")
+    if not likely.isEmpty():
+        links = links.union(persisted(_confirmed(likely, sets), "links"))
         labels = components(links)
+        open_ = _blocks(crowded, labels, sketches).repartition(*block).sortWithinPartitions(*block)
+        kinds = "key long, one long, two long, side int, doc_id long, component long"
+        open_ = persisted(open_.mapInArrow(_undecided, kinds), "undecided").join(sets, "doc_id")
+        open_ = open_.select("key", "one", "two", "side", "doc_id", "component", "shingles")
+        last = open_.repartition(*block).sortWithinPartitions(*block).mapInArrow(_exact, "a long, b long").distinct()
+        last = persisted(last, "links")
+        if not last.isEmpty():
+            labels = components(links.union(last))
     found = signed.select("doc_id", "n_shingles", "digest").join(leaders, "digest", "left")
     out = found.join(labels, found.leader == labels.node, "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "leader", "doc_id")).alias("component_id")
