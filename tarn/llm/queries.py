@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import decontaminate, language, near_dup, packing, pii, secrets, token_count
+from tarn.llm import decontaminate, language, near_dup, packing, pii, secrets, token_count, toxicity
 from tarn.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES = {
         op5_decontamination,
         op6_language_id,
         op7_best_fit_packing,
+        op8_toxicity,
         op10_near_duplicates,
     )
 }
