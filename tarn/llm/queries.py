@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tarn.llm import decontaminate, language, near_dup, packing, pii, secrets, token_count, toxicity
+from tarn.llm import ann, decontaminate, language, near_dup, packing, pii, secrets, token_count, toxicity
 from tarn.llm.common import table
 
 
@@ -36,6 +37,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES = {
         op6_language_id,
         op7_best_fit_packing,
         op8_toxicity,
+        op9_nearest_neighbours,
         op10_near_duplicates,
     )
 }
