@@ -14,10 +14,11 @@ that repeats is found once for each distinct vector of it and never by itself; e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -211,14 +212,16 @@ def nearest(
     graph = index(rows, k, shard)
     queries = rows.filter("query").select("vec_id", "vector").dropDuplicates(["vec_id"])
     found = None
+
+    def searcher(shared: Broadcast) -> Callable[[pa.Table], pa.Table]:
+        return lambda t: _search(shared.value, k, beam, t)
+
     for block in _blocks(queries, QUERY_BLOCK):
         held = block.toArrow()
         if len(held):
             pair = (held.column(0).to_numpy(), _matrix(held.column(1)).astype(np.float64))
             shared = vectors.sparkSession.sparkContext.broadcast(pair)
-            part = graph.groupBy("shard").applyInArrow(
-                lambda t, s=shared: _search(s.value, k, beam, t), "query_id long, vec_id long, score double"
-            )
+            part = graph.groupBy("shard").applyInArrow(searcher(shared), "query_id long, vec_id long, score double")
             found = part if found is None else found.unionByName(part)
     if found is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
