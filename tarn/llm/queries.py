@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import ann, decontaminate, language, near_dup, packing, pii, secrets, token_count, toxicity
+from tarn.llm import ann, decontaminate, language, licenses, near_dup, packing, pii, secrets, token_count, toxicity
 from tarn.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), F.concat_ws("/", "source", "lang", "doc_id"))
+
+
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replaced(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     for f in (
         op1_secret_scan,
         op2_token_count,
+        op3_license_scan,
         op4_pii_surrogates,
         op5_decontamination,
         op6_language_id,
