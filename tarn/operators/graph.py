@@ -96,7 +96,7 @@ def extracted_entities(raw: DataFrame, types: DataFrame) -> DataFrame:
     kept = kept.join(F.broadcast(types.select("type")), "type", "left_semi")
     first = F.row_number().over(Window.partitionBy("source", F.lower("name"), "type").orderBy("pos"))
     kept = kept.withColumn("n", first).filter("n = 1").drop("n")
-    return kept.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("pos"))).filter(F.col("place") <= MOST_EXTRACTED)
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("pos", "name", "type"))).filter(F.col("place") <= MOST_EXTRACTED)
 
 
 def extracted_links(raw: DataFrame, entities: DataFrame, predicates: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def extracted_links(raw: DataFrame, entities: DataFrame, predicates: DataFrame)
     rows = rows.withColumn("relation", F.when(sure, F.col("predicate")).otherwise("mention"))
     first = F.row_number().over(Window.partitionBy("source", "subject", "relation", "object").orderBy("pos"))
     rows = rows.withColumn("n", first).filter("n = 1").drop("n", "known")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("pos"))).filter(F.col("place") <= MOST_EXTRACTED)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("pos", "subject", "object"))).filter(F.col("place") <= MOST_EXTRACTED)
 
 
 def resolve_names(names: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
