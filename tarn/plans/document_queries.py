@@ -11,6 +11,7 @@ from tarn.operators import recordings as A
 from tarn.plans import fixtures as X
 from tarn.plans.fixtures import sql
 from tarn.plans.registry import Registry
+from tarn.streaming.jobs import event_counts
 from tarn.tables import table
 
 query = Registry()
@@ -260,7 +261,7 @@ def speech_packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """select page_id, case when length(encode(html)) > 10485760 then 'too_large' when length(html) = 0 then 'empty' when length(encode(html)) > 3000 and length(regexp_replace(html, '<[^>]*>', '', 'g')) < 800 then 'thin' else 'ok' end as outcome from pages"""
+    """select page_id, case when octet_length(encode(html)) > 10485760 then 'too_large' when length(html) = 0 then 'empty' when octet_length(encode(html)) > 3000 and length(regexp_replace(html, '<[^>]*>', '', 'g')) < 800 then 'thin' else 'ok' end as outcome from pages"""
 )
 def link_outcomes(spark: SparkSession, d: str) -> DataFrame:
     chars = F.length(F.regexp_replace("html", "<[^>]*>", ""))
@@ -273,8 +274,6 @@ def link_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select event_type, cast(date_trunc('hour', ts) as timestamp) as hour, count(*) as n from events group by 1, 2")
 def hourly_events(spark: SparkSession, d: str) -> DataFrame:
-    from tarn.streaming.jobs import event_counts
-
     return event_counts(table(spark, d, "events")).select("event_type", F.col("window.start").alias("hour"), "n")
 
 

@@ -110,7 +110,7 @@ def doc_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seg(spark: SparkSession, d: str) -> DataFrame:
-    at = "unix_micros(ts) / 1000000D"
+    at = "unix_micros(cast(ts as timestamp)) / 1000000D"
     return table(spark, d, "events").selectExpr("user_id as recording", f"{at} as start", f"{at} + value as end", "event_type as speaker", "event_id")
 
 
