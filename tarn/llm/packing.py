@@ -227,8 +227,8 @@ class Search:
             if failed >= patience or excess <= 0:
                 return
             while self.bins[a]:
-                others = np.flatnonzero(self.space < self.space[a])
-                if not len(others) or not self._step(a, others[self.space[others] > 0]):
+                others = np.flatnonzero((self.space < self.space[a]) & (self.space > 0))
+                if not len(others) or not self._step(a, others):
                     break
             failed = failed + 1 if self.bins[a] else 0
             excess -= not self.bins[a]
