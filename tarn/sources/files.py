@@ -94,7 +94,7 @@ def agent_notes(files: DataFrame) -> DataFrame:
     def units(text: str) -> list[tuple[str, str, str]]:
         front = re.match(r"---\n(.*?)\n---\n?(.*)$", text, re.S)
         if front:
-            meta = dict(m.groups() for m in re.finditer(r"^\s*(\w+):\s*(.*?)\s*$", front[1], re.M))
+            meta = dict(m.groups() for m in re.finditer(r"^[ \t]*(\w+):[ \t]*(.*?)[ \t]*$", front[1], re.M))
             kind = "preference" if meta.get("type") == "feedback" else "fact"
             body = front[2].strip()
             return [(meta.get("name", ""), kind, body)] if body else []
