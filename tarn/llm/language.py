@@ -46,19 +46,20 @@ def letters() -> np.ndarray:
 
 def cells(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(cell, text number) of every n-gram that holds a letter, texts in order."""
-    joined = (" " * ORDERS).join(found) + " " * ORDERS
+    joined = "".join(f" {t}{' ' * (ORDERS - 1)}" for t in found)
     joined = joined.lower() if len(joined) == len(joined.lower()) else "".join(c.lower()[0] for c in joined)
     points = letters()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
     owner = np.repeat(np.arange(len(found)), [len(t) + ORDERS for t in found])
-    n = len(points) - ORDERS + 1
+    n = max(0, len(points) - ORDERS + 1)
     out, owners = [], []
     state, letter = np.zeros(n, np.uint64), np.zeros(n, bool)
     for k in range(ORDERS):
         state = state + points[k : k + n] * _STEP[k]
         letter = letter | (points[k : k + n] != 32)
         mixed = (state ^ (state >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
-        out.append((mixed[letter] >> np.uint64(64 - BITS)).astype(np.int32))
-        owners.append(owner[:n][letter])
+        own = letter & (owner[:n] == owner[k : k + n])
+        out.append((mixed[own] >> np.uint64(64 - BITS)).astype(np.int32))
+        owners.append(owner[:n][own])
     return np.concatenate(out), np.concatenate(owners)
 
 
