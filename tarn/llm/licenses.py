@@ -61,7 +61,10 @@ def _weights(rows: DataFrame, keys: list[str], idf: DataFrame, other: float) ->
 
 
 def cosines(units: DataFrame, templates: DataFrame) -> DataFrame:
-    """``units`` (doc_id, unit) and ``templates`` (license, template), a short table -> (doc_id, unit, license, score)."""
+    """``units`` (doc_id, unit_id, unit) and ``templates`` (license, template), a short table -> (doc_id, unit_id, license, score).
+
+    Past the words of a unit only its number travels, never its text.
+    """
     named = templates.select("license", words(F.col("template")).alias("terms"))
     n = named.count()
     idf = named.select("license", F.explode("terms").alias("term")).distinct().groupBy("term").agg(
@@ -71,11 +74,11 @@ def cosines(units: DataFrame, templates: DataFrame) -> DataFrame:
     ours = _weights(named, ["license"], idf, other).withColumnRenamed("weight", "t_weight")
     norms = ours.groupBy("license").agg(F.sqrt(F.sum(F.col("t_weight") * F.col("t_weight"))).alias("t_norm"))
     ours = ours.join(norms, "license").select("license", "term", (F.col("t_weight") / F.col("t_norm")).alias("t_weight"))
-    theirs = _weights(units.select("doc_id", "unit", words(F.col("unit")).alias("terms")), ["doc_id", "unit"], idf, other)
-    squared = theirs.groupBy("doc_id", "unit").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = theirs.join(F.broadcast(ours), "term").groupBy("doc_id", "unit", "license")
+    theirs = _weights(units.select("doc_id", "unit_id", words(F.col("unit")).alias("terms")), ["doc_id", "unit_id"], idf, other)
+    squared = theirs.groupBy("doc_id", "unit_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    dots = theirs.join(F.broadcast(ours), "term").groupBy("doc_id", "unit_id", "license")
     dots = dots.agg(F.sum(F.col("weight") * F.col("t_weight")).alias("dot"))
-    return dots.join(squared, ["doc_id", "unit"]).select("doc_id", "unit", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
+    return dots.join(squared, ["doc_id", "unit_id"]).select("doc_id", "unit_id", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
 
 
 def ancestors(path: Column) -> Column:
@@ -109,14 +112,13 @@ def scan(
             )
         ).alias("unit"),
     )
-    candidates = persisted(candidates.distinct(), "units")
-    found = cosines(candidates.select("doc_id", "unit").distinct(), templates).filter(F.col("score") >= threshold)
-    best = found.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license", "unit")).alias("best"))
-    best = best.select(
-        "doc_id", F.col("best.license").alias("own"), (-F.col("best.minus")).alias("score"), F.size(words(F.col("best.unit"))).alias("n_unit")
-    )
-    sized = candidates.groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
-    own = best.join(sized, "doc_id").select("doc_id", "own", "score", (F.col("n_unit") * 2 >= F.col("n_words")).alias("covers"))
+    candidates = candidates.withColumn("unit_id", F.xxhash64("unit")).withColumn("n_unit", F.size(words(F.col("unit"))))
+    candidates = persisted(candidates.dropDuplicates(["doc_id", "path", "unit_id"]), "units")
+    found = cosines(candidates.dropDuplicates(["doc_id", "unit_id"]), templates).filter(F.col("score") >= threshold)
+    sized = candidates.select("doc_id", "unit_id", "n_words", "n_unit").distinct()
+    found = found.join(sized, ["doc_id", "unit_id"]).withColumn("covers", F.col("n_unit") * 2 >= F.col("n_words"))
+    best = found.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license", (~F.col("covers")).alias("partly"))).alias("best"))
+    own = best.select("doc_id", F.col("best.license").alias("own"), (-F.col("best.minus")).alias("score"), (~F.col("best.partly")).alias("covers"))
     own = persisted(own, "own")
     placed = rows.select("doc_id", "path", F.element_at(ancestors(F.col("path")), -1).alias("dir")).join(own, "doc_id", "left")
     placed = placed.withColumn("license_file", F.col("own").isNotNull() & (F.col("covers") | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))))
