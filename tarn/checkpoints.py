@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,3 +24,8 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tarn/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` (a written table of a few narrow columns) marked for broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.checkpoints import bounded, persisted
 from tarn.functions.vectors import TOKEN, nearest
 
 POOL, ANCHORS, K, LIMIT = 50, 10, 60, 10
@@ -40,17 +41,24 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def keyword_arm(rows: DataFrame, queries: DataFrame, pool: int = POOL) -> DataFrame:
     """Rows that hold all terms of a query and none it excludes, by term count: (qid, src, id, score, rank).
 
-    The queries' terms are few and meet the rows' before any shuffle, so only matching terms are shuffled.
+    A query's candidates are the rows with its rarest term; only they are held against its other terms. So a term that is
+    in every query and every row costs one count, not queries x rows.
     """
     wanted = query_terms(queries)
-    needed = wanted.filter("not negated").groupBy("qid").agg(F.count("*").alias("needed"))
-    found = rows.select("src", "id", F.explode(terms(F.col("text"))).alias("term")).join(F.broadcast(wanted), "term")
-    found = found.groupBy("qid", "src", "id").agg(
-        F.countDistinct(F.when(~F.col("negated"), F.col("term"))).alias("n"),
-        F.sum(F.when(~F.col("negated"), 1).otherwise(0)).alias("score"),
-        F.bool_or("negated").alias("excluded"),
-    )
-    found = found.join(F.broadcast(needed), "qid").filter((F.col("n") == F.col("needed")) & ~F.col("excluded"))
+    needed = wanted.filter("not negated").groupBy("qid").agg(F.collect_set("term").alias("needed"))
+    banned = wanted.filter("negated").groupBy("qid").agg(F.collect_set("term").alias("banned"))
+    asked = persisted(needed.join(banned, "qid", "left"), "asked")
+    postings = rows.select("src", "id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    every = bounded(asked.select(F.explode("needed").alias("term")).distinct())
+    counts = persisted(postings.join(every, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")), "counts")
+    of_query = asked.select("qid", F.explode("needed").alias("term")).join(bounded(counts), "term", "left")
+    rarest = of_query.groupBy("qid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("r"))
+    rarest = persisted(rarest.filter("r.n > 0").select("qid", F.col("r.term").alias("term")), "rarest")
+    pairs = bounded(persisted(postings.join(bounded(rarest), "term").select("qid", "src", "id"), "pairs"))
+    found = rows.select("src", "id", "text").join(pairs, ["src", "id"]).join(bounded(asked), "qid").withColumn("toks", terms(F.col("text")))
+    clean = F.col("banned").isNull() | ~F.arrays_overlap("banned", "toks")
+    found = found.filter((F.size(F.array_except("needed", "toks")) == 0) & clean)
+    found = found.select("qid", "src", "id", F.size(F.filter("toks", lambda t: F.array_contains("needed", t))).cast("long").alias("score"))
     return ranked(found, [F.desc("score"), F.asc("src"), F.asc("id")], pool).select("qid", "src", "id", "score", "rank")
 
 
