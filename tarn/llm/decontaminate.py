@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-grams find candidates, Smith-Waterman alignment of words scores them.
+"""Benchmark decontamination: common n-grams find candidates, Smith-Waterman alignment of words scores them.
 
-Words are runs of letters and digits in lower case. One pass over the texts finds which ``GRAM``-word runs of the items
-occur in which documents; Spark counts in how many documents each does. An item's seeds are the rarer half of its runs
-(ties included), whatever their counts, so an item that is everywhere keeps seeds too. Documents that hold a seed are read
-again, and the stretches around their seeds are aligned with the item: a document is contaminated if the alignment has at
-least ``THRESHOLD`` of the score of the item with itself. Items go in blocks of at most ``BLOCK_WORDS`` words; a block's
-index is what is broadcast.
+Words are runs of letters and digits in lower case. One pass over the texts finds where ``GRAM``-word runs of the items
+stand in them. Every common run is a seed, however rare or frequent it is: the stretch of the text that an alignment through
+it can reach is compared with the item, first by the words they have in common, which bounds the score from above, and, if that
+suffices, by alignment. A document is contaminated if the alignment has at least ``THRESHOLD`` of the score of the item with
+itself. Alignments without GRAM matching words in a row aren't found. Items go in blocks of at most ``BLOCK_WORDS`` words; a
+block's index is what is broadcast.
 
 Defined cases: texts that are null, empty or without words match nothing, items likewise; an item of fewer than GRAM words
 is one run; repeated rows and items are taken each on their own; rows without a doc_id are scored like any others; equal
@@ -23,18 +23,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import bounded, persisted, slices
-from tarn.llm.words import PLAIN, grams, raw, words
+from tarn.llm.words import PLAIN, STEP, Words, grams, mixed, raw, words
 
 GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 BLOCK_WORDS = 2_000_000
 BATCH_CELLS = 4_000_000
+#: Words of stretches that are compared with items' words at a time.
+BATCH_WORDS = 1_000_000
 
 
 @dataclass
 class Items:
-    """A block of items: their words, and their runs' hashes in order, each with its item and its place in it."""
+    """A block of items: their words, their runs' hashes in order, each with its item and its place in it, and their distinct words."""
 
     ids: list
     first: np.ndarray
@@ -43,6 +45,8 @@ class Items:
     item: np.ndarray
     place: np.ndarray
     maybe: np.ndarray
+    own: np.ndarray
+    times: np.ndarray
 
     @classmethod
     def of(cls, ids: list, texts: list[str]) -> Items:
@@ -50,18 +54,16 @@ class Items:
         runs, first = grams(w, GRAM, whole=True)
         item = np.repeat(np.arange(len(ids)), np.diff(first))
         place = np.arange(len(runs)) - first[item]
-        return cls(ids, w.first, w.hashes, *cls._sorted(runs, item, place))
-
-    @staticmethod
-    def _sorted(runs: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
         order = np.argsort(runs, kind="stable")
         maybe = np.zeros(1 << 20, bool)
         maybe[runs >> np.uint64(44)] = True
-        return runs[order], item[order], place[order], maybe
+        own, times = np.unique(cls.owned(np.repeat(np.arange(len(ids)), np.diff(w.first)), w.hashes), return_counts=True)
+        return cls(ids, w.first, w.hashes, runs[order], item[order], place[order], maybe, own, times)
 
-    def only(self, keep: np.ndarray) -> Items:
-        """With those runs only."""
-        return Items(self.ids, self.first, self.hashes, *self._sorted(self.runs[keep], self.item[keep], self.place[keep]))
+    @staticmethod
+    def owned(item: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Hash of a word as a word of that item."""
+        return mixed(hashes + (item.astype(np.uint64) + np.uint64(1)) * STEP[0])
 
     def hits(self, found: np.ndarray) -> np.ndarray:
         """Which of the hashes are runs of an item."""
@@ -72,18 +74,6 @@ class Items:
         return at[self.runs[k] == found[at]]
 
 
-def _runs(items: Items, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> (doc_id, run), each run of an item once a text."""
-    for batch in slices(batches, most=2 << 20):
-        found, first = grams(words(*raw(batch.column(1)), PLAIN), GRAM, whole=True)
-        at = items.hits(found)
-        owner = np.searchsorted(first, at, "right") - 1
-        pairs = np.unique(np.stack([owner.astype(np.uint64), found[at]]), axis=1) if len(at) else np.zeros((2, 0), np.uint64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(pairs[0].astype(np.int64))), pa.array(pairs[1].view(np.int64))], ["doc_id", "run"]
-        )
-
-
 def align(one: list[np.ndarray], two: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best local alignments of one[k] with two[k]: score, and where it begins and ends in two[k].
 
@@ -123,21 +113,50 @@ def align(one: list[np.ndarray], two: list[np.ndarray]) -> tuple[np.ndarray, np.
     return best, start, end
 
 
-def _stretches(items: Items, owner: np.ndarray, place: np.ndarray, run: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(text, item, first word, last word) of the text stretches that the seeds' places call for, merged per item."""
-    found = []
+def _stretches(
+    items: Items, w: Words, owner: np.ndarray, place: np.ndarray, run: np.ndarray, threshold: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, begin, end) of the words that alignments through the seeds can reach, merged per item.
+
+    An alignment that reaches the threshold has at most 2 * (1 - threshold) as many gaps as the item has words.
+    """
     lo, hi = np.searchsorted(items.runs, run), np.searchsorted(items.runs, run, "right")
     count = hi - lo
     text, at = np.repeat(owner, count), np.repeat(place, count)
     k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-    item, length = items.item[k], np.diff(items.first)[items.item[k]]
-    begin = at - items.place[k] - length // 2
-    for t, i, b, e in sorted(zip(text.tolist(), item.tolist(), begin.tolist(), (begin + 2 * length).tolist(), strict=True)):
-        if found and found[-1][:2] == (t, i) and b <= found[-1][3]:
-            found[-1] = (t, i, found[-1][2], max(e, found[-1][3]))
-        else:
-            found.append((t, i, b, e))
-    return found
+    item, begin = items.item[k], at - items.place[k]
+    order = np.lexsort((begin, item, text))
+    text, item, begin = text[order], item[order], begin[order]
+    length = np.diff(items.first)[item]
+    reach = np.floor(MATCH * length * (1 - threshold) / -GAP + 1e-9).astype(np.int64)
+    begin, end = begin - reach, begin + length + reach
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] > end[:-1])
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(text))[: len(head)] - 1
+    text, item, begin, end = text[head], item[head], begin[head], end[tail]
+    return text, item, np.maximum(begin, 0) + w.first[text], np.minimum(end + w.first[text], w.first[text + 1])
+
+
+def _enough(items: Items, w: Words, item: np.ndarray, begin: np.ndarray, end: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the stretches hold so many of their item's words that an alignment can reach the threshold."""
+    out = np.zeros(len(item), bool)
+    size = end - begin
+    sums = np.cumsum(size)
+    lo = 0
+    while lo < len(item):
+        hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + BATCH_WORDS, "right")))
+        n = size[lo:hi]
+        which = np.repeat(np.arange(hi - lo), n)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + begin[lo:hi][which]
+        keys = Items.owned(item[lo:hi][which], w.hashes[at])
+        k = np.minimum(np.searchsorted(items.own, keys), len(items.own) - 1)
+        right = items.own[k] == keys
+        pairs, times = np.unique(which[right] * len(items.own) + k[right], return_counts=True)
+        common = np.bincount(pairs // len(items.own), np.minimum(times, items.times[pairs % len(items.own)]), minlength=hi - lo)
+        out[lo:hi] = common >= threshold * np.diff(items.first)[item[lo:hi]] - 1e-9
+        lo = hi
+    return out
 
 
 def _score(items: Items, threshold: float, kind: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,11 +167,10 @@ def _score(items: Items, threshold: float, kind: pa.DataType, batches: Iterator[
         found, first = grams(w, GRAM, whole=True)
         at = items.hits(found)
         owner = np.searchsorted(first, at, "right") - 1
-        todo = []
-        for t, i, b, e in _stretches(items, owner, at - first[owner], found[at]):
-            b, e = max(0, b) + w.first[t], min(e + w.first[t], w.first[t + 1])
-            todo.append((t, i, b, e))
-        todo.sort(key=lambda x: x[3] - x[2])
+        text, item, begin, end = _stretches(items, w, owner, at - first[owner], found[at], threshold)
+        enough = _enough(items, w, item, begin, end, threshold)
+        todo = list(zip(*(x[enough].tolist() for x in (text, item, begin, end)), strict=True))
+        todo.sort(key=lambda x: x[2] - x[3])
         best: dict[tuple[int, int], tuple] = {}
         while todo:
             n = max(1, BATCH_CELLS // (64 * (todo[0][3] - todo[0][2] + 64)))
@@ -207,19 +225,8 @@ def contaminated(
         rows = block.toArrow()
         items = Items.of(rows.column(0).to_pylist(), rows.column(1).to_pylist())
         shared = spark.sparkContext.broadcast(items)
-        hits = persisted(narrow.mapInArrow(lambda b, s=shared: _runs(s.value, b), f"doc_id {doc_kind}, run long"), "hits")
-        counts = {r["run"]: r["n"] for r in hits.groupBy("run").agg(F.count("*").alias("n")).toLocalIterator()}
-        n = np.array([counts.get(r, 0) for r in items.runs.view(np.int64).tolist()], np.int64)
-        order = np.lexsort((n, items.item))
-        sizes = np.bincount(items.item, minlength=len(items.ids))
-        middle = np.cumsum(sizes) - sizes + (np.maximum(sizes, 1) - 1) // 2
-        keep = n <= n[order][np.minimum(middle, max(0, len(n) - 1))][items.item] if len(n) else np.zeros(0, bool)
-        seeds = spark.sparkContext.broadcast(items.only(keep))
-        runs = spark.createDataFrame(pa.table({"run": np.unique(items.runs[keep]).view(np.int64)}))
-        wanted = bounded(persisted(hits.join(F.broadcast(runs), "run", "left_semi").select("doc_id").distinct(), "wanted"))
-        again = narrow.join(wanted, "doc_id", "left_semi").union(narrow.filter("doc_id is null"))
         kind = rows.schema.field(0).type
-        out = out.union(again.mapInArrow(lambda b, s=seeds, k=kind: _score(s.value, threshold, k, b), schema))
+        out = out.union(narrow.mapInArrow(lambda b, s=shared, k=kind: _score(s.value, threshold, k, b), schema))
     return out
 
 

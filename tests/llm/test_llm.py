@@ -205,6 +205,33 @@ def test_contaminated_like_brute_force(spark):
     assert decontaminate.contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("beside", [0, 3])
+def test_contaminated_edited_copies(spark, beside):
+    rng = random.Random(15)
+    items = [[f"i{k}x{j}" for j in range(40)] for k in range(6)]
+    # words replaced and words put in: over half of the item's runs stand in no text
+    edits = {
+        "fifth": lambda c: [f"e{j}" if j % 5 == 4 else x for j, x in enumerate(c)],
+        "quarter": lambda c: [f"e{j}" if j % 4 == 3 else x for j, x in enumerate(c)],
+        "third": lambda c: [f"e{j}" if j % (3 if j < 12 else 4) == 2 else x for j, x in enumerate(c)],
+        "put in": lambda c: [y for j, x in enumerate(c) for y in ([x, f"e{j}"] if j % 3 == 2 else [x])],
+        "two put in": lambda c: [y for j, x in enumerate(c) for y in ([x, "e", "f"] if j % 3 == 2 else [x])],
+        "one run and far": lambda c: [y for j, x in enumerate(c) for y in ([x] if j < 1 or j > 36 else [x, "e"] if j % 2 else [x])],
+    }
+    texts = [words(rng, 30) + edit(item) + words(rng, 30) for item, edit in zip(items, edits.values(), strict=True)]
+    texts += [words(rng, 30) + item + words(rng, 30) for item in items for _ in range(beside)]
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    want = {}
+    for i, t in enumerate(texts):
+        for k, item in enumerate(items):
+            share = smith_waterman(item, t) / 80
+            if share >= 0.5:
+                want[i, k] = round(share, 6)
+    assert len(want) >= 6 + 6 * beside
+    found = decontaminate.contaminated(table(spark, [" ".join(t) for t in texts]), benchmark)
+    assert {(r.doc_id, r.item_id): round(r.score, 6) for r in found.collect()} == want
+
+
 # language
 
 
