@@ -3,8 +3,9 @@
 Spark counts, for each class, the runs of up to ``ORDER`` characters inside the words (begun by ^, closed by $) of all
 labelled rows. A class's probability of a character after its history is its discounted share of the run, interpolated
 with the share of the run's last ``LOW`` characters, which comes from continuation counts (in how many different runs they
-stand) that both classes share. Histories that a class has seen less than ``RARE`` times are left to that shared part, so
-rare expressions weigh nothing. A word's log-likelihood ratio of toxic and ordinary is the sum over its characters. A text
+stand) that both classes share. A class that has not seen the history takes that shared part in full, so an expression that
+one class alone uses weighs all along. After a history, a character that no labelled row has there takes the ratio of what
+the classes leave to the shared part; a history that neither class has seen weighs nothing. A word's log-likelihood ratio of toxic and ordinary is the sum over its characters. A text
 has four features: the mean over its words, the largest mean over ``WINDOW`` words in a row, and, of what exceeds ``PLAIN_ENOUGH``
 in each word, the mean and the sum over the root of the length. Logistic regression turns them into a score.
 
@@ -32,20 +33,22 @@ from tarn.llm.words import PLAIN, STEP, Words, mixed, raw, words
 DISCOUNT = 0.75
 ORDER = 7
 LOW = 3
-RARE = 20
 PLAIN_ENOUGH = 2.0
-#: Ratios nearer to 0 are left out of the table.
-LEAST = 0.01
 WINDOW = 12
 CALIBRATION = 20_000
 BROADCAST = 12_000_000
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 4
 BEGIN, END = ord("^"), ord("$")
+#: Stands for any character that was not seen after a history; it is in no word.
+OTHER = 0
 
 
-def run_keys(points: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Hash of the up to ORDER characters that end at each one; ``place``: how many stand before it in its word."""
-    out = points.astype(np.uint64) * STEP[0]
+def run_keys(points: np.ndarray, place: np.ndarray, other: bool = False) -> np.ndarray:
+    """Hash of the up to ORDER characters that end at each one; ``place``: how many stand before it in its word.
+
+    ``other``: with OTHER in the place of the last.
+    """
+    out = (np.full_like(points, OTHER) if other else points).astype(np.uint64) * STEP[0]
     for k in range(1, ORDER):
         out[k:] += np.where(place[k:] >= k, points[:-k].astype(np.uint64) * STEP[k], np.uint64(0))
     return mixed(out)
@@ -97,7 +100,10 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ratios(rows: DataFrame) -> DataFrame:
-    """``rows`` (toxic, text) -> (key, ratio): log-likelihood ratio of the last character of a run after the others."""
+    """``rows`` (toxic, text) -> (key, ratio): log-likelihood ratio of the last character of a run after the others.
+
+    All runs that the rows hold, and each of their histories followed by OTHER.
+    """
     runs = rows.mapInArrow(_counts, "run string, t long, o long").groupBy("run").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     runs = persisted(
         runs.withColumn("low", F.expr(f"right(run, {LOW})")).select(
@@ -110,15 +116,19 @@ def ratios(rows: DataFrame) -> DataFrame:
     low = low.select("low", (F.col("n") / F.col("whole")).alias("rest"))
     seen = lambda c: F.sum((F.col(c) > 0).cast("long"))
     before = runs.groupBy("h").agg(F.sum("t").alias("ct"), F.sum("o").alias("co"), seen("t").alias("kt"), seen("o").alias("ko"))
-    usable = before.filter((F.col("ct") >= RARE) & (F.col("co") >= RARE))
+
+    def left(whole: str, kinds: str) -> Column:
+        return F.when(F.col(whole) > 0, DISCOUNT * F.col(kinds) / F.col(whole)).otherwise(F.lit(1.0))
 
     def given(count: str, whole: str, kinds: str) -> Column:
-        own = F.greatest(F.col(count) - DISCOUNT, F.lit(0.0))
-        return (own + DISCOUNT * F.col(kinds) * F.col("rest")) / F.col(whole)
+        own = F.when(F.col(count) > 0, (F.col(count) - DISCOUNT) / F.col(whole)).otherwise(F.lit(0.0))
+        return own + left(whole, kinds) * F.col("rest")
 
+    before = persisted(before, "histories")
     ratio = F.log(given("t", "ct", "kt") / given("o", "co", "ko"))
-    found = runs.join(usable, "h").join(low, "low").select("run", ratio.alias("ratio")).filter(F.abs("ratio") >= LEAST)
-    return found.mapInArrow(_keyed, "key long, ratio double")
+    found = runs.join(before, "h").join(low, "low").select("run", ratio.alias("ratio"))
+    other = before.select(F.concat("h", F.lit(chr(OTHER))).alias("run"), F.log(left("ct", "kt") / left("co", "ko")).alias("ratio"))
+    return found.unionByName(other).mapInArrow(_keyed, "key long, ratio double")
 
 
 FEATURES = ("mean", "top", "strong", "dense")
@@ -168,33 +178,39 @@ def _scored(table: Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         _, example, which = np.unique(w.hashes, return_index=True, return_inverse=True)
         points, place, word = spelled(data, w, example)
         value = np.zeros(len(points))
+        table.put(run_keys(points, place, other=True), value)
         table.put(run_keys(points, place), value)
+        value[place == 0] = 0.0
         found = _features(np.bincount(word, value, minlength=len(example))[which], w.first)
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, found)], [*batch.schema.names[:2], *FEATURES])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text) -> (row, place of the word, key of a run of it)."""
+    """(row, text) -> (row, place of the word, key of a run of it, and with OTHER for the last character)."""
     for batch in slices(batches, most=1 << 20):
         data, at = raw(batch.column(1))
         w = words(data, at, PLAIN)
         points, place, word = spelled(data, w, np.arange(len(w.start)))
         owner = np.repeat(np.arange(len(at) - 1), np.diff(w.first))
+        keys, other, word = run_keys(points, place)[place > 0], run_keys(points, place, other=True)[place > 0], word[place > 0]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0).take(pa.array(owner[word])),
                 pa.array(word - w.first[owner[word]]),
-                pa.array(run_keys(points, place).view(np.int64)),
+                pa.array(keys.view(np.int64)),
+                pa.array(other.view(np.int64)),
             ],
-            ["row", "place", "key"],
+            ["row", "place", "key", "other"],
         )
 
 
 def _joined(rows: DataFrame, table: DataFrame) -> DataFrame:
     """As _scored, with the words joined to the table instead: for tables that are not broadcast."""
     rows = persisted(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    tokens = rows.select("row", "text").mapInArrow(_tokens, "row long, place long, key long")
-    value = tokens.join(table, "key", "left").groupBy("row", "place").agg(F.coalesce(F.sum("ratio"), F.lit(0.0)).alias("value"))
+    tokens = rows.select("row", "text").mapInArrow(_tokens, "row long, place long, key long, other long")
+    rest = table.select(F.col("key").alias("other"), F.col("ratio").alias("rest"))
+    value = tokens.join(table, "key", "left").join(rest, "other", "left").groupBy("row", "place")
+    value = value.agg(F.sum(F.coalesce("ratio", "rest", F.lit(0.0))).alias("value"))
     order = Window.partitionBy("row").orderBy("place")
     run = value.withColumn("run", F.sum("value").over(order.rowsBetween(1 - WINDOW, 0)))
     n, above = F.count("*"), F.sum(F.greatest(F.col("value") - PLAIN_ENOUGH, F.lit(0.0)))

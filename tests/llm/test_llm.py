@@ -376,6 +376,40 @@ def test_toxicity(spark):
     assert [r.score for r in none] == [0.5, 0.5]
 
 
+def test_toxicity_ratios_like_brute_force(spark):
+    rng = random.Random(19)
+    plain = [(0, " ".join("".join(rng.choice(["ka", "lo", "mi"]) for _ in range(rng.randrange(1, 5))) for _ in range(30))) for _ in range(20)]
+    rows = plain + [(1, "kalomi lo zonkard mika"), (1, "grufflokami zonk"), (0, "lolo once")]
+    runs = {}
+    for mark, text in rows:
+        for word in text.split():
+            spelled = f"^{word}$"
+            for e in range(2, len(spelled) + 1):
+                n = runs.setdefault(spelled[max(0, e - toxicity.ORDER) : e], [0, 0])
+                n[mark] += 1
+    low = lambda r: r[-toxicity.LOW :]
+
+    def given(mark, run, h):
+        after = [n[mark] for r, n in runs.items() if r[:-1] == h and n[mark]]
+        left = 0.75 * len(after) / sum(after) if after else 1.0
+        if run is None:
+            return left
+        rest = sum(low(r) == low(run) for r in runs) / sum(low(r)[:-1] == low(run)[:-1] for r in runs)
+        return max(runs[run][mark] - 0.75, 0) / max(sum(after), 1) + left * rest
+
+    want = {r: np.log(given(1, r, r[:-1]) / given(0, r, r[:-1])) for r in runs}
+    want |= {h + chr(toxicity.OTHER): np.log(given(1, None, h) / given(0, None, h)) for h in {r[:-1] for r in runs}}
+    found = {r.key: r.ratio for r in toxicity.ratios(spark.createDataFrame(rows, "toxic int, text string")).collect()}
+    keys = {}
+    for r in want:
+        points = np.array([ord(c) for c in r], np.uint32)
+        keys[int(toxicity.run_keys(points, np.arange(len(r)))[-1].view(np.int64))] = want[r]
+    assert found.keys() == keys.keys() and len(keys) == len(want)
+    assert max(abs(found[k] - keys[k]) for k in keys) < 1e-9
+    # what ordinary rows never hold weighs
+    assert sum(want["^zonkard$"[max(0, e - 7) : e]] for e in range(2, 10)) > 1
+
+
 # nearest neighbours
 
 
