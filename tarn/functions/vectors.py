@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,23 +57,39 @@ def with_embeddings(rows: DataFrame, text: str, dims: int = 1024, name: str = "e
     return rows.mapInArrow(embed, f"{kinds}, `{name}` array<double>")
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, least: float | None = None, block: int = 4096) -> DataFrame:
+def nearest(
+    rows: DataFrame, queries: DataFrame, k: int, least: float | None = None, block: int = 4096, unlike: str | None = None, once: bool = False
+) -> DataFrame:
     """(qid, src, id, similarity) of the k most similar rows (src, id, vec) of each query (qid, vec).
 
     Queries come in blocks, each broadcast; a task keeps its own k best of every batch, so k rows a query and batch reach
-    the shuffle, whatever the number of rows. ``least`` keeps those of at least that similarity, before the limit.
+    the shuffle, whatever the number of rows. ``least`` keeps those of at least that similarity, before the limit;
+    ``unlike`` those with another value than the query's in that text column of both (null is neither); ``once`` takes the best
+    row of each (src, id) only.
     """
+    if unlike:
+        rows, queries = rows.filter(F.col(unlike).isNotNull()), queries.filter(F.col(unlike).isNotNull())
     blocks = -(-queries.count() // block) or 1
     out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        found = _nearest(rows, part, k, least)
+        found = _nearest(rows, part, k, least, unlike, once)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _nearest(rows: DataFrame, queries: DataFrame, k: int, least: float | None) -> DataFrame:
-    held = queries.select("qid", "vec").filter("vec is not null").toArrow()
+def _best_of_each(batch: pa.RecordBatch, score: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The first row of each (src, id), and the queries' best scores of all its rows."""
+    codes = [batch.column(k).dictionary_encode("encode").indices.to_numpy().astype(np.int64) for k in (0, 1)]
+    which = codes[0] * (codes[1].max() + 1) + codes[1]
+    order = np.argsort(which, kind="stable")
+    head = np.flatnonzero(np.diff(which[order], prepend=-1))
+    return batch.take(pa.array(order[head])), np.maximum.reduceat(score[:, order], head, axis=1)
+
+
+def _nearest(rows: DataFrame, queries: DataFrame, k: int, least: float | None, unlike: str | None, once: bool) -> DataFrame:
+    more = [unlike] if unlike else []
+    held = queries.select("qid", "vec", *more).filter("vec is not null").toArrow()
     ids = held.column("qid").to_numpy()
     kind = queries.schema["qid"].dataType.simpleString()
     own = rows.schema["id"].dataType.simpleString()
@@ -83,10 +100,11 @@ def _nearest(rows: DataFrame, queries: DataFrame, k: int, least: float | None) -
     norms = np.sqrt((vectors**2).sum(axis=1))
     with np.errstate(invalid="ignore", divide="ignore"):
         vectors = vectors / norms[:, None]
-    shared = rows.sparkSession.sparkContext.broadcast((ids, vectors))
+    values, own_value = np.unique(np.array(held.column(unlike).to_pylist(), object), return_inverse=True) if unlike else ([], None)
+    shared = rows.sparkSession.sparkContext.broadcast((ids, vectors, pa.array(list(values), pa.string()), own_value))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, unit = shared.value
+        qids, unit, known, mine = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -95,6 +113,11 @@ def _nearest(rows: DataFrame, queries: DataFrame, k: int, least: float | None) -
             with np.errstate(invalid="ignore", divide="ignore"):
                 points = points / np.sqrt((points**2).sum(axis=1))[:, None]
             score = np.nan_to_num(unit @ points.T, nan=-np.inf)
+            if unlike:
+                value = pc.index_in(batch.column(3).cast(pa.string()), known).fill_null(-1).to_numpy(zero_copy_only=False)
+                score[mine[:, None] == value[None, :]] = -np.inf
+            if once:
+                batch, score = _best_of_each(batch, score)
             n = min(k, score.shape[1])
             edge = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
             floor = edge if least is None else np.maximum(edge, least - 1e-12)
@@ -105,7 +128,9 @@ def _nearest(rows: DataFrame, queries: DataFrame, k: int, least: float | None) -
             )
 
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("similarity", 9)), "src", "id")
-    found = rows.select("src", "id", "vec").filter("vec is not null").mapInArrow(best, schema)
+    found = rows.select("src", "id", "vec", *more).filter("vec is not null").mapInArrow(best, schema)
+    if once:
+        found = found.groupBy("qid", "src", "id").agg(F.max("similarity").alias("similarity"))
     if least is not None:
         found = found.filter(F.round("similarity", 9) >= least)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")

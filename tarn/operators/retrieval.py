@@ -66,9 +66,9 @@ def entity_anchors(
     entities: DataFrame, queries: DataFrame, least: float = ANCHOR_SIMILARITY, most: int = ANCHORS
 ) -> DataFrame:
     """``entities`` (canonical, id, vec: entities and their aliases) -> nearest canonicals: (qid, canonical, distance)."""
-    near = nearest(entities.select(F.lit("entity").alias("src"), "id", "vec"), queries, most * 8, least)
-    by = near.join(entities.select("id", "canonical").distinct(), "id").groupBy("qid", "canonical")
-    return ranked(by.agg(F.round(1 - F.max("similarity"), 9).alias("distance")), [F.asc("distance"), F.asc("canonical")], most).drop("rank")
+    near = nearest(entities.select(F.lit("entity").alias("src"), F.col("canonical").alias("id"), "vec"), queries, most * 8, least, once=True)
+    by = near.select("qid", F.col("id").alias("canonical"), F.round(1 - F.col("similarity"), 9).alias("distance"))
+    return ranked(by, [F.asc("distance"), F.asc("canonical")], most).drop("rank")
 
 
 def entity_arm(anchors: DataFrame, edges: DataFrame, live: DataFrame, pool: int = POOL) -> DataFrame:
@@ -123,10 +123,7 @@ def recall_on_day(rows: DataFrame, queries: DataFrame, day: str, zone: str, limi
 
 def dedup_candidates(rows: DataFrame, incoming: DataFrame, most: int = 5, least: float = 0.5) -> DataFrame:
     """``most`` nearest active rows of another hash, and of those the ones similar enough, in this order."""
-    near = nearest(rows, incoming, most + 1)
-    known = rows.select("id", "content_hash")
-    mine = incoming.select("qid", F.col("content_hash").alias("own_hash"))
-    other = near.join(known, "id").join(F.broadcast(mine), "qid").filter("content_hash <> own_hash")
+    other = nearest(rows.withColumn("src", F.lit("")), incoming, most, unlike="content_hash")
     return ranked(other, [F.desc(F.round("similarity", 9)), F.asc("id")], most).filter(F.round("similarity", 9) >= least).select("qid", "id", "similarity", "rank")
 
 
