@@ -17,6 +17,7 @@ MERGE_GAP, MIN_SPEAKER, SHARE_OF_BIGGEST = 2.0, 8.0, 0.05
 TRUNCATED, SUSPECT, MIN_SPEECH = 5.0, 0.5, 8.0
 CHUNK_SPAN, CHUNK_GAP, SECTION, SECTION_HARD, SECTION_CHARS = 60.0, 8.0, 120.0, 180.0, 80
 VOICE, VOICE_SECONDS = 0.8, 10.0
+SLICE = 3600.0
 
 
 def turns(segments: DataFrame, gap: float = MERGE_GAP) -> DataFrame:
@@ -60,13 +61,43 @@ def asof_turns(words: DataFrame, turns_: DataFrame) -> DataFrame:
     return out.filter("kind = 1").select("recording", "at", "word", F.col("who").alias("speaker"))
 
 
-def overlap_seconds(intervals: DataFrame, speech: DataFrame) -> DataFrame:
-    """Seconds of speech inside each interval (recording, id, start, end)."""
-    s = speech.select("recording", F.col("start").alias("s"), F.col("end").alias("e"))
-    hit = intervals.join(s, "recording", "left").withColumn(
-        "seconds", F.greatest(F.lit(0.0), F.least("end", "e") - F.greatest("start", "s"))
+def overlap_seconds(intervals: DataFrame, speech: DataFrame, width: float = SLICE) -> DataFrame:
+    """Seconds of speech inside each interval (recording, id, start, end).
+
+    Cumulative speech at the interval's end less that at its start. Both come from a union of all ends, cut into slices of
+    ``width`` seconds: a slice's sums are carried to those after it, and within it points are accumulated in order of time.
+    """
+    said = speech.filter(F.col("end") > F.col("start"))
+    points = said.select("recording", F.col("start").alias("at"), F.lit(1).alias("step")).unionByName(
+        said.select("recording", F.col("end").alias("at"), F.lit(-1).alias("step"))
+    )
+    points = points.withColumn("slice", F.floor(F.col("at") / width)).withColumn("part", F.col("at") - F.col("slice") * width)
+    asked = intervals.filter(F.col("end") > F.col("start"))
+    asked = asked.select("recording", "id", F.col("end").alias("at"), F.lit(1).alias("sign")).unionByName(
+        asked.select("recording", "id", F.col("start").alias("at"), F.lit(-1).alias("sign"))
+    )
+    asked = asked.withColumn("slice", F.floor(F.col("at") / width)).withColumn("part", F.col("at") - F.col("slice") * width)
+    # speech up to a slice's begin, and segments open there
+    slices = points.groupBy("recording", "slice").agg(F.sum("step").alias("net"), F.sum(F.col("step") * F.col("part")).alias("moment"))
+    slices = slices.unionByName(asked.select("recording", "slice", F.lit(0).cast("long").alias("net"), F.lit(0.0).alias("moment")).distinct())
+    slices = slices.groupBy("recording", "slice").agg(F.sum("net").alias("net"), F.sum("moment").alias("moment"))
+    order = Window.partitionBy("recording").orderBy("slice")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("open", F.coalesce(F.sum("net").over(before), F.lit(0)))
+    step = F.coalesce((F.lead("slice").over(order) - F.col("slice")) * width * (F.col("open") + F.col("net")) - F.col("moment"), F.lit(0.0))
+    slices = slices.withColumn("step", step).withColumn("carried", F.coalesce(F.sum("step").over(before), F.lit(0.0)))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    kind = intervals.schema["id"].dataType.simpleString()
+    every = points.select("recording", "slice", "part", "step", none(kind, "id"), none("int", "sign")).unionByName(
+        asked.select("recording", "slice", "part", F.lit(0).alias("step"), "id", "sign")
     )
-    return hit.groupBy("recording", "id").agg(F.round(F.coalesce(F.sum("seconds"), F.lit(0.0)), 6).alias("seconds"))
+    inside = Window.partitionBy("recording", "slice").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    every = every.withColumn("net", F.sum("step").over(inside)).withColumn("moment", F.sum(F.col("step") * F.col("part")).over(inside))
+    every = every.filter("sign is not null").join(slices.select("recording", "slice", "open", "carried"), ["recording", "slice"])
+    until = F.col("carried") + (F.col("open") + F.col("net")) * F.col("part") - F.col("moment")
+    sums = every.groupBy("recording", "id").agg(F.sum(F.col("sign") * until).alias("seconds"))
+    sums = sums.unionByName(intervals.select("recording", "id", F.lit(0.0).alias("seconds")).distinct())
+    return sums.groupBy("recording", "id").agg(F.round(F.greatest(F.lit(0.0), F.sum("seconds")), 6).alias("seconds"))
 
 
 def truncated_chunks(chunks: DataFrame, words: DataFrame, speech: DataFrame) -> DataFrame:

@@ -229,6 +229,14 @@ def overlap_speech(spark: SparkSession, d: str) -> DataFrame:
     return A.overlap_seconds(intervals, seg).withColumn("seconds", F.round("seconds", 3))
 
 
+@query()
+def overlap_speech_all(spark: SparkSession, d: str) -> DataFrame:
+    """overlap_speech for the intervals of all events."""
+    seg = X.seg(spark, d)
+    intervals = seg.selectExpr("recording", "event_id as id", "start", "start + 3600 as end")
+    return A.overlap_seconds(intervals, seg).withColumn("seconds", F.round("seconds", 3))
+
+
 @query(
     sql(
         "sess",

@@ -1,6 +1,7 @@
 """Small cases with known answers, and operations that undo each other."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,10 +16,13 @@ from tarn.operators import recordings as A
 from tarn.operators import retrieval as R
 from tarn.operators import sessions as S
 from tarn.operators.components import components
+from tarn.plans import document_queries
 from tarn.sources import files
 from tarn.sources.store import Store, checked, merged
 from tarn.streaming import jobs
 
+DATA = "/root/testdata/sf0.001"
+
 
 def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], list(values)).select(column.alias("x")).first()["x"]
@@ -167,6 +171,27 @@ def test_recordings(spark):
     assert A.renamed_speaker(rows, "S1", "Ann").first()["content"] == "0:10 · Ann\n\nhi"
 
 
+def test_overlaps_like_brute_force(spark):
+    rng = random.Random(3)
+    said = [(r, 1.7e9 + s, 1.7e9 + s + rng.uniform(-5, 4000)) for r in range(3) for s in [rng.uniform(0, 40000) for _ in range(60)]]
+    asked = [(r, i, 1.7e9 + s, 1.7e9 + s + rng.choice([0, -3, 10, 3600, 20000])) for r in range(4) for i, s in enumerate(rng.uniform(-9000, 50000) for _ in range(50))]
+    made = spark.createDataFrame(asked, "recording long, id long, start double, end double")
+    found = A.overlap_seconds(made, spark.createDataFrame(said, "recording long, start double, end double"))
+    want = {(r, i): sum(max(0, min(e, y) - max(s, x)) for q, x, y in said if q == r) for r, i, s, e in asked}
+    got = {(r.recording, r.id): r.seconds for r in found.collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-3
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all("slice" in line for line in plan.splitlines() if "Join" in line)
+
+
+def test_overlaps_of_all_events(spark):
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    rows = document_queries.overlap_speech_all(spark, DATA)
+    part = {(r.recording, r.id): r.seconds for r in document_queries.overlap_speech(spark, DATA).collect()}
+    every = {(r.recording, r.id): r.seconds for r in rows.collect()}
+    assert len(every) == events.select("event_id").distinct().count() and all(every[k] == v for k, v in part.items())
+
+
 def test_sessions(spark):
     long = "a" * 30_000
     assert len(one(spark, S.shortened(F.col("t")), t=long)) == 14_400 + 4_800 + 7
