@@ -60,13 +60,13 @@ def related_entities(
 ) -> DataFrame:
     """Entities linked with each target by stated links or shared sources, stated ones first: (target, other, …, place, total)."""
     mentions = edges.filter("active and relation = 'mention'").select("from_id", "to_id").distinct()
-    of = mentions.join(F.broadcast(targets.select(F.col("id").alias("to_id"), F.col("id").alias("target"))), "to_id").select("from_id", "target")
+    of = mentions.join(targets.select(F.col("id").alias("to_id"), F.col("id").alias("target")), "to_id").select("from_id", "target")
     shared = of.join(mentions, "from_id").filter("to_id <> target").groupBy("target", F.col("to_id").alias("other")).agg(F.count("*").alias("shared"))
     links = typed.filter("active")
     ends = links.select(F.col("from_id").alias("target"), F.col("to_id").alias("other"), "relation", "confidence", F.lit("out").alias("direction")).union(
         links.select("to_id", "from_id", "relation", "confidence", F.lit("in"))
     )
-    stated = ends.join(F.broadcast(targets.select(F.col("id").alias("target"))), "target").filter("target <> other")
+    stated = ends.join(targets.select(F.col("id").alias("target")), "target").filter("target <> other")
     stated = stated.groupBy("target", "other").agg(F.count("*").alias("links"), F.max("confidence").alias("confidence"))
     both = shared.join(stated, ["target", "other"], "full_outer")
     counts = mentions.groupBy(F.col("to_id").alias("other")).agg(F.count("*").alias("mentions"))

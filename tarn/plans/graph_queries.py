@@ -76,6 +76,14 @@ def related_entities(spark: SparkSession, d: str) -> DataFrame:
     return found.select("target", "other", "links", "shared", "mentions", "total", "place")
 
 
+@query()
+def related_entities_all(spark: SparkSession, d: str) -> DataFrame:
+    """related_entities for every part."""
+    part = table(spark, d, "part").selectExpr("p_partkey as id", "p_name as name")
+    found = G.related_entities(part.select("id"), part, X.edge(spark, d), X.typed(spark, d))
+    return found.select("target", "other", "links", "shared", "mentions", "total", "place")
+
+
 @query(
     """with vocab as (select 'entity_type' as kind, lower(p_type) as name from part union select 'predicate', x from (values ('located_in'), ('part_of'), ('knows')) v(x)),
 used as (select 'entity_type' as kind, lower(p_type) as name from part where p_partkey % 3 = 0 union all select 'predicate', 'located_in' from supplier union all select 'predicate', 'part_of' from nation)

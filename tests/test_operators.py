@@ -16,7 +16,7 @@ from tarn.operators import recordings as A
 from tarn.operators import retrieval as R
 from tarn.operators import sessions as S
 from tarn.operators.components import components
-from tarn.plans import document_queries
+from tarn.plans import document_queries, graph_queries
 from tarn.sources import files
 from tarn.sources.store import Store, checked, merged
 from tarn.streaming import jobs
@@ -130,6 +130,29 @@ def test_verdicts(spark):
     assert [(r.candidate, r.label) for r in B.parse_verdicts(replies).collect()] == [(8, "contradictory")]
 
 
+def test_related_to_all_like_brute_force(spark):
+    of = {}
+    for r in spark.read.parquet(f"{DATA}/lineitem.parquet").filter("l_returnflag <> 'R'").select("l_orderkey", "l_partkey").distinct().collect():
+        of.setdefault(r.l_orderkey, set()).add(r.l_partkey)
+    shared, mentions = {}, {}
+    for parts in of.values():
+        for a in parts:
+            mentions[a] = mentions.get(a, 0) + 1
+            for b in parts - {a}:
+                shared.setdefault(a, {}).setdefault(b, 0)
+                shared[a][b] += 1
+    parts = {r.p_partkey: r.p_name for r in spark.read.parquet(f"{DATA}/part.parquet").select("p_partkey", "p_name").collect()}
+    # links of suppliers lead to places, which are no parts
+    want = set()
+    for a, others in shared.items():
+        known = [b for b in others if b in parts]
+        order = sorted(known, key=lambda b: (-others[b], -mentions[b], parts[b], b))[:50]
+        want |= {(a, b, 0, others[b], mentions[b], len(known), k) for k, b in enumerate(order, 1) if a in parts}
+    found = graph_queries.related_entities_all(spark, DATA)
+    assert {tuple(r) for r in found.collect()} == want and len({w[0] for w in want}) > 100
+    assert "strategy=broadcast" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_extracted_links(spark):
     raw = [(1, 0, "Ada", "knows", 0.9, "Bob"), (1, 1, "Ada", "likes", 0.9, "Bob"), (1, 2, "Ada", "knows", 0.2, "Bob"), (1, 3, "Ada", "knows", 0.9, "Ada"), (1, 4, "Ada", "knows", 0.9, "Eve")]
     raw = spark.createDataFrame(raw, "source long, pos int, subject string, predicate string, confidence double, object string")
