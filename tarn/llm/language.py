@@ -2,11 +2,15 @@
 
 Texts are lower-cased, everything but letters becomes a space, and runs of 1 to ``ORDERS`` characters are hashed into
 ``BUCKETS`` cells. The model is a matrix of log probabilities, BUCKETS x languages, whose size does not depend on the
-corpus; it is broadcast, and each batch of texts is scored as sparse rows of cell numbers. It is learnt from at most
-``PER_LANG`` rows of each language (those with the smallest hash of their id), counted by Spark.
+corpus (256 KB a language); it is broadcast, and each batch of texts is scored as sparse rows of cell numbers. It is
+learnt from a bounded sample of labelled rows: the ``PER_LANG`` ids of the smallest hash in each language. Which ids
+these are is found from ids and languages alone, so no text is shuffled and a language with most of the rows is no hot
+task: rows whose hash is surely too large go first, by the language's count.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text if nothing could be learnt;
-equal scores go to the first language in order; repeated rows are taken each on their own; extra columns don't matter.
+equal scores go to the first language in order; repeated rows are taken each on their own (a sampled id that repeats
+teaches with each of its rows); rows without an id are one id; texts of any length are scored whole, in batches bounded
+by bytes; an empty table gives no rows; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +34,10 @@ BUCKETS = 1 << BITS
 PER_LANG = 5000
 SMOOTH = 0.5
 UNKNOWN = "und"
-#: Of languages that a model may hold: the matrix stays below 256 MB.
-MOST_LANGS = 1000
+#: A document whose best language has less of the posterior than this is not of a known language.
+LEAST = 0.5
+#: Ids a language that are ranked for the sample, as a multiple of those taken, and ways in which they are ranked first.
+SPARE, SALTS = 4, 16
 _STEP = np.random.Generator(np.random.PCG64(6)).integers(1, 1 << 63, ORDERS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -80,17 +87,27 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def sampled(rows: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
+    """The rows (doc_id, text, lang) whose ids have the ``per_lang`` smallest hashes of their language."""
+    known = rows.filter("lang is not null").withColumn("at", F.coalesce(F.xxhash64("doc_id"), F.lit(0)))
+    share = known.groupBy("lang").agg(F.count("*").alias("n"))
+    reach = (SPARE * per_lang / F.col("n") - 0.5) * 2.0**64  # xxhash64 is even over the longs
+    near = known.select("lang", "at").join(F.broadcast(share), "lang").filter((F.col("n") <= SPARE * per_lang) | (F.col("at") < reach))
+    for parts in (["lang", "salt"], ["lang"]):
+        near = near.select("lang", "at").distinct().withColumn("salt", F.pmod("at", F.lit(SALTS)))
+        place = F.row_number().over(Window.partitionBy(*parts).orderBy("at"))
+        near = near.withColumn("place", place).filter(F.col("place") <= per_lang)
+    last = near.groupBy("lang").agg(F.max("at").alias("last"))
+    return known.join(F.broadcast(last), "lang").filter("at <= last").select("doc_id", "text", "lang")
+
+
 def learn(rows: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], np.ndarray]:
     """``rows`` (doc_id, text, lang) -> languages in order, and their log probabilities by cell."""
-    known = rows.filter("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    kept = known.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_lang)
+    kept = sampled(rows, per_lang).filter("text is not null")
     counts = kept.select("lang", "text").mapInArrow(_counts, "lang string, cell int, n long")
     found = counts.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     names = found.column("lang").to_pylist()
     langs = sorted(set(names))
-    if len(langs) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
     place = {lang: k for k, lang in enumerate(langs)}
     matrix = np.full((BUCKETS, len(langs)), SMOOTH)
     matrix[found.column("cell").to_numpy(), [place[x] for x in names]] += found.column("n").to_numpy()
@@ -123,13 +140,17 @@ def held_out(doc_id: str | Column, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def identify(docs: DataFrame, learn_from: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score (its share of the posterior)."""
+def _model(docs: DataFrame, learn_from: DataFrame | None, id_col: str, text_col: str) -> tuple[list[str], Broadcast]:
     train = (learn_from if learn_from is not None else docs).select(
         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     )
     langs, matrix = learn(train.filter(~held_out("doc_id")))
-    shared = docs.sparkSession.sparkContext.broadcast(matrix)
+    return langs, docs.sparkSession.sparkContext.broadcast(matrix)
+
+
+def identify(docs: DataFrame, learn_from: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score (its share of the posterior)."""
+    langs, shared = _model(docs, learn_from, id_col, text_col)
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out")
     )
@@ -138,7 +159,27 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None, id_col: str =
     return rows.mapInArrow(lambda batches: _score(langs, shared.value, batches), out)
 
 
-def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose language can be told: those without a letter go."""
-    rejected = identify(docs, id_col=id_col, text_col=text_col).filter(F.col("lang_pred") == UNKNOWN)
-    return docs.join(rejected.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti")
+def keep_known(
+    docs: DataFrame, wanted: tuple[str, ...] | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The documents of a language that is ``wanted`` (default: of any that was learnt), with at least that score.
+
+    Each row is decided by its own text, in one pass. Where no row says its language, nothing can be rejected but texts
+    without a letter.
+    """
+    langs, shared = _model(docs, None, id_col, text_col)
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text=at, most=1 << 20):
+            text = batch.column(at).cast(pa.string())
+            if langs:
+                none = pa.nulls(len(text), pa.bool_())
+                scored = next(_score(langs, shared.value, iter([pa.RecordBatch.from_arrays([none, text, none], ["doc_id", "text", "held_out"])])))
+                pred, score = scored.column(2).to_pylist(), scored.column(3).to_numpy()
+                kept = np.array([p != UNKNOWN and (wanted is None or p in wanted) for p in pred], bool) & (score >= least)
+            else:
+                kept = np.isin(np.arange(len(text)), cells([t or "" for t in text.to_pylist()])[1])
+            yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -2,20 +2,26 @@
 
 1. A pass over the texts gives each document the digest of its set of five-word shingles and, under each of ``PERMS``
    permutations, both the smallest and the largest value: two signature values for one hash evaluation. Runs of
-   ``ROWS`` values are hashed into ``BANDS`` band keys. A pair at the threshold of 0.75 misses all of them with a
-   probability of (1 - 0.75 ** 4) ** 32 = 5e-6, more similar pairs with less.
+   ``ROWS`` values are hashed into ``BANDS`` band keys.
 2. Equal sets are one class, whatever their number; only the class's smallest doc_id goes on.
 3. Classes that share a band key are candidates. No bucket is ever expanded into all its pairs. First each class is
    compared with one leader of its buckets. In buckets where more than one component is left, the sketches (one byte
-   per signature value) of members in different components are compared in blocks of bounded size, which Spark deals
-   out, and a spanning forest of likely pairs is confirmed. Of what is still apart then, the members that sketches do
-   not rule out (five standard deviations below the threshold) meet once more with their whole sets, and a spanning
-   forest of the links is returned. So pairs are compared within tasks but never become rows. Nothing is capped.
+   per signature value) of the members outside the bucket's largest component are compared with all members of other
+   components, in blocks of bounded size, which Spark deals out, and a spanning forest of likely pairs is confirmed. Of
+   what is still apart then, the members that sketches do not rule out meet once more with their whole sets, in blocks
+   bounded by shingles, and a spanning forest of the links is returned. So pairs are compared within tasks but never
+   become rows. Nothing is capped.
+
+What can be lost of a pair at the threshold of 0.75: all bands miss it with a probability of (1 - 0.75 ** 4) ** 32 = 5e-6
+for large sets (for small ones the minimum and maximum of one permutation are not independent: 2e-5 at 6 of 8 shingles,
+1e-4 at 3 of 4), and, if it is not found through a leader, fewer than ``AGREE`` of 128 sketch bytes agree with one of
+about 5e-7. More similar pairs are lost less often. Everything else is exact.
 
 Defined cases: null and empty texts, or ones without words, have an empty set, link with nothing and are kept; with fewer
-than five words the whole sequence is the one shingle; rows that repeat a
-doc_id are taken each by its own text; rows without a
-doc_id link with nothing, have no component and are kept; extra columns are not looked at.
+than five words the whole sequence is the one shingle; texts of any length are taken whole, their shingles hashed
+``STEP`` at a time; rows that repeat a doc_id are taken each by its own text; rows without a doc_id link with nothing,
+have no component and are kept; an empty table gives no rows; extra columns are not looked at. keep_one() goes by row:
+there rows without a doc_id are compared too, and of rows equal in everything one stays.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import bounded, persisted, slices
@@ -38,7 +44,9 @@ PERMS = 64
 ROWS, BANDS = 4, 32
 #: Of 2 * PERMS sketch bytes, so many agree at least: at 0.75, 96 do with a standard deviation of under 4.9.
 AGREE = 72
+#: Members of a bucket in one part of a block, and shingles of their whole sets.
 BLOCK = 512
+BLOCK_SHINGLES = 2_000_000
 _RANDOM = np.random.Generator(np.random.PCG64(7))
 MULTIPLY = _RANDOM.integers(1, 1 << 63, PERMS, np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _RANDOM.integers(0, 1 << 63, PERMS, np.uint64)
@@ -219,27 +227,39 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(crowded: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, dealt into blocks: each pair of members meets in one."""
+    """Members of buckets that hold several components, dealt into blocks.
+
+    Each member outside its bucket's largest component meets each member of the others in one block. Parts of members
+    outside it are numbered from 0, those of the largest from -1 down.
+    """
     named = crowded.join(labels, crowded.doc_id == labels.node, "left").select(
-        "key", "doc_id", F.coalesce("component", "doc_id").alias("component")
+        "key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
     )
-    mixed_up = (
-        named.groupBy("key")
-        .agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-        .filter("low < high")
-        .select("key", F.ceil(F.col("n") / BLOCK).alias("parts"))
+    held = named.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    whole = held.groupBy("key").agg(
+        F.count("*").alias("components"),
+        F.sum("n").alias("n"),
+        F.sum("s").alias("s"),
+        F.max(F.struct("n", "s", "component")).alias("large"),
     )
-    own = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
-    meets = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    placed = named.join(mixed_up, "key").withColumn("own", own).select("key", "doc_id", "component", "own", meets.alias("other"))
-    return placed.join(sketches, "doc_id").select(
+
+    def parts(n: Column, s: Column) -> Column:
+        return F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES)).cast("long")
+
+    mixed_up = whole.filter("components > 1").select(
         "key",
-        F.least("own", "other").alias("one"),
-        F.greatest("own", "other").alias("two"),
-        F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
-        "doc_id",
-        "component",
-        "sketch",
+        F.col("large.component").alias("large"),
+        parts(F.col("n") - F.col("large.n"), F.col("s") - F.col("large.s")).alias("few"),
+        parts(F.col("large.n"), F.col("large.s")).alias("many"),
+    )
+    placed = named.join(mixed_up, "key").withColumn("outside", F.col("component") != F.col("large"))
+    own = F.when(F.col("outside"), F.pmod(F.xxhash64("doc_id"), F.col("few"))).otherwise(-1 - F.pmod(F.xxhash64("doc_id"), F.col("many")))
+    zero = F.lit(0).cast("long")
+    others = F.when(F.col("outside"), F.sequence(-F.col("many"), F.col("few") - 1)).otherwise(F.sequence(zero, F.col("few") - 1))
+    placed = placed.select("key", "doc_id", "component", own.alias("own"), F.explode(others).alias("other"))
+    one, two = F.greatest("own", "other"), F.least("own", "other")
+    return placed.join(sketches, "doc_id").select(
+        "key", one.alias("one"), two.alias("two"), F.when(F.col("own") == one, 0).otherwise(1).alias("side"), "doc_id", "component", "sketch"
     )
 
 
@@ -250,16 +270,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         narrow.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, sketch binary, bands array<long>"), "signed"
     )
     usable = signed.filter("doc_id is not null and digest is not null")
-    if not usable.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        narrow = narrow.distinct()
     leaders = persisted(usable.groupBy("digest").agg(F.min("doc_id").alias("leader")), "leaders")
-    classes = usable.join(leaders, "digest").filter("doc_id = leader").select("doc_id", "sketch", "bands").distinct()
-    banded = classes.select("doc_id", F.explode("bands").alias("key"))
+    classes = usable.join(leaders, "digest").filter("doc_id = leader").select("doc_id", "n_shingles", "sketch", "bands").distinct()
+    banded = classes.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).filter("n > 1")
     crowded = persisted(banded.join(buckets.drop("n"), "key"), "crowded")
     involved = bounded(persisted(crowded.select("doc_id").distinct(), "involved"))
-    sets = narrow.join(involved, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
-    sets = persisted(sets, "sets")
+    held = narrow.join(involved, "doc_id", "left_semi")
+    again = bounded(persisted(usable.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again"))
+    if not again.isEmpty():
+        held = held.join(again, "doc_id", "left_anti").union(held.join(again, "doc_id", "left_semi").distinct())
+    sets = persisted(held.mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
     sketches = classes.join(involved, "doc_id", "left_semi").select("doc_id", "sketch")
     stars = crowded.filter("doc_id <> leader").groupBy("doc_id").agg(F.min("leader").alias("a"))
     links = persisted(_confirmed(stars.select("a", F.col("doc_id").alias("b")), sets), "links")
@@ -286,6 +307,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that have a near duplicate of smaller doc_id in their group."""
-    gone = near_duplicates(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone.distinct(), id_col, "left_anti")
+    """The documents without those that have a near duplicate in their group which comes before them.
+
+    The one of the smallest doc_id stays, of several of those the first row; rows without a doc_id come last.
+    """
+    row = next(c for k in range(len(docs.columns) + 1) if (c := f"row_{k}") not in docs.columns)
+    rows = persisted(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows, row, text_col).select(F.col("doc_id").alias(row), "component_id")
+    ids = rows.select(row, F.col(id_col).alias("id"))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", row)
+    first = groups.join(ids, row).groupBy("component_id").agg(F.min(place).alias("first")).select(F.col(f"first.{row}"))
+    gone = groups.select(row).join(first, row, "left_anti")
+    return rows.join(bounded(persisted(gone, "gone")), row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

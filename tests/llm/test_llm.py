@@ -138,6 +138,34 @@ def test_near_duplicates_like_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    texts = ["a b c d e f", "a b c d e f", "g h i j k l", "g h i j k l m", "x" * 300_000 + " b c d e f", "g h i j k l"]
+    rows = near_dup.near_duplicates(table(spark, texts, ids=[1, 1, 1, 2, 3, 3])).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_shingles) for r in rows) == [(1, 1, 2), (1, 1, 2), (1, 1, 2), (2, 2, 3), (3, 1, 2), (3, 3, 2)]
+    docs = table(spark, [*texts, None, "", "lone", "lone"], ids=[1, 1, 1, 2, None, 3, 4, None, None, None]).withColumn("row_0", F.lit(1)).withColumn("component_id", F.lit(1))
+    kept = near_dup.keep_one(docs)
+    got = sorted((str(r.doc_id), (r.text or "-")[:11]) for r in kept.collect())
+    want = [("1", "a b c d e f"), ("1", "g h i j k l"), ("2", "g h i j k l"), ("None", "xxxxxxxxxxx"), ("4", "-"), ("None", "-"), ("None", "lone")]
+    assert got == sorted(want)
+    assert kept.columns == docs.columns
+
+
+def test_blocks_bring_members_of_different_components_together(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    rng = random.Random(21)
+    named = [(k, i, i if rng.random() < 0.5 else 0) for k in range(3) for i in range(40 * k + 1, 40 * k + 1 + 13 * k)]
+    crowded = spark.createDataFrame([(k, i, 5) for k, i, _ in named], "key long, doc_id long, n_shingles long")
+    labels = spark.createDataFrame([(i, c) for _, i, c in named], "node long, component long")
+    sketches = spark.createDataFrame([(i, bytes(4)) for _, i, _ in named], "doc_id long, sketch binary")
+    blocks = {}
+    for r in near_dup._blocks(crowded, labels, sketches).collect():
+        blocks.setdefault((r.key, r.one, r.two), []).append((r.side, r.doc_id, r.component))
+    met = set()
+    for (_, one, two), rows in blocks.items():
+        met |= {(min(a, b), max(a, b)) for s, a, x in rows for t, b, y in rows if x != y and (s != t or one == two)}
+    assert met == {(a, b) for k, a, x in named for j, b, y in named if k == j and a < b and x != y}
+
+
 def test_near_duplicates_odd_tables(spark):
     assert near_dup.near_duplicates(table(spark, [])).count() == 0
     rows = near_dup.near_duplicates(table(spark, ["a b c d e f"] * 3 + [None], ids=[5, None, 5, 7])).collect()
@@ -251,7 +279,39 @@ def test_language(spark):
     nothing = language.identify(table(spark, ["abc"], [None])).first()
     assert (nothing.lang_pred, nothing.score) == ("und", 0.0)
     assert language.identify(table(spark, [])).count() == 0
-    assert {r.doc_id for r in language.keep_known(docs).collect()} == {r.doc_id for r in rows if r.lang_pred != "und"}
+    sure = {r.doc_id: r.lang_pred for r in rows if r.lang_pred != "und" and r.score >= language.LEAST}
+    kept = language.keep_known(docs)
+    assert {r.doc_id for r in kept.collect()} == set(sure) and kept.columns == docs.columns
+    assert {r.doc_id for r in language.keep_known(docs, ("de", "fr")).collect()} == {i for i, g in sure.items() if g in ("de", "fr")}
+    assert [r.text for r in language.keep_known(table(spark, ["abc", "12", None], [None] * 3)).collect()] == ["abc"]
+    same = table(spark, [made[0][1], "12", made[1][1], None], [None] * 4, ids=[7, 7, None, None]).unionByName(docs)
+    assert sorted((r.text for r in language.keep_known(same).collect() if r.doc_id in (7, None))) == sorted([made[0][1], made[1][1], made[7][1]])
+
+
+def test_language_like_brute_force(spark):
+    rng = random.Random(22)
+    rows = [(i, "".join(rng.choice("ab c") for _ in range(rng.randrange(1, 9))), g) for i in range(60) for g in ["xy", "zz"][i % 2 : i % 2 + 1]]
+    kept = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    grams = lambda t: [g for i in range(len(t) + 1) for k in (1, 2, 3) if (g := f" {t}  "[i : i + k]).strip() and len(g) == k]
+    counts = {g: {} for g in ("xy", "zz")}
+    for _, t, g in kept:
+        for x in grams(t):
+            counts[g][x] = counts[g].get(x, 0) + 1
+    for r in language.identify(table(spark, [r[1] for r in rows], [r[2] for r in rows])).collect():
+        found = grams(rows[r.doc_id][1])
+        log = {g: sum(np.log((c.get(x, 0) + 0.5) / (sum(c.values()) + 0.5 * language.BUCKETS)) for x in found) for g, c in counts.items()}
+        share = {g: 1 / sum(np.exp(y - x) for y in log.values()) for g, x in log.items()}
+        want = max(share, key=lambda g: (share[g], g == "xy")) if found else "und"
+        assert abs(r.score - (share[want] if found else 0)) < 1e-4 and (r.lang_pred == want or abs(share["xy"] - 0.5) < 1e-3)
+
+
+def test_language_sample(spark):
+    rows = spark.createDataFrame([(i if i % 3 else None, "t", "hot" if i % 5 else "b") for i in range(3000)], "doc_id long, text string, lang string")
+    hashes = {r[0]: r[1] for r in rows.select("doc_id", F.coalesce(F.xxhash64("doc_id"), F.lit(0))).distinct().collect()}
+    got = language.sampled(rows, 20).collect()
+    for lang in ("hot", "b"):
+        own = {r.doc_id for r in rows.collect() if r.lang == lang}
+        assert {r.doc_id for r in got if r.lang == lang} == set(sorted(own, key=hashes.get)[:20])
 
 
 # PII

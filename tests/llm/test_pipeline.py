@@ -24,3 +24,31 @@ def test_stages(spark, tmp_path):
             assert "jo.doe" not in left.filter("doc_id = 4").first().text
     assert kept == [[0, 1, 3, 4], [0, 3, 4], [0, 4], [0, 4], [0, 4]]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == left.count()
+
+
+def written(spark, folder, rows, item):
+    docs = spark.createDataFrame([(i, t, g, "s", len(t or ""), "r", 0) for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long, row string, row_0 int")
+    docs.write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+    return docs
+
+
+def test_odd_rows(spark, tmp_path):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [
+        (7, "12345", "en"), (7, "a clean text under the same id as one without letters", "en"), (7, f"here {item} there", "en"),
+        (None, "a clean text that has no id at all and stays", "en"), (None, f"no id and {item} in it", "en"), (None, "999", None),
+        (8, "one and the same row is given twice in this table", "en"), (8, "one and the same row is given twice in this table", "en"),
+        (9, "long " * 60_000, "en"), (10, "", "en"), (11, None, "en"),
+    ]
+    docs = written(spark, tmp_path, rows, item)
+    left = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = persisted(stage(spark, left, str(tmp_path)), name)
+        assert left.schema == docs.schema
+    assert sorted((str(r.doc_id), r.text[:9]) for r in left.collect()) == [("7", "a clean t"), ("8", "one and t"), ("9", "long long"), ("None", "a clean t")]
+
+
+def test_empty_table(spark, tmp_path):
+    written(spark, tmp_path, [], "some item")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
