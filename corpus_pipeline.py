@@ -1,8 +1,12 @@
 """A corpus pipeline of five of the training-data operators, each on what the one before it kept.
 
-Documents without a known language go, then all but one of each group of near duplicates, then those that hold a benchmark
-item; personal data is replaced by surrogates; the rest is packed into sequences. All stages but the last return the
-columns of documents.
+Documents that are in none of ``LANGUAGES`` by the model's prediction go, then all but one of each group of near
+duplicates, then those that hold a benchmark item; personal data is replaced by surrogates under the session's key
+(spark.tarn.surrogateKey); the rest is packed into sequences. All stages but the last return the columns of documents.
+
+Defined cases: every stage decides row by row, so rows without a doc_id or with one that repeats are judged by their own
+text; null and empty texts have no language and go; texts of any length are read whole; an empty table gives no rows;
+further columns, whatever their names, are carried along; of equal rows one stays.
 """
 
 from __future__ import annotations
@@ -10,11 +14,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm import decontaminate, language, near_dup, packing, pii
-from tarn.llm.common import persisted, table
+from tarn.llm.common import persisted, surrogate_key, table
+
+
+#: The languages that the corpus is to hold; None: all that labelled rows tell of.
+LANGUAGES: tuple[str, ...] | None = None
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language.keep_known(docs)
+    return language.keep_known(docs, LANGUAGES)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +34,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def with_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.with_surrogates(docs)
+    return pii.with_surrogates(docs, surrogate_key(spark))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
