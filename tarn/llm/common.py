@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.checkpoints import persisted, shared_dir
 from tarn.tables import table
 
-__all__ = ["bounded", "persisted", "shared_dir", "slices", "table", "texts"]
+__all__ = ["bounded", "persisted", "shared_dir", "slices", "surrogate_key", "table", "texts"]
 
 
 def bounded(df: DataFrame, rows: int = 4_000_000) -> DataFrame:
@@ -20,6 +20,11 @@ def bounded(df: DataFrame, rows: int = 4_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The key of the PII surrogates, from the session; without one, a key that is public and fit for tests only."""
+    return spark.conf.get("spark.tarn.surrogateKey", "public key of tests").encode()
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text (a longer row comes alone)."""
     for batch in batches:

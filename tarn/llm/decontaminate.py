@@ -5,11 +5,13 @@ stand in them. Every common run is a seed, however rare or frequent it is: the s
 it can reach is compared with the item, first by the words they have in common, which bounds the score from above, and, if that
 suffices, by alignment. A document is contaminated if the alignment has at least ``THRESHOLD`` of the score of the item with
 itself. Alignments without GRAM matching words in a row aren't found. Items go in blocks of at most ``BLOCK_WORDS`` words; a
-block's index is what is broadcast.
+block's index is what is broadcast. Items of equal text are one class, scored once: results name its smallest item_id and how
+many ``copies`` it has, and item_classes() tells the members.
 
 Defined cases: texts that are null, empty or without words match nothing, items likewise; an item of fewer than GRAM words
-is one run; repeated rows and items are taken each on their own; rows without a doc_id are scored like any others; equal
-alignments are reported at their first place; extra columns are not looked at.
+is one run; texts of any length are searched whole, items of any length in a block of their own; repeated rows are taken
+each on their own; rows without a doc_id are scored like any others; a class without any item_id has a null one; equal
+alignments are reported at their first place; an empty table of either kind gives no rows; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import bounded, persisted, slices
+from tarn.llm.common import persisted, slices
 from tarn.llm.words import PLAIN, STEP, Words, grams, mixed, raw, words
 
 GRAM = 3
@@ -159,29 +161,34 @@ def _enough(items: Items, w: Words, item: np.ndarray, begin: np.ndarray, end: np
     return out
 
 
-def _score(items: Items, threshold: float, kind: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _aligned(items: Items, threshold: float, w: Words) -> dict[tuple[int, int], tuple]:
+    """Of each text and item with an alignment that reaches the threshold: minus its score, first word, word after its last."""
+    found, first = grams(w, GRAM, whole=True)
+    at = items.hits(found)
+    owner = np.searchsorted(first, at, "right") - 1
+    text, item, begin, end = _stretches(items, w, owner, at - first[owner], found[at], threshold)
+    enough = _enough(items, w, item, begin, end, threshold)
+    todo = list(zip(*(x[enough].tolist() for x in (text, item, begin, end)), strict=True))
+    todo.sort(key=lambda x: x[2] - x[3])
+    best: dict[tuple[int, int], tuple] = {}
+    while todo:
+        n = max(1, BATCH_CELLS // (64 * (todo[0][3] - todo[0][2] + 64)))
+        part, todo = todo[:n], todo[n:]
+        own = [items.hashes[items.first[i] : items.first[i + 1]] for _, i, _, _ in part]
+        scores, starts, ends = align(own, [w.hashes[b:e] for _, _, b, e in part])
+        for (t, i, b, _), s, x, y, o in zip(part, scores, starts, ends, own, strict=True):
+            share = float(s) / (MATCH * len(o))
+            if share >= threshold and (-share, b + x) < best.get((t, i), (0.0, 0))[:2]:
+                best[t, i] = (-share, b + x, b + y)
+    return best
+
+
+def _score(items: Items, copies: list[int], threshold: float, kind: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> the best alignment of each text and item, if it reaches the threshold."""
     for batch in slices(batches, most=2 << 20):
         data, offsets = raw(batch.column(1))
         w = words(data, offsets, PLAIN)
-        found, first = grams(w, GRAM, whole=True)
-        at = items.hits(found)
-        owner = np.searchsorted(first, at, "right") - 1
-        text, item, begin, end = _stretches(items, w, owner, at - first[owner], found[at], threshold)
-        enough = _enough(items, w, item, begin, end, threshold)
-        todo = list(zip(*(x[enough].tolist() for x in (text, item, begin, end)), strict=True))
-        todo.sort(key=lambda x: x[2] - x[3])
-        best: dict[tuple[int, int], tuple] = {}
-        while todo:
-            n = max(1, BATCH_CELLS // (64 * (todo[0][3] - todo[0][2] + 64)))
-            part, todo = todo[:n], todo[n:]
-            own = [items.hashes[items.first[i] : items.first[i + 1]] for _, i, _, _ in part]
-            scores, starts, ends = align(own, [w.hashes[b:e] for _, _, b, e in part])
-            for (t, i, b, _), s, x, y, o in zip(part, scores, starts, ends, own, strict=True):
-                share = float(s) / (MATCH * len(o))
-                if share >= threshold and (-share, b + x) < best.get((t, i), (0.0, 0))[:2]:
-                    best[t, i] = (-share, b + x, b + y)
-        rows = sorted(best.items())
+        rows = sorted(_aligned(items, threshold, w).items())
         points = [data[offsets[t] : offsets[t + 1]] for (t, _), _ in rows]
         place = [
             (len(p[: w.start[x] - offsets[t]].tobytes().decode()), len(p[: w.end[y - 1] - offsets[t]].tobytes().decode()))
@@ -194,16 +201,35 @@ def _score(items: Items, threshold: float, kind: pa.DataType, batches: Iterator[
                 pa.array([-s for _, (s, _, _) in rows], pa.float64()),
                 pa.array([b for b, _ in place], pa.int64()),
                 pa.array([e for _, e in place], pa.int64()),
+                pa.array([copies[i] for (_, i), _ in rows], pa.int64()),
             ],
-            ["doc_id", "item_id", "score", "start", "end"],
+            ["doc_id", "item_id", "score", "start", "end", "copies"],
         )
 
 
-def _blocks(benchmark: DataFrame, most: int) -> list[DataFrame]:
-    sized = benchmark.withColumn("n", F.coalesce(F.size(F.split("text", r"\s+")), F.lit(0)))
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    blocks = total // most + 1
-    return [sized.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).select("item_id", "text") for k in range(blocks)]
+def _keep(items: Items, threshold: float, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose text, column number ``at``, holds no item."""
+    for batch in slices(batches, text=at, most=2 << 20):
+        w = words(*raw(batch.column(at)), PLAIN)
+        kept = np.ones(batch.num_rows, bool)
+        kept[[t for t, _ in _aligned(items, threshold, w)]] = False
+        yield batch.filter(pa.array(kept))
+
+
+def item_classes(benchmark: DataFrame) -> DataFrame:
+    """(item_id, class_id): items of equal text have the smallest item_id of theirs."""
+    first = benchmark.groupBy("text").agg(F.min("item_id").alias("class_id"))
+    return benchmark.select("item_id", "text").join(first, "text").select("item_id", "class_id")
+
+
+def _blocks(benchmark: DataFrame, most: int) -> Iterator[pa.Table]:
+    """Distinct items (item_id, text, copies), in blocks of about ``most`` words."""
+    text = F.col("text").cast("string").alias("text")
+    distinct = benchmark.select("item_id", text).filter("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"), F.count("*").alias("copies"))
+    distinct = persisted(distinct.withColumn("n", F.size(F.split("text", r"\s+"))), "items")
+    blocks = (distinct.agg(F.sum("n")).first()[0] or 0) // most + 1
+    for k in range(blocks):
+        yield distinct.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).select("item_id", "text", "copies").toArrow()
 
 
 def contaminated(
@@ -214,23 +240,26 @@ def contaminated(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per document and item that it holds: doc_id, item_id, score, and start and end in code points."""
+    """One row per document and distinct item that it holds: doc_id, item_id, score, start and end in code points, copies."""
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items_table = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
-    doc_kind, item_kind = (f.schema[0].dataType.simpleString() for f in (narrow, items_table))
-    schema = f"doc_id {doc_kind}, item_id {item_kind}, score double, start long, end long"
+    doc_kind, item_kind = narrow.schema[0].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    schema = f"doc_id {doc_kind}, item_id {item_kind}, score double, start long, end long, copies long"
     out = spark.createDataFrame([], schema)
-    for block in _blocks(items_table, block_words):
-        rows = block.toArrow()
-        items = Items.of(rows.column(0).to_pylist(), rows.column(1).to_pylist())
-        shared = spark.sparkContext.broadcast(items)
-        kind = rows.schema.field(0).type
-        out = out.union(narrow.mapInArrow(lambda b, s=shared, k=kind: _score(s.value, threshold, k, b), schema))
+    for block in _blocks(benchmark, block_words):
+        shared = spark.sparkContext.broadcast((Items.of(block.column(0).to_pylist(), block.column(1).to_pylist()), block.column(2).to_pylist()))
+        kind = block.schema.field(0).type
+        out = out.union(narrow.mapInArrow(lambda b, s=shared, k=kind: _score(*s.value, threshold, k, b), schema))
     return out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no item of the benchmark."""
-    found = contaminated(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bounded(persisted(found, "contaminated")), id_col, "left_anti")
+def keep_clean(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS, text_col: str = "text"
+) -> DataFrame:
+    """The documents that hold no item of the benchmark; each row is decided by its own text, in one pass."""
+    at = docs.columns.index(text_col)
+    out = docs
+    for block in _blocks(benchmark, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(Items.of(block.column(0).to_pylist(), block.column(1).to_pylist()))
+        out = out.mapInArrow(lambda b, s=shared: _keep(s.value, threshold, at, b), docs.schema)
+    return out

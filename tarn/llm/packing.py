@@ -1,21 +1,25 @@
 """Best-fit packing of token sequences, improved by swaps.
 
 A pass over the texts cuts each document's ids into pieces. Spark deals the pieces into shards of about ``SHARD`` at
-random, whatever document they come from; a shard is packed by best fit, longest first, and then improved: the least
-filled bins give their pieces to others by moves, exchanges of one for one, one for two and two for one, each of which
-increases the squared fill, until they are empty. What is left in bins under half full is packed once more across
-shards. A piece as long as a sequence is one by itself.
-
-Defined cases: a null or empty text is one piece that holds the separator only; repeated rows and rows without doc_id are
-packed like any others; an empty table gives no rows; extra columns are not looked at.
+random, whatever document they come from; a shard is packed by best fit, longest first, and then improved by local search:
+bins, the least filled first, give pieces to others by moves and by exchanges of one for one, two for one and one for two,
+each the one that leaves the other bin fullest and each increasing the squared fill, until no bin of the shard can give
+anything, or the shard has as few bins as its length allows. Underfull bins of all shards then meet in new shards, as long
+as that empties any. A piece as long as a sequence is one by itself.
+
+Defined cases: a null or empty text is one piece that holds the separator only; texts of any length are encoded whole and
+cut; repeated rows and rows without doc_id are packed like any others; pieces of equal length go by their number, and equal
+exchanges to the bin that holds the shorter piece, then the lower number; an empty table gives no rows; extra columns are
+not looked at.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -31,8 +35,8 @@ from tarn.llm.words import EXACT, VALUE, raw, words
 LENGTH = 2048
 SEPARATOR = 0
 SHARD = 20_000
-#: The search ends after so many bins in a row that could not be emptied.
-PATIENCE = 48
+#: Bins with less than this share of their capacity filled meet again across shards.
+UNDERFULL = 7 / 8
 PIECES = "uid long, doc_id {}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -159,79 +163,111 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 class Search:
-    """Local search over the bins that are not full. Rows of ``held`` are their items' lengths, 0 where there is none."""
+    """Local search over bins. A bin can take length in exchange for items of length ``y`` (0: a move): x if y < x <= y + its space.
+
+    ``singles`` and ``pairs`` hold, for every sum of y and space (the ceiling), heaps of those y over all bins that are not
+    full. The exchange that leaves the other bin fullest is at the lowest ceiling from x on whose least y is below x, so it
+    is found without looking at the bins. Entries of a bin that has changed since are dropped when they come up.
+    """
 
     def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int) -> None:
         self.bins, self.lengths, self.capacity = bins, lengths, capacity
-        self.width = max(map(len, bins)) + 2
-        self.held = np.zeros((len(bins), self.width), np.int32)
-        self.space = np.zeros(len(bins), np.int32)
-        self.singles = np.triu_indices(self.width, 1)
+        self.space = [capacity - sum(lengths[i] for i in b) for b in bins]
+        self.version = [0] * len(bins)
+        self.singles: list[list[tuple[int, int, int]]] = [[] for _ in range(capacity + 1)]
+        self.pairs: list[list[tuple[int, int, int]]] = [[] for _ in range(capacity + 1)]
+        self.least_single = np.full(capacity + 1, capacity + 1)
+        self.least_pair = np.full(capacity + 1, capacity + 1)
+        self.at: list[tuple[list[int], list[int]]] = [([], [])] * len(bins)
         for b in range(len(bins)):
-            self._row(b)
-
-    def _row(self, b: int) -> None:
-        if len(self.bins[b]) > self.width:
-            self.width += 4
-            self.held = np.pad(self.held, ((0, 0), (0, 4)))
-            self.singles = np.triu_indices(self.width, 1)
-        row = [self.lengths[i] for i in self.bins[b]]
-        self.held[b] = 0
-        self.held[b, : len(row)] = row
-        self.space[b] = self.capacity - sum(row)
-
-    def _give(self, a: int, b: int, out: list[int], back: list[int]) -> None:
-        self.bins[a] = [i for i in self.bins[a] if i not in out] + back
-        self.bins[b] = [i for i in self.bins[b] if i not in back] + out
-        self._row(a)
-        self._row(b)
-
-    def _step(self, a: int, rows: np.ndarray) -> bool:
-        """One change that takes length out of bin a: the one that leaves the other bin fullest."""
-        mine = self.bins[a]
-        space, held = self.space[rows], self.held[rows]
-        pair = held[:, self.singles[0]] + held[:, self.singles[1]]
-        both = (held[:, self.singles[0]] > 0) & (held[:, self.singles[1]] > 0)
-        groups = [[i] for i in mine] + [[i, j] for k, i in enumerate(mine) for j in mine[k + 1 :]][: 4 * self.width]
-        best, chosen = self.capacity, None
-        for out in groups:
-            n = sum(self.lengths[i] for i in out)
-            left = np.where(space >= n, space - n, self.capacity)  # a move
-            if len(out) == 1 and (k := int(left.argmin()), int(left[k]))[1] < best:
-                best, chosen = int(left[k]), (k, out, ())
-            gain = n - held
-            left = np.where((held > 0) & (gain > 0) & (gain <= space[:, None]), space[:, None] - gain, self.capacity)
-            k = int(left.argmin())
-            if left.flat[k] < best:
-                best, chosen = int(left.flat[k]), (k // self.width, out, (k % self.width,))
-            if len(out) == 1:
-                gain = n - pair
-                left = np.where(both & (gain > 0) & (gain <= space[:, None]), space[:, None] - gain, self.capacity)
-                k = int(left.argmin())
-                if left.flat[k] < best:
-                    r, c = divmod(k, left.shape[1])
-                    best, chosen = int(left.flat[k]), (r, out, (self.singles[0][c], self.singles[1][c]))
-        if chosen is None:
-            return False
-        k, out, places = chosen
-        b = int(rows[k])
-        self._give(a, b, out, [self.bins[b][p] for p in places])
-        return True
-
-    def run(self, patience: int = PATIENCE) -> None:
-        failed = 0
-        fill = lambda b: self.capacity - self.space[b]
-        order = sorted((b for b in range(len(self.bins)) if self.space[b]), key=fill)
-        excess = len(self.bins) - -(-sum(map(fill, range(len(self.bins)))) // self.capacity)
-        for a in order:
-            if failed >= patience or excess <= 0:
-                return
-            while self.bins[a]:
-                others = np.flatnonzero((self.space < self.space[a]) & (self.space > 0))
-                if not len(others) or not self._step(a, others):
+            self._enter(b)
+
+    def sums(self, b: int) -> list[int]:
+        """Lengths of two items together, each once."""
+        held = sorted(self.lengths[i] for i in self.bins[b])
+        once = sorted(set(held))
+        found = {x + y for k, x in enumerate(once) for y in once[k + 1 :]} | {2 * x for x, y in pairwise(held) if x == y}
+        return sorted(found)
+
+    def _enter(self, b: int) -> None:
+        space = self.space[b]
+        if not space or not self.bins[b]:
+            self.at[b] = ([], [])
+            return
+        ones, twos = {0, *(self.lengths[i] for i in self.bins[b])}, self.sums(b)
+        for ys, heaps, least in ((ones, self.singles, self.least_single), (twos, self.pairs, self.least_pair)):
+            for y in ys:
+                heapq.heappush(heaps[y + space], (y, b, self.version[b]))
+                if y < least[y + space]:
+                    least[y + space] = y
+        self.at[b] = ([y + space for y in ones], [y + space for y in twos])
+
+    def _leave(self, b: int) -> None:
+        self.version[b] += 1
+        for ceilings, heaps, least in zip(self.at[b], (self.singles, self.pairs), (self.least_single, self.least_pair), strict=True):
+            for t in ceilings:
+                heap = heaps[t]
+                while heap and heap[0][2] != self.version[heap[0][1]]:
+                    heapq.heappop(heap)
+                least[t] = heap[0][0] if heap else self.capacity + 1
+        self.at[b] = ([], [])
+
+    def _items(self, b: int, total: int, n: int) -> list[int]:
+        """n items of the bin with that total length."""
+        own = sorted(self.bins[b], key=lambda i: (self.lengths[i], i))
+        if n == 1:
+            return [next(i for i in own if self.lengths[i] == total)]
+        other: dict[int, int] = {}
+        for i in own:
+            if (j := other.get(total - self.lengths[i])) is not None:
+                return [j, i]
+            other.setdefault(self.lengths[i], i)
+        raise ValueError("no such items")
+
+    def _best(self, a: int) -> tuple[int, list[int], list[int]] | None:
+        """(other bin, items out, items back) that leaves the other bin fullest, and fuller than bin a was."""
+        ones, best, chosen = sorted({self.lengths[i] for i in self.bins[a]}), self.space[a], None
+        ways = [(x, 1, heaps, least, back) for x in ones for heaps, least, back in ((self.singles, self.least_single, 1), (self.pairs, self.least_pair, 2))]
+        ways += [(x, 2, self.singles, self.least_single, 1) for x in self.sums(a)]
+        for x, n, heaps, least, back in ways:
+            fitting = np.flatnonzero(least[x : x + best] < x)
+            if len(fitting):
+                best = int(fitting[0])
+                chosen = (x, n, heaps[x + best][0], back)
+                if not best:
                     break
-            failed = failed + 1 if self.bins[a] else 0
-            excess -= not self.bins[a]
+        if chosen is None:
+            return None
+        x, n, (y, b, _), back = chosen
+        return b, self._items(a, x, n), self._items(b, y, back) if y else []
+
+    def _empty(self, a: int) -> bool:
+        """Changes bin a as long as that increases the squared fill; whether it did at all."""
+        changed = False
+        self._leave(a)
+        while self.bins[a] and (found := self._best(a)):
+            b, out, back = found
+            self._leave(b)
+            gone, came = set(out), set(back)
+            self.bins[a] = [i for i in self.bins[a] if i not in gone] + back
+            self.bins[b] = [i for i in self.bins[b] if i not in came] + out
+            moved = sum(self.lengths[i] for i in out) - sum(self.lengths[i] for i in back)
+            self.space[a] += moved
+            self.space[b] -= moved
+            self._enter(b)
+            changed = True
+        self._enter(a)
+        return changed
+
+    def run(self) -> None:
+        excess = len(self.bins) - -(-sum(self.lengths[i] for b in self.bins for i in b) // self.capacity)
+        changed = True
+        while changed and excess > 0:
+            changed = False
+            for a in sorted((b for b in range(len(self.bins)) if self.bins[b] and self.space[b]), key=lambda b: (-self.space[b], b)):
+                if excess > 0 and self.bins[a] and self._empty(a):
+                    changed = True
+                    excess -= not self.bins[a]
 
 
 def pack(lengths: list[int], capacity: int = LENGTH) -> list[list[int]]:
@@ -252,7 +288,7 @@ def _pack(capacity: int, round_: int, rows: pa.Table) -> pa.Table:
     fill = np.zeros(len(rows), np.int64)
     lengths = rows.column("length").to_numpy()
     for k, items in enumerate(bins):
-        sequence[items] = round_ << 58 | shard << 24 | k
+        sequence[items] = round_ << 54 | shard << 24 | k
         held = lengths[items]
         offset[items] = np.cumsum(held) - held
         fill[items] = held.sum()
@@ -270,6 +306,12 @@ def _shards(rows: DataFrame, size: int, capacity: int, round_: int) -> DataFrame
     return dealt.groupBy("shard").applyInArrow(lambda t: _pack(capacity, round_, t), out)
 
 
+def _bins(rows: DataFrame, capacity: int) -> tuple[int, int]:
+    """Number of bins, and the fewest that their length allows."""
+    found = rows.agg(F.countDistinct("sequence_id").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
+    return found["n"], -(-found["length"] // capacity)
+
+
 def best_fit_packing(
     docs: DataFrame,
     tokenizer: str | None = None,
@@ -281,9 +323,20 @@ def best_fit_packing(
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     found = persisted(pieces(docs, tokenizer, length, id_col=id_col, text_col=text_col), "pieces")
     whole = found.filter(F.col("length") == length)
-    alone = whole.withColumn("sequence_id", -1 - F.col("uid")).withColumn("offset", F.lit(0).cast("long"))
-    first = persisted(_shards(found.filter(F.col("length") < length), shard, length, 1), "packed")
-    poor = F.col("fill") * 2 < length
-    second = _shards(first.filter(poor).drop("sequence_id", "offset", "fill"), shard, length, 2)
-    out = alone.unionByName(first.filter(~poor).drop("fill")).unionByName(second.drop("fill"))
+    out = whole.withColumn("sequence_id", -1 - F.col("uid")).withColumn("offset", F.lit(0).cast("long"))
+    round_ = 1
+    packed = persisted(_shards(found.filter(F.col("length") < length), shard, length, round_), "packed")
+    while True:
+        under = F.col("fill") < length * UNDERFULL
+        poor = packed.filter(under)
+        n, least = _bins(poor, length)
+        if n <= least:
+            break
+        round_ += 1
+        again = persisted(_shards(poor.drop("sequence_id", "offset", "fill"), shard, length, round_), "packed")
+        if _bins(again, length)[0] >= n:
+            break
+        out = out.unionByName(packed.filter(~under).drop("fill"))
+        packed = again
+    out = out.unionByName(packed.drop("fill"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

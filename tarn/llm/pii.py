@@ -1,18 +1,23 @@
 """Personal data replaced by surrogates: keyed, of the same type and form, distinct for distinct entities.
 
 Detected are e-mail addresses, phone numbers, payment cards (with valid check digit), IPv4 addresses, US social security
-numbers, IBANs (with valid check digits) and names after a form of address. Every entity has a canonical form, so one
-number written in two ways is one entity, and its surrogate is a function of key, kind and canonical form: numbers keep
-their length, separators, leading country code and valid check digits, e-mails their pattern of letters and digits,
-addresses their network class, names their script, gender and capitals. Digits and letters go through a keyed permutation
-of all values of that form.
+numbers, IBANs (with valid check digits), and names: after a form of address, after "my name is" and the like, and where a
+customary given name stands before a capitalised one. Every entity has a canonical form, so one number written in two ways
+is one entity, and its surrogate is a function of key, kind and canonical form: numbers keep their length, separators,
+leading country code and valid check digits, e-mails their pattern of letters (by script) and digits, addresses their
+network class, names their script, gender and capitals. Digits and letters go through a keyed permutation of all values of
+that form, so whoever has the key can undo it, and nobody else.
 
 Spark then checks all distinct entities of the corpus: a surrogate that two entities share, or that is itself an entity of
-the corpus, is drawn again (the smallest entity keeps a shared one); after ``ATTEMPTS`` draws the form grows by a character.
-Only entities drawn again need a table: it is broadcast while small, and else joined to the documents that hold them.
-
-Defined cases: null texts stay null; empty texts and texts without entities stay as they are; repeated rows are replaced
-alike; all columns, whatever their names, are kept.
+the corpus, is drawn again (the smallest entity keeps a shared one). Names and e-mail names grow by a character for each
+draw from the ``GROW``-th on, so they always end. Kinds of a fixed form can run out of values: if an entity has none after
+``ATTEMPTS`` draws (at half of all values in use, one in 2 ** 24), its whole form (all entities of that kind and ``shape``)
+takes the plain permutation, which keeps all of them distinct but may give one the value of another. Only entities drawn
+again need a table: it is broadcast while small, and else joined to the documents that hold them.
+
+Defined cases: null texts stay null; empty texts and texts without entities stay as they are; texts of any length are read
+whole; repeated rows are replaced alike; rows without a doc_id, or with one that repeats, are rewritten each by its own text;
+an empty table gives no rows; all columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -27,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tarn.llm.common import persisted
+from tarn.llm.common import bounded, persisted
 
-KEY = b"tarn"
 KINDS = ("email", "iban", "card", "ip", "ssn", "phone", "given_f", "given_m", "given_x", "surname")
-ATTEMPTS = 8
+GROW, ATTEMPTS = 8, 24
+#: Attempt that stands for the plain permutation of a form without free values.
+PLAIN = -1
 BROADCAST = 500_000
 
 # Forms of address and the gender they tell.
@@ -39,7 +45,20 @@ ADDRESS = {
     "Mr": "m", "Mister": "m", "Monsieur": "m", "Herr": "m", "Señor": "m", "Sr": "m", "Господин": "m", "Κύριος": "m",
     "Mrs": "f", "Ms": "f", "Miss": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Frau": "f", "Señora": "f", "Sra": "f",
     "Señorita": "f", "Госпожа": "f", "Κυρία": "f", "Dr": "x", "Prof": "x",
+    "السيد": "m", "السيدة": "f", "מר": "m", "גברת": "f", "श्री": "m", "श्रीमती": "f",
+}
+# Customary given names and the gender they tell.
+GIVEN = {
+    "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Sandra Ashley Emily Donna Michelle Carol Amanda Melissa "
+    "Anna Maria Laura Julia Sophie Emma Olivia Hannah Lena Claudia Sabine Monika Petra Ingrid Marie Camille Chloé Élodie Nathalie Isabelle "
+    "Carmen Lucía Sofía Elena Ana Isabel Pilar Анна Мария Елена Ольга Наталья Татьяна Ирина Μαρία Ελένη",
+    "m": "James Robert John Michael David William Richard Joseph Thomas Charles Daniel Matthew Anthony Steven Paul Andrew Kenneth Kevin Brian George "
+    "Peter Hans Klaus Jürgen Stefan Andreas Wolfgang Martin Felix Lukas Jean Pierre Michel Philippe Nicolas François Luc Antoine "
+    "José Juan Carlos Luis Miguel Pedro Javier Иван Александр Сергей Дмитрий Андрей Алексей Михаил Γιώργος Νίκος",
 }
+GENDER = {name: gender for gender, names in GIVEN.items() for name in names.split()}
+# Ranges of letters, by alphabet; a letter's surrogate is one of its range.
+RANGES = [("a", "z"), ("à", "ö"), ("ø", "ÿ"), ("а", "я"), ("α", "ω"), ("ա", "ֆ"), ("א", "ת"), ("ا", "غ"), ("ف", "ي"), ("अ", "ह"), ("ก", "ฮ"), ("ა", "ჰ"), ("ぁ", "ん"), ("ァ", "ン"), ("가", "힣"), ("一", "鿿")]
 # Syllables of made-up names and the endings by gender, by script.
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe fo ga ka ke ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se so ta te to va ve vi".split(),
@@ -52,7 +71,7 @@ ENDINGS = {
     "greek": {"given_f": "να", "given_m": "νος", "given_x": "σι", "surname": "ρης"},
 }
 
-_EMAIL = re.compile(r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_EMAIL = re.compile(r"[\w.%+-]+@[^\W_](?:[^\W_]|-)*(?:\.(?:[^\W_]|-)+)*\.[^\W\d_]{2,}")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _CARD = re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)")
 _IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)")
@@ -61,7 +80,10 @@ _PHONE = re.compile(
     r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}"
     r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)"
 )
-_NAME = re.compile(rf"\b({'|'.join(sorted(ADDRESS, key=len, reverse=True))})\b\.? ([^\W\d_][\w'’-]+)(?: ([^\W\d_][\w'’-]+))?")
+_PART = r"([^\W\d_](?:[\w'’-]|[ऀ-ॿ])+)"
+_NAME = re.compile(rf"(?<!\w)({'|'.join(sorted(ADDRESS, key=len, reverse=True))})(?!\w|[ऀ-ॿ])\.? {_PART}(?: {_PART})?")
+_SAID = re.compile(rf"\b(?:[Mm]y name is|[Nn]ame:|[Ss]igned by) {_PART}(?: {_PART})?")
+_GIVEN = re.compile(rf"\b({'|'.join(GENDER)}) {_PART}")
 _HINT = re.compile(r"[0-9@]")
 
 
@@ -83,6 +105,19 @@ def _phone(text: str) -> str:
     return f"{code[0] if code else ''}|{_digits(text[code.end() if code else 0 :])}"
 
 
+def _capital(name: str) -> bool:
+    """Whether it begins as names do: with a capital, or in a script that has none."""
+    return name[0].isupper() or name[0].upper() == name[0].lower()
+
+
+def _named(m: re.Match, first: int, gender: str) -> list[tuple[int, int, str, str]]:
+    """The name whose parts are groups ``first`` and, if there, the next: its last part is the surname."""
+    parts = [g for g in (first, first + 1) if m[g] and _capital(m[g])]
+    if not parts or parts[0] != first:
+        return []
+    return [(m.start(g), m.end(g), f"given_{gender}" if g != parts[-1] else "surname", m[g].lower()) for g in parts]
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of the entities, in order, none inside another."""
     found = []
@@ -100,11 +135,11 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 if valid(form):
                     found.append((m.start(), m.end(), kind, form))
     for m in _NAME.finditer(text):
-        parts = [g for g in (2, 3) if m[g] and m[g][0].isupper()]
-        if parts and parts[0] == 2:
-            for g in parts:
-                kind = f"given_{ADDRESS[m[1]]}" if g != parts[-1] else "surname"
-                found.append((m.start(g), m.end(g), kind, m[g].lower()))
+        found += _named(m, 2, ADDRESS[m[1]])
+    for m in _SAID.finditer(text):
+        found += _named(m, 1, GENDER.get(m[1], "x"))
+    for m in _GIVEN.finditer(text):
+        found += _named(m, 1, GENDER[m[1]]) if _capital(m[2]) else []
     found.sort(key=lambda f: (f[0], KINDS.index(f[2])))
     kept, end = [], 0
     for one in found:
@@ -136,19 +171,28 @@ def permuted(value: int, size: int, key: bytes, *tweak: object) -> int:
             return value
 
 
+def _alphabet(c: str) -> tuple[str, int]:
+    """First letter and size of the range that a character's surrogate is from; size 1: it stays."""
+    if c in "0123456789":
+        return "0", 10
+    if c.isalpha():
+        for first, last in RANGES:
+            if first <= c <= last:
+                return first, ord(last) - ord(first) + 1
+    return c, 1
+
+
 def _pattern(text: str, key: bytes, *tweak: object) -> str:
-    """Letters to letters and digits to digits, as one permutation of all texts of that pattern."""
-    value, size, radix = 0, 1, []
-    for c in text:
-        r = 10 if c in "0123456789" else 26 if c.isalpha() else 1
-        k = int(c) if r == 10 else (ord(c.lower()) - 97) % 26 if r == 26 else 0
-        value, size = value * r + k, size * r
-        radix.append(r)
-    value = permuted(value, size, key, *tweak, tuple(radix))
+    """Letters to letters of their alphabet and digits to digits, as one permutation of all lower-case texts of that pattern."""
+    value, size = 0, 1
+    alphabets = [_alphabet(c) for c in text]
+    for c, (first, n) in zip(text, alphabets, strict=True):
+        value, size = value * n + ord(c) - ord(first), size * n
+    value = permuted(value, size, key, *tweak, tuple(alphabets))
     out = []
-    for c, r in zip(reversed(text), reversed(radix), strict=True):
-        value, k = divmod(value, r)
-        out.append(c if r == 1 else str(k) if r == 10 else chr(97 + k))
+    for first, n in reversed(alphabets):
+        value, k = divmod(value, n)
+        out.append(chr(ord(first) + k))
     return "".join(reversed(out))
 
 
@@ -174,35 +218,56 @@ def _network(value: int) -> tuple[int, int]:
 
 
 def script(text: str) -> str:
+    """latin, cyrillic or greek, or other: the scripts without syllables here."""
     c = next((c for c in text if c.isalpha()), "a")
-    return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
+    return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin" if c < "ɐ" or "Ḁ" <= c <= "ỿ" else "other"
 
 
-def surrogate(kind: str, form: str, attempt: int = 0, key: bytes = KEY) -> str:
+def shape(kind: str, form: str) -> str:
+    """What entities of one kind have in common if their surrogates are values of one permutation; empty for kinds that grow."""
+    if kind == "ip":
+        return str(_network(_address(form)))
+    if kind == "phone":
+        code, rest = form.split("|")
+        return f"{code}|{len(rest)}|{rest[:1] == '0'}"
+    if kind in ("ssn", "card"):
+        return f"{len(form)}|{form[0] if kind == 'card' else form[0] == '0'}"
+    if kind == "iban":
+        return form[:2] + "".join("9" if c.isdigit() else "A" for c in form[4:])
+    return ""
+
+
+def _address(ip: str) -> int:
+    return sum(int(o) << s for o, s in zip(ip.split("."), (24, 16, 8, 0), strict=True))
+
+
+def surrogate(kind: str, form: str, attempt: int, key: bytes) -> str:
     """The canonical form of the entity's surrogate."""
-    longer = max(0, attempt - ATTEMPTS)
+    longer = max(0, attempt - GROW)
     if kind == "email":
         local, domain = form.rsplit("@", 1)
         name, top = domain.rsplit(".", 1)
         return _pattern(local + "0" * longer, key, kind, attempt) + "@" + _pattern(name, key, "domain") + "." + top
     if kind == "phone":
         code, rest = form.split("|")
-        return f"{code}|{_number(rest + '0' * longer, key, kind, code, attempt)}"
+        return f"{code}|{_number(rest, key, kind, code, attempt)}"
     if kind == "ssn":
-        return _number(form + "0" * longer, key, kind, attempt)
+        return _number(form, key, kind, attempt)
     if kind == "card":
         body = form[0] + _free(form[1:-1], key, kind, form[0], attempt)
         return body + next(d for d in "0123456789" if luhn(body + d))
     if kind == "ip":
-        value = sum(int(o) << s for o, s in zip(form.split("."), (24, 16, 8, 0), strict=True))
+        value = _address(form)
         first, size = _network(value)
         while True:
             value = first + permuted(value - first, size, key, kind, attempt)
             if _network(value) == (first, size):
                 return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
     if kind == "iban":
-        body = _pattern(form[4:], key, kind, form[:2], attempt).upper()
+        body = _pattern(form[4:].lower(), key, kind, form[:2], attempt).upper()
         return form[:2] + next(f"{k:02d}" for k in range(2, 99) if iban_valid(f"{form[:2]}{k:02d}{body}")) + body
+    if script(form) == "other":
+        return _pattern(form + form[-1] * longer, key, kind, attempt)
     kinds = SYLLABLES[script(form)]
     n = _random(key, kind, form, attempt)
     made = []
@@ -249,26 +314,37 @@ def _drawn(key: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     for batch in batches:
         kinds, forms, attempts = (c.to_pylist() for c in batch.columns)
         made = [surrogate(k, f, a, key) for k, f, a in zip(kinds, forms, attempts, strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], ["kind", "form", "attempt", "made"])
+        shapes = [shape(k, f) for k, f in zip(kinds, forms, strict=True)]
+        columns = [*batch.columns, pa.array(made, pa.string()), pa.array(shapes, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["kind", "form", "attempt", "made", "shape"])
+
 
+def assign(entities: DataFrame, key: bytes) -> DataFrame:
+    """Distinct (kind, form) -> (kind, form, attempt, made), where no two share a surrogate and none is an entity.
 
-def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
-    """Distinct (kind, form) -> (kind, form, attempt, made), where no two share a surrogate and none is an entity."""
+    What a form without free values gets is told above.
+    """
 
     def draw(rows: DataFrame) -> DataFrame:
-        return rows.mapInArrow(lambda b: _drawn(key, b), "kind string, form string, attempt int, made string")
+        return rows.mapInArrow(lambda b: _drawn(key, b), "kind string, form string, attempt int, made string, shape string")
 
     real = entities.select("kind", F.col("form").alias("made"), F.lit(True).alias("real"))
     current = persisted(draw(entities.select("kind", "form", F.lit(0).alias("attempt"))), "surrogates")
     while True:
         shared = current.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min(F.struct(-F.col("attempt"), "form")).alias("first"))
         clash = shared.join(real, ["kind", "made"], "left").filter("n > 1 or real")
-        again = current.join(clash, ["kind", "made"]).filter("real or form <> first.form").select("kind", "form", "attempt")
-        again = persisted(again, "clashes")
+        again = current.filter(F.col("attempt") != PLAIN).join(clash, ["kind", "made"])
+        again = persisted(again.filter("real or form <> first.form").select("kind", "form", "attempt", "shape"), "clashes")
         if again.isEmpty():
             return current
-        new = draw(again.withColumn("attempt", F.col("attempt") + 1))
-        current = persisted(current.join(again, ["kind", "form"], "left_anti").unionByName(new), "surrogates")
+        # the permutation of the whole shape clashes with no other shape, as surrogates keep theirs
+        full = again.filter((F.col("attempt") + 1 >= ATTEMPTS) & (F.col("shape") != "")).select("kind", "shape").distinct()
+        full = bounded(persisted(full, "full-shapes"))
+        plain = current.join(full, ["kind", "shape"], "left_semi").withColumn("attempt", F.lit(PLAIN))
+        more = again.join(full, ["kind", "shape"], "left_anti").withColumn("attempt", F.col("attempt") + 1)
+        new = plain.select("kind", "form", "attempt").unionByName(more.select("kind", "form", "attempt"))
+        kept = current.join(full, ["kind", "shape"], "left_anti").join(again.select("kind", "form"), ["kind", "form"], "left_anti")
+        current = persisted(kept.unionByName(draw(new)), "surrogates")
 
 
 def _rewrite(key: bytes, known: dict | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +373,7 @@ def _rewrite(key: bytes, known: dict | None, batches: Iterator[pa.RecordBatch])
 
 
 def replaced(
-    docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST
+    docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST
 ) -> DataFrame:
     """doc_id, the text with surrogates, and how many entities of each kind it held (n_email, …)."""
     return _replaced(docs, key, id_col, text_col, most, []).select("doc_id", "text", *(f"n_{k}" for k in KINDS))
@@ -311,7 +387,7 @@ def _replaced(docs: DataFrame, key: bytes, id_col: str, text_col: str, most: int
     found = narrow.select("doc_id", "text").mapInArrow(_found, f"doc_id {kind}, kind string, form string")
     found = persisted(found, "entities")
     entities = persisted(found.select("kind", "form").distinct(), "distinct")
-    again = persisted(assign(entities, key).filter("attempt > 0").select("kind", "form", "attempt"), "again")
+    again = persisted(assign(entities, key).filter("attempt <> 0").select("kind", "form", "attempt"), "again")
     special = "array<struct<kind string, form string, attempt int>>"
     if again.limit(most + 1).count() <= most:
         known = {(r["kind"], r["form"]): r["attempt"] for r in again.collect()}
@@ -319,7 +395,8 @@ def _replaced(docs: DataFrame, key: bytes, id_col: str, text_col: str, most: int
     else:
         known = {}
         own = found.join(again, ["kind", "form"]).groupBy("doc_id")
-        rows = narrow.join(own.agg(F.collect_set(F.struct("kind", "form", "attempt")).alias("special")), "doc_id", "left")
+        own = own.agg(F.collect_set(F.struct("kind", "form", "attempt")).alias("special"))
+        rows = narrow.join(own, narrow.doc_id.eqNullSafe(own.doc_id), "left").drop(own.doc_id)
     shared = docs.sparkSession.sparkContext.broadcast(known)
     rows = rows.select("doc_id", "row", "text", "special")
     out = StructType([*rows.schema.fields[:3], *(StructField(f"n_{k}", IntegerType()) for k in KINDS)])
@@ -327,7 +404,7 @@ def _replaced(docs: DataFrame, key: bytes, id_col: str, text_col: str, most: int
 
 
 def with_surrogates(
-    docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST
+    docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST
 ) -> DataFrame:
     """The documents with all their columns and surrogates in the text; n_chars, if there, follows the text."""
     rest = [c for c in docs.columns if c != text_col]

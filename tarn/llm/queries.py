@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import ann, decontaminate, language, licenses, near_dup, packing, pii, secrets, token_count, toxicity
-from tarn.llm.common import table
+from tarn.llm.common import surrogate_key, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replaced(table(spark, sf_dir, "documents"))
+    return pii.replaced(table(spark, sf_dir, "documents"), surrogate_key(spark))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,6 +229,15 @@ def test_contaminated_like_brute_force(spark):
     docs = table(spark, texts)
     kept = decontaminate.keep_clean(docs, benchmark)
     assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {i for i, _ in want} and kept.columns == docs.columns
+    more = benchmark.withColumn("item_id", F.col("item_id") + 100).unionByName(benchmark).unionByName(benchmark.withColumn("item_id", F.lit(None).cast("long")))
+    again = decontaminate.contaminated(table(spark, texts), more).collect()
+    assert {(r.doc_id, r.item_id): round(r.score, 6) for r in again} == want and {r.copies for r in again} == {3}
+    classes = {r.item_id: r.class_id for r in decontaminate.item_classes(more).collect() if r.item_id is not None}
+    assert all(classes[100 + k] == k for k in range(12))
+    long_ = table(spark, ["other " * 100_000 + items[0]])
+    assert [r.score for r in decontaminate.contaminated(long_, benchmark).collect()] == [1.0]
+    odd = table(spark, [texts[0], items[1], items[2], texts[3]], ids=[4, 4, None, None])
+    assert {r.text for r in decontaminate.keep_clean(odd, benchmark).collect()} == {t for i, t in ((0, texts[0]), (3, texts[3])) if not any(k[0] == i for k in want)}
     assert decontaminate.contaminated(table(spark, []), benchmark).count() == 0
     assert decontaminate.contaminated(docs, benchmark.limit(0)).count() == 0
 
@@ -316,12 +325,52 @@ def test_language_sample(spark):
 
 # PII
 
+KEY = b"a key"
+
+
+def test_pii_names_without_titles_and_in_other_scripts():
+    text = "Contact Anna Smith at jürgen.groß@bücher.de. My name is Zed Quux; السيد محمود and श्री राम कुमार. Anna smiled, Will and May too"
+    found = pii.detect(text)
+    assert [(k, c) for _, _, k, c in found] == [
+        ("given_f", "anna"), ("surname", "smith"), ("email", "jürgen.groß@bücher.de"), ("given_x", "zed"), ("surname", "quux"),
+        ("surname", "محمود"), ("given_m", "राम"), ("surname", "कुमार"),
+    ]
+    made = {c: pii.surrogate(k, c, 0, KEY) for _, _, k, c in found}
+    assert all("ء" <= c <= "ي" for c in made["محمود"]) and all("ऀ" <= c <= "ॿ" for c in made["राम"])
+    local, domain = made["jürgen.groß@bücher.de"].split("@")
+    kind = lambda t: ["a" if "a" <= c <= "z" else "à" if "à" <= c <= "ÿ" or c == "ß" else c for c in t]
+    assert kind(local) == kind("jürgen.groß") and kind(domain) == kind("bücher.de")
+
+
+@pytest.mark.parametrize("n", [100, 33_000])
+def test_pii_form_without_free_values(spark, monkeypatch, n):
+    monkeypatch.setattr(pii, "ATTEMPTS", 5)
+    own = [f"192.168.{i >> 8}.{i & 255}" for i in range(n)]
+    rows = pii.assign(spark.createDataFrame([("ip", x) for x in [*own, "8.8.8.8"]], "kind string, form string").coalesce(4), KEY).collect()
+    made = {r.form: r.made for r in rows}
+    assert len(rows) == n + 1 and len(set(made.values())) == n + 1
+    assert all(made[x].startswith("192.168.") for x in own) and not made["8.8.8.8"].startswith("192.168.")
+    if n == 100:
+        assert not set(made.values()) & set(own)
+    else:
+        assert all(r.attempt == pii.PLAIN for r in rows if r.form != "8.8.8.8")
+
+
+@pytest.mark.parametrize("kind, forms", [("card", ["4785380592391139", "378282246310005"]), ("phone", ["+1|7435553824", "|0305551234"]), ("ssn", ["123456789", "023456789"]), ("iban", ["DE89370400440532013000", "GB29NWBK60161331926819"])])
+def test_pii_surrogates_keep_their_shape(kind, forms):
+    for form in forms:
+        for attempt in (pii.PLAIN, 0, 1, 30):
+            made = pii.surrogate(kind, form, attempt, KEY)
+            assert pii.shape(kind, made) == pii.shape(kind, form) and made != form and len(made) == len(form)
+            assert kind != "card" or pii.luhn(made)
+            assert kind != "iban" or pii.iban_valid(made)
+
 
 def test_pii_forms():
     text = "Jo.Doe22@mail5.example.com +1 (743) 555-3824 +1 743-555-3824 4785380592391139 4785 3805 9239 1139 152.143.123.131 192.168.1.7 123-45-6789 DE89 3704 0044 0532 0130 00"
     found = pii.detect(text)
     assert [k for _, _, k, _ in found] == ["email", "phone", "phone", "card", "card", "ip", "ip", "ssn", "iban"]
-    made = [pii.render(text[s:e], k, pii.surrogate(k, c)) for s, e, k, c in found]
+    made = [pii.render(text[s:e], k, pii.surrogate(k, c, 0, KEY)) for s, e, k, c in found]
     for (s, e, kind, form), new in zip(found, made, strict=True):
         again = pii.detect(new)
         assert [a[2] for a in again] == [kind] and again[0][3] != form
@@ -329,14 +378,14 @@ def test_pii_forms():
             assert re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "9", new))) == re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "9", text[s:e]))) or kind == "iban"
     assert re.sub(r"\D", "", made[1]) == re.sub(r"\D", "", made[2]) and made[3] == made[4].replace(" ", "")
     assert made[6].startswith("192.168.")
-    assert pii.surrogate("card", "4785380592391139", key=b"other") != pii.surrogate("card", "4785380592391139")
+    assert pii.surrogate("card", "4785380592391139", 0, b"other") != pii.surrogate("card", "4785380592391139", 0, KEY)
 
 
 def test_pii_names_keep_script_gender_and_identity():
     text = "Mrs Anna Smith met Mr Smith. Госпожа Иванова. MME ELODIE"
     found = pii.detect(text)
     assert [k for _, _, k, _ in found] == ["given_f", "surname", "surname", "surname"]
-    assert pii.surrogate("given_f", "anna").endswith("na") and pii.script(pii.surrogate("surname", "иванова")) == "cyrillic"
+    assert pii.surrogate("given_f", "anna", 0, KEY).endswith("na") and pii.script(pii.surrogate("surname", "иванова", 0, KEY)) == "cyrillic"
     assert pii.render("SMITH", "surname", "abc") == "ABC" and pii.render("Smith", "surname", "abc") == "Abc"
 
 
@@ -349,7 +398,7 @@ def test_pii_distinct_and_whole(spark):
     emails = [f"{c}@a.b.com" for c in "abcdefghijklmnopqrstuvwxyz"]  # all of a form: a surrogate is always someone's
     texts = [f"write to {e} or {e.upper()}" for e in emails] + ODD
     docs = table(spark, texts)
-    rows = {r.doc_id: r for r in pii.replaced(docs).collect()}
+    rows = {r.doc_id: r for r in pii.replaced(docs, KEY).collect()}
     made = []
     for i, e in enumerate(emails):
         one, two = re.fullmatch(r"write to (\S+) or (\S+)", rows[i].text).groups()
@@ -358,12 +407,12 @@ def test_pii_distinct_and_whole(spark):
     assert len(set(made)) == len(made)
     for i, t in enumerate(ODD):
         assert rows[len(emails) + i].text == t
-    joined = {r.doc_id: r.text for r in pii.replaced(docs, most=0).collect()}
+    joined = {r.doc_id: r.text for r in pii.replaced(docs, KEY, most=0).collect()}
     assert joined == {i: r.text for i, r in rows.items()}
-    whole = pii.with_surrogates(docs)
+    whole = pii.with_surrogates(docs, KEY)
     assert whole.columns == docs.columns and whole.filter("n_chars <> length(text)").count() == 0
     assert {r.doc_id: r.text for r in whole.collect()} == joined
-    assert pii.replaced(table(spark, [])).count() == 0
+    assert pii.replaced(table(spark, []), KEY).count() == 0
 
 
 # packing
@@ -392,6 +441,63 @@ def test_packing(spark):
     assert packing.best_fit_packing(table(spark, [])).count() == 0
 
 
+def test_search_ends_where_no_exchange_helps():
+    rng = random.Random(23)
+    for _ in range(60):
+        lengths = [rng.randrange(1, 30) for _ in range(rng.randrange(4, 24))]
+        bins = [[i] for i in range(len(lengths))] if rng.random() < 0.3 else packing.best_fit(lengths, 40)
+        search = packing.Search(bins, lengths, 40)
+        search.run()
+        left = [b for b in search.bins if b]
+        fill = [sum(lengths[i] for i in b) for b in left]
+        assert sorted(i for b in left for i in b) == list(range(len(lengths))) and max(fill) <= 40
+        if len(left) == -(-sum(lengths) // 40):
+            continue
+        for a, out in enumerate(left):
+            gives = [lengths[i] for i in out] + [lengths[i] + lengths[j] for k, i in enumerate(out) for j in out[k + 1 :]]
+            for b, back in enumerate(left):
+                for x in gives if a != b and fill[a] < 40 and fill[b] < 40 else ():
+                    takes = [0, *(lengths[i] for i in back)]
+                    if x in [lengths[i] for i in out]:
+                        takes += [lengths[i] + lengths[j] for k, i in enumerate(back) for j in back[k + 1 :]]
+                    for y in takes:
+                        new = (fill[a] - x + y, fill[b] + x - y)
+                        assert y >= x or new[1] > 40 or sum(f * f for f in new) <= fill[a] ** 2 + fill[b] ** 2
+
+
+def fewest(lengths, capacity):
+    """Fewest bins, by trying every partition."""
+    best = len(lengths)
+
+    def place(k, fill):
+        nonlocal best
+        if len(fill) >= best:
+            return
+        if k == len(lengths):
+            best = len(fill)
+            return
+        for b in range(len(fill)):
+            if fill[b] + lengths[k] <= capacity:
+                place(k + 1, [*fill[:b], fill[b] + lengths[k], *fill[b + 1 :]])
+        place(k + 1, [*fill, lengths[k]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_near_the_optimum():
+    rng = random.Random(24)
+    cases = [[rng.randrange(1, 60) for _ in range(rng.randrange(1, 10))] for _ in range(80)]
+    got, want = [len(packing.pack(c, 100)) for c in cases], [fewest(c, 100) for c in cases]
+    assert all(g >= w for g, w in zip(got, want, strict=True)) and sum(got) - sum(want) <= 1
+
+
+def test_packing_across_shards(spark):
+    texts = ["w " * n for n in [1300, 1200, 1100, 700, 800, 900] * 8]
+    few = packing.best_fit_packing(table(spark, texts), shard=3).select("sequence_id").distinct().count()
+    assert few <= packing.best_fit_packing(table(spark, texts), shard=1000).select("sequence_id").distinct().count() + 2
+
+
 def test_search_empties_bins():
     lengths = [6, 6, 5, 5, 4, 4]  # best fit, longest first: 6+4, 6+4, 5+5
     assert sorted(sorted(lengths[i] for i in b) for b in packing.pack(lengths, 10)) == [[4, 6], [4, 6], [5, 5]]
