@@ -81,9 +81,10 @@ _PHONE = re.compile(
     r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)"
 )
 _PART = r"([^\W\d_](?:[\w'’-]|[ऀ-ॿ])+)"
-_NAME = re.compile(rf"(?<!\w)({'|'.join(sorted(ADDRESS, key=len, reverse=True))})(?!\w|[ऀ-ॿ])\.? {_PART}(?: {_PART})?")
-_SAID = re.compile(rf"\b(?:[Mm]y name is|[Nn]ame:|[Ss]igned by) {_PART}(?: {_PART})?")
-_GIVEN = re.compile(rf"\b({'|'.join(GENDER)}) {_PART}")
+_NAMES = re.compile(rf" {_PART}(?: {_PART})?")
+_SAID = re.compile(r"(?:[Mm]y name is|[Nn]ame:|[Ss]igned by)(?= )")
+#: Words that don't begin in lower case.
+_WORD = re.compile(r"(?<!\w)[^\W\d_a-zß-öø-ÿа-яα-ω](?:\w|[ऀ-ॿ])+")
 _HINT = re.compile(r"[0-9@]")
 
 
@@ -110,12 +111,12 @@ def _capital(name: str) -> bool:
     return name[0].isupper() or name[0].upper() == name[0].lower()
 
 
-def _named(m: re.Match, first: int, gender: str) -> list[tuple[int, int, str, str]]:
-    """The name whose parts are groups ``first`` and, if there, the next: its last part is the surname."""
-    parts = [g for g in (first, first + 1) if m[g] and _capital(m[g])]
-    if not parts or parts[0] != first:
+def _named(gender: str, *parts: tuple[int, str | None]) -> list[tuple[int, int, str, str]]:
+    """The name of one or two parts (start, text; text None: not there): its last part is the surname."""
+    held = [p for p in parts if p[1] and _capital(p[1])]
+    if not held or held[0] != parts[0]:
         return []
-    return [(m.start(g), m.end(g), f"given_{gender}" if g != parts[-1] else "surname", m[g].lower()) for g in parts]
+    return [(at, at + len(name), f"given_{gender}" if k < len(held) - 1 else "surname", name.lower()) for k, (at, name) in enumerate(held)]
 
 
 def detect(text: str) -> list[tuple[int, int, str, str]]:
@@ -134,12 +135,15 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 form = canonical(m[0])
                 if valid(form):
                     found.append((m.start(), m.end(), kind, form))
-    for m in _NAME.finditer(text):
-        found += _named(m, 2, ADDRESS[m[1]])
-    for m in _SAID.finditer(text):
-        found += _named(m, 1, GENDER.get(m[1], "x"))
-    for m in _GIVEN.finditer(text):
-        found += _named(m, 1, GENDER[m[1]]) if _capital(m[2]) else []
+    for m in _WORD.finditer(text):
+        if m[0] in ADDRESS and (n := _NAMES.match(text, m.end() + text.startswith(".", m.end()))):
+            found += _named(ADDRESS[m[0]], (n.start(1), n[1]), (n.start(2), n[2]))
+        elif m[0] in GENDER and (n := _NAMES.match(text, m.end())) and _capital(n[1]):
+            found += _named(GENDER[m[0]], (m.start(), m[0]), (n.start(1), n[1]))
+    if "name" in text or "igned by" in text:
+        for m in _SAID.finditer(text):
+            if n := _NAMES.match(text, m.end()):
+                found += _named(GENDER.get(n[1], "x"), (n.start(1), n[1]), (n.start(2), n[2]))
     found.sort(key=lambda f: (f[0], KINDS.index(f[2])))
     kept, end = [], 0
     for one in found:

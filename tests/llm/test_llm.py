@@ -537,7 +537,8 @@ def test_toxicity(spark):
     flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert {r.doc_id: r.score for r in toxicity.toxicity(docs, flipped).collect()} == {r.doc_id: r.score for r in rows}
     joined = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels, broadcast=0).collect()}
-    assert max(abs(joined[r.doc_id] - r.score) for r in rows) < 1e-5
+    assert joined == {r.doc_id: r.score for r in rows}
+    assert toxicity.toxicity(table(spark, []), labels).count() == 0
     none = toxicity.toxicity(table(spark, ["a", None]), labels.limit(0)).collect()
     assert [r.score for r in none] == [0.5, 0.5]
 
@@ -553,16 +554,31 @@ def test_toxicity_ratios_like_brute_force(spark):
             for e in range(2, len(spelled) + 1):
                 n = runs.setdefault(spelled[max(0, e - toxicity.ORDER) : e], [0, 0])
                 n[mark] += 1
-    low = lambda r: r[-toxicity.LOW :]
+    longer = {r[-k:] for r in runs for k in range(2, len(r) + 1)}
+    grams = {}
+    for x in longer:
+        grams[x[1:]] = grams.get(x[1:], 0) + 1
+    even = 1 / (sum(len(g) == 1 for g in grams) + 1)
+
+    def rest(gram):
+        if not gram:
+            return even
+        after = [n for g, n in grams.items() if len(g) == len(gram) and g[:-1] == gram[:-1]]
+        return (grams[gram] - 0.75 + 0.75 * len(after) * rest(gram[1:])) / sum(after)
 
     def given(mark, run, h):
         after = [n[mark] for r, n in runs.items() if r[:-1] == h and n[mark]]
         left = 0.75 * len(after) / sum(after) if after else 1.0
         if run is None:
             return left
-        rest = sum(low(r) == low(run) for r in runs) / sum(low(r)[:-1] == low(run)[:-1] for r in runs)
-        return max(runs[run][mark] - 0.75, 0) / max(sum(after), 1) + left * rest
-
+        return max(runs[run][mark] - 0.75, 0) / max(sum(after), 1) + left * rest(run[1:])
+
+    for h in {g[:-1] for g in grams}:  # probabilities of what is seen, and of the even share of what is not, make 1
+        after = [g for g in grams if g[:-1] == h]
+        if not h:
+            assert abs(sum(rest(g) for g in after) + 0.75 * len(after) / sum(grams[g] for g in after) * even - 1) < 1e-9
+    found = {r.gram: r.rest for r in toxicity.shared(spark.createDataFrame([(r,) for r in runs], "run string")).collect()}
+    assert found.keys() == grams.keys() and max(abs(found[g] - rest(g)) for g in grams) < 1e-12
     want = {r: np.log(given(1, r, r[:-1]) / given(0, r, r[:-1])) for r in runs}
     want |= {h + chr(toxicity.OTHER): np.log(given(1, None, h) / given(0, None, h)) for h in {r[:-1] for r in runs}}
     found = {r.key: r.ratio for r in toxicity.ratios(spark.createDataFrame(rows, "toxic int, text string")).collect()}
@@ -571,7 +587,7 @@ def test_toxicity_ratios_like_brute_force(spark):
         points = np.array([ord(c) for c in r], np.uint32)
         keys[int(toxicity.run_keys(points, np.arange(len(r)))[-1].view(np.int64))] = want[r]
     assert found.keys() == keys.keys() and len(keys) == len(want)
-    assert max(abs(found[k] - keys[k]) for k in keys) < 1e-9
+    assert max(abs(found[k] / toxicity.UNIT - keys[k]) for k in keys) <= 0.5 / toxicity.UNIT + 1e-12
     # what ordinary rows never hold weighs
     assert sum(want["^zonkard$"[max(0, e - 7) : e]] for e in range(2, 10)) > 1
 
