@@ -622,6 +622,32 @@ def test_nearest(spark):
     assert ann.nearest(data.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_nearest_in_one_large_graph_without_clusters():
+    rng = np.random.Generator(np.random.PCG64(12))
+    v = rng.normal(size=(8000, 48)).astype(np.float32)
+    points = ann.lifted(v)
+    edges, entry = ann.build(points)
+    assert (edges >= 0).sum(axis=1).max() <= ann.SLACK and not (edges == np.arange(len(v))[:, None]).any()
+    edges = np.concatenate([edges, np.full((1, ann.SLACK), -1, np.int32)])
+    raised = np.column_stack([v[:200], np.zeros(200)]).astype(np.float32)
+    found, far, seen = ann.beam_search(points, (points**2).sum(axis=1), edges, entry, raised, ann.BEAM)
+    truth = np.argsort(-(v[:200] @ v.T), axis=1)[:, :20]
+    assert np.mean([len(set(t) & set(f)) / 20 for t, f in zip(truth.tolist(), found.tolist(), strict=True)]) > 0.9
+    assert (np.diff(far, axis=1) >= 0).all() and seen < 0.4 * 200 * len(v)
+
+
+def test_nearest_by_blocks_of_queries(spark, monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(13))
+    v = rng.normal(size=(300, 8))
+    data = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    whole = {(r.query_id, r["rank"]): r.vec_id for r in ann.nearest(data, F.col("vec_id") % 20 == 0).collect()}
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 4)
+    assert {(r.query_id, r["rank"]): r.vec_id for r in ann.nearest(data, F.col("vec_id") % 20 == 0, shard=120).collect()} == whole
+    for q in range(0, 300, 20):
+        others = [i for i in np.argsort(-(v @ v[q])) if i != q]
+        assert [whole[q, k] for k in range(1, 21)] == others[:20]
+
+
 # licences
 
 
