@@ -8,22 +8,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Query parameters that only track, matched whole and without regard to case.
-TRACKING = "utm_[a-z0-9_]*|fbclid|gclid|dclid|msclkid|mc_cid|mc_eid|igshid|yclid|_hsenc|_hsmi|ref_src"
-# Shapes of secrets and what stands for them.
+TRACKING = ("utm_[^=]*", "fbclid", "gclid", "gbraid", "wbraid", "msclkid", "mc_(cid|eid)", "igshid", "ref", "ref_src", "s_kwcid", "_hs(enc|mi)")
+# Shapes of secrets, replaced in this order, and what stands for them.
 SECRETS = (
-    r"sk-[A-Za-z0-9_-]{16,}",
-    r"gh[pousr]_[A-Za-z0-9]{20,}",
-    r"github_pat_[A-Za-z0-9_]{20,}",
-    r"xox[abprs]-[A-Za-z0-9-]{10,}",
-    r"AKIA[0-9A-Z]{16}",
-    r"AIza[A-Za-z0-9_-]{30,}",
-    r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}",
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{6,}\b",
+    r"\bsk-[A-Za-z0-9_-]{16,}\b",
+    r"\bgh[pousr]_[A-Za-z0-9]{20,}\b",
+    r"\bnpm_[A-Za-z0-9]{16,}\b",
+    r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b",
+    r"\bAKIA[0-9A-Z]{16}\b",
+    r"\bAIza[A-Za-z0-9_-]{30,}\b",
+    r"(?i)\b(Bearer|Basic)\s+[A-Za-z0-9._~+/=-]{16,}",
 )
-ASSIGNMENT = r"""(?i)\b(password|passwd|secret|token|api[_-]?key)(["']?\s*[:=]\s*["']?)([A-Za-z0-9+/_.=-]{8,})"""
-CREDENTIALS = r"([a-zA-Z][a-zA-Z0-9+.-]*://[^\s/:@]+):([^\s/@]+)@"
 REDACTED = "[redacted]"
-MATH = r"[0-9=+*/^<>|\\{}\[\]()_∑∫√≤≥≠∈∀∃→-]"
+SECRET_NAME = r"(?i)\b([A-Za-z0-9_.-]*(?:key|token|secret|password|passwd|credential)s?[A-Za-z0-9_.-]*)(\s*[\"']?\s*[=:]\s*)"
+# A value may be quoted; one that holds a replaced secret already stays as it is.
+ASSIGNMENT = SECRET_NAME + (
+    r"""("(?![^"\n]*\[redacted\])[^"\n]{8,}"|'(?![^'\n]*\[redacted\])[^'\n]{8,}'|(?![^\s"',;]*\[redacted\])[^\s"',;]{8,})"""
+)
+CREDENTIALS = r"(?i)\b([a-z][a-z0-9+.-]*://[^/\s:@]+):([^@\s/]+)@"
+# Characters that mathematics is written with, and what no name holds.
+MATH = r"[0-9=+\-*/^√∫∑∈≤≥→±²³()<>|\\]"
+NO_NAME = (r"[=^√∫∑∏∈∉≤≥≠→±≈∞′²³]|\\(frac|sqrt|int|sum)", r"[0-9]\s*[+\-*/·×:^]\s*[0-9]", r"\b[a-zA-Z]['′]?\s*\([^)]*\)")
 
 
 def content_hash(text: Column, version: str = "") -> Column:
@@ -65,13 +71,14 @@ def schema_name(name: Column) -> Column:
 
 
 def normalize_url(url: Column) -> Column:
-    """Lower-case host, no fragment, no tracking parameters, no trailing '?'."""
+    """Lower-case host, a path of at least '/', no fragment, no tracking parameters, no trailing '?'."""
     bare = F.regexp_replace(F.trim(url), "#.*$", "")
     base, query = F.split(bare, r"\?", 2)[0], F.coalesce(F.get(F.split(bare, r"\?", 2), F.lit(1)), F.lit(""))
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(f"(?i)^({TRACKING})(=|$)"))
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(f"(?i)^({'|'.join(TRACKING)})(=|$)"))
     scheme, rest = F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.-]*://", 0), F.regexp_replace(base, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.regexp_extract(rest, "^[^/]*", 0)
     path = F.substr(rest, F.length(host) + 1)
+    path = F.when((scheme != "") & (path == ""), "/").otherwise(path)
     return F.concat(F.lower(scheme), F.lower(host), path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
@@ -91,10 +98,10 @@ def secret_hits(text: Column) -> Column:
 
 
 def math_density(text: Column) -> Column:
-    """Share of mathematical characters among those and letters."""
+    """Share of mathematical characters among those and letters; 0 where there is neither."""
     mathish = F.length(F.regexp_replace(text, MATH.replace("[", "[^", 1), ""))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    return F.try_divide(mathish.cast("double"), (mathish + letters).cast("double"))
+    return mathish.cast("double") / F.greatest(F.lit(1), mathish + letters)
 
 
 def is_mathematical(text: Column, least: float = 0.25, chars: int = 40) -> Column:
@@ -103,7 +110,7 @@ def is_mathematical(text: Column, least: float = 0.25, chars: int = 40) -> Colum
 
 def plausible_name(name: Column) -> Column:
     """Guards of an entity name: no mathematics, at most 40 characters and 5 words, at least 2 letters."""
-    bad = name.rlike(r"[=+*/^<>∑∫√≤≥≠∈]|[0-9]\s*[-+*/]\s*[0-9]|^[A-Za-z]\([A-Za-z0-9, ]*\)$")
+    bad = reduce(lambda x, y: x | y, (name.rlike(p) for p in NO_NAME))
     words = F.size(F.split(F.trim(name), r"\s+"))
     return ~bad & (F.length(name) <= 40) & (words <= 5) & (F.length(F.regexp_replace(name, r"[^\p{L}]", "")) >= 2)
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKEN = "[a-z0-9]+"
+#: Rows and queries in a block, where queries are dealt as a table.
+BLOCK = 20_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -58,79 +61,129 @@ def with_embeddings(rows: DataFrame, text: str, dims: int = 1024, name: str = "e
 
 
 def nearest(
-    rows: DataFrame, queries: DataFrame, k: int, least: float | None = None, block: int = 4096, unlike: str | None = None, once: bool = False
+    rows: DataFrame,
+    queries: DataFrame,
+    k: int,
+    least: float | None = None,
+    block: int = 4096,
+    unlike: str | tuple[str, ...] = (),
+    once: bool = False,
+    others: bool = False,
 ) -> DataFrame:
     """(qid, src, id, similarity) of the k most similar rows (src, id, vec) of each query (qid, vec).
 
-    Queries come in blocks, each broadcast; a task keeps its own k best of every batch, so k rows a query and batch reach
-    the shuffle, whatever the number of rows. ``least`` keeps those of at least that similarity, before the limit;
-    ``unlike`` those with another value than the query's in that text column of both (null is neither); ``once`` takes the best
-    row of each (src, id) only.
+    Up to ``block`` queries are broadcast to where the rows are. More are dealt as a table: blocks of queries meet blocks of
+    rows in tasks, so that no vector goes through the driver. Either way a task keeps only its own k best of a query,
+    whatever the number of its rows. ``least`` keeps those of at least that similarity, before the limit; ``unlike`` those
+    with another value than the query's in each of those columns of both (null is neither); ``once`` takes the best row of
+    each (src, id) only; ``others`` leaves out the row whose id is the query's.
     """
-    if unlike:
-        rows, queries = rows.filter(F.col(unlike).isNotNull()), queries.filter(F.col(unlike).isNotNull())
-    blocks = -(-queries.count() // block) or 1
-    out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        found = _nearest(rows, part, k, least, unlike, once)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _best_of_each(batch: pa.RecordBatch, score: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
-    """The first row of each (src, id), and the queries' best scores of all its rows."""
-    codes = [batch.column(k).dictionary_encode("encode").indices.to_numpy().astype(np.int64) for k in (0, 1)]
-    which = codes[0] * (codes[1].max() + 1) + codes[1]
-    order = np.argsort(which, kind="stable")
-    head = np.flatnonzero(np.diff(which[order], prepend=-1))
-    return batch.take(pa.array(order[head])), np.maximum.reduceat(score[:, order], head, axis=1)
-
-
-def _nearest(rows: DataFrame, queries: DataFrame, k: int, least: float | None, unlike: str | None, once: bool) -> DataFrame:
-    more = [unlike] if unlike else []
-    held = queries.select("qid", "vec", *more).filter("vec is not null").toArrow()
-    ids = held.column("qid").to_numpy()
-    kind = queries.schema["qid"].dataType.simpleString()
-    own = rows.schema["id"].dataType.simpleString()
-    schema = f"qid {kind}, src string, id {own}, similarity double"
+    unlike = (unlike,) if isinstance(unlike, str) else unlike
+    for c in unlike:
+        rows, queries = rows.filter(F.col(c).isNotNull()), queries.filter(F.col(c).isNotNull())
+    rows = rows.select("src", "id", "vec", *(F.col(c).cast("string") for c in unlike)).filter("vec is not null")
+    queries = queries.select("qid", "vec", *(F.col(c).cast("string") for c in unlike)).filter("vec is not null")
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, src string, id {rows.schema['id'].dataType.simpleString()}, similarity double"
+    search = Search(k, least, once, others)
+    held = queries.limit(block + 1).toArrow()
     if not len(held):
         return rows.sparkSession.createDataFrame([], schema)
-    vectors = np.array(held.column("vec").to_pylist(), np.float64)
-    norms = np.sqrt((vectors**2).sum(axis=1))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        vectors = vectors / norms[:, None]
-    values, own_value = np.unique(np.array(held.column(unlike).to_pylist(), object), return_inverse=True) if unlike else ([], None)
-    shared = rows.sparkSession.sparkContext.broadcast((ids, vectors, pa.array(list(values), pa.string()), own_value))
+    if len(held) <= block:
+        shared = rows.sparkSession.sparkContext.broadcast(held)
+        found = rows.mapInArrow(lambda batches: search.over(shared.value, batches), schema)
+    else:
+        n_rows, n_queries = (-(-df.count() // BLOCK) for df in (rows, queries))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n, 1) - 1).cast("long")))
+        part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(max(n, 1)))
+        names = queries.columns
+        # names of its own, as the queries may come from the rows
+        own = queries.select(F.col("qid").alias("q_id"), *(F.col(c).alias(f"q_{c}") for c in queries.columns[1:]))
+        asked = own.withColumn("q_part", part("q_id", n_queries)).withColumn("r_part", every(n_rows))
+        given = rows.withColumn("r_part", part("id", n_rows)).withColumn("q_part", every(n_queries))
+        parts = ["q_part", "r_part"]
+        found = asked.groupBy(*parts).cogroup(given.groupBy(*parts)).applyInArrow(
+            lambda q, r: search.block(q.drop_columns(parts).rename_columns(names), r.drop_columns(parts)), schema
+        )
+    if once:
+        found = found.groupBy("qid", "src", "id").agg(F.max("similarity").alias("similarity"))
+    if least is not None:
+        found = found.filter(F.round("similarity", 9) >= least)
+    order = Window.partitionBy("qid").orderBy(F.desc(F.round("similarity", 9)), "src", "id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, unit, known, mine = shared.value
+
+@dataclass
+class Search:
+    """The k best rows of each query among the rows of one task."""
+
+    k: int
+    least: float | None
+    once: bool
+    others: bool
+
+    def block(self, queries: pa.Table, rows: pa.Table) -> pa.Table:
+        kinds = [queries.schema.field("qid").type, rows.schema.field("src").type, rows.schema.field("id").type, pa.float64()]
+        schema = pa.schema(list(zip(("qid", "src", "id", "similarity"), kinds, strict=True)))
+        return pa.Table.from_batches(list(self.over(queries, rows.to_batches(10_000))), schema)
+
+    def over(self, queries: pa.Table, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``queries`` (qid, vec, values…), batches (src, id, vec, values…) -> (qid, src, id, similarity)."""
+        qids = queries.column("qid").combine_chunks()
+        unit = _unit(queries.column("vec").combine_chunks())
+        values = [c.combine_chunks() for c in queries.columns[2:]]
+        known = [pc.unique(v) for v in values]
+        own = [pc.index_in(v, n).to_numpy() for v, n in zip(values, known, strict=True)]
+        held, n_held = [], 0
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not len(unit):
                 continue
-            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            points = flat.reshape(batch.num_rows, -1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                points = points / np.sqrt((points**2).sum(axis=1))[:, None]
-            score = np.nan_to_num(unit @ points.T, nan=-np.inf)
-            if unlike:
-                value = pc.index_in(batch.column(3).cast(pa.string()), known).fill_null(-1).to_numpy(zero_copy_only=False)
-                score[mine[:, None] == value[None, :]] = -np.inf
-            if once:
+            score = np.nan_to_num(unit @ _unit(batch.column(2)).T, nan=-np.inf)
+            for value, names, mine in zip(batch.columns[3:], known, own, strict=True):
+                score[mine[:, None] == pc.index_in(value, names).fill_null(-1).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
+            if self.others:
+                score[pc.index_in(qids, batch.column(1)).fill_null(-1).to_numpy(zero_copy_only=False)[:, None] == np.arange(batch.num_rows)] = -np.inf
+            if self.once:
                 batch, score = _best_of_each(batch, score)
-            n = min(k, score.shape[1])
+            n = min(self.k, score.shape[1])
             edge = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
-            floor = edge if least is None else np.maximum(edge, least - 1e-12)
+            floor = edge - 1e-9 if self.least is None else np.maximum(edge - 1e-9, self.least - 1e-9)
             q, at = np.nonzero((score >= floor[:, None]) & np.isfinite(score))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(qids[q], held.schema.field("qid").type), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(score[q, at])],
-                ["qid", "src", "id", "similarity"],
-            )
+            held.append((q, batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), score[q, at]))
+            n_held += len(q)
+            if not self.once and n_held > 4 * self.k * len(unit) + 100_000:
+                held = [self._trimmed(held)]
+                n_held = len(held[0][0])
+        if held:
+            q, src, ids, score = self._trimmed(held) if not self.once else self._joined(held)
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), src, ids, pa.array(score)], ["qid", "src", "id", "similarity"])
+
+    @staticmethod
+    def _joined(held: list[tuple]) -> tuple:
+        q, src, ids, score = zip(*held, strict=True)
+        return np.concatenate(q), pa.concat_arrays(src), pa.concat_arrays(ids), np.concatenate(score)
+
+    def _trimmed(self, held: list[tuple]) -> tuple:
+        """The k best of each query, and what equals the last of them."""
+        q, src, ids, score = self._joined(held)
+        order = np.lexsort((-score, q))
+        first = np.searchsorted(q[order], np.arange(q.max(initial=-1) + 2))
+        last = np.minimum(first[:-1] + self.k, first[1:]) - 1
+        kept = np.flatnonzero(score >= score[order][last][q] - 1e-9)
+        at = pa.array(kept)
+        return q[kept], src.take(at), ids.take(at), score[kept]
+
+
+def _unit(column: pa.Array) -> np.ndarray:
+    """Vectors of norm 1; nan for zero vectors."""
+    points = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return points / np.sqrt((points**2).sum(axis=1))[:, None]
 
-    order = Window.partitionBy("qid").orderBy(F.desc(F.round("similarity", 9)), "src", "id")
-    found = rows.select("src", "id", "vec", *more).filter("vec is not null").mapInArrow(best, schema)
-    if once:
-        found = found.groupBy("qid", "src", "id").agg(F.max("similarity").alias("similarity"))
-    if least is not None:
-        found = found.filter(F.round("similarity", 9) >= least)
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
+
+def _best_of_each(batch: pa.RecordBatch, score: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The first row of each (src, id), and the queries' best scores of all its rows."""
+    codes = [batch.column(k).dictionary_encode("encode").indices.to_numpy().astype(np.int64) for k in (0, 1)]
+    which = codes[0] * (codes[1].max() + 1) + codes[1]
+    order = np.argsort(which, kind="stable")
+    head = np.flatnonzero(np.diff(which[order], prepend=-1))
+    return batch.take(pa.array(order[head])), np.maximum.reduceat(score[:, order], head, axis=1)

@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -74,28 +75,39 @@ def chunk_markdown(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def _is_title(line: str) -> bool:
+    """A line of capitals, of 4 to 120 characters and at least 4 letters."""
+    bare = line.strip()
+    return 4 <= len(bare) <= 120 and sum(map(str.isalpha, bare)) >= 4 and not any(map(str.islower, bare))
+
+
+def _keyword(rest: str) -> str:
+    """Up to four leading tokens of capitals or digits after a point's number; the first is a word of at least three."""
+    bare = lambda t: re.sub("[.,]$", "", t)
+    tokens = list(takewhile(lambda t: bare(t) and all(c.isupper() or c.isnumeric() for c in bare(t)), rest.split()[:4]))
+    joined = " ".join(tokens)
+    return joined if tokens and len(bare(tokens[0])) >= 3 and any(map(str.isupper, tokens[0])) and len(joined) <= 40 else ""
+
+
 def chunk_outline(text: str) -> list[tuple[str, str]]:
-    """(label, chunk): numbered points under ALL-CAPS titles, with a label of the point's first words in capitals."""
-    title, sections = "", []
-    for line in text.split("\n"):
-        bare = line.strip()
-        letters = re.sub(r"[^A-Za-zÀ-ÿ]", "", bare)
-        point = re.match(r"(\d{1,3})[.)]\s+(.*)$", bare)
-        if 4 <= len(bare) <= 120 and len(letters) >= 4 and bare == bare.upper() and not point:
-            title = bare
-            sections.append([title, "", []])
+    """(breadcrumb, chunk): numbered points under titles in capitals; a chunk begins with its breadcrumb and keeps its number."""
+    title, sections, fresh = "", [], True
+    for line in text.splitlines():
+        point = re.match(r"\s*(\d{1,3})[.)]\s+(?=\S)", line)
+        if _is_title(line):
+            title, fresh = re.sub(r"\s+", " ", line.strip()), True
         elif point:
-            label = re.match(r"((?:[A-ZÀ-Ý][\w-]*\s?){1,4})(?=[:–-])", point[2])
-            name = f"{point[1]}. {label[1].strip()[:40]}" if label else point[1]
-            sections.append([title, name, [point[2]]])
-        elif bare:
-            if not sections:
-                sections.append(["", "", []])
-            sections[-1][2].append(bare)
-    kept = [s for s in sections if s[2]]
+            sections.append([title, f"{point[1]}. {_keyword(line[point.end() :])}".strip(), [line]])
+            fresh = False
+        else:
+            if fresh:
+                sections.append([title, "", []])
+                fresh = False
+            sections[-1][2].append(line)
+    kept = [(" > ".join(filter(None, s[:2])), "\n".join(s[2])) for s in sections if "".join(s[2]).strip()]
     if len(kept) > 1:
-        kept = [s for s in kept if s[0] or s[1] or len("\n".join(s[2])) >= DEBRIS]
-    return [(" > ".join(x for x in s[:2] if x), c) for s in kept for c in chunk_text("\n".join(s[2]))]
+        kept = [s for s in kept if s[0] or len(s[1].strip()) >= DEBRIS]
+    return [(path, f"{path}\n\n{piece}" if path else piece) for path, body in kept for piece in chunk_text(body)]
 
 
 SPLITTERS: dict[str, Callable[[str], list[tuple[str, str]]]] = {
@@ -239,7 +251,7 @@ def articles(pages: DataFrame) -> DataFrame:
 
 
 def reading_order(items: DataFrame, width: float) -> DataFrame:
-    """Lines of positioned text (page, x, y, w, text; y grows upwards) in reading order: (page, line, text).
+    """Lines of positioned text (document, page, x, y, w, text; y grows upwards) in reading order: (document, page, line, text).
 
     A page has two columns if a gap of 4 % of the width lies between 30 and 70 % and each side has at least 4 of 8 or more items.
     """
@@ -259,6 +271,7 @@ def reading_order(items: DataFrame, width: float) -> DataFrame:
         rows = page.assign(column=(page["x"] >= split).astype(int) if split else 0, base=page["y"].round(0))
         rows = rows.sort_values(["column", "base", "x"], ascending=[True, False, True])
         lines = rows.groupby(["column", "base"], sort=False)["text"].agg(" ".join)
-        return pd.DataFrame({"page": page["page"].iloc[0], "line": range(len(lines)), "text": lines.to_list()})
+        return pd.DataFrame({"document": page["document"].iloc[0], "page": page["page"].iloc[0], "line": range(len(lines)), "text": lines.to_list()})
 
-    return items.groupBy("page").applyInPandas(order, f"page {items.schema['page'].dataType.simpleString()}, line int, text string")
+    kinds = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in ("document", "page"))
+    return items.groupBy("document", "page").applyInPandas(order, f"{kinds}, line int, text string")

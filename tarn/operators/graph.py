@@ -25,14 +25,16 @@ def entity_list(entities: DataFrame, edges: DataFrame, documents: DataFrame) ->
 
 
 def known_entities(entities: DataFrame, edges: DataFrame, most: int = 75) -> DataFrame:
-    """The ``most`` mentioned entities, for prompts."""
-    counted = edges.filter("active").groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("mentions"))
-    return counted.orderBy(F.desc("mentions"), "id").limit(most).join(entities, "id").select("id", "name", "mentions")
+    """The ``most`` entities of the most mentions, for prompts; ones without a mention come last."""
+    counted = edges.filter("active and relation = 'mention'").groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("mentions"))
+    rows = entities.join(counted, "id", "left").select("id", "name", F.coalesce("mentions", F.lit(0)).alias("mentions"))
+    return rows.orderBy(F.desc("mentions"), "id").limit(most)
 
 
 def document_rollup(edges: DataFrame, documents: DataFrame) -> DataFrame:
     """Edges document -> entity with the number of mentions as weight."""
-    return edges.filter("active").join(documents, "from_id").groupBy("document", "to_id").agg(F.count("*").alias("weight"))
+    mentions = edges.filter("active and relation = 'mention'")
+    return mentions.join(documents, "from_id").groupBy("document", "to_id").agg(F.count("*").alias("weight"))
 
 
 def graph_edges(edges: DataFrame, documents: DataFrame, typed: DataFrame) -> DataFrame:

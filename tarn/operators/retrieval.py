@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.checkpoints import bounded, persisted
-from tarn.functions.vectors import TOKEN, nearest
+from tarn.functions.vectors import nearest
 
 POOL, ANCHORS, K, LIMIT = 50, 10, 60, 10
 ANCHOR_SIMILARITY = 0.60
@@ -27,38 +27,60 @@ def vector_arm(rows: DataFrame, queries: DataFrame, pool: int = POOL) -> DataFra
     return ranked(nearest(rows, queries, pool), [F.desc(F.round("similarity", 9)), F.asc("src"), F.asc("id")], pool)
 
 
+#: Terms of the keyword arm, of any script.
+TERM = r"[\p{L}\p{M}\p{N}]+"
+
+
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), 0)
+
+
+def postings(rows: DataFrame) -> DataFrame:
+    """Rows (src, id, text) -> (term, src, id, tf), the index of the keyword arm. Stored, it serves every call."""
+    each = rows.select("src", "id", F.explode(terms(F.col("text"))).alias("term"))
+    return each.groupBy("term", "src", "id").agg(F.count("*").alias("tf"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(qid, term, negated): "-term" excludes; a query without terms has no rows."""
-    words = F.explode(F.split(F.lower("text"), r"\s+")).alias("word")
-    split = queries.select("qid", words).select("qid", F.col("word").startswith("-").alias("negated"), F.explode(terms(F.col("word"))).alias("term"))
-    return split.distinct()
+def query_units(queries: DataFrame) -> DataFrame:
+    """(qid, clause, negated, needed: terms): words and quoted phrases; "-" excludes one; OR stands between clauses."""
+    units = F.regexp_extract_all(F.lower("text"), F.lit(r'-?"[^"]*"|[^\s"]+'), 0)
+    split = queries.select("qid", F.posexplode(units).alias("pos", "unit"))
+    clause = F.sum((F.col("unit") == "or").cast("int")).over(Window.partitionBy("qid").orderBy("pos"))
+    split = split.withColumn("clause", clause).filter("unit <> 'or'")
+    return split.select("qid", "clause", F.col("unit").startswith("-").alias("negated"), terms(F.col("unit")).alias("needed")).filter("size(needed) > 0").distinct()
 
 
-def keyword_arm(rows: DataFrame, queries: DataFrame, pool: int = POOL) -> DataFrame:
-    """Rows that hold all terms of a query and none it excludes, by term count: (qid, src, id, score, rank).
+def keyword_arm(rows: DataFrame, queries: DataFrame, pool: int = POOL, index: DataFrame | None = None) -> DataFrame:
+    """Rows that hold all words and phrases of a clause of the query and none it excludes: (qid, src, id, score, rank).
 
-    A query's candidates are the rows with its rarest term; only they are held against its other terms. So a term that is
-    in every query and every row costs one count, not queries x rows.
+    The score counts the query's terms in the row. ``index``: the stored postings() of the rows, else made here. A clause's
+    candidates are the rows with its rarest term; only they are held against its other terms, and only rows of clauses with
+    phrases or exclusions are read. A query without a term that is wanted has no rows.
     """
-    wanted = query_terms(queries)
-    needed = wanted.filter("not negated").groupBy("qid").agg(F.collect_set("term").alias("needed"))
-    banned = wanted.filter("negated").groupBy("qid").agg(F.collect_set("term").alias("banned"))
-    asked = persisted(needed.join(banned, "qid", "left"), "asked")
-    postings = rows.select("src", "id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    every = bounded(asked.select(F.explode("needed").alias("term")).distinct())
-    counts = persisted(postings.join(every, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")), "counts")
-    of_query = asked.select("qid", F.explode("needed").alias("term")).join(bounded(counts), "term", "left")
-    rarest = of_query.groupBy("qid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("r"))
-    rarest = persisted(rarest.filter("r.n > 0").select("qid", F.col("r.term").alias("term")), "rarest")
-    pairs = bounded(persisted(postings.join(bounded(rarest), "term").select("qid", "src", "id"), "pairs"))
-    found = rows.select("src", "id", "text").join(pairs, ["src", "id"]).join(bounded(asked), "qid").withColumn("toks", terms(F.col("text")))
-    clean = F.col("banned").isNull() | ~F.arrays_overlap("banned", "toks")
-    found = found.filter((F.size(F.array_except("needed", "toks")) == 0) & clean)
-    found = found.select("qid", "src", "id", F.size(F.filter("toks", lambda t: F.array_contains("needed", t))).cast("long").alias("score"))
+    index = index if index is not None else persisted(postings(rows), "postings")
+    units = persisted(query_units(queries), "units")
+    wanted = units.filter("not negated").select("qid", "clause", F.explode("needed").alias("term")).distinct()
+    every = bounded(persisted(wanted.select("term").distinct(), "terms"))
+    counts = index.join(every, "term").groupBy("term").agg(F.count("*").alias("n"))
+    of = wanted.join(counts, "term", "left").groupBy("qid", "clause")
+    rarest = of.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("r"), F.count("*").alias("terms"))
+    rarest = persisted(rarest.filter("r.n > 0").select("qid", "clause", F.col("r.term").alias("term"), "terms"), "rarest")
+    pairs = persisted(index.join(bounded(rarest), "term").select("qid", "clause", "terms", "src", "id"), "pairs")
+    looked = pairs.select("qid", "src", "id").distinct().join(wanted.select("qid", "term").distinct(), "qid")
+    hits = persisted(index.join(bounded(persisted(looked, "looked")), ["term", "src", "id"]).select("qid", "src", "id", "term", "tf"), "hits")
+    held = pairs.join(hits.drop("tf"), ["qid", "src", "id"]).join(wanted, ["qid", "clause", "term"])
+    full = held.groupBy("qid", "clause", "terms", "src", "id").agg(F.count("*").alias("n")).filter("n = terms")
+    full = full.select("qid", "clause", "src", "id")
+    strict = units.filter("negated or size(needed) > 1").select("qid", "clause", "negated", F.concat(F.lit(" "), F.array_join("needed", " "), F.lit(" ")).alias("phrase"))
+    if not strict.isEmpty():
+        asked = strict.groupBy("qid", "clause").agg(F.collect_list(F.struct("negated", "phrase")).alias("asked"))
+        full = persisted(full.join(asked, ["qid", "clause"], "left"), "full")
+        read = bounded(persisted(full.filter("asked is not null").select("src", "id").distinct(), "read"))
+        texts = rows.select("src", "id", "text").join(read, ["src", "id"]).select("src", "id", F.concat(F.lit(" "), F.array_join(terms(F.col("text")), " "), F.lit(" ")).alias("flat"))
+        right = F.forall("asked", lambda a: F.contains(F.col("flat"), a["phrase"]) != a["negated"])
+        full = full.join(texts, ["src", "id"], "left").filter(F.col("asked").isNull() | right)
+    score = hits.groupBy("qid", "src", "id").agg(F.sum("tf").alias("score"))
+    found = score.join(full.select("qid", "src", "id").distinct(), ["qid", "src", "id"])
     return ranked(found, [F.desc("score"), F.asc("src"), F.asc("id")], pool).select("qid", "src", "id", "score", "rank")
 
 
@@ -66,15 +88,15 @@ def entity_anchors(
     entities: DataFrame, queries: DataFrame, least: float = ANCHOR_SIMILARITY, most: int = ANCHORS
 ) -> DataFrame:
     """``entities`` (canonical, id, vec: entities and their aliases) -> nearest canonicals: (qid, canonical, distance)."""
-    near = nearest(entities.select(F.lit("entity").alias("src"), F.col("canonical").alias("id"), "vec"), queries, most * 8, least, once=True)
+    near = nearest(entities.select(F.lit("entity").alias("src"), F.col("canonical").alias("id"), "vec"), queries, most, least, once=True)
     by = near.select("qid", F.col("id").alias("canonical"), F.round(1 - F.col("similarity"), 9).alias("distance"))
     return ranked(by, [F.asc("distance"), F.asc("canonical")], most).drop("rank")
 
 
 def entity_arm(anchors: DataFrame, edges: DataFrame, live: DataFrame, pool: int = POOL) -> DataFrame:
-    """Sources by how many anchors their active edges reach; ``live`` (src, id): (qid, src, id, score, rank)."""
-    active = edges.filter("active").select("from_id", F.col("to_id").alias("canonical"))
-    hits = active.join(F.broadcast(anchors), "canonical").join(live, F.col("from_id") == live.id)
+    """Sources by how many anchors their active mentions reach; ``live`` (src, id): (qid, src, id, score, rank)."""
+    active = edges.filter("active and relation = 'mention'").select("from_id", F.col("to_id").alias("canonical"))
+    hits = active.join(bounded(persisted(anchors, "anchors")), "canonical").join(live, F.col("from_id") == live.id)
     found = hits.groupBy("qid", "src", "id").agg(F.countDistinct("canonical").alias("score"))
     return ranked(found, [F.desc("score"), F.asc("src"), F.asc("id")], pool)
 
@@ -89,6 +111,11 @@ def fuse(arms: dict[str, DataFrame], limit: int = LIMIT, k: int = K, weights: di
     return ranked(summed, [F.desc("rrf_score"), F.asc("src"), F.asc("id")], limit)
 
 
+def in_session(chunks: DataFrame, session: Column | None = None) -> DataFrame:
+    """Chunks (…, session) that recall may see: those of no session and those of the given one."""
+    return chunks.filter(F.col("session").isNull() if session is None else F.col("session").isNull() | (F.col("session") == session))
+
+
 def recall(
     texts: DataFrame,
     vectors: DataFrame,
@@ -98,16 +125,20 @@ def recall(
     limit: int = LIMIT,
     pool: int = POOL,
     use: tuple[str, ...] = ("vector", "keyword", "entity"),
+    index: DataFrame | None = None,
+    k: int = K,
+    weights: dict[str, float] = WEIGHTS,
+    anchor_similarity: float = ANCHOR_SIMILARITY,
 ) -> DataFrame:
-    """The fused ranking of the arms in ``use``."""
+    """The fused ranking of the arms in ``use``. Rows may come from several sources (beliefs, chunks); see in_session()."""
     arms = {}
     if "vector" in use:
         arms["vector"] = vector_arm(vectors, queries, pool)
     if "keyword" in use:
-        arms["keyword"] = keyword_arm(texts, queries, pool)
+        arms["keyword"] = keyword_arm(texts, queries, pool, index)
     if "entity" in use and entities is not None and edges is not None:
-        arms["entity"] = entity_arm(entity_anchors(entities, queries), edges, texts.select("src", "id"), pool)
-    return fuse(arms, limit)
+        arms["entity"] = entity_arm(entity_anchors(entities, queries, anchor_similarity), edges, texts.select("src", "id"), pool)
+    return fuse(arms, limit, k, weights)
 
 
 def with_provenance(hits: DataFrame, texts: DataFrame, snippet: int = 160) -> DataFrame:
@@ -132,26 +163,22 @@ def recheck_pairs(
 ) -> DataFrame:
     """Per due belief the ``most`` nearest of at least ``least``, without itself, its hash, its lineage and answered pairs.
 
-    ``answered`` (a, b) counts in both directions. ``spare`` nearest more are fetched for what the filters take; where they
-    took more than that, the belief's full ranking is fetched.
+    ``answered`` (a, b) counts in both directions. ``spare`` nearest more are fetched for answered pairs to take; beliefs with
+    more answered pairs than that fetch as many more.
     """
-
-    def kept(near: DataFrame) -> DataFrame:
-        known = rows.select("id", "content_hash", "root_id")
-        mine = due.select("qid", F.col("content_hash").alias("own_hash"), F.col("root_id").alias("own_root"))
-        pairs = near.join(known, "id").join(F.broadcast(mine), "qid").filter("content_hash <> own_hash and root_id <> own_root and id <> qid")
-        both = answered.select(F.col("a").alias("qid"), F.col("b").alias("id")).union(answered.select("b", "a"))
-        return pairs.join(both.distinct(), ["qid", "id"], "left_anti").select("qid", "src", "id", "similarity")
-
-    near = nearest(rows, due, most + spare, least)
-    first = kept(near)
-    fetched = near.groupBy("qid").agg(F.count("*").alias("fetched")).filter(F.col("fetched") == most + spare)
-    short = fetched.join(first.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").filter(F.coalesce("n", F.lit(0)) < most)
-    again = due.join(short.select("qid"), "qid", "left_semi")
-    if not again.isEmpty():
-        everything = kept(nearest(rows, again, rows.count(), least))
-        first = first.join(short.select("qid"), "qid", "left_anti").unionByName(everything)
-    return ranked(first, [F.desc(F.round("similarity", 9)), F.asc("id")], most)
+    both = persisted(answered.select(F.col("a").alias("qid"), F.col("b").alias("id")).union(answered.select("b", "a")).distinct(), "answered")
+    unlike = ("content_hash", "root_id")
+
+    def kept(due: DataFrame, more: int) -> DataFrame:
+        near = nearest(rows, due, most + more, least, unlike=unlike, others=True)
+        return near.join(both, ["qid", "id"], "left_anti").select("qid", "src", "id", "similarity")
+
+    often = persisted(both.groupBy("qid").agg(F.count("*").alias("n")).filter(F.col("n") > spare), "often")
+    found = kept(due.join(often, "qid", "left_anti"), spare)
+    longest = often.agg(F.max("n")).first()[0]
+    if longest:
+        found = found.unionByName(kept(due.join(often, "qid", "left_semi"), longest))
+    return ranked(found, [F.desc(F.round("similarity", 9)), F.asc("id")], most)
 
 
 def evaluate(hits: DataFrame, relevant: DataFrame, cutoffs: tuple[int, ...] = (1, 5, 10)) -> DataFrame:

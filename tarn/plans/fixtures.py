@@ -19,7 +19,7 @@ CTE = {
     "ent": """ent as (select p_partkey as id, case p_partkey % 5 when 0 then upper(p_name) when 1 then replace(p_name, ' ', '-')
         when 2 then '@' || p_name else p_name end as name, lower(p_type) as entity_type, e.embedding as vec
         from part join embeddings e on e.vec_id = p_partkey % (select count(*) from embeddings))""",
-    "edge": """edge as (select l_orderkey as from_id, l_partkey as to_id, 'mention' as relation, l_returnflag <> 'R' as active,
+    "edge": """edge as (select l_orderkey as from_id, l_partkey as to_id, case when l_linenumber % 4 = 3 then 'about' else 'mention' end as relation, l_returnflag <> 'R' as active,
         l_orderkey * 10 + l_linenumber as id from lineitem)""",
     "rep": """rep as (select doc_id + 1 as from_id, doc_id as to_id, 'replaces' as relation, doc_id % 5 <> 0 as active
         from documents where doc_id % 3 < 2)""",
@@ -30,7 +30,7 @@ CTE = {
     "seg": """seg as (select user_id as recording, epoch(ts) as start, epoch(ts) + value as "end", event_type as speaker, event_id from events)""",
     "sess": "sess as (select conv_id as session, turn as line, role, text from conversations)",
     "alias": """alias as (select p_partkey as id, p_partkey * 3 as canonical_id, p_partkey + 1 as entity_id, lower(p_name) as name_key from part)""",
-    "toks": """toks as (select src, id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from act)""",
+    "toks": """toks as (select src, id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+')) as term from act)""",
 }
 
 
@@ -85,7 +85,8 @@ def plain_ent(spark: SparkSession, d: str) -> DataFrame:
 
 def edge(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").selectExpr(
-        "l_orderkey as from_id", "l_partkey as to_id", "'mention' as relation", "l_returnflag <> 'R' as active", "l_orderkey * 10 + l_linenumber as id"
+        "l_orderkey as from_id", "l_partkey as to_id", "case when l_linenumber % 4 = 3 then 'about' else 'mention' end as relation",
+        "l_returnflag <> 'R' as active", "l_orderkey * 10 + l_linenumber as id",
     )
 
 

@@ -19,7 +19,7 @@ QUERIES, ORACLES = query.queries, query.oracles
 @query(
     sql(
         "edge doc_of",
-        """, c as (select to_id, count(*) as mentions, count(distinct edge.from_id) as sources, count(distinct document) as documents from edge left join doc_of on doc_of.from_id = edge.from_id where active group by to_id)
+        """, c as (select to_id, count(*) as mentions, count(distinct edge.from_id) as sources, count(distinct document) as documents from edge left join doc_of on doc_of.from_id = edge.from_id where active and relation = 'mention' group by to_id)
 select p_partkey as id, coalesce(mentions, 0) as mentions, coalesce(sources, 0) as sources, coalesce(documents, 0) as documents from part left join c on to_id = p_partkey""",
     )
 )
@@ -27,12 +27,12 @@ def entity_list(spark: SparkSession, d: str) -> DataFrame:
     return G.entity_list(X.plain_ent(spark, d), X.edge(spark, d), X.doc_of(spark, d)).select("id", "mentions", "sources", "documents")
 
 
-@query(sql("edge", "select to_id as id, count(*) as mentions from edge where active group by to_id order by mentions desc, id limit 75"))
+@query(sql("edge", "select p_partkey as id, count(edge.id) as mentions from part left join edge on to_id = p_partkey and active and relation = 'mention' group by 1 order by mentions desc, 1 limit 75"))
 def known_entities(spark: SparkSession, d: str) -> DataFrame:
     return G.known_entities(X.plain_ent(spark, d), X.edge(spark, d)).select("id", "mentions")
 
 
-@query(sql("edge doc_of", "select document, to_id, count(*) as weight from edge join doc_of on doc_of.from_id = edge.from_id where active group by 1, 2"))
+@query(sql("edge doc_of", "select document, to_id, count(*) as weight from edge join doc_of on doc_of.from_id = edge.from_id where active and relation = 'mention' group by 1, 2"))
 def graph_rollup(spark: SparkSession, d: str) -> DataFrame:
     return G.document_rollup(X.edge(spark, d), X.doc_of(spark, d))
 
@@ -42,7 +42,7 @@ def graph_rollup(spark: SparkSession, d: str) -> DataFrame:
         "rep typed edge doc_of",
         """select cast(from_id as varchar) as from_id, cast(to_id as varchar) as to_id, relation, cast(null as bigint) as weight from rep where active and from_id not in (select from_id from doc_of)
 union all select cast(from_id as varchar), cast(to_id as varchar), relation, null from typed where active
-union all select 'document:' || document, cast(to_id as varchar), 'mention', count(*) from rep join doc_of on doc_of.from_id = rep.from_id where active group by document, to_id""",
+union all select 'document:' || document, cast(to_id as varchar), 'mention', count(*) from rep join doc_of on doc_of.from_id = rep.from_id where active and relation = 'mention' group by document, to_id""",
     )
 )
 def graph_view(spark: SparkSession, d: str) -> DataFrame:
@@ -54,13 +54,12 @@ def parallel_predicates(spark: SparkSession, d: str) -> DataFrame:
     return G.parallel_predicates(X.typed(spark, d))
 
 
-@query(
-    sql(
-        "edge typed",
-        """, m as (select distinct from_id, to_id from edge where active),
-sh as (select a.to_id as target, b.to_id as other, count(*) as shared from m a join m b on a.from_id = b.from_id and a.to_id <> b.to_id where a.to_id % 100 = 7 group by 1, 2),
+RELATED = sql(
+    "edge typed",
+    """, m as (select distinct from_id, to_id from edge where active and relation = 'mention'),
+sh as (select a.to_id as target, b.to_id as other, count(*) as shared from m a join m b on a.from_id = b.from_id and a.to_id <> b.to_id group by 1, 2),
 st as (select target, other, count(*) as links, max(confidence) as confidence from (select from_id as target, to_id as other, confidence from typed where active union all select to_id, from_id, confidence from typed where active)
- where target % 100 = 7 and target <= 2000 and target <> other group by 1, 2),
+ where target in (select p_partkey from part) and target <> other group by 1, 2),
 c as (select to_id as other, count(*) as mentions from m group by 1),
 names as (select p_partkey as id, p_name as name from part),
 r as (select coalesce(sh.target, st.target) as target, coalesce(sh.other, st.other) as other, coalesce(links, 0) as links, confidence, coalesce(shared, 0) as shared
@@ -68,20 +67,20 @@ r as (select coalesce(sh.target, st.target) as target, coalesce(sh.other, st.oth
 o as (select r.*, name, coalesce(mentions, 0) as mentions, count(*) over (partition by target) as total,
  row_number() over (partition by target order by (links > 0) desc, shared desc, coalesce(mentions, 0) desc, name, r.other) as place from r join names on names.id = r.other left join c on c.other = r.other)
 select target, other, links, shared, mentions, total, cast(place as integer) as place from o where place <= 50""",
-    )
 )
+
+
+@query(RELATED)
 def related_entities(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").selectExpr("p_partkey as id", "p_name as name")
-    found = G.related_entities(part.filter("id % 100 = 7").select("id"), part, X.edge(spark, d), X.typed(spark, d))
+    found = G.related_entities(part.select("id"), part, X.edge(spark, d), X.typed(spark, d))
     return found.select("target", "other", "links", "shared", "mentions", "total", "place")
 
 
-@query()
+@query(RELATED)
 def related_entities_all(spark: SparkSession, d: str) -> DataFrame:
-    """related_entities for every part."""
-    part = table(spark, d, "part").selectExpr("p_partkey as id", "p_name as name")
-    found = G.related_entities(part.select("id"), part, X.edge(spark, d), X.typed(spark, d))
-    return found.select("target", "other", "links", "shared", "mentions", "total", "place")
+    """The name that related_entities had over every part while it took some of them."""
+    return related_entities(spark, d)
 
 
 @query(
@@ -109,7 +108,8 @@ def schema_proposals(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """with raw as (select l_orderkey as source, l_linenumber as pos, trim(p_name) as name, lower(p_type) as type from lineitem join part on p_partkey = l_partkey),
-kept as (select * from raw where type <> 'promo' and length(name) <= 40), one as (select *, row_number() over (partition by source, lower(name), type order by pos) as n from kept),
+kept as (select * from raw where type <> 'promo' and length(name) <= 40 and len(regexp_split_to_array(trim(name), '\\s+')) <= 5 and length(regexp_replace(name, '[^\\p{L}]', '', 'g')) >= 2
+ and not regexp_matches(name, '[=^√∫∑∏∈∉≤≥≠→±≈∞′²³]|\\\\(frac|sqrt|int|sum)|[0-9]\\s*[+\\-*/·×:^]\\s*[0-9]|\\b[a-zA-Z][''′]?\\s*\\([^)]*\\)')), one as (select *, row_number() over (partition by source, lower(name), type order by pos) as n from kept),
 p as (select *, row_number() over (partition by source order by pos, name, type) as place from one where n = 1)
 select source, pos, name, type, cast(place as integer) as place from p where place <= 5"""
 )
@@ -135,7 +135,7 @@ def resolve_names(spark: SparkSession, d: str) -> DataFrame:
 ENTS = """e as (select ent.id, name, entity_type, vec, regexp_replace(regexp_replace(lower(trim(name)), '^@', ''), '\\s+', ' ', 'g') as nkey,
  regexp_replace(lower(name), '[^\\p{L}\\p{N}]+', '', 'g') as mkey, list_filter(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}.]+'), lambda t: t <> '') as toks,
  regexp_matches(trim(name), '^[^\\p{L}\\p{N}]') as punct, length(regexp_replace(name, '[^\\p{Lu}]', '', 'g')) as caps, coalesce(mentions, 0) as mentions
- from ent left join (select to_id, count(*) as mentions from edge where active group by to_id) on to_id = ent.id),
+ from ent left join (select to_id, count(*) as mentions from edge where active and relation = 'mention' group by to_id) on to_id = ent.id),
 reps as (select nkey, min(id) as rep from e group by nkey),
 blocks as (select distinct rep, key from (select rep, 'p:' || substr(mkey, 1, 3) as key from e join reps on rep = e.id union all select rep, 't:' || unnest(toks) from e join reps on rep = e.id)),
 pairs as (select distinct x.rep as a, y.rep as b from blocks x join blocks y on x.key = y.key and x.rep < y.rep
@@ -152,7 +152,7 @@ judged as (select a, b, case when reason = 'same_key' then 'auto' when base > 0
 
 
 def _entities(spark: SparkSession, d: str) -> DataFrame:
-    counts = X.edge(spark, d).filter("active").groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("mentions"))
+    counts = X.edge(spark, d).filter("active and relation = 'mention'").groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("mentions"))
     return N.prepared(X.ent(spark, d).join(counts, "id", "left").withColumn("mentions", F.coalesce("mentions", F.lit(0))))
 
 
@@ -184,7 +184,14 @@ def pick_canonical(spark: SparkSession, d: str) -> DataFrame:
     return _folds(spark, d)
 
 
-@query()
+@query(
+    sql(
+        "ent edge",
+        f""", {ENTS}, {JUDGED}, {PICK}, moved as (select *, coalesce(canonical, to_id) as now, row_number() over (partition by from_id, coalesce(canonical, to_id), relation
+  order by canonical is not null, active desc, to_id) as n from (select distinct from_id, to_id, relation, active from edge) left join fold on source = to_id)
+select from_id, case when canonical is not null and n > 1 then to_id else now end as to_id, relation, active and not (canonical is not null and n > 1) as active from moved""",
+    )
+)
 def fold_repoint(spark: SparkSession, d: str) -> DataFrame:
     edges = N.fold_edges(X.edge(spark, d).drop("id").distinct(), _folds(spark, d))
     return edges.select("from_id", "to_id", "relation", "active")

@@ -17,14 +17,18 @@ QUERIES, ORACLES = query.queries, query.oracles
 
 VEC_ARM = f"""vsim as (select b.qid, a.src, a.id, {SIM} as similarity from act a, q b),
 vec as (select * from (select *, row_number() over (partition by qid order by similarity desc, src, id) as rank from vsim) where rank <= 50)"""
-KW_ARM = """qt as (select distinct qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from q),
-need as (select qid, count(*) as needed from qt group by qid),
-kwhit as (select qt.qid, t.src, t.id, count(distinct t.term) as n, count(*) as score from toks t join qt on qt.term = t.term group by 1, 2, 3),
-kw as (select * from (select k.qid, src, id, score, row_number() over (partition by k.qid order by score desc, src, id) as rank
-    from kwhit k join need on need.qid = k.qid and k.n = needed) where rank <= 50)"""
+KW_ARM = """qu as (select qid, unnest(units) as unit, generate_subscripts(units, 1) as pos from (select qid, regexp_extract_all(lower(text), '-?"[^"]*"|[^\\s"]+') as units from q)),
+qc as (select qid, unit, sum(case when unit = 'or' then 1 else 0 end) over (partition by qid order by pos) as clause from qu),
+qn as (select distinct qid, clause, unit like '-%' as negated, regexp_extract_all(unit, '[\\p{L}\\p{M}\\p{N}]+') as needed from qc where unit <> 'or'),
+flat as (select src, id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+'), ' ') || ' ' as flat from act),
+qt as (select distinct qid, unnest(needed) as term from qn where not negated),
+ok as (select distinct qn.qid, src, id from qn, flat where len(needed) > 0 group by qn.qid, clause, src, id
+ having bool_and(contains(flat, ' ' || array_to_string(needed, ' ') || ' ') <> negated) and bool_or(not negated)),
+kwhit as (select ok.qid, ok.src, ok.id, count(*) as score from ok join toks t on t.src = ok.src and t.id = ok.id join qt on qt.qid = ok.qid and qt.term = t.term group by 1, 2, 3),
+kw as (select * from (select qid, src, id, score, row_number() over (partition by qid order by score desc, src, id) as rank from kwhit) where rank <= 50)"""
 ENT_ARM = f"""anc as (select * from (select qid, canonical, distance, row_number() over (partition by qid order by distance, canonical) as rank from
     (select b.qid, a.id as canonical, round(1 - {SIM}, 9) as distance from ent a, q b where {SIM} >= 0.6)) where rank <= 10),
-enthit as (select qid, 'memory' as src, from_id as id, count(distinct canonical) as score from anc join edge on to_id = canonical and active
+enthit as (select qid, 'memory' as src, from_id as id, count(distinct canonical) as score from anc join edge on to_id = canonical and active and relation = 'mention'
     join act m on m.id = from_id group by 1, 2, 3),
 enta as (select * from (select *, row_number() over (partition by qid order by score desc, src, id) as rank from enthit) where rank <= 50)"""
 FUSE = """fused as (select qid, src, id, round(sum(w), 9) as rrf_score from (

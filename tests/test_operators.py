@@ -7,11 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
-from tarn.functions.vectors import fnv1a, hash_embed
+from tarn.functions.vectors import fnv1a, hash_embed, nearest
 from tarn.operators import beliefs as B
 from tarn.operators import documents as D
 from tarn.operators import entities as N
 from tarn.operators import graph as G
+from tarn.operators import reconcile as C
 from tarn.operators import recordings as A
 from tarn.operators import retrieval as R
 from tarn.operators import sessions as S
@@ -52,6 +53,55 @@ def test_redact(spark):
     assert one(spark, T.secret_hits(F.col("t")), t=text) == 3
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("npm_abcdefghijklmnop1234 x", "[redacted] x"),
+        ("Authorization: Bearer abcdefghijklmnop.qrs", "Authorization: [redacted]"),
+        ('DB_CREDENTIALS="two words here"', "DB_CREDENTIALS=[redacted]"),
+        ("my_token: 'short'", "my_token: 'short'"),
+        ('"api_key": "sk-abcdefghijklmnopqrst"', '"api_key": "[redacted]"'),
+        ("eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJ ok", "[redacted] ok"),
+        ("token=abc", "token=abc"),
+    ],
+)
+def test_redact_shapes(spark, text, want):
+    assert one(spark, T.redact(F.col("t")), t=text) == want
+
+
+@pytest.mark.parametrize("name, want", [("C++", False), ("CI/CD", True), ("TCP/IP", True), ("C++ Builder", True), ("10/2 ab", False), ("a = b c", False), ("g'(2) ab", False), ("Łódź", True), ("x", False), ("one two three four five six", False)])
+def test_plausible_names(spark, name, want):
+    assert one(spark, T.plausible_name(F.col("t")), t=name) is want
+
+
+@pytest.mark.parametrize("query, want", [("ref=a&x=1", "?x=1"), ("gbraid=1&wbraid=2&S_KWCID=3", ""), ("dclid=1&yclid=2", "?dclid=1&yclid=2"), ("utm_x.y=1", "")])
+def test_tracking_parameters(spark, query, want):
+    assert one(spark, T.normalize_url(F.col("t")), t=f"https://a.com/p?{query}") == f"https://a.com/p{want}"
+    assert one(spark, T.normalize_url(F.col("t")), t="HTTPS://A.com#x") == "https://a.com/"
+
+
+def test_run_due(spark):
+    def due(hours, idle, indexing=False):
+        return one(spark, C.run_due(F.expr("try_cast(h as double)"), F.expr("try_cast(i as double)"), F.lit(indexing)), h=str(hours), i=str(idle))
+
+    assert [due(49, 0), due(37, 0), due(21, 11), due(21, 9), due(19, 60), due("never", 11), due(49, 0, True)] == [True, False, True, False, False, True, False]
+    assert [one(spark, C.startup_due(F.expr("try_cast(h as double)")), h=h) for h in ("never", "36", "35")] == [True, True, False]
+
+
+def test_mentions_only(spark):
+    edges = spark.createDataFrame([("b", 1, "mention", True), ("b", 2, "about", True), ("c", 1, "mention", False), ("c", 2, "mention", True)], "from_id string, to_id long, relation string, active boolean")
+    names = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "id long, name string")
+    assert [(r.id, r.mentions) for r in G.known_entities(names, edges).collect()] == [(1, 1), (2, 1), (3, 0)]
+    docs = spark.createDataFrame([("b", 7), ("c", 7)], "from_id string, document long")
+    assert sorted((r.to_id, r.weight) for r in G.document_rollup(edges, docs).collect()) == [(1, 1), (2, 1)]
+
+
+def test_components_past_the_broadcast(spark):
+    links = [(100, i) for i in range(101, 400)] + [(i, i + 1) for i in range(30)] + [(399, 1000 + i) for i in range(50)]
+    found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), few=10, hub=20).collect()}
+    assert found == {i: 0 for i in range(31)} | {i: 100 for i in (*range(100, 400), *range(1000, 1050))}
+
+
 def test_citations_and_names(spark):
     assert one(spark, T.keep_citations(F.col("t"), F.lit(2)), t="a [1] b [3] c [2] [0]") == "a [1] b  c [2] "
     assert one(spark, T.schema_name(F.col("t")), t="  Works At (Co.) ") == "works_at_co"
@@ -77,15 +127,23 @@ def test_chunking():
     made = D.chunk_markdown("intro\n# A\ntext\n```\n# not a heading\n```\n## B\nmore\n# C\n\n")
     assert [p for p, _ in made] == ["", "A", "A > B"]
     assert "# not a heading" in made[1][1] and made[2][1] == "A > B\n\nmore"
-    points = D.chunk_outline("CHAPTER ONE\n1. Alpha Beta: first point here\n2) second point is long enough\n")
-    assert [p for p, _ in points] == ["CHAPTER ONE > 1. Alpha Beta", "CHAPTER ONE > 2"]
+    points = D.chunk_outline("CHAPTER  ONE\n1. DEFINITION 3. Let there be points\n2) second point is long enough\n and goes on\n3. O czym\nŚREDNIA\nText under it")
+    assert points == [
+        ("CHAPTER ONE > 1. DEFINITION 3.", "CHAPTER ONE > 1. DEFINITION 3.\n\n1. DEFINITION 3. Let there be points"),
+        ("CHAPTER ONE > 2.", "CHAPTER ONE > 2.\n\n2) second point is long enough\n and goes on"),
+        ("CHAPTER ONE > 3.", "CHAPTER ONE > 3.\n\n3. O czym"), ("ŚREDNIA", "ŚREDNIA\n\nText under it"),
+    ]
+    assert D.chunk_outline("1. a point that is long\nmore") == [("1.", "1.\n\n1. a point that is long\nmore")]
+    assert [p for p, _ in D.chunk_outline("tiny\n1. a point that is long")] == ["1."] and D.chunk_outline("tiny") == [("", "tiny")]
 
 
 def test_reading_order(spark):
     left = [(1, 10.0, 700.0 - 20 * i, 100.0, f"l{i}") for i in range(5)]
     right = [(1, 400.0, 700.0 - 20 * i, 100.0, f"r{i}") for i in range(5)]
-    rows = D.reading_order(spark.createDataFrame(right + left, "page int, x double, y double, w double, text string"), 600.0)
-    assert [r.text for r in rows.orderBy("line").collect()] == [f"l{i}" for i in range(5)] + [f"r{i}" for i in range(5)]
+    items = [("a", *x) for x in right + left] + [("b", 1, 10.0, 650.0, 50.0, "other")]
+    rows = D.reading_order(spark.createDataFrame(items, "document string, page int, x double, y double, w double, text string"), 600.0)
+    got = [(r.document, r.text) for r in rows.orderBy("document", "line").collect()]
+    assert got == [("a", f"l{i}") for i in range(5)] + [("a", f"r{i}") for i in range(5)] + [("b", "other")]
 
 
 def test_article():
@@ -93,6 +151,65 @@ def test_article():
     assert D.article_text(html) == "# T\n\na b\n\n- i"
 
 
+def test_keyword_phrases_alternatives_and_scripts(spark):
+    texts = ["red apple pie", "apple red", "zażółć gęślą", "za gl", "日本 語", "cherry", "Red, APPLE! red"]
+    rows = spark.createDataFrame([("m", i, t) for i, t in enumerate(texts)], "src string, id long, text string")
+    asked = ['"red apple"', "red apple", "zażółć", "日本", "cherry OR apple pie", 'apple -"red apple"', "-red", '"apple red" or "gl"', "well-read or cherry"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "qid long, text string")
+    want = {0: {0, 6}, 1: {0, 1, 6}, 2: {2}, 3: {4}, 4: {5, 0}, 5: {1}, 7: {1, 3, 6}, 8: {5}}
+    for index in (None, R.postings(rows)):
+        got = {}
+        for r in R.keyword_arm(rows, queries, index=index).collect():
+            got.setdefault(r.qid, {})[r.id] = (r.score, r["rank"])
+        assert {q: set(x) for q, x in got.items()} == want
+        assert got[1] == {6: (3, 1), 0: (2, 2), 1: (2, 3)}
+
+
+def test_nearest_by_blocks_like_broadcast(spark, monkeypatch):
+    rng = random.Random(31)
+    made = [("m", i, [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)], f"h{i % 7}") for i in range(200)] + [("m", 500, [0.0] * 4, "z"), ("m", 501, None, "z")]
+    rows = spark.createDataFrame(made, "src string, id long, vec array<double>, h string")
+    queries = rows.select(F.col("id").alias("qid"), "vec", "h")
+    monkeypatch.setattr("tarn.functions.vectors.BLOCK", 60)
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    for options in ({}, {"unlike": "h", "others": True}, {"once": True}, {"least": 0.5}):
+        got = [{(r.qid, r.id, round(r.similarity, 9)) for r in nearest(rows, queries, 5, block=b, **options).collect()} for b in (1000, 10)]
+        want = set()
+        for q in made:
+            near = [] if not q[2] or not any(q[2]) else [(-round(cosine(q[2], r[2]), 9), r[1]) for r in made if r[2] and any(r[2])]
+            near = [x for x in near if not options.get("others") or (x[1] != q[1] and made[x[1]][3] != q[3])]
+            near = [x for x in near if -x[0] >= options.get("least", -2)]
+            want |= {(q[1], i, -s) for s, i in sorted(near)[:5]}
+        assert got == [want, want]
+
+
+def test_dedup_candidates_beside_copies(spark):
+    rows = [(i, [1.0, 0.0], "own", i, "s") for i in range(8)] + [(10 + i, [1.0, 0.1 * i], f"h{i}", i, "s") for i in range(1, 6)]
+    rows = spark.createDataFrame(rows, "id long, vec array<double>, content_hash string, root_id long, src string")
+    incoming = spark.createDataFrame([(1, [1.0, 0.0], "own")], "qid long, vec array<double>, content_hash string")
+    assert [r.id for r in R.dedup_candidates(rows, incoming).orderBy("rank").collect()] == [11, 12, 13, 14, 15]
+
+
+def test_anchors_beside_many_aliases(spark):
+    made = [(1, [1.0, 0.001 * i]) for i in range(90)] + [(k, [1.0, 0.1 * k]) for k in range(2, 7)]
+    entities = spark.createDataFrame([(k, i, v) for i, (k, v) in enumerate(made)], "canonical long, id long, vec array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, vec array<double>")
+    assert [r.canonical for r in R.entity_anchors(entities, queries).orderBy("distance").collect()] == [1, 2, 3, 4, 5, 6]
+
+
+def test_recheck_with_many_answered_pairs(spark):
+    rows = spark.createDataFrame([(i, [1.0, 0.01 * i], f"h{i}", i, "s") for i in range(40)], "id long, vec array<double>, content_hash string, root_id long, src string")
+    due = rows.filter("id = 0").select(F.col("id").alias("qid"), "vec", "content_hash", "root_id")
+    answered = spark.createDataFrame([(0, i) for i in range(1, 30)], "a long, b long")
+    assert [r.id for r in R.recheck_pairs(rows, due, answered, most=3, spare=5).orderBy("rank").collect()] == [30, 31, 32]
+
+
+def test_in_session(spark):
+    chunks = spark.createDataFrame([(1, None), (2, "a"), (3, "b")], "id long, session string")
+    assert [r.id for r in R.in_session(chunks).collect()] == [1]
+    assert [r.id for r in R.in_session(chunks, F.lit("a")).orderBy("id").collect()] == [1, 2]
+
+
 def test_keyword_negation_and_abstention(spark):
     rows = spark.createDataFrame([("m", 1, "red apple"), ("m", 2, "red pear"), ("m", 3, "green")], "src string, id long, text string")
     queries = spark.createDataFrame([(1, "red -pear"), (2, "blue"), (3, "")], "qid long, text string")
@@ -132,7 +249,7 @@ def test_verdicts(spark):
 
 def test_related_to_all_like_brute_force(spark):
     of = {}
-    for r in spark.read.parquet(f"{DATA}/lineitem.parquet").filter("l_returnflag <> 'R'").select("l_orderkey", "l_partkey").distinct().collect():
+    for r in spark.read.parquet(f"{DATA}/lineitem.parquet").filter("l_returnflag <> 'R' and l_linenumber % 4 <> 3").select("l_orderkey", "l_partkey").distinct().collect():
         of.setdefault(r.l_orderkey, set()).add(r.l_partkey)
     shared, mentions = {}, {}
     for parts in of.values():
