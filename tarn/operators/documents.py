@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.checkpoints import bounded
 from tarn.functions.text import basename, inside, on_disk
 
 TARGET, MAXIMUM, OVERLAP = 1600, 2048, 200
@@ -178,7 +179,7 @@ def under_roots(docs: DataFrame, roots: DataFrame) -> DataFrame:
     """Documents per root: each path's ancestor folders are exploded, so the range join is an equi join."""
     parts = F.split("path", "/")
     above = docs.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("root"))
-    hits = above.join(F.broadcast(roots.select(F.regexp_replace("root", "/+$", "").alias("root"))), "root")
+    hits = above.join(bounded(roots.select(F.regexp_replace("root", "/+$", "").alias("root"))), "root")
     return roots.select(F.regexp_replace("root", "/+$", "").alias("root")).join(hits.groupBy("root").agg(F.count("*").alias("documents")), "root", "left").select(
         "root", F.coalesce("documents", F.lit(0)).alias("documents")
     )

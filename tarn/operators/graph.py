@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.checkpoints import bounded
 from tarn.functions.text import name_key, plausible_name, schema_name
 
 CONFIDENT = 0.7
@@ -95,7 +96,7 @@ def proposals(examples: DataFrame, vocabulary: DataFrame, least: int = 2) -> Dat
 def extracted_entities(raw: DataFrame, types: DataFrame) -> DataFrame:
     """``raw`` (source, pos, name, type) -> at most five plausible entities a source of known types, first ones first."""
     kept = raw.select("source", "pos", F.trim("name").alias("name"), F.lower(F.trim("type")).alias("type")).filter((F.col("name") != "") & plausible_name(F.col("name")))
-    kept = kept.join(F.broadcast(types.select("type")), "type", "left_semi")
+    kept = kept.join(bounded(types.select("type")), "type", "left_semi")
     first = F.row_number().over(Window.partitionBy("source", F.lower("name"), "type").orderBy("pos"))
     kept = kept.withColumn("n", first).filter("n = 1").drop("n")
     return kept.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("pos", "name", "type"))).filter(F.col("place") <= MOST_EXTRACTED)
@@ -113,7 +114,7 @@ def extracted_links(raw: DataFrame, entities: DataFrame, predicates: DataFrame)
     ).filter("subject <> object")
     for end in ("subject", "object"):
         rows = rows.join(known.withColumnRenamed("key", end), ["source", end], "left_semi")
-    rows = rows.join(F.broadcast(predicates.select("predicate", F.lit(True).alias("known"))), "predicate", "left")
+    rows = rows.join(bounded(predicates.select("predicate", F.lit(True).alias("known"))), "predicate", "left")
     sure = F.coalesce("known", F.lit(False)) & (F.col("confidence") >= CONFIDENT)
     rows = rows.withColumn("relation", F.when(sure, F.col("predicate")).otherwise("mention"))
     first = F.row_number().over(Window.partitionBy("source", "subject", "relation", "object").orderBy("pos"))

@@ -196,6 +196,26 @@ def evaluate(hits: DataFrame, relevant: DataFrame, cutoffs: tuple[int, ...] = (1
     )
 
 
+def quotes_in(sources: DataFrame, quotes: DataFrame, least: int = 15) -> DataFrame:
+    """``sources`` (id, text) and ``quotes`` (qid, quote) of at least ``least`` characters -> (qid, id) where the quote stands.
+
+    White space and case don't count. A quote's inner words stand whole in a source, so its longest one proposes the sources
+    and only those are compared; quotes of fewer than three words, which have none, are compared with every source.
+    """
+    canon = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    words = F.split("quote", " ")
+    inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w), w.alias("w")))
+    asked = quotes.select("qid", canon(F.col("quote")).alias("quote")).filter(F.length("quote") >= least)
+    asked = persisted(asked.withColumn("seed", F.array_max(inner)["w"]), "quotes")
+    flat = persisted(sources.select("id", canon(F.col("text")).alias("flat")), "sources")
+    seeded, short = bounded(asked.filter("seed is not null")), asked.filter("seed is null").drop("seed")
+    found = flat.withColumn("seed", F.explode(F.array_distinct(F.split("flat", " ")))).join(seeded, "seed").filter(F.contains(F.col("flat"), F.col("quote")))
+    found = found.select("qid", "id")
+    if not short.isEmpty():
+        found = found.unionByName(flat.join(bounded(short), F.contains(F.col("flat"), F.col("quote"))).select("qid", "id"))
+    return found
+
+
 def session_search(messages: DataFrame, phrase: str, limit: int = 20, snippet: int = 160) -> DataFrame:
     """Best message of each session that holds the phrase, latest first among equals."""
     hits = messages.filter(F.contains(F.lower("text"), F.lit(phrase.lower())))

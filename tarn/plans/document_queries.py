@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarn.functions import text as T
 from tarn.operators import documents as D
 from tarn.operators import recordings as A
+from tarn.operators import retrieval as R
 from tarn.plans import fixtures as X
 from tarn.plans.fixtures import sql
 from tarn.plans.registry import Registry
@@ -71,9 +72,9 @@ def math_density(spark: SparkSession, d: str) -> DataFrame:
  and contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'))))"""
 )
 def quote_verify(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    found = _docs(spark, d).join(F.broadcast(items), T.quote_found(F.col("text"), F.col("quote")))
-    return found.select("item_id", "doc_id")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("quote"))
+    found = R.quotes_in(_docs(spark, d).select(F.col("doc_id").alias("id"), "text"), items)
+    return found.select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"))
 
 
 @query("select doc_id, cast(ceil(length(text) / 4.0) as bigint) as tokens, case when length(text) > 80 then substr(text, 1, 80) || '...' else text end as short, sha256(text) || '#p2' as hash from documents")

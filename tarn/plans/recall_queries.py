@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.checkpoints import persisted
 from tarn.functions import vectors as V
 from tarn.operators import retrieval as R
 from tarn.plans import fixtures as X
@@ -81,6 +84,15 @@ def recall_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return R.recall(rows.select("src", "id", "text"), rows, X.q(spark, d), entities, X.edge(spark, d))
 
 
+def single(spark: SparkSession, d: str) -> Callable[[SparkSession, str], DataFrame]:
+    """recall_hybrid for one query, over a store whose beliefs and keyword index are written once, here."""
+    rows = persisted(X.active(spark, d), "beliefs")
+    entities = persisted(X.ent(spark, d).select("id", F.col("id").alias("canonical"), "vec"), "entities")
+    index = persisted(R.postings(rows).sortWithinPartitions("term"), "index")
+    query_ = persisted(X.q(spark, d).orderBy("qid").limit(1), "query")
+    return lambda s, d: R.recall(rows.select("src", "id", "text"), rows, query_, entities, X.edge(s, d), index=index)
+
+
 @query(
     sql(
         "mem q",
@@ -132,7 +144,7 @@ def recheck_pairs(spark: SparkSession, d: str) -> DataFrame:
     sql(
         "mem act toks q",
         _arms(VEC_ARM, KW_ARM, FUSE.format(ent="").replace("select qid, src, id, rrf_score", ", hits as (select qid, src, id, rrf_score", 1))
-        + """), rel as (select distinct q.qid, a.id from q join act a on contains(a.text, q.text)),
+        + """), rel as (select distinct q.qid, a.id from q join act a on contains(lower(trim(regexp_replace(a.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(q.text, '\\s+', ' ', 'g'))))),
 truth as (select qid, count(*) as total from rel group by qid),
 got as (select h.qid, min(rank) as first, sum(case when rank <= 1 then 1 else 0 end) as a1, sum(case when rank <= 5 then 1 else 0 end) as a5, sum(case when rank <= 10 then 1 else 0 end) as a10
   from hits h join rel r on r.qid = h.qid and r.id = h.id group by h.qid)
@@ -143,8 +155,7 @@ select count(*) as queries, round(avg(coalesce(1.0::double / first, 0)), 6) as m
 def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
     rows, queries = X.active(spark, d), X.q(spark, d)
     hits = R.recall(rows.select("src", "id", "text"), rows, queries, use=("vector", "keyword"))
-    item = F.broadcast(queries.select("qid", F.col("text").alias("item")))
-    relevant = rows.select("id", "text").join(item, F.expr("contains(text, item)")).select("qid", "id")
+    relevant = R.quotes_in(rows.select("id", "text"), queries.select("qid", F.col("text").alias("quote")), least=1)
     return R.evaluate(hits, relevant)
 
 

@@ -204,6 +204,17 @@ def test_recheck_with_many_answered_pairs(spark):
     assert [r.id for r in R.recheck_pairs(rows, due, answered, most=3, spare=5).orderBy("rank").collect()] == [30, 31, 32]
 
 
+def test_quotes_in_like_brute_force(spark):
+    rng = random.Random(33)
+    texts = [" ".join(rng.choice(["ab", "cd", "Ab", "abcd", "x\ty"]) for _ in range(12)) for _ in range(60)]
+    quotes = [" ".join(t.split()[2:7])[1:] for t in texts[:10]] + ["cd ab", "bcd", "", "never seen in them"]
+    flat = lambda t: " ".join(t.split()).lower()
+    want = {(q, i) for q, x in enumerate(quotes) for i, t in enumerate(texts) if len(flat(x)) >= 2 and flat(x) in flat(t)}
+    sources = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = [(r.qid, r.id) for r in R.quotes_in(sources, spark.createDataFrame(list(enumerate(quotes)), "qid long, quote string"), 2).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_in_session(spark):
     chunks = spark.createDataFrame([(1, None), (2, "a"), (3, "b")], "id long, session string")
     assert [r.id for r in R.in_session(chunks).collect()] == [1]
