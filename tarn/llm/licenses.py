@@ -1,52 +1,38 @@
 """Licence scan with DataFrame functions only: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Units of a text are its lines and its paragraphs (between blank lines) that hold a word licences live on (``ANCHOR``). A
-unit's and a template's words weigh (1 + ln tf) * idf, with idf from the templates, and a unit takes the template of the
-largest cosine, if that reaches ``THRESHOLD``. A document takes its best unit's licence. It is a licence file if its name
-says so or that unit holds at least half of its words; such a file's licence goes to its directory. A document without a
-licence of its own inherits that of the nearest directory above it; directories are resolved once each, not once a file.
-
-Defined cases: null and empty texts have no unit; equal cosines go to the first template in order of name, equal units of a
-directory to the best cosine and then the smallest doc_id; rows without doc_id have no licence of their own but inherit;
-rows that repeat a doc_id share the best unit of all of them; a null path is in no directory; extra columns don't matter.
+Units of a text are its lines and its paragraphs (between blank lines) that hold a word licences live on (``ANCHOR``), and
+the whole text where that holds one and is at most twice as long as the longest template. Templates are headers and whole
+texts. A unit's and a template's words weigh (1 + ln tf) * idf, with idf from the templates, and a unit takes the template
+of the largest cosine, if that reaches ``THRESHOLD``. A document takes its best unit's licence. It is a licence file if its
+name says so, or if its whole text is near to the whole text of a licence; such a file's licence goes to its directory. A
+document without a licence of its own inherits that of the nearest directory above it; directories are resolved once each,
+not once a file.
+
+Defined cases: null and empty texts have no unit; in texts of any length every line and paragraph is a unit; equal cosines
+go to the first licence in order of name, equal units of a directory to the best cosine and then the smallest doc_id; rows
+without doc_id have no licence of their own but inherit; rows that repeat a doc_id share the best unit of all of them; a
+null path is in no directory; an empty table gives no rows; extra columns don't matter.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm.common import bounded, persisted
+from tarn.llm.license_texts import HEADERS, TEXTS
 
 THRESHOLD = 0.7
 #: Distinct directories up to which their licences are broadcast.
 FEW = 500_000
-ANCHOR = r"(?i)licen[cs]e|copyright|copying|all rights reserved|spdx-|permission is hereby|redistribution and use|public domain"
+ANCHOR = r"(?i)licen[cs]e|copyright|copying|all rights reserved|spdx-|permission is (hereby )?granted|redistribution and use|public domain"
 WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.-][a-z0-9.-]+)?$"
-
-# SPDX names and the customary headers of those licences.
-TEMPLATES = {
-    "AGPL-3.0": "This program is licensed under the GNU Affero General Public License, version 3.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-2-Clause": "Licensed under the BSD 2-Clause Simplified License.",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License, CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0, Creative Commons Attribution-ShareAlike.",
-    "CC0-1.0": "To the extent possible under law, the author has waived all copyright, dedicated to the public domain under CC0 1.0.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "ISC": "Permission to use, copy, modify, and distribute this software is hereby granted under the ISC License.",
-    "LGPL-2.1": "Licensed under the GNU Lesser General Public License, version 2.1.",
-    "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Proprietary": "All rights reserved.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
+#: Words of the longest template, twice: a longer text is no licence file, whatever it quotes.
+LONGEST = 2 * max(len(re.findall(WORD, t.lower())) for t in TEXTS.values())
 
 
 def words(text: Column) -> Column:
@@ -60,25 +46,32 @@ def _weights(rows: DataFrame, keys: list[str], idf: DataFrame, other: float) ->
     return known.select(*keys, "term", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(other))).alias("weight"))
 
 
+def known_templates(spark: SparkSession) -> DataFrame:
+    """(license, template, whole): headers, and whole texts."""
+    rows = [(k, t, whole) for whole, texts in ((False, HEADERS), (True, TEXTS)) for k, t in texts.items()]
+    return spark.createDataFrame(rows, "license string, template string, whole boolean")
+
+
 def cosines(units: DataFrame, templates: DataFrame) -> DataFrame:
-    """``units`` (doc_id, unit_id, unit) and ``templates`` (license, template), a short table -> (doc_id, unit_id, license, score).
+    """``units`` (doc_id, unit_id, unit) and ``templates`` (license, template, whole), a short table, -> (doc_id, unit_id, license, whole, score).
 
     Past the words of a unit only its number travels, never its text.
     """
-    named = templates.select("license", words(F.col("template")).alias("terms"))
+    key = ["license", "whole"]
+    named = templates.select(*key, words(F.col("template")).alias("terms"))
     n = named.count()
-    idf = named.select("license", F.explode("terms").alias("term")).distinct().groupBy("term").agg(
+    idf = named.select(*key, F.explode("terms").alias("term")).distinct().groupBy("term").agg(
         (F.log((n + 1) / (F.count("*") + 1)) + 1).alias("idf")
     )
     other = math.log(n + 1) + 1
-    ours = _weights(named, ["license"], idf, other).withColumnRenamed("weight", "t_weight")
-    norms = ours.groupBy("license").agg(F.sqrt(F.sum(F.col("t_weight") * F.col("t_weight"))).alias("t_norm"))
-    ours = ours.join(norms, "license").select("license", "term", (F.col("t_weight") / F.col("t_norm")).alias("t_weight"))
+    ours = _weights(named, key, idf, other).withColumnRenamed("weight", "t_weight")
+    norms = ours.groupBy(*key).agg(F.sqrt(F.sum(F.col("t_weight") * F.col("t_weight"))).alias("t_norm"))
+    ours = ours.join(norms, key).groupBy("term").agg(F.collect_list(F.struct(*key, (F.col("t_weight") / F.col("t_norm")).alias("t_weight"))).alias("in"))
     theirs = _weights(units.select("doc_id", "unit_id", words(F.col("unit")).alias("terms")), ["doc_id", "unit_id"], idf, other)
+    each = theirs.join(F.broadcast(ours), "term").select("doc_id", "unit_id", "weight", F.explode("in").alias("t"))
     squared = theirs.groupBy("doc_id", "unit_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = theirs.join(F.broadcast(ours), "term").groupBy("doc_id", "unit_id", "license")
-    dots = dots.agg(F.sum(F.col("weight") * F.col("t_weight")).alias("dot"))
-    return dots.join(squared, ["doc_id", "unit_id"]).select("doc_id", "unit_id", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
+    dots = each.groupBy("doc_id", "unit_id", "t.license", "t.whole").agg(F.sum(F.col("weight") * F.col("t.t_weight")).alias("dot"))
+    return dots.join(squared, ["doc_id", "unit_id"]).select("doc_id", "unit_id", *key, F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
 
 
 def ancestors(path: Column) -> Column:
@@ -97,28 +90,28 @@ def scan(
 ) -> DataFrame:
     """One row per document: doc_id, own (licence of its own), score, license_file, license, licensed_by (its directory if inherited)."""
     spark = docs.sparkSession
-    templates = templates or spark.createDataFrame(list(TEMPLATES.items()), "license string, template string")
+    templates = templates or known_templates(spark)
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), path.cast("string").alias("path")
     )
     holds = lambda x: x.rlike(ANCHOR)
+    size = F.size(words(F.col("text")))
+    parts = F.concat(F.filter(F.split("text", r"\r?\n"), holds), F.filter(F.split("text", r"\r?\n[ \t]*\r?\n"), holds))
+    whole = F.when(size <= LONGEST, F.array("text")).otherwise(F.array().cast("array<string>"))
     candidates = rows.filter(holds(F.col("text")) & F.col("doc_id").isNotNull()).select(
-        "doc_id",
-        "path",
-        F.size(words(F.col("text"))).alias("n_words"),
-        F.explode(
-            F.array_distinct(
-                F.concat(F.filter(F.split("text", r"\r?\n"), holds), F.filter(F.split("text", r"\r?\n[ \t]*\r?\n"), holds))
-            )
-        ).alias("unit"),
+        "doc_id", F.xxhash64("text").alias("of"), F.explode(F.array_distinct(F.concat(parts, whole))).alias("unit")
     )
-    candidates = candidates.withColumn("unit_id", F.xxhash64("unit")).withColumn("n_unit", F.size(words(F.col("unit"))))
-    candidates = persisted(candidates.dropDuplicates(["doc_id", "path", "unit_id"]), "units")
+    candidates = candidates.withColumn("unit_id", F.xxhash64("unit")).withColumn("entire", F.col("unit_id") == F.col("of")).drop("of")
+    candidates = persisted(candidates.dropDuplicates(["doc_id", "unit_id", "entire"]), "units")
     found = cosines(candidates.dropDuplicates(["doc_id", "unit_id"]), templates).filter(F.col("score") >= threshold)
-    sized = candidates.select("doc_id", "unit_id", "n_words", "n_unit").distinct()
-    found = found.join(sized, ["doc_id", "unit_id"]).withColumn("covers", F.col("n_unit") * 2 >= F.col("n_words"))
-    best = found.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license", (~F.col("covers")).alias("partly"))).alias("best"))
-    own = best.select("doc_id", F.col("best.license").alias("own"), (-F.col("best.minus")).alias("score"), (~F.col("best.partly")).alias("covers"))
+    entire = candidates.filter("entire").select("doc_id", "unit_id", "entire").distinct()
+    found = found.join(entire, ["doc_id", "unit_id"], "left").withColumn("covers", F.coalesce("entire", F.lit(False)) & F.col("whole"))
+    best = found.groupBy("doc_id").agg(
+        F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"),
+        F.min(F.when(F.col("covers"), F.struct((-F.col("score")).alias("minus"), "license"))).alias("file"),
+    )
+    chosen = F.coalesce("file", "best")  # a licence's whole text tells more than one of its lines
+    own = best.select("doc_id", chosen["license"].alias("own"), (-chosen["minus"]).alias("score"), F.col("file").isNotNull().alias("covers"))
     own = persisted(own, "own")
     placed = rows.select("doc_id", "path", F.element_at(ancestors(F.col("path")), -1).alias("dir")).join(own, "doc_id", "left")
     placed = placed.withColumn("license_file", F.col("own").isNotNull() & (F.col("covers") | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))))

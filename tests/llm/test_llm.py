@@ -667,10 +667,48 @@ def test_licences(spark):
     assert licenses.scan(docs.limit(0), F.col("path")).count() == 0
 
 
+def test_licence_texts(spark):
+    texts = {f"{k}/{how}": wrap(t) for k, t in licenses.TEXTS.items() for how, wrap in (("plain", lambda t: f"Copyright (c) 2020 Someone\n\n{t}"), ("lines", lambda t: "\n".join(re.findall(r".{1,70}(?:\s|$)", t))))}
+    rows = [(i, t, f"repo{i}/any/name.txt") for i, t in enumerate(texts.values())]
+    rows += [(100 + i, "code only", f"repo{i}/any/deep/er/x.py") for i in range(len(texts))]
+    rows += [(300, "word " * 100_000 + "\nReleased under the MIT License.\n", "long/a"), (301, "x", "long/b"), (302, "Released under the MIT License.", "short/a"), (303, "x", "short/b")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, path string"), F.col("path")).collect()}
+    for i, name in enumerate(texts):
+        assert (got[i].own, got[i].license_file) == (name.split("/")[0], True), (name, got[i])
+        assert (got[100 + i].license, got[100 + i].licensed_by) == (name.split("/")[0], f"repo{i}/any")
+    # a line names the document's licence, but makes it no licence file
+    assert [(got[i].license, got[i].license_file) for i in (300, 301, 302, 303)] == [("MIT", False), (None, False), ("MIT", False), (None, False)]
+
+
+def test_licence_inheritance_like_brute_force(spark):
+    rng = random.Random(41)
+    names = ["MIT", "ISC", "Zlib"]
+    rows = []
+    for i in range(200):
+        folder = "/".join(rng.choice("ab") for _ in range(rng.randrange(5)))
+        given = rng.random() < 0.15
+        rows.append((i, licenses.TEXTS[rng.choice(names)] if given else "code", f"{folder}/f{i}" if folder else f"f{i}"))
+    of = {t: k for k, t in licenses.TEXTS.items()}
+    want, dirs = {}, {}
+    for i, t, path in rows:
+        if t in of:
+            dirs.setdefault(path.rpartition("/")[0], []).append((i, of[t]))
+    for i, t, path in rows:
+        at, by = path, None
+        while by is None and at:
+            at = at.rpartition("/")[0]
+            by = at if at in dirs else None
+        want[i] = (of[t], None) if t in of else (None if by is None else True, by)
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, path string"), F.col("path")).collect()}
+    for i, (license_, by) in want.items():
+        assert got[i].licensed_by == by
+        assert got[i].license == license_ if by is None else got[i].license in {k for _, k in dirs[by]}
+
+
 def test_licence_cosines_like_brute_force(spark):
     units = spark.createDataFrame([(1, 1, "released under the mit license, really"), (2, 2, "gnu general public license version 3 of it")], "doc_id long, unit_id long, unit string")
-    templates = list(licenses.TEMPLATES.items())
-    found = {(r.doc_id, r.license): r.score for r in licenses.cosines(units, spark.createDataFrame(templates, "license string, template string")).collect()}
+    templates = [((r.license, r.whole), r.template) for r in licenses.known_templates(spark).collect()]
+    found = {(r.doc_id, (r.license, r.whole)): r.score for r in licenses.cosines(units, licenses.known_templates(spark)).collect()}
     terms = lambda t: re.findall(licenses.WORD, t.lower())
     df = {}
     for _, t in templates:
