@@ -3,9 +3,8 @@
 Texts are lower-cased, everything but letters becomes a space, and runs of 1 to ``ORDERS`` characters are hashed into
 ``BUCKETS`` cells. The model is a matrix of log probabilities, BUCKETS x languages, whose size does not depend on the
 corpus (256 KB a language); it is broadcast, and each batch of texts is scored as sparse rows of cell numbers. It is
-learnt from a bounded sample of labelled rows: the ``PER_LANG`` ids of the smallest hash in each language. Which ids
-these are is found from ids and languages alone, so no text is shuffled and a language with most of the rows is no hot
-task: rows whose hash is surely too large go first, by the language's count.
+learnt from a bounded sample of labelled rows: the up to ``PER_LANG`` ids of the smallest hashes in each language. Which ids
+these are is found by counting hashes in cells, so no text is shuffled and a language with most of the rows is no hot task.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text if nothing could be learnt;
 equal scores go to the first language in order; repeated rows are taken each on their own (a sampled id that repeats
@@ -36,8 +35,8 @@ SMOOTH = 0.5
 UNKNOWN = "und"
 #: A document whose best language has less of the posterior than this is not of a known language.
 LEAST = 0.5
-#: Ids a language that are ranked for the sample, as a multiple of those taken, and ways in which they are ranked first.
-SPARE, SALTS = 4, 16
+#: Ids a language that may be in the sample, as a multiple of those taken, and cells that their hashes are counted in.
+SPARE, CELLS = 4, 4096
 _STEP = np.random.Generator(np.random.PCG64(6)).integers(1, 1 << 63, ORDERS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -88,17 +87,16 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sampled(rows: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """The rows (doc_id, text, lang) whose ids have the ``per_lang`` smallest hashes of their language."""
+    """The rows (doc_id, text, lang) whose ids have the smallest hashes of their language: as many whole cells as hold ``per_lang``."""
     known = rows.filter("lang is not null").withColumn("at", F.coalesce(F.xxhash64("doc_id"), F.lit(0)))
-    share = known.groupBy("lang").agg(F.count("*").alias("n"))
-    reach = (SPARE * per_lang / F.col("n") - 0.5) * 2.0**64  # xxhash64 is even over the longs
-    near = known.select("lang", "at").join(F.broadcast(share), "lang").filter((F.col("n") <= SPARE * per_lang) | (F.col("at") < reach))
-    for parts in (["lang", "salt"], ["lang"]):
-        near = near.select("lang", "at").distinct().withColumn("salt", F.pmod("at", F.lit(SALTS)))
-        place = F.row_number().over(Window.partitionBy(*parts).orderBy("at"))
-        near = near.withColumn("place", place).filter(F.col("place") <= per_lang)
-    last = near.groupBy("lang").agg(F.max("at").alias("last"))
-    return known.join(F.broadcast(last), "lang").filter("at <= last").select("doc_id", "text", "lang")
+    count = known.groupBy("lang").agg(F.count("*").alias("n"))
+    reach = F.broadcast(count.select("lang", F.least(F.lit(1.0), SPARE * per_lang / F.col("n")).alias("reach")))
+    # xxhash64 is even over the longs, so a hash's place among all tells how many are likely below it
+    placed = known.join(reach, "lang").withColumn("cell", F.floor((F.col("at") / 2.0**64 + 0.5) / F.col("reach") * CELLS))
+    held = placed.filter(F.col("cell") <= CELLS).select("lang", "cell", "at").distinct().groupBy("lang", "cell").agg(F.count("*").alias("n"))
+    below = F.sum("n").over(Window.partitionBy("lang").orderBy("cell"))
+    last = held.withColumn("below", below).filter(F.col("below") <= per_lang).groupBy("lang").agg(F.max("cell").alias("last"))
+    return placed.join(F.broadcast(last), "lang").filter("cell <= last").select("doc_id", "text", "lang")
 
 
 def learn(rows: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], np.ndarray]:

@@ -47,6 +47,8 @@ AGREE = 72
 #: Members of a bucket in one part of a block, and shingles of their whole sets.
 BLOCK = 512
 BLOCK_SHINGLES = 2_000_000
+#: Members from which on a bucket is large.
+HOT = 2000
 _RANDOM = np.random.Generator(np.random.PCG64(7))
 MULTIPLY = _RANDOM.integers(1, 1 << 63, PERMS, np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _RANDOM.integers(0, 1 << 63, PERMS, np.uint64)
@@ -273,8 +275,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = persisted(usable.groupBy("digest").agg(F.min("doc_id").alias("leader")), "leaders")
     classes = usable.join(leaders, "digest").filter("doc_id = leader").select("doc_id", "n_shingles", "sketch", "bands").distinct()
     banded = classes.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).filter("n > 1")
-    crowded = persisted(banded.join(buckets.drop("n"), "key"), "crowded")
+    buckets = persisted(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).filter("n > 1"), "buckets")
+    # large buckets are few, and find their members where they are; the others meet theirs by a shuffle
+    hot, cold = (buckets.filter(side).drop("n") for side in (F.col("n") > HOT, F.col("n") <= HOT))
+    hot = bounded(hot)
+    met = banded.join(hot.select("key"), "key", "left_anti").join(cold, "key").unionByName(banded.join(hot, "key"))
+    crowded = persisted(met, "crowded")
     involved = bounded(persisted(crowded.select("doc_id").distinct(), "involved"))
     held = narrow.join(involved, "doc_id", "left_semi")
     again = bounded(persisted(usable.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again"))
