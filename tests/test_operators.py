@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from tarn.functions import text as T
 from tarn.functions.vectors import fnv1a, hash_embed, nearest
 from tarn.operators import beliefs as B
+from tarn.operators import conflicts as K
 from tarn.operators import documents as D
 from tarn.operators import entities as N
 from tarn.operators import graph as G
+from tarn.operators import listings as L
 from tarn.operators import reconcile as C
+from tarn.operators import replies as P
 from tarn.operators import recordings as A
 from tarn.operators import retrieval as R
 from tarn.operators import sessions as S
@@ -399,3 +402,48 @@ def test_upsert_stream(spark, tmp_path):
     source = spark.readStream.schema(schema).json(str(tmp_path / "in/*"))
     jobs.apply_stream(source, lambda b: b.filter("id > 1"), store, "t", ["id"], str(tmp_path / "cp")).awaitTermination()
     assert [tuple(r) for r in store.read("t").collect()] == [(2, "b")]
+
+
+def test_pending_conflicts_without_vectors(spark):
+    decisions = spark.createDataFrame([(1, 1, [2, 3], None, 5)], "id int, incoming int, candidates array<int>, resolution string, created_at int")
+    beliefs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, None)], "id int, vec array<double>")
+    rows = K.pending(decisions, beliefs).collect()
+    assert [(r.candidate, r.place, r.similarity and round(r.similarity, 6)) for r in rows] == [(2, 0, 0.707107), (3, 1, None)]
+
+
+def test_unqueued_either_way_round(spark):
+    decisions = spark.createDataFrame([(1, [2]), (5, [4])], "incoming int, candidates array<int>")
+    pairs = spark.createDataFrame([(2, 1), (1, 2), (4, 5), (1, 3)], "a int, b int")
+    assert [tuple(r) for r in K.unqueued(pairs, decisions).collect()] == [(1, 3)]
+
+
+def test_merges_count_on_and_are_taken_back(spark):
+    now = F.lit("2024-01-02").cast("timestamp")
+    shape = "id int, content string, content_hash string, status string, root_id int, version int, asserted_at timestamp, stale_since timestamp"
+    old = datetime.datetime(2023, 1, 1)
+    beliefs = spark.createDataFrame([(i, f"t{i}", "h", "stale" if i == 3 else "active", 1, i, old, old if i == 3 else None) for i in (1, 2, 3)], shape)
+    decided = spark.createDataFrame([(1, 2, [1, 3], 10, "a"), (2, 1, [], 11, "b")], "id int, incoming int, candidates array<int>, made int, content string")
+    after, edges = K.merge_conflicts(decided, beliefs, now)
+    assert {(r.id, r.status, r.root_id, r.version) for r in after.collect()} == {
+        (1, "stale", 1, 1), (2, "stale", 1, 2), (3, "stale", 1, 3), (10, "active", 1, 4), (11, "active", 1, 5)
+    }
+    assert {(r.from_id, r.to_id) for r in edges.collect()} == {(10, 2), (10, 1), (10, 3), (11, 1)}
+    back, left = K.revert_merges(decided, after, edges, now)
+    assert {(r.id, r.status) for r in back.collect()} == {(1, "active"), (2, "active"), (3, "stale"), (10, "stale"), (11, "stale")}
+    assert not left.filter("active").count()
+
+
+def test_model_replies_that_decide_nothing(spark):
+    said = spark.createDataFrame([(1, [7, 8], '[{"verdict": "keep_existing", "existing": 9}]'), (2, [7], None), (3, [7], "[1]"), (4, [], '[{"verdict": "keep_existing"}]')], "id int, candidates array<int>, reply string")
+    assert [tuple(r) for r in P.resolutions(said).orderBy("id").collect()] == [
+        (1, "keep_existing", 7, ""), (2, "unsure", None, "unparseable reply"), (3, "unsure", None, "unparseable reply"), (4, "keep_existing", None, "")
+    ]
+    said = spark.createDataFrame([(1, 2, '{"verdict": "same", "confidence": "NaN"}'), (1, 3, "no"), (1, 4, None)], "a int, b int, reply string")
+    assert [tuple(r) for r in P.entity_verdicts(said).collect()] == [(1, 2, "same", 0.0, "")]
+
+
+def test_documents_without_a_match_or_a_needle(spark):
+    docs = spark.createDataFrame([(f"T{i}", "p") for i in range(3)], "title string, path string")
+    assert L.list_documents(docs, "zzz").count() == 0
+    assert {tuple(r) for r in L.list_documents(docs, " ", 2).collect()} == {("T0", "p", None), ("T1", "p", None), (None, None, 1)}
+    assert L.mean_length(docs.selectExpr("title as content", "'stale' as status")).first().chars == 0
