@@ -16,6 +16,7 @@ not looked at.
 from __future__ import annotations
 
 import heapq
+import json
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -37,6 +38,18 @@ SEPARATOR = 0
 SHARD = 20_000
 #: Bins with less than this share of their capacity filled meet again across shards.
 UNDERFULL = 7 / 8
+#: How a tokenizer folds and splits texts whose runs can be encoded one by one.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 PIECES = "uid long, doc_id {}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -45,13 +58,15 @@ class Ids:
 
     The tokenizer lower-cases, splits at white space and between letters and points, and never looks across such a
     place; so runs are told apart by a hash that folds A-Z, and a point or comma after a letter is a run of its own.
-    Up to ``KEPT`` runs are kept.
+    Up to ``KEPT`` runs are kept. A tokenizer of any other kind gets each text whole.
     """
 
     KEPT = 1_200_000
 
-    def __init__(self, path: str) -> None:
-        self.library = Tokenizer.from_file(path)
+    def __init__(self, path: str, separator: int = SEPARATOR) -> None:
+        self.library, self.separator = Tokenizer.from_file(path), separator
+        made = json.loads(self.library.to_str())
+        self.by_runs = (made["normalizer"], made["pre_tokenizer"], made["post_processor"]) == (NORMALIZER, PRE_TOKENIZER, None)
         self._reset()
 
     def _reset(self) -> None:
@@ -68,7 +83,11 @@ class Ids:
         self.size, self.flat = np.concatenate((self.size, size)), np.concatenate((self.flat, flat))
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, each text's closed by SEPARATOR, and where each begins."""
+        """Ids of all texts end to end, each text's closed by the separator, and where each begins."""
+        if not self.by_runs:
+            whole = [t.ids for t in self.library.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+            ids = np.fromiter(chain.from_iterable([*t, self.separator] for t in whole), np.uint32)
+            return ids, np.concatenate(([0], np.cumsum([len(t) + 1 for t in whole], dtype=np.int64)))
         data, at = raw(column)
         marked = bool((data[:-1][data[1:] == ord("|")] == ord("<")).any())  # special tokens tell cases apart
         w = words(data, at, EXACT if marked else VALUE, tails=b".,")
@@ -92,13 +111,13 @@ class Ids:
         shift[closing] = -ends[closing] + 1
         place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(shift, length)
         out = self.flat[place] if len(self.flat) else np.zeros(len(place), np.uint32)
-        out[ends[closing] - 1] = SEPARATOR
+        out[ends[closing] - 1] = self.separator
         return out, np.concatenate(([0], ends[closing]))
 
 
 @cache
-def ids_of(path: str) -> Ids:
-    return Ids(path)
+def ids_of(path: str, separator: int = SEPARATOR) -> Ids:
+    return Ids(path, separator)
 
 
 def _cut(path: str, length: int, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
