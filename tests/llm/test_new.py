@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tarn.llm import hard_negatives, harmonic, manifest, packing
+from tarn.llm import hard_negatives, harmonic, language, manifest, packing
 from tests.llm.test_llm import ODD, SCHEMA, table
 
 # harmonic packing
@@ -239,3 +239,16 @@ def test_tables_of_arrow_are_whole():
     last = packer.close()
     assert last.column("sequence_id").to_pylist() == [5, 5, 5, 6, 6, 7]
     assert last.column("offset").to_pylist() == [0, 4, 6, 0, 1, 0]
+
+
+# language ID
+
+
+@pytest.mark.parametrize("doc_id", ["cast(1 as long)", "cast(null as long)", "id % 20", "id"])
+def test_language_of_much_repeated_ids(spark, doc_id):
+    """60,000 rows of few ids, or of none, are learnt beside a hundred of another language."""
+    many = spark.range(60_000).selectExpr(f"{doc_id} as doc_id", "'the thing with other weather ' || id as text", "'en' as lang")
+    few = spark.range(100).selectExpr("1000000 + id as doc_id", "'schon die ung eine schule ' || id as text", "'de' as lang")
+    found = language.identify(many.unionByName(few)).groupBy("lang_pred", F.col("doc_id") >= 1_000_000).count().collect()
+    got = {(r.lang_pred, bool(r[1])): r["count"] for r in found}
+    assert got == {("en", False): 60_000, ("de", True): 100}
