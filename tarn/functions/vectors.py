@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 TOKEN = "[a-z0-9]+"
 #: Rows and queries in a block, where queries are dealt as a table.
@@ -62,7 +63,7 @@ def with_embeddings(rows: DataFrame, text: str, dims: int = 1024, name: str = "e
 
 def nearest(
     rows: DataFrame,
-    queries: DataFrame,
+    queries: DataFrame | pa.Table,
     k: int,
     least: float | None = None,
     block: int = 4096,
@@ -70,7 +71,7 @@ def nearest(
     once: bool = False,
     others: bool = False,
 ) -> DataFrame:
-    """(qid, src, id, similarity) of the k most similar rows (src, id, vec) of each query (qid, vec).
+    """(qid, src, id, similarity) of the k most similar rows (src, id, vec) of each query (qid, vec); few queries may come as an Arrow table.
 
     Up to ``block`` queries are broadcast to where the rows are. More are dealt as a table: blocks of queries meet blocks of
     rows in tasks, so that no vector goes through the driver. Either way a task keeps only its own k best of a query,
@@ -79,13 +80,19 @@ def nearest(
     each (src, id) only; ``others`` leaves out the row whose id is the query's.
     """
     unlike = (unlike,) if isinstance(unlike, str) else unlike
+    here = isinstance(queries, pa.Table)
     for c in unlike:
-        rows, queries = rows.filter(F.col(c).isNotNull()), queries.filter(F.col(c).isNotNull())
+        rows, queries = rows.filter(F.col(c).isNotNull()), queries.filter(pc.is_valid(queries.column(c)) if here else F.col(c).isNotNull())
     rows = rows.select("src", "id", "vec", *(F.col(c).cast("string") for c in unlike)).filter("vec is not null")
-    queries = queries.select("qid", "vec", *(F.col(c).cast("string") for c in unlike)).filter("vec is not null")
-    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, src string, id {rows.schema['id'].dataType.simpleString()}, similarity double"
+    if here:
+        queries = queries.filter(pc.is_valid(queries.column("vec")))
+        held = pa.table([queries.column("qid"), queries.column("vec"), *(queries.column(c).cast(pa.string()) for c in unlike)], ["qid", "vec", *unlike])
+        kind, block = from_arrow_type(held.schema.field("qid").type), len(held)
+    else:
+        queries = queries.select("qid", "vec", *(F.col(c).cast("string") for c in unlike)).filter("vec is not null")
+        held, kind = queries.limit(block + 1).toArrow(), queries.schema["qid"].dataType
+    schema = f"qid {kind.simpleString()}, src string, id {rows.schema['id'].dataType.simpleString()}, similarity double"
     search = Search(k, least, once, others)
-    held = queries.limit(block + 1).toArrow()
     if not len(held):
         return rows.sparkSession.createDataFrame([], schema)
     if len(held) <= block:

@@ -5,8 +5,14 @@ Rows are (src, id, vec) and (src, id, text); queries (qid, text, vec). Ties in a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import defaultdict
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tarn.checkpoints import bounded, persisted
 from tarn.functions.vectors import nearest
@@ -22,7 +28,7 @@ def ranked(rows: DataFrame, by: list[Column], most: int, partition: str = "qid")
     return rows.withColumn("rank", place).filter(F.col("rank") <= most)
 
 
-def vector_arm(rows: DataFrame, queries: DataFrame, pool: int = POOL) -> DataFrame:
+def vector_arm(rows: DataFrame, queries: DataFrame | pa.Table, pool: int = POOL) -> DataFrame:
     """One ranking over all sources: (qid, src, id, similarity, rank)."""
     return ranked(nearest(rows, queries, pool), [F.desc(F.round("similarity", 9)), F.asc("src"), F.asc("id")], pool)
 
@@ -41,6 +47,31 @@ def postings(rows: DataFrame) -> DataFrame:
     return each.groupBy("term", "src", "id").agg(F.count("*").alias("tf"))
 
 
+@dataclass(frozen=True)
+class KeywordIndex:
+    """Stored postings (term, cls, src, id, tf), sorted by term and class of tf, and how many there are of each (term, cls, n).
+
+    A class is a power of two that tf reaches, so all rows of a class have a larger tf than any of a lower one.
+    """
+
+    postings: DataFrame
+    stats: DataFrame
+
+
+def keyword_index(rows: DataFrame) -> KeywordIndex:
+    """The index of rows (src, id, text), written once; a term of very many rows lies in several files."""
+    classed = postings(rows).withColumn("cls", F.floor(F.log2("tf")).cast("int")).select("term", "cls", "src", "id", "tf")
+    made = persisted(classed.repartitionByRange("term", "cls", "src", "id").sortWithinPartitions("term", "cls"), "postings")
+    counts = made.groupBy("term", "cls").agg(F.count("*").alias("n"))
+    return KeywordIndex(made, persisted(counts.repartitionByRange("term").sortWithinPartitions("term"), "stats"))
+
+
+def _indexed(postings_: DataFrame) -> KeywordIndex:
+    """Postings as they are, with their counts still to be made."""
+    classed = postings_.withColumn("cls", F.floor(F.log2("tf")).cast("int"))
+    return KeywordIndex(classed, classed.groupBy("term", "cls").agg(F.count("*").alias("n")))
+
+
 def query_units(queries: DataFrame) -> DataFrame:
     """(qid, clause, negated, needed: terms): words and quoted phrases; "-" excludes one; OR stands between clauses."""
     units = F.regexp_extract_all(F.lower("text"), F.lit(r'-?"[^"]*"|[^\s"]+'), 0)
@@ -50,15 +81,126 @@ def query_units(queries: DataFrame) -> DataFrame:
     return split.select("qid", "clause", F.col("unit").startswith("-").alias("negated"), terms(F.col("unit")).alias("needed")).filter("size(needed) > 0").distinct()
 
 
-def keyword_arm(rows: DataFrame, queries: DataFrame, pool: int = POOL, index: DataFrame | None = None) -> DataFrame:
+#: Queries, and their units, that are held against the index by their own numbers; of more, everything stays in tables.
+FEW, MOST_UNITS = 4096, 100_000
+#: Terms that are looked up in the index's files by name.
+BY_NAME = 1000
+CLAUSES = "array<struct<needed: array<string>, asked: array<struct<negated: boolean, phrase: string>>>>"
+
+
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows that the driver has, as a relation of the plan itself."""
+    shape = StructType.fromDDL(schema)
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(shape.names, r, strict=True)) for r in rows], to_arrow_schema(shape)), shape)
+
+
+def units_here(queries: DataFrame) -> list[tuple]:
+    """query_units() of queries that are few, by one projection: (qid, clause, negated, needed)."""
+    units = F.regexp_extract_all(F.lower("text"), F.lit(r'-?"[^"]*"|[^\s"]+'), 0)
+    read = F.transform(units, lambda u: F.struct((u == "or").alias("or"), F.startswith(u, F.lit("-")).alias("negated"), terms(u).alias("needed")))
+    out = []
+    for row in queries.select("qid", read.alias("units")).collect():
+        clause = 0
+        for u in row["units"] or []:
+            clause += u["or"]
+            if u["needed"] and not u["or"]:
+                out.append((row["qid"], clause, u["negated"], u["needed"]))
+    return out
+
+
+def keyword_arm(rows: DataFrame, queries: DataFrame, pool: int = POOL, index: KeywordIndex | DataFrame | None = None, few: bool = False) -> DataFrame:
     """Rows that hold all words and phrases of a clause of the query and none it excludes: (qid, src, id, score, rank).
 
-    The score counts the query's terms in the row. ``index``: the stored postings() of the rows, else made here. A clause's
-    candidates are the rows with its rarest term; only they are held against its other terms, and only rows of clauses with
-    phrases or exclusions are read. A query without a term that is wanted has no rows.
+    The score counts the query's terms in the row. ``index``: the stored keyword_index() of the rows, or their postings(); without
+    one, the postings of the queries' terms are made here. A clause's candidates are the rows with its rarest term; only they are
+    held against its other terms, and only rows of queries with phrases or exclusions are read. Of a query of one word, those
+    classes of tf are read that hold its first ``pool`` rows. A query without a term that is wanted has no rows. ``few``: the
+    queries are known to be at most FEW.
     """
+    index = _indexed(index) if isinstance(index, DataFrame) else index
+    few = few or queries.limit(FEW + 1).count() <= FEW
+    units = units_here(queries) if few else None
+    if units is None or len(units) > MOST_UNITS:
+        return _keyword_arm_of_many(rows, persisted(query_units(queries), "units"), pool, index.postings.drop("cls") if index else None)
+    return _keyword_arm_of_few(rows, units, queries.schema["qid"].dataType.simpleString(), pool, index)
+
+
+def _keyword_arm_of_few(rows: DataFrame, units: list[tuple], qid: str, pool: int, index: KeywordIndex | None) -> DataFrame:
+    """One plan: what is rare and what has to be read is known beforehand from the terms' counts."""
+    spark = rows.sparkSession
+    clauses: dict = defaultdict(lambda: defaultdict(lambda: (set(), [])))
+    for q, clause, negated, unit in units:
+        needed, asked = clauses[q][clause]
+        if not negated:
+            needed.update(unit)
+        if negated or len(unit) > 1:
+            asked.append({"negated": negated, "phrase": f" {' '.join(unit)} "})
+    names = sorted({t for of in clauses.values() for needed, _ in of.values() for t in needed})
+    shared = lambda found, schema: F.broadcast(local(spark, found, schema))
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.filter(F.col("term").isin(names)) if len(names) <= BY_NAME else df.join(shared([(n,) for n in names], "term string"), "term", "left_semi")
+
+    if index is None:
+        each = named(rows.select("src", "id", F.explode(terms(F.col("text"))).alias("term"))).groupBy("term", "src", "id").agg(F.count("*").alias("tf"))
+        held = persisted(each.withColumn("cls", F.floor(F.log2("tf")).cast("int")), "postings")
+        counts = held.groupBy("term", "cls").agg(F.count("*").alias("n"))
+    else:
+        held, counts = named(index.postings), named(index.stats)
+    classes: dict[str, dict[int, int]] = defaultdict(dict)
+    for r in counts.collect():  # a few classes a term
+        classes[r["term"]][r["cls"]] = r["n"]
+    many = {t: sum(c.values()) for t, c in classes.items()}
+
+    one, rarest, wanted, of_query, strict = [], set(), [], [], set()
+    for q, of in clauses.items():
+        live = [(needed, asked) for needed, asked in of.values() if needed and all(t in many for t in needed)]
+        every = {t for needed, _ in of.values() for t in needed}
+        if not live:
+            continue
+        if len(every) == 1 and not any(asked for _, asked in live):
+            (term,) = every
+            one.append((q, term, _least_class(classes[term], pool)))
+            continue
+        rarest |= {(q, min(needed, key=lambda t: (many[t], t))) for needed, _ in live}
+        wanted += [(q, t) for t in sorted(every)]
+        of_query.append((q, [{"needed": sorted(needed), "asked": asked} for needed, asked in live]))
+        if any(asked for _, asked in live):
+            strict.add(q)
+    single = held.join(shared(one, f"qid {qid}, term string, least int"), "term").filter("cls >= least").select("qid", "src", "id", F.col("tf").alias("score"))
+    found = None
+    if of_query:
+        pairs = held.join(shared(sorted(rarest), f"qid {qid}, term string"), "term").select("qid", "src", "id").distinct()
+        looked = pairs.join(shared(wanted, f"qid {qid}, term string"), "qid")
+        hits = looked.join(held.select("term", "src", "id", "tf"), ["term", "src", "id"]).groupBy("qid", "src", "id")
+        held_by = hits.agg(F.sum("tf").alias("score"), F.collect_set("term").alias("held")).join(shared(of_query, f"qid {qid}, clauses {CLAUSES}"), "qid")
+        full = lambda c: F.size(F.array_except(c["needed"], "held")) == 0
+        held_by = held_by.filter(F.exists("clauses", full))
+        if strict:
+            flat = F.concat(F.lit(" "), F.array_join(terms(F.col("text")), " "), F.lit(" ")).alias("flat")
+            asking = F.exists("clauses", lambda c: F.size(c["asked"]) > 0)
+            right = F.forall("c.asked", lambda a: F.contains(F.col("flat"), a["phrase"]) != a["negated"])
+            each = held_by.filter(asking).withColumn("c", F.explode("clauses")).filter(full(F.col("c")))
+            read = each.join(rows.select("src", "id", flat), ["src", "id"]).filter(right).select("qid", "src", "id", "score").distinct()
+            found = held_by.filter(~asking).select("qid", "src", "id", "score").unionByName(read)
+        else:
+            found = held_by.select("qid", "src", "id", "score")
+    found = single if found is None else found.unionByName(single) if one else found
+    return ranked(found, [F.desc("score"), F.asc("src"), F.asc("id")], pool).select("qid", "src", "id", "score", "rank")
+
+
+def _least_class(counts: dict[int, int], pool: int) -> int:
+    """The lowest class that can hold one of the first ``pool`` rows of a term."""
+    seen = 0
+    for cls in sorted(counts, reverse=True):
+        seen += counts[cls]
+        if seen >= pool:
+            return cls
+    return min(counts)
+
+
+def _keyword_arm_of_many(rows: DataFrame, units: DataFrame, pool: int, index: DataFrame | None) -> DataFrame:
     index = index if index is not None else persisted(postings(rows), "postings")
-    units = persisted(query_units(queries), "units")
     wanted = units.filter("not negated").select("qid", "clause", F.explode("needed").alias("term")).distinct()
     every = bounded(persisted(wanted.select("term").distinct(), "terms"))
     counts = index.join(every, "term").groupBy("term").agg(F.count("*").alias("n"))
@@ -85,7 +227,7 @@ def keyword_arm(rows: DataFrame, queries: DataFrame, pool: int = POOL, index: Da
 
 
 def entity_anchors(
-    entities: DataFrame, queries: DataFrame, least: float = ANCHOR_SIMILARITY, most: int = ANCHORS
+    entities: DataFrame, queries: DataFrame | pa.Table, least: float = ANCHOR_SIMILARITY, most: int = ANCHORS
 ) -> DataFrame:
     """``entities`` (canonical, id, vec: entities and their aliases) -> nearest canonicals: (qid, canonical, distance)."""
     near = nearest(entities.select(F.lit("entity").alias("src"), F.col("canonical").alias("id"), "vec"), queries, most, least, once=True)
@@ -93,10 +235,13 @@ def entity_anchors(
     return ranked(by, [F.asc("distance"), F.asc("canonical")], most).drop("rank")
 
 
-def entity_arm(anchors: DataFrame, edges: DataFrame, live: DataFrame, pool: int = POOL) -> DataFrame:
-    """Sources by how many anchors their active mentions reach; ``live`` (src, id): (qid, src, id, score, rank)."""
+def entity_arm(anchors: DataFrame, edges: DataFrame, live: DataFrame, pool: int = POOL, few: bool = False) -> DataFrame:
+    """Sources by how many anchors their active mentions reach; ``live`` (src, id): (qid, src, id, score, rank).
+
+    ``few``: the queries are known to be few, and so are their anchors.
+    """
     active = edges.filter("active and relation = 'mention'").select("from_id", F.col("to_id").alias("canonical"))
-    hits = active.join(bounded(persisted(anchors, "anchors")), "canonical").join(live, F.col("from_id") == live.id)
+    hits = active.join(F.broadcast(anchors) if few else bounded(persisted(anchors, "anchors")), "canonical").join(live, F.col("from_id") == live.id)
     found = hits.groupBy("qid", "src", "id").agg(F.countDistinct("canonical").alias("score"))
     return ranked(found, [F.desc("score"), F.asc("src"), F.asc("id")], pool)
 
@@ -125,19 +270,23 @@ def recall(
     limit: int = LIMIT,
     pool: int = POOL,
     use: tuple[str, ...] = ("vector", "keyword", "entity"),
-    index: DataFrame | None = None,
+    index: KeywordIndex | DataFrame | None = None,
     k: int = K,
     weights: dict[str, float] = WEIGHTS,
     anchor_similarity: float = ANCHOR_SIMILARITY,
 ) -> DataFrame:
     """The fused ranking of the arms in ``use``. Rows may come from several sources (beliefs, chunks); see in_session()."""
+    held = queries.select("qid", "text", "vec").limit(FEW + 1).toArrow()
+    if few := len(held) <= FEW:  # then each arm knows them without a job of its own
+        queries = queries.sparkSession.createDataFrame(held, queries.select("qid", "text", "vec").schema)
+    points = held if few else queries
     arms = {}
     if "vector" in use:
-        arms["vector"] = vector_arm(vectors, queries, pool)
+        arms["vector"] = vector_arm(vectors, points, pool)
     if "keyword" in use:
-        arms["keyword"] = keyword_arm(texts, queries, pool, index)
+        arms["keyword"] = keyword_arm(texts, queries, pool, index, few)
     if "entity" in use and entities is not None and edges is not None:
-        arms["entity"] = entity_arm(entity_anchors(entities, queries, anchor_similarity), edges, texts.select("src", "id"), pool)
+        arms["entity"] = entity_arm(entity_anchors(entities, points, anchor_similarity), edges, texts.select("src", "id"), pool, few)
     return fuse(arms, limit, k, weights)
 
 

@@ -39,7 +39,7 @@ def sql(names: str, body: str) -> str:
     return "with recursive " + ",\n".join(CTE[n] for n in names.split()) + "\n" + body if names else body
 
 
-def _with_vectors(rows: DataFrame, spark: SparkSession, d: str, key: str) -> DataFrame:
+def with_vectors(rows: DataFrame, spark: SparkSession, d: str, key: str) -> DataFrame:
     vectors = table(spark, d, "embeddings")
     n = vectors.count()
     return rows.withColumn("vec_id", F.expr(f"{key} % {n}")).join(vectors.select("vec_id", F.col("embedding").alias("vec")), "vec_id").drop("vec_id")
@@ -51,7 +51,7 @@ def mem(spark: SparkSession, d: str) -> DataFrame:
         F.expr("case when doc_id % 7 = 3 then 'stale' else 'active' end").alias("status"), F.expr("doc_id - doc_id % 3").alias("root_id"),
         F.expr("cast(doc_id % 3 + 1 as int)").alias("version"), F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, doc_id)").alias("asserted_at"),
     )
-    return _with_vectors(rows, spark, d, "id")
+    return with_vectors(rows, spark, d, "id")
 
 
 def plain_mem(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +75,7 @@ def q(spark: SparkSession, d: str) -> DataFrame:
 def ent(spark: SparkSession, d: str) -> DataFrame:
     name = """case p_partkey % 5 when 0 then upper(p_name) when 1 then replace(p_name, ' ', '-') when 2 then '@' || p_name else p_name end"""
     rows = table(spark, d, "part").selectExpr("p_partkey as id", f"{name} as name", "lower(p_type) as entity_type")
-    return _with_vectors(rows, spark, d, "id")
+    return with_vectors(rows, spark, d, "id")
 
 
 def plain_ent(spark: SparkSession, d: str) -> DataFrame:

@@ -84,11 +84,26 @@ def recall_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return R.recall(rows.select("src", "id", "text"), rows, X.q(spark, d), entities, X.edge(spark, d))
 
 
+#: Beliefs and the turns of conversations in one ranking; of turns that belong to a session, those of session 3.
+SOURCES = f"""with recursive {X.CTE["mem"]},
+act as (select src, id, text, vec from mem where status = 'active' union all select 'chunk', 10000000 + conv_id * 1000 + turn, text, e.embedding
+ from conversations join embeddings e on e.vec_id = (conv_id * 1000 + turn) % (select count(*) from embeddings) where conv_id % 3 <> 0 or conv_id = 3),
+{X.CTE["toks"]}, {X.CTE["q"]}"""
+
+
+@query(SOURCES + _arms(VEC_ARM, KW_ARM, FUSE.format(ent="")))
+def recall_sources(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations").selectExpr("conv_id * 1000 + turn as id", "'chunk' as src", "text", "case when conv_id % 3 = 0 then conv_id end as session")
+    turns = R.in_session(X.with_vectors(turns, spark, d, "id"), F.lit(3)).withColumn("id", F.col("id") + 10_000_000)
+    rows = X.active(spark, d).select("src", "id", "text", "vec").unionByName(turns.select("src", "id", "text", "vec"))
+    return R.recall(rows.drop("vec"), rows.drop("text"), X.q(spark, d), use=("vector", "keyword"))
+
+
 def single(spark: SparkSession, d: str) -> Callable[[SparkSession, str], DataFrame]:
     """recall_hybrid for one query, over a store whose beliefs and keyword index are written once, here."""
     rows = persisted(X.active(spark, d), "beliefs")
     entities = persisted(X.ent(spark, d).select("id", F.col("id").alias("canonical"), "vec"), "entities")
-    index = persisted(R.postings(rows).sortWithinPartitions("term"), "index")
+    index = R.keyword_index(rows)
     query_ = persisted(X.q(spark, d).orderBy("qid").limit(1), "query")
     return lambda s, d: R.recall(rows.select("src", "id", "text"), rows, query_, entities, X.edge(s, d), index=index)
 
