@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.checkpoints import shared_dir
 from tarn.operators import beliefs as B
 from tarn.operators import reconcile as C
 from tarn.operators import sessions as S
@@ -12,7 +15,7 @@ from tarn.plans import fixtures as X
 from tarn.plans.fixtures import sql
 from tarn.plans.registry import Registry
 from tarn.sources import files
-from tarn.sources.store import merged
+from tarn.sources.store import Store, merged
 from tarn.tables import table
 
 query = Registry()
@@ -316,3 +319,25 @@ def transcript_units(spark: SparkSession, d: str) -> DataFrame:
         F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message"))).alias("value"),
     )
     return files.transcript_units(made)
+
+
+@query(
+    """with old as (select p_brand as name, count(*) as occurrences, max(p_partkey) as latest, case when max(p_partkey) % 3 = 0 then 'rejected' else 'proposed' end as status
+ from part where p_partkey % 2 = 0 group by p_brand),
+new as (select case when p_partkey % 50 = 1 then p_brand || ' ' || p_size else p_brand end as name, count(*) as occurrences, max(p_partkey) as latest from part where p_partkey % 2 = 1 group by 1)
+select coalesce(old.name, new.name) as name, case when old.name is null then new.occurrences when new.name is null or status = 'rejected' then old.occurrences else old.occurrences + new.occurrences end as occurrences,
+ case when old.name is null then new.latest when new.name is null or status = 'rejected' then old.latest else greatest(old.latest, new.latest) end as latest, coalesce(status, 'proposed') as status
+from old full join new on old.name = new.name"""
+)
+def upsert_conditional(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of proposals: a second batch adds to those that were not rejected; only touched buckets are written again."""
+    store = Store(spark, f"{shared_dir(spark)}/tarn/store-{uuid.uuid4().hex}")
+    held = store.buckets("proposals", "name string, occurrences long, latest long, status string", ["name"], 16)
+    name = F.when(F.col("p_partkey") % 50 == 1, F.concat_ws(" ", "p_brand", "p_size")).otherwise(F.col("p_brand"))
+    batches = table(spark, d, "part").withColumn("name", F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(name))
+    for odd in (0, 1):
+        counts = batches.filter(F.col("p_partkey") % 2 == odd).groupBy("name").agg(F.count("*").alias("occurrences"), F.max("p_partkey").alias("latest"))
+        status = F.when((F.col("latest") % 3 == 0) & F.lit(not odd), "rejected").otherwise("proposed")
+        more = {"occurrences": F.col("old.occurrences") + F.col("new.occurrences"), "latest": F.greatest("old.latest", "new.latest")}
+        held.upsert(counts.withColumn("status", status), ["name"], more, F.col("old.status") != "rejected")
+    return store.read("proposals")

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarn.sources.buckets import Buckets
+
 KINDS = {"status": ("active", "stale"), "memory_type": ("fact", "preference", "episode", "procedure")}
 
 
@@ -22,13 +24,22 @@ class Store:
         fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(path):
             return []
-        found = [s.getPath() for s in fs.listStatus(path)]
+        found = [s.getPath() for s in fs.listStatus(path) if not s.getPath().getName().startswith("data-")]
         return sorted(p.toString() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
+    def buckets(self, table: str, schema: str, by: list[str], n: int = 64) -> Buckets:
+        """The table as one of buckets, of which a change rewrites only those it touches."""
+        return Buckets(self.spark, f"{self.root}/{table}", schema, by, n)
+
+    def _versions(self, table: str) -> Buckets:
+        return Buckets(self.spark, f"{self.root}/{table}", "", [])
+
     def exists(self, table: str) -> bool:
-        return bool(self._snapshots(table))
+        return bool(self._snapshots(table)) or bool(self._versions(table).versions())
 
     def read(self, table: str) -> DataFrame:
+        if (found := self._versions(table)).versions():
+            return found.read()
         return self.spark.read.parquet(self._snapshots(table)[-1])
 
     def write(self, table: str, rows: DataFrame) -> DataFrame:

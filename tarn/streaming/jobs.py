@@ -12,6 +12,8 @@ from tarn.operators.documents import chunks
 from tarn.sources.files import extracted, kind_of
 from tarn.sources.store import Store
 
+CHUNKS = "id string, chunk_index int, heading_path string, content string"
+
 
 def watch_folder(spark: SparkSession, root: str, store: Store, checkpoint: str, splitter: str = "text", once: bool = True) -> StreamingQuery:
     """Chunks of new and rewritten files into the store's table ``chunks``, replacing what the same path had.
@@ -23,12 +25,8 @@ def watch_folder(spark: SparkSession, root: str, store: Store, checkpoint: str,
 
     def take(batch: DataFrame, _: int) -> None:
         rows = batch.select("path", F.col("modificationTime").alias("mtime"), kind_of(F.col("path")).alias("kind"), "content").filter("kind is not null")
-        docs = extracted(rows)
-        made = chunks(docs.select(F.col("path").alias("id"), "text"), splitter)
-        if store.exists("chunks"):
-            kept = store.read("chunks").join(docs.select(F.col("path").alias("id")), "id", "left_anti")
-            made = kept.unionByName(made)
-        store.write("chunks", made)
+        docs = extracted(rows).select(F.col("path").alias("id"), "text")
+        store.buckets("chunks", CHUNKS, ["id"]).replace(chunks(docs, splitter), docs)
 
     writer = files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()
