@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
+from tarn.checkpoints import persisted
+
 TOKEN = "[a-z0-9]+"
 #: Rows and queries in a block, where queries are dealt as a table.
 BLOCK = 20_000
@@ -74,7 +76,7 @@ def nearest(
     """(qid, src, id, similarity) of the k most similar rows (src, id, vec) of each query (qid, vec); few queries may come as an Arrow table.
 
     Up to ``block`` queries are broadcast to where the rows are. More are dealt as a table: blocks of queries meet blocks of
-    rows in tasks, so that no vector goes through the driver. Either way a task keeps only its own k best of a query,
+    rows in tasks, so that no vector goes through the driver; with ``least``, only blocks whose cells are near enough meet. Either way a task keeps only its own k best of a query,
     whatever the number of its rows. ``least`` keeps those of at least that similarity, before the limit; ``unlike`` those
     with another value than the query's in each of those columns of both (null is neither); ``once`` takes the best row of
     each (src, id) only; ``others`` leaves out the row whose id is the query's.
@@ -99,14 +101,8 @@ def nearest(
         shared = rows.sparkSession.sparkContext.broadcast(held)
         found = rows.mapInArrow(lambda batches: search.over(shared.value, batches), schema)
     else:
-        n_rows, n_queries = (-(-df.count() // BLOCK) for df in (rows, queries))
-        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n, 1) - 1).cast("long")))
-        part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(max(n, 1)))
         names = queries.columns
-        # names of its own, as the queries may come from the rows
-        own = queries.select(F.col("qid").alias("q_id"), *(F.col(c).alias(f"q_{c}") for c in queries.columns[1:]))
-        asked = own.withColumn("q_part", part("q_id", n_queries)).withColumn("r_part", every(n_rows))
-        given = rows.withColumn("r_part", part("id", n_rows)).withColumn("q_part", every(n_queries))
+        asked, given = _dealt(rows, queries, least)
         parts = ["q_part", "r_part"]
         found = asked.groupBy(*parts).cogroup(given.groupBy(*parts)).applyInArrow(
             lambda q, r: search.block(q.drop_columns(parts).rename_columns(names), r.drop_columns(parts)), schema
@@ -119,6 +115,71 @@ def nearest(
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
 
 
+#: Rows that pivots are chosen from, and the most pivots; a cell holds about a quarter of a block.
+SAMPLE, PIVOTS = 4096, 1024
+
+
+def pivots(points: np.ndarray, most: int) -> np.ndarray:
+    """Unit vectors out of ``points``, each the farthest from those before it."""
+    chosen, near = [0], points @ points[0]
+    while len(chosen) < min(most, len(points)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, points @ points[chosen[-1]])
+        if near.min() > 1 - 1e-12:
+            break
+    return points[chosen]
+
+
+def near_cells(centres: np.ndarray, of: dict[int, float], against: dict[int, float], least: float) -> list[tuple[int, int]]:
+    """Pairs of cells that can hold vectors of at least that cosine: by the triangle inequality on angles, with each cell's radius."""
+    between = np.arccos(np.clip(centres @ centres.T, -1, 1))
+    most = np.arccos(np.clip(least, -1, 1)) + 1e-6
+    return [(a, b) for a, ra in of.items() for b, rb in against.items() if between[a, b] - ra - rb <= most]
+
+
+def _dealt(rows: DataFrame, queries: DataFrame, least: float | None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``q_part`` and ``r_part``: a query's row and a row share a pair of them exactly once, if they can be near enough.
+
+    Vectors lie in cells, those of the nearest pivot; large cells are split at random. Zero vectors, which are near nothing, go.
+    """
+    n = rows.count()
+    sample = rows.select("vec", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).select("vec").toArrow() if least is not None else None
+    points = _unit(sample.column("vec").combine_chunks()) if sample else np.zeros((0, 0))
+    points = points[np.isfinite(points).all(axis=1)]
+    centres = pivots(points, max(1, min(PIVOTS, 4 * n // BLOCK))) if len(points) else None
+
+    def cells(df: DataFrame, key: str) -> tuple[DataFrame, dict[int, float], DataFrame]:
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                unit = _unit(batch.column(batch.schema.get_field_index("vec")))
+                live = np.isfinite(unit).all(axis=1)
+                cosine_ = unit[live] @ centres.T if centres is not None else np.ones((int(live.sum()), 1))
+                own = batch.filter(pa.array(live)).append_column("cell", pa.array(cosine_.argmax(axis=1).astype(np.int32)))
+                yield own.append_column("angle", pa.array(np.arccos(np.clip(cosine_.max(axis=1, initial=-1), -1, 1))))
+
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        placed = persisted(df.mapInArrow(place, f"{kinds}, cell int, angle double"), "cells")
+        found = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()  # at most PIVOTS
+        size = df.sparkSession.createDataFrame([(r["cell"], -(-r["n"] // BLOCK)) for r in found], "cell int, subs long")
+        subbed = placed.join(F.broadcast(size), "cell").withColumn("sub", F.pmod(F.xxhash64(key), F.col("subs"))).drop("angle", "subs")
+        return subbed, {r["cell"]: r["radius"] for r in found}, size
+
+    # names of its own, as the queries may come from the rows
+    own = queries.select(F.col("qid").alias("q_id"), *(F.col(c).alias(f"q_{c}") for c in queries.columns[1:])).withColumnRenamed("q_vec", "vec")
+    (asked, q_radius, q_size), (given, r_radius, r_size) = cells(own, "q_id"), cells(rows, "id")
+    pairs = near_cells(centres, q_radius, r_radius, least) if centres is not None else [(a, b) for a in q_radius for b in r_radius]
+    meet = rows.sparkSession.createDataFrame(pairs, "q_cell int, r_cell int")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("other")
+    part = lambda cell, sub: F.col(cell).cast("long") * (1 << 32) + F.col(sub)
+    # at most PIVOTS squared pairs of cells; their parts are counted out row by row
+    to_rows = meet.join(r_size.withColumnRenamed("cell", "r_cell"), "r_cell").withColumnRenamed("q_cell", "cell")
+    to_queries = meet.join(q_size.withColumnRenamed("cell", "q_cell"), "q_cell").withColumnRenamed("r_cell", "cell")
+    asked = asked.join(F.broadcast(to_rows), "cell").select("*", other).withColumn("q_part", part("cell", "sub")).withColumn("r_part", part("r_cell", "other"))
+    given = given.join(F.broadcast(to_queries), "cell").select("*", other).withColumn("r_part", part("cell", "sub")).withColumn("q_part", part("q_cell", "other"))
+    q_names = ["q_id", "vec", *(c for c in own.columns if c not in ("q_id", "vec"))]
+    return asked.select(*q_names, "q_part", "r_part"), given.select(*rows.columns, "r_part", "q_part")
+
+
 @dataclass
 class Search:
     """The k best rows of each query among the rows of one task."""

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tarn.functions import vectors as V
 from tarn.operators import index_pass as I
 from tarn.operators import recheck as H
 from tarn.operators.paging import placed, running
@@ -288,3 +289,31 @@ def test_graph_of_a_pass(spark, tmp_path):
     got = sorted((r.from_id, r.to_id, r.relation, r.active) for r in after.collect())
     # an inactive edge stays as it is; a link of an unknown predicate is a mention between the two
     assert got == sorted([(1, 7, "mention", False), (1, 8, "mention", True), (2, 8, "mention", True), (8, 7, "works_at", True), (8, 7, "mention", True)])
+
+
+# similarity joins by cells
+
+
+def test_near_cells_of_clustered_vectors(spark, monkeypatch):
+    """Exact, and most pairs of cells don't meet where the vectors are clustered."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16))
+    points = (centres[rng.integers(12, size=600)] + 0.1 * rng.normal(size=(600, 16))).tolist() + [[0.0] * 16]
+    rows = spark.createDataFrame([("m", i, v) for i, v in enumerate(points)], "src string, id long, vec array<double>")
+    queries = rows.select(F.col("id").alias("qid"), "vec")
+    monkeypatch.setattr(V, "BLOCK", 100)
+    shares = []
+
+    def counted(*a, real=V.near_cells):
+        found = real(*a)
+        shares.append(len(found) / (len(a[1]) * len(a[2])))
+        return found
+
+    monkeypatch.setattr(V, "near_cells", counted)
+    for least in (0.5, 0.9):
+        got = {(r.qid, r.id) for r in V.nearest(rows, queries, 700, least, block=10, others=True).collect()}
+        unit = np.array(points[:-1])
+        unit /= np.linalg.norm(unit, axis=1)[:, None]
+        q, r = np.nonzero(np.round(unit @ unit.T, 9) >= least)
+        assert got == {(a, b) for a, b in zip(q.tolist(), r.tolist(), strict=True) if a != b}
+    assert all(s < 0.35 for s in shares) and len(shares) == 2
