@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from tarn.checkpoints import shared_dir
 from tarn.operators import index_pass as I
 from tarn.operators import recheck as H
+from tarn.operators import vocabulary as U
 from tarn.plans import fixtures as X
 from tarn.plans.fixtures import SIM, sql
 from tarn.plans.listing_queries import CHUNK, chunks, decisions, now
 from tarn.plans.registry import Registry
 from tarn.sources.ledger import Ledger
+from tarn.tables import table
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -172,3 +174,83 @@ def index_graph(spark: SparkSession, d: str) -> DataFrame:
     _, edges = I.graph(ledger, "", none.select("id", "name"), none.select("canonical_id", "name"), none, types, predicates)
     ends = F.when(F.col("relation") == "mention", F.array("to_id")).otherwise(F.array("from_id", "to_id"))
     return edges.groupBy("relation").agg(F.count("*").alias("edges"), F.countDistinct(ends).alias("ends"))
+
+
+OP = """case o_orderkey % 29 when 3 then 'add' when 5 then 'approve' when 7 then 'dismiss' when 11 then 'status' when 13 then 'delete' when 17 then 'seed' when 19 then 'status' when 23 then 'approve' else 'propose' end"""
+VALUE = "case o_orderkey % 29 when 3 then 'said by ' || o_orderkey when 11 then 'disabled' when 19 then case when o_orderkey % 2 = 0 then 'disabled' else 'active' end end"
+EVENTS = f"""ev as (select o_orderkey as seq, case when o_custkey % 2 = 0 then 'entity_type' else 'predicate' end as kind, 'name ' || (o_custkey % 150) as name, {OP} as op, {VALUE} as value,
+ case when o_custkey % 2 = 0 and o_custkey % 5 > 0 then p.p_name end as entity, case when o_custkey % 2 = 1 then p.p_name end as from_name, case when o_custkey % 2 = 1 then r.p_name end as to_name, o_custkey as source
+ from orders join part p on p.p_partkey = 1 + o_orderkey % 40 join part r on r.p_partkey = 1 + o_orderkey % 37)"""
+FOLD = f"""with recursive {EVENTS},
+e as (select *, row_number() over (partition by kind, name order by seq) as n from ev),
+fold as (select kind, name, 0::bigint as n, null::varchar as tier, null::varchar as status, null::varchar as description, 0::bigint as occurrences, 0::bigint as seq, null::varchar as op, null::varchar as why, 0 as life
+  from (select distinct kind, name from e)
+ union all select f.kind, f.name, e.n,
+  case when e.op = 'seed' and tier is null then 'system' when e.op = 'propose' and tier is null then 'proposed' when e.op = 'add' then 'user' when e.op = 'approve' and tier = 'proposed' then 'user'
+   when e.op = 'delete' and tier = 'user' and status = 'disabled' then null else tier end,
+  case when e.op = 'seed' and tier is null or e.op = 'propose' and tier is null or e.op = 'add' or e.op = 'approve' and tier = 'proposed' then 'active' when e.op = 'dismiss' and tier = 'proposed' then 'dismissed'
+   when e.op = 'status' and tier in ('system', 'user') then e.value when e.op = 'delete' and tier = 'user' and status = 'disabled' then null else status end,
+  case when e.op = 'add' then e.value when e.op = 'delete' and tier = 'user' and status = 'disabled' then null else description end,
+  case when e.op = 'delete' and tier = 'user' and status = 'disabled' then 0 when e.op = 'propose' and tier is null then 1 when e.op = 'propose' and tier = 'proposed' and status = 'active' then occurrences + 1 else occurrences end,
+  e.seq, e.op, case when e.op in ('approve', 'dismiss') and coalesce(tier, '') <> 'proposed' then 'no pending proposal' when e.op in ('status', 'delete') and tier is null or e.op = 'status' and tier = 'proposed' then 'no such entry'
+   when e.op = 'delete' and tier = 'system' then 'system entries can only be disabled' when e.op = 'delete' and tier = 'proposed' then 'proposals are approved or dismissed'
+   when e.op = 'delete' and status <> 'disabled' then 'only disabled entries can be deleted' end,
+  case when e.op = 'propose' and tier is null then life + 1 else life end
+ from fold f join e on e.kind = f.kind and e.name = f.name and e.n = f.n + 1)
+"""
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").select("p_partkey", "p_name")
+    rows = table(spark, d, "orders").selectExpr("*", "1 + o_orderkey % 40 as p", "1 + o_orderkey % 37 as r")
+    rows = rows.join(part.select(F.col("p_partkey").alias("p"), F.col("p_name").alias("one")), "p").join(part.select(F.col("p_partkey").alias("r"), F.col("p_name").alias("two")), "r")
+    return rows.selectExpr(
+        "o_orderkey as seq", "case when o_custkey % 2 = 0 then 'entity_type' else 'predicate' end as kind", "'name ' || (o_custkey % 150) as name", f"{OP} as op", f"{VALUE} as value",
+        "case when o_custkey % 2 = 0 and o_custkey % 5 > 0 then one end as entity", "case when o_custkey % 2 = 1 then one end as from_name", "case when o_custkey % 2 = 1 then two end as to_name",
+        "o_custkey as source", "0.9D as confidence",
+    )
+
+
+@query(FOLD + "select kind, name, tier, status, description, occurrences from (select *, max(n) over (partition by kind, name) as last from fold) where n = last and tier is not null")
+def schema_registry(spark: SparkSession, d: str) -> DataFrame:
+    return U.registry(U.folded(_events(spark, d)))
+
+
+@query(FOLD + "select kind, name, seq, op, why from fold where why is not null")
+def schema_refusals(spark: SparkSession, d: str) -> DataFrame:
+    return U.refusals(U.folded(_events(spark, d)))
+
+
+APPROVED = r""", app as (select kind, name, n, seq as approved, life from fold where op = 'approve' and why is null),
+st as (select f.*, lag(tier) over (partition by kind, name order by n) as was, lag(status) over (partition by kind, name order by n) as had from fold f),
+ex as (select app.kind, app.name, approved, e.seq, entity, from_name, to_name, source, coalesce(regexp_replace(lower(trim(entity)), '\s+', ' ', 'g'), lower(from_name) || '|' || lower(to_name)) as which
+ from app join st on st.kind = app.kind and st.name = app.name and st.life = app.life and st.n < app.n and st.op = 'propose' and (st.was is null or st.was = 'proposed' and st.had = 'active')
+ join e on e.kind = st.kind and e.name = st.name and e.n = st.n where entity is not null or from_name is not null),
+one as (select * from ex qualify row_number() over (partition by kind, name, approved, which order by seq) = 1),
+kept as (select * from one qualify row_number() over (partition by kind, name, approved order by seq) <= 20)"""
+
+
+@query(FOLD + APPROVED + "select kind, name, approved, seq, entity, from_name, to_name, source from kept")
+def approved_examples(spark: SparkSession, d: str) -> DataFrame:
+    events = _events(spark, d)
+    return U.approved_examples(U.folded(events), events).drop("confidence")
+
+
+@query(
+    FOLD
+    + APPROVED
+    + """, live as (select c_custkey as id from customer where c_custkey % 4 <> 0),
+own as (select distinct lower(p_name) as k from part where p_partkey % 2 = 0),
+fresh as (select distinct which as k from kept join live on id = source where kind = 'entity_type'),
+men as (select kind, name, approved, count(*) as entities from kept join live on id = source where kind = 'entity_type' group by all),
+lnk as (select kind, name, approved, count(*) as edges from kept where kind = 'predicate' and lower(from_name) in (from own union from fresh) and lower(to_name) in (from own union from fresh) group by all)
+select coalesce(men.kind, lnk.kind) as kind, coalesce(men.name, lnk.name) as name, coalesce(men.approved, lnk.approved) as approved, coalesce(entities, 0) as entities, coalesce(edges, 0) as edges
+from men full join lnk on false"""
+)
+def approved_links(spark: SparkSession, d: str) -> DataFrame:
+    """How many mentions and links each approval brought; half of the parts are known entities, three of four sources still stand."""
+    events = _events(spark, d)
+    entities = table(spark, d, "part").filter("p_partkey % 2 = 0").selectExpr("p_partkey as id", "p_name as name")
+    none = spark.createDataFrame([], "canonical_id long, name string, from_id long, to_id long, relation string, active boolean")
+    alive = table(spark, d, "customer").filter("c_custkey % 4 <> 0").selectExpr("c_custkey as id")
+    return U.materialised(U.approved_examples(U.folded(events), events), entities, none, none, alive)[2]
