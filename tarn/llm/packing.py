@@ -65,18 +65,20 @@ class Ids:
 
     def __init__(self, path: str, separator: int = SEPARATOR) -> None:
         self.library, self.separator = Tokenizer.from_file(path), separator
-        made = json.loads(self.library.to_str())
-        self.by_runs = (made["normalizer"], made["pre_tokenizer"], made["post_processor"]) == (NORMALIZER, PRE_TOKENIZER, None)
+        made = [x and json.loads(x.__getstate__()) for x in (self.library.normalizer, self.library.pre_tokenizer, self.library.post_processor)]
+        self.by_runs = made == [NORMALIZER, PRE_TOKENIZER, None]
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes in order, and each one's place below
         self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _add(self, hashes: list[int], runs: list[bytes]) -> None:
+    def _add(self, hashes: np.ndarray, runs: list[bytes]) -> None:
         found = self.library.encode_batch_fast([r.decode("utf-8", "replace") for r in runs], add_special_tokens=False)
         ids = [one.ids for one in found]
-        self.known.update(zip(hashes, range(len(self.size), len(self.size) + len(ids)), strict=True))
+        at = np.searchsorted(self.known, hashes)
+        self.slot = np.insert(self.slot, at, np.arange(len(self.size), len(self.size) + len(ids), dtype=np.int32))
+        self.known = np.insert(self.known, at, hashes)
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
         self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(size) - size))
@@ -94,11 +96,13 @@ class Ids:
         distinct, example, which = np.unique(w.hashes, return_index=True, return_inverse=True)
         if len(self.known) > self.KEPT:
             self._reset()
-        keys = distinct.tolist()
-        fresh = [k for k, h in enumerate(keys) if h not in self.known]
-        if fresh:
-            self._add([keys[k] for k in fresh], [data[w.start[e] : w.end[e]].tobytes() for e in example[fresh]])
-        row = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[which]
+        place = np.searchsorted(self.known, distinct)
+        fresh = np.ones(len(distinct), bool)
+        inside = place < len(self.known)
+        fresh[inside] = self.known[place[inside]] != distinct[inside]
+        if fresh.any():
+            self._add(distinct[fresh], [data[w.start[e] : w.end[e]].tobytes() for e in example[fresh]])
+        row = self.slot[np.searchsorted(self.known, distinct)][which]
         closing = np.arange(len(at) - 1) + w.first[1:]  # with a separator after each text's runs
         length = np.zeros(len(which) + len(closing), np.int64)
         shift = np.zeros(len(length), np.int64)
