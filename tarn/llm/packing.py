@@ -4,8 +4,8 @@ A pass over the texts cuts each document's ids into pieces. Spark deals the piec
 random, whatever document they come from; a shard is packed by best fit, longest first, and then improved by local search:
 bins, the least filled first, give pieces to others by moves and by exchanges of one for one, two for one and one for two,
 each the one that leaves the other bin fullest and each increasing the squared fill, until no bin of the shard can give
-anything, or the shard has as few bins as its length allows. Underfull bins of all shards then meet in new shards, as long
-as that empties any. A piece as long as a sequence is one by itself.
+anything, or the shard has as few bins as its length allows. All bins that are not full then meet in new shards, as long as
+that empties any and their length allows fewer. A piece as long as a sequence is one by itself.
 
 Defined cases: a null or empty text is one piece that holds the separator only; texts of any length are encoded whole and
 cut; repeated rows and rows without doc_id are packed like any others; pieces of equal length go by their number, and equal
@@ -36,8 +36,6 @@ from tarn.llm.words import EXACT, VALUE, raw, words
 LENGTH = 2048
 SEPARATOR = 0
 SHARD = 20_000
-#: Bins with less than this share of their capacity filled meet again across shards.
-UNDERFULL = 7 / 8
 #: How a tokenizer folds and splits texts whose runs can be encoded one by one.
 NORMALIZER = {
     "type": "Sequence",
@@ -350,7 +348,7 @@ def best_fit_packing(
     round_ = 1
     packed = persisted(_shards(found.filter(F.col("length") < length), shard, length, round_), "packed")
     while True:
-        under = F.col("fill") < length * UNDERFULL
+        under = F.col("fill") < length
         poor = packed.filter(under)
         n, least = _bins(poor, length)
         if n <= least:
