@@ -48,6 +48,8 @@ PRE_TOKENIZER = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
+#: Bins filled to less than these shares of their capacity meet again across shards: first the emptiest, then all that are not full.
+SHARES = (7 / 8, 1)
 PIECES = "uid long, doc_id {}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -347,17 +349,17 @@ def best_fit_packing(
     out = whole.withColumn("sequence_id", -1 - F.col("uid")).withColumn("offset", F.lit(0).cast("long"))
     round_ = 1
     packed = persisted(_shards(found.filter(F.col("length") < length), shard, length, round_), "packed")
-    while True:
-        under = F.col("fill") < length
-        poor = packed.filter(under)
-        n, least = _bins(poor, length)
-        if n <= least:
-            break
-        round_ += 1
-        again = persisted(_shards(poor.drop("sequence_id", "offset", "fill"), shard, length, round_), "packed")
-        if _bins(again, length)[0] >= n:
-            break
-        out = out.unionByName(packed.filter(~under).drop("fill"))
-        packed = again
+    for share in SHARES:
+        while True:
+            under = F.col("fill") < length * share
+            poor = packed.filter(under)
+            n, least = _bins(poor, length)
+            if n <= least:
+                break
+            round_ += 1
+            again = persisted(_shards(poor.drop("sequence_id", "offset", "fill"), shard, length, round_), "packed")
+            if _bins(again, length)[0] >= n:
+                break
+            packed = persisted(packed.filter(~under).unionByName(again), "packed")
     out = out.unionByName(packed.drop("fill"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
