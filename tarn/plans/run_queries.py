@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from tarn.checkpoints import shared_dir
 from tarn.operators import index_pass as I
 from tarn.operators import recheck as H
+from tarn.operators import runs as O
 from tarn.operators import vocabulary as U
 from tarn.plans import fixtures as X
 from tarn.plans.fixtures import SIM, sql
 from tarn.plans.listing_queries import CHUNK, chunks, decisions, now
 from tarn.plans.registry import Registry
+from tarn.plans.store_queries import DUP, LEAK, STALE
 from tarn.sources.ledger import Ledger
 from tarn.tables import table
 
@@ -254,3 +256,85 @@ def approved_links(spark: SparkSession, d: str) -> DataFrame:
     none = spark.createDataFrame([], "canonical_id long, name string, from_id long, to_id long, relation string, active boolean")
     alive = table(spark, d, "customer").filter("c_custkey % 4 <> 0").selectExpr("c_custkey as id")
     return U.materialised(U.approved_examples(U.folded(events), events), entities, none, none, alive)[2]
+
+
+RUNS = f""", {DUP}, {LEAK}, {STALE},
+des as (select doc_id as incoming, doc_id + 1 as candidate, case when doc_id % 80 = 7 then doc_id - doc_id % 3 end as root, doc_id % 3 = 0 as open from documents where doc_id % 40 = 7),
+blocked as (select incoming as id from des where open union select candidate from des where open),
+ret as (select id, min(pass) as pass from (select id, 1 as pass from leak union all select id, 2 from dup) where id not in (from blocked) group by id),
+heads as (select root_id, count(*) as heads, list(id order by version desc, asserted_at desc, id desc) as ids from act group by root_id having count(*) > 1 and root_id not in (select root from des where root is not null)),
+acts as (select 'retire' as kind, case pass when 1 then 'replaces_leak' else 'duplicate_content' end as class, id as subject, row_number() over (partition by pass = 1 order by pass, id) <= case pass when 1 then 10 else 5 end as surfaced, true as can from ret
+ union all select 'question', 'stale_without_edge', id, row_number() over (order by id) <= 10, false from orphan
+ union all select 'conflict', 'multi_head', ids[1], true, true from (select ids, row_number() over (order by heads desc, root_id) as place from heads) where place <= least(2, 20 - (select count(*) from des where open)))
+"""
+
+
+def _reconciled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, Ledger]:
+    decided = table(spark, d, "documents").filter("doc_id % 40 = 7").selectExpr(
+        "doc_id as incoming", "array(doc_id + 1) as candidates", "case when doc_id % 80 = 7 then 'reconcile:lineage:' || (doc_id - doc_id % 3) end as key",
+        "case when doc_id % 3 <> 0 then timestamp '2024-05-01' end as resolved_at",
+    )
+    past = spark.createDataFrame([(2, False), (1, True)], "started_at int, acted boolean")
+    ledger = _ledger(spark, "reconcile", O.ACTIONS)
+    rows = _ledger(spark, "reconcile-runs", O.RUN)
+    return (*O.reconcile("r", X.plain_mem(spark, d), X.rep(spark, d), decided, past, ledger, rows, now(), 0.0, apply=True), ledger)
+
+
+@query(sql("mem act rep", RUNS + "select kind, class, subject::varchar as subject, surfaced, surfaced and can as applied from acts"))
+def reconcile_actions(spark: SparkSession, d: str) -> DataFrame:
+    return _reconciled(spark, d)[3].read().select("kind", "class", "subject", "surfaced", "applied")
+
+
+@query(
+    sql(
+        "mem act rep",
+        RUNS
+        + """select (select count(*) from act) as scanned, count_if(kind = 'retire' and surfaced)::bigint as retired, count_if(kind = 'question')::bigint as questions, count_if(kind = 'conflict')::bigint as conflicts,
+ count_if(kind = 'retire' and not surfaced)::bigint as held_retire, count_if(kind = 'question' and not surfaced)::bigint as held_question, ((select count(*) from heads) - count_if(kind = 'conflict'))::bigint as held_conflict,
+ (select count(*) from act where id not in (select subject from acts where kind = 'retire' and surfaced)) as active_after from acts""",
+    )
+)
+def reconcile_run(spark: SparkSession, d: str) -> DataFrame:
+    row, after, _, _ = _reconciled(spark, d)
+    left = after.filter("status = 'active'").agg(F.count("*").alias("active_after"))
+    return row.drop("run", "mode", "status").withColumn("one", F.lit(1)).join(left.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+POSSIBLE = f""", fnd as (select l_orderkey * 10 + l_linenumber as found, l_orderkey as id, l_partkey as candidate, l_shipdate as found_at from lineitem where l_linenumber <= 2 and l_orderkey <> l_partkey),
+ans as (select found, min(seq) as seq, min_by(decision, seq) as decision from (select found, found % 7 as seq, case when found % 2 = 0 then 'approved' else 'rejected' end as decision from fnd where id % 3 = 0
+ union all select found, found % 5, 'rejected' from fnd where id % 9 = 0 and found % 7 <> found % 5) group by found)"""
+
+
+def _possible(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    found = table(spark, d, "lineitem").filter("l_linenumber <= 2 and l_orderkey <> l_partkey").selectExpr(
+        "l_orderkey * 10 + l_linenumber as found", "l_orderkey as id", "l_partkey as candidate", "l_shipdate as found_at", "'r' as reason"
+    )
+    answers = found.filter("id % 3 = 0").selectExpr("found", "found % 7 as seq", "case when found % 2 = 0 then 'approved' else 'rejected' end as decision")
+    return found, answers.unionByName(found.filter("id % 9 = 0 and found % 7 <> found % 5").selectExpr("found", "found % 5 as seq", "'rejected' as decision"))
+
+
+@query(
+    sql(
+        "mem act",
+        POSSIBLE
+        + f"""select * from (select f.found, f.id, f.candidate, round({SIM}, 6) as similarity, row_number() over (order by found_at desc, f.found)::integer as place
+ from fnd f join act a on a.id = f.id join act b on b.id = f.candidate where f.found not in (select found from ans)) where place <= 50""",
+    )
+)
+def possible_contradictions(spark: SparkSession, d: str) -> DataFrame:
+    found, answers = _possible(spark, d)
+    rows = O.possible_contradictions(found, answers, X.mem(spark, d).withColumnRenamed("text", "content"))
+    return rows.select("found", "id", "candidate", F.round("similarity", 6).alias("similarity"), "place")
+
+
+@query(
+    sql(
+        "mem",
+        POSSIBLE
+        + """select id as a, candidate as b, decision, decision = 'approved' as raised from ans join fnd using (found)""",
+    )
+)
+def possible_answers(spark: SparkSession, d: str) -> DataFrame:
+    conflicts, pairs, _ = O.answered(*_possible(spark, d))
+    raised = conflicts.select(F.col("incoming").alias("a"), F.explode("candidates").alias("b"), F.lit(True).alias("raised")).distinct()
+    return pairs.join(raised, ["a", "b"], "left").withColumn("raised", F.coalesce("raised", F.lit(False)) & (F.col("decision") == "approved"))

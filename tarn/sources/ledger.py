@@ -75,11 +75,16 @@ class Ledger:
         stream.close()
         return True
 
-    def release(self, name: str, holder: str) -> None:
+    def holder(self, name: str) -> str | None:
         fs, path = self._at(f"{name}.lease")
-        if fs.exists(path):
-            stream = fs.open(path)
-            owner = stream.readUTF()
-            stream.close()
-            if owner == holder:
-                fs.delete(path, False)
+        if not fs.exists(path):
+            return None
+        stream = fs.open(path)
+        owner = stream.readUTF()
+        stream.close()
+        return owner
+
+    def release(self, name: str, holder: str) -> None:
+        if self.holder(name) == holder:
+            fs, path = self._at(f"{name}.lease")
+            fs.delete(path, False)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tarn.functions import vectors as V
 from tarn.operators import index_pass as I
 from tarn.operators import recheck as H
+from tarn.operators import runs as O
 from tarn.operators.paging import placed, running
 from tarn.sources.ledger import Ledger
 
@@ -317,3 +318,80 @@ def test_near_cells_of_clustered_vectors(spark, monkeypatch):
         q, r = np.nonzero(np.round(unit @ unit.T, 9) >= least)
         assert got == {(a, b) for a, b in zip(q.tolist(), r.tolist(), strict=True) if a != b}
     assert all(s < 0.35 for s in shares) and len(shares) == 2
+
+
+# reconcile runs
+
+
+LINE = "id long, content string, content_hash string, status string, root_id long, version int, asserted_at timestamp, stale_since timestamp"
+
+
+def test_reconcile_runs(spark, tmp_path):
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(i, f"t{i}", f"h{i % 12}", "active", i, 1, day + datetime.timedelta(minutes=i), None) for i in range(30)]  # 12 to 29 repeat older ones
+    rows += [(100 + i, "x", f"x{i}", "active", 500 + i // 2, i % 2, day, None) for i in range(8)]  # four lineages of two heads
+    rows += [(200, "y", "y", "stale", 200, 1, day, day)]
+    beliefs = spark.createDataFrame(rows, LINE)
+    edges = spark.createDataFrame([(0, 1, "replaces", True)], "from_id long, to_id long, relation string, active boolean")
+    decisions = spark.createDataFrame([(20, [21], None, None), (100, [101], "reconcile:lineage:500", day)], "incoming long, candidates array<long>, key string, resolved_at timestamp")
+    never = spark.createDataFrame([], "started_at int, acted boolean")
+    ledger, runs = Ledger(spark, str(tmp_path / "a"), O.ACTIONS), Ledger(spark, str(tmp_path / "b"), O.RUN)
+
+    def go(run, apply=True, past=never, clock=0.0):
+        return O.reconcile(run, beliefs, edges, decisions, past, ledger, runs, F.lit(NOW), clock, apply)
+
+    row, after, conflicts = go("dry", False)
+    assert (row.first().retired, row.first().conflicts, conflicts.count()) == (0, 0, 0)
+    assert after.exceptAll(beliefs).count() == 0
+    dry = ledger.read("dry-actions")
+    assert dry.filter("class = 'multi_head' and kind = 'question'").count() == 3
+    row, after, conflicts = go("one")
+    acts = {(r["class"], int(r.subject)): r for r in ledger.read("one-actions").collect()}
+    # the leak comes first; 20 and 21 belong to a pending conflict; ten duplicates fit
+    done = {s for (c, s), r in acts.items() if r.applied and r.kind == "retire"}
+    assert done == {1, *[i for i in range(12, 30) if i not in (20, 21)][:10]}
+    assert {s for (c, s) in acts if c == "duplicate_content"} == {i for i in range(12, 30) if i not in (20, 21)}
+    assert acts["stale_without_edge", 200].surfaced and not acts["stale_without_edge", 200].applied
+    assert {r.id for r in after.filter(F.col("stale_since") == F.lit(NOW)).collect()} == done
+    assert sorted((r.incoming, r.candidates, r.key) for r in conflicts.collect()) == [(103 + 2 * k, [102 + 2 * k], f"reconcile:lineage:{501 + k}") for k in range(3)]
+    assert (row.first().retired, row.first().held_retire, row.first().conflicts, row.first().held_conflict) == (11, 6, 3, 0)
+    # begun again it is the same run; three silent runs before it leave only what has a cap of its own
+    assert go("one")[0].first() == row.first()
+    silent = spark.createDataFrame([(k, False) for k in range(3)] + [(-1, True)], "started_at int, acted boolean")
+    row, after, _ = go("two", past=silent)
+    assert (row.first().retired, row.first().conflicts, row.first().held_question) == (1, 0, 0)
+
+
+def test_one_live_run(spark, tmp_path):
+    beliefs = spark.createDataFrame([], LINE)
+    edges = spark.createDataFrame([], "from_id long, to_id long, relation string, active boolean")
+    decisions = spark.createDataFrame([], "incoming long, candidates array<long>, key string, resolved_at timestamp")
+    past = spark.createDataFrame([], "started_at int, acted boolean")
+    ledger, runs = Ledger(spark, str(tmp_path / "a"), O.ACTIONS), Ledger(spark, str(tmp_path / "b"), O.RUN)
+    assert ledger.lease("reconcile", "dead", 0, O.STALE_SECONDS)  # a run that was killed
+    go = lambda run, clock: O.reconcile(run, beliefs, edges, decisions, past, ledger, runs, F.lit(NOW), clock, True)
+    with pytest.raises(O.RunGoing):
+        go("next", 1799.0)
+    assert go("next", 1800.0)[0].first().status == "success"
+    assert {(r.run, r.status) for r in runs.read().collect()} == {("dead", "aborted"), ("next", "success")}
+    assert ledger.holder("reconcile") is None
+
+
+def test_entity_questions(spark):
+    aliases = spark.createDataFrame([(1, 10, 99, "ann"), (2, 77, 98, "bob"), (3, 10, 97, "cyd")], "id long, canonical_id long, entity_id long, name_key string")
+    entities = spark.createDataFrame([(10, "Ann Lee"), (11, "cyd")], "id long, name string")
+    merges = spark.createDataFrame([(5, 11, None), (6, 12, None), (7, 10, "x")], "id long, source_id long, reverted_at string")
+    got = {(r["class"], r.subject) for r in O.entity_questions(aliases, entities, merges, F.lower("name")).collect()}
+    assert got == {("entity_alias_orphan", 2), ("entity_alias_shadow", 3), ("entity_merge_incomplete", 5)}
+
+
+def test_answers_to_possible_contradictions(spark):
+    found = spark.createDataFrame([(1, 10, 20, "r", 5), (2, 11, 21, "r", 6), (3, 12, 22, "r", 7)], "found long, id long, candidate long, reason string, found_at int")
+    answers = spark.createDataFrame([(1, 5, "approved"), (1, 9, "rejected"), (2, 1, "rejected"), (9, 1, "approved")], "found long, seq long, decision string")
+    conflicts, pairs, refused = O.answered(found, answers)
+    assert [tuple(r) for r in conflicts.collect()] == [(10, [20], "r")]
+    assert sorted(map(tuple, pairs.collect())) == [(10, 20, "approved"), (11, 21, "rejected")]
+    assert sorted(map(tuple, refused.collect())) == [(1, 9), (9, 1)]
+    beliefs = spark.createDataFrame([(12, "a", "active", [1.0, 0.0]), (22, "b", "active", None)], "id long, content string, status string, vec array<double>")
+    assert [(r.found, r.similarity, r.place) for r in O.possible_contradictions(found, answers, beliefs).collect()] == [(3, None, 1)]
+    assert O.possible_contradictions(found, answers, beliefs.withColumn("status", F.lit("stale"))).count() == 0
