@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.checkpoints import shared_dir
+from tarn.operators import embedding as E
 from tarn.operators import index_pass as I
 from tarn.operators import recheck as H
 from tarn.operators import runs as O
 from tarn.operators import vocabulary as U
 from tarn.plans import fixtures as X
+from tarn.plans import recall_queries
 from tarn.plans.fixtures import SIM, sql
 from tarn.plans.listing_queries import CHUNK, chunks, decisions, now
 from tarn.plans.registry import Registry
 from tarn.plans.store_queries import DUP, LEAK, STALE
 from tarn.sources.ledger import Ledger
+from tarn.sources.store import Store
 from tarn.tables import table
 
 query = Registry()
@@ -338,3 +341,16 @@ def possible_answers(spark: SparkSession, d: str) -> DataFrame:
     conflicts, pairs, _ = O.answered(*_possible(spark, d))
     raised = conflicts.select(F.col("incoming").alias("a"), F.explode("candidates").alias("b"), F.lit(True).alias("raised")).distinct()
     return pairs.join(raised, ["a", "b"], "left").withColumn("raised", F.coalesce("raised", F.lit(False)) & (F.col("decision") == "approved"))
+
+
+@query(recall_queries.ORACLES["hash_embed"].replace("h % 64", "h % 32"))
+def reembedded(spark: SparkSession, d: str) -> DataFrame:
+    """A store of one provider's vectors after the change to another."""
+    store = Store(spark, f"{shared_dir(spark)}/tarn/store-{uuid.uuid4().hex}")
+    docs = table(spark, d, "documents").selectExpr("doc_id as id", "text", "cast(null as array<double>) as embedding")
+    store.write("documents", docs)
+    E.guard(store, E.Provider(32, "before", lambda texts: [[0.0] * 32] * len(texts)))
+    E.reembed(store, {"documents": "text"}, E.offline(32), pages=4)
+    E.guard(store, E.offline(32))
+    made = store.read("documents").select(F.col("id").alias("doc_id"), F.posexplode("embedding").alias("idx", "value")).filter("value <> 0")
+    return made.select("doc_id", F.col("idx").cast("long").alias("idx"), F.round("value", 6).alias("value"))

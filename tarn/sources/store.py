@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,6 +43,29 @@ class Store:
             return found.read()
         return self.spark.read.parquet(self._snapshots(table)[-1])
 
+    def newest(self, table: str) -> str:
+        return self._snapshots(table)[-1]
+
+    def _meta(self) -> tuple:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_meta.json")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def meta(self) -> dict:
+        """What is kept about the store as a whole."""
+        fs, path = self._meta()
+        if not fs.exists(path):
+            return {}
+        stream = fs.open(path)
+        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return json.loads(text)
+
+    def set_meta(self, meta: dict) -> None:
+        fs, path = self._meta()
+        stream = fs.create(path, True)
+        stream.write(bytearray(json.dumps(meta).encode()))
+        stream.close()
+
     def write(self, table: str, rows: DataFrame) -> DataFrame:
         """A new snapshot; readers see the old one until it is complete."""
         place = len(self._snapshots(table))

@@ -11,11 +11,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.functions import vectors as V
+from tarn.operators import embedding as E
 from tarn.operators import index_pass as I
 from tarn.operators import recheck as H
 from tarn.operators import runs as O
 from tarn.operators.paging import placed, running
 from tarn.sources.ledger import Ledger
+from tarn.sources.store import Store
 
 
 def broken(path):
@@ -395,3 +397,57 @@ def test_answers_to_possible_contradictions(spark):
     beliefs = spark.createDataFrame([(12, "a", "active", [1.0, 0.0]), (22, "b", "active", None)], "id long, content string, status string, vec array<double>")
     assert [(r.found, r.similarity, r.place) for r in O.possible_contradictions(found, answers, beliefs).collect()] == [(3, None, 1)]
     assert O.possible_contradictions(found, answers, beliefs.withColumn("status", F.lit("stale"))).count() == 0
+
+
+# embeddings
+
+
+def test_reembedding(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    rows = [(i, f"text {i}" if i % 7 else None, [1.0, 2.0] if i % 3 else None) for i in range(60)]
+    store.write("beliefs", spark.createDataFrame(rows, "id long, content string, embedding array<double>"))
+    folder = tmp_path / "calls"
+    folder.mkdir()
+
+    def provider(name, bad=(), dims=2, folder=folder):
+        def embed(texts):
+            numbers = [int(t.split()[1]) if t else 0 for t in texts]
+            if set(numbers) & set(bad):
+                raise RuntimeError("down")
+            noted(folder, numbers)
+            return [[float(n)] * dims for n in numbers]
+
+        return E.Provider(dims, name, embed)
+
+    old, new, other = provider("old"), provider("new"), provider("other")
+    E.guard(store, old)
+    E.guard(store, old)
+    with pytest.raises(E.WrongSpace):
+        E.guard(store, new)
+    E.guard(store, new, tolerate=True)
+    with pytest.raises(ValueError, match="numbers"):
+        E.reembed(store, {"beliefs": "content"}, provider("wide", dims=3))
+    with pytest.raises(Exception, match="down"):
+        E.reembed(store, {"beliefs": "content"}, provider("new", bad=[33]), pages=6)
+    with pytest.raises(E.WrongSpace) as refused:
+        E.guard(store, old)  # some vectors are missing, whoever asks
+    assert refused.value.unfinished
+    before = calls(folder)
+    assert store.read("beliefs").filter("embedding = array(1d, 2d)").count() == 40  # as it was
+    assert E.reembed(store, {"beliefs": "content"}, new, pages=6) == {"outcome": "reembedded", "from": "old", "to": "new", "rows": {"beliefs": 60}}
+    # each text once over both, but for those of the page that failed
+    page = {r.id: r.p for r in spark.range(60).select("id", F.pmod(F.xxhash64("id"), F.lit(6)).alias("p")).collect()}
+    twice = list(calls(folder))
+    for i in range(60):
+        twice.remove(i if i % 7 else 0)
+    assert len(before) > 0 and {i for i in twice if i} <= {i for i in page if page[i] == page[33]}
+    assert all(r.embedding == [float(r.id if r.id % 7 else 0)] * 2 for r in store.read("beliefs").collect())
+    E.guard(store, new)
+    assert E.reembed(store, {"beliefs": "content"}, new)["outcome"] == "up-to-date"
+    # a change that is not finished can turn to another provider
+    with pytest.raises(Exception, match="down"):
+        E.reembed(store, {"beliefs": "content"}, provider("third", bad=[33]), pages=6)
+    assert E.reembed(store, {"beliefs": "content"}, other, pages=6)["from"] == "new"
+    E.guard(store, other)
+    with pytest.raises(Exception, match="something else"):
+        E.embedded(store.read("beliefs").drop("embedding"), "content", E.Provider(4, "x", old.embed)).collect()
