@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.checkpoints import persisted
 from tarn.functions.text import clock
-from tarn.functions.vectors import cosine
+from tarn.functions.vectors import nearest
 
 MERGE_GAP, MIN_SPEAKER, SHARE_OF_BIGGEST = 2.0, 8.0, 0.05
 TRUNCATED, SUSPECT, MIN_SPEECH = 5.0, 0.5, 8.0
@@ -202,21 +203,25 @@ def renamed_speaker(chunks: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def voice_matches(voices: DataFrame, prints: DataFrame, least: float = VOICE) -> DataFrame:
-    """Names of unnamed voices (document, speaker, seconds, vec) by known prints (name, vec): best first, each name and voice once."""
-    known = prints.select("name", F.col("vec").alias("print"))
-    scored = voices.filter(F.col("seconds") >= VOICE_SECONDS).join(F.broadcast(known)).withColumn("similarity", cosine(F.col("vec"), F.col("print")))
-    best = scored.groupBy("document", "speaker", "name").agg(F.max("similarity").alias("similarity")).filter(F.col("similarity") >= least)
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        names, speakers, keep = set(), set(), []
-        for k, (s, n) in enumerate(zip(*(rows.sort_values(["similarity", "speaker", "name"], ascending=[False, True, True])[c] for c in ("speaker", "name")), strict=True)):
-            if s not in speakers and n not in names:
-                speakers.add(s)
-                names.add(n)
-                keep.append(k)
-        return rows.sort_values(["similarity", "speaker", "name"], ascending=[False, True, True]).iloc[keep]
-
-    return best.groupBy("document").applyInPandas(greedy, best.schema)
+    """Names of unnamed voices (document, speaker, seconds, vec) by known prints (name, vec): best first, each name and voice once.
+
+    The nearest pair goes first, ties to the smaller speaker, then name. A pair that is the best left of both its sides is the next of its
+    document wherever it stands, so each round settles all such pairs at once.
+    """
+    heard = persisted(voices.filter(F.col("seconds") >= VOICE_SECONDS).select(F.col("document").cast("string").alias("src"), "document", F.col("speaker").alias("id"), "vec"), "voices")
+    known = persisted(prints.select(F.monotonically_increasing_id().alias("qid"), "name", "vec"), "prints")
+    near = nearest(heard, known, max(1, heard.count()), least).join(known.select("qid", "name"), "qid")
+    near = near.join(heard.select("src", "document", "id").distinct(), ["src", "id"])
+    left = near.groupBy("document", F.col("id").alias("speaker"), "name").agg(F.round(F.max("similarity"), 9).alias("similarity"))
+    left, rank, done = persisted(left, "voice-pairs"), F.struct(-F.col("similarity"), "speaker", "name"), None
+    while not left.isEmpty():
+        first = lambda side: F.min(rank).over(Window.partitionBy("document", side)) == rank
+        marked = left.withColumn("one", first("speaker")).withColumn("two", first("name"))
+        settled = persisted(marked.filter("one and two").drop("one", "two"), "voice-matches")
+        done = settled if done is None else done.unionByName(settled)
+        rest = left.join(settled.select("document", "speaker"), ["document", "speaker"], "left_anti").join(settled.select("document", "name"), ["document", "name"], "left_anti")
+        left = persisted(rest.select(*settled.columns), "voice-pairs")
+    return left if done is None else done
 
 
 def recording_time(path: Column, container: Column, mtime: Column) -> Column:

@@ -14,6 +14,7 @@ from tarn.functions import vectors as V
 from tarn.operators import embedding as E
 from tarn.operators import index_pass as I
 from tarn.operators import recheck as H
+from tarn.operators import recordings as A
 from tarn.operators import runs as O
 from tarn.operators.paging import placed, running
 from tarn.sources.ledger import Ledger
@@ -451,3 +452,28 @@ def test_reembedding(spark, tmp_path):
     E.guard(store, other)
     with pytest.raises(Exception, match="something else"):
         E.embedded(store.read("beliefs").drop("embedding"), "content", E.Provider(4, "x", old.embed)).collect()
+
+
+# voices
+
+
+def test_voice_matches_like_one_after_another(spark):
+    rng = np.random.default_rng(17)
+    base = rng.normal(size=(6, 5))
+    voices = [(d, f"s{k}", 20.0 if k else 5.0, (base[rng.integers(6)] + 0.35 * rng.normal(size=5)).tolist()) for d in range(12) for k in range(6)]
+    prints = [(f"n{k % 5}", (base[k % 6] + 0.3 * rng.normal(size=5)).tolist()) for k in range(14)]
+    sim = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 9)
+    want = []
+    for d in range(12):
+        pairs = {}
+        for doc, s, seconds, v in voices:
+            for n, p in prints:
+                if doc == d and seconds >= 10 and sim(v, p) >= 0.8:
+                    pairs[s, n] = max(pairs.get((s, n), 0), sim(v, p))
+        taken = set()
+        for (s, n), x in sorted(pairs.items(), key=lambda i: (-i[1], i[0])):
+            if not {s, n} & taken:
+                taken |= {s, n}
+                want.append((d, s, n, x))
+    found = A.voice_matches(spark.createDataFrame(voices, "document long, speaker string, seconds double, vec array<double>"), spark.createDataFrame(prints, "name string, vec array<double>"))
+    assert sorted((r.document, r.speaker, r.name, r.similarity) for r in found.collect()) == sorted(want) and len(want) > 15
