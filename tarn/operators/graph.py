@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.checkpoints import bounded
+from tarn.checkpoints import bounded, persisted
 from tarn.functions.text import name_key, plausible_name, schema_name
 
 CONFIDENT = 0.7
@@ -58,27 +58,74 @@ def parallel_predicates(typed: DataFrame) -> DataFrame:
     return typed.filter("active").groupBy("from_id", "to_id").agg(joined.alias("relations"), F.count("*").alias("n"))
 
 
+#: Mentions from which on a source is heavy: its pairs are never made.
+HEAVY = 1000
+
+
 def related_entities(
-    targets: DataFrame, entities: DataFrame, edges: DataFrame, typed: DataFrame, limit: int = 50
+    targets: DataFrame, entities: DataFrame, edges: DataFrame, typed: DataFrame, limit: int = 50, entity_type: str | None = None, aliases: DataFrame | None = None, heavy: int = HEAVY
 ) -> DataFrame:
-    """Entities linked with each target by stated links or shared sources, stated ones first: (target, other, …, place, total)."""
+    """Entities linked with each target by stated links or shared sources, stated ones first: the first ``limit`` of each target.
+
+    (target, other, name, links, outgoing, incoming, confidence, shared, mentions, total, truncated, place, and aliases, in order, if given:
+    canonical_id, name). ``entities`` (id, name, entity_type if one is asked for). Sources of more than ``heavy`` mentions don't make pairs.
+    Their entities fall into classes, those of the same heavy sources; of a class only the first ``limit`` + 1 others can have a
+    place by heavy sources alone, as all of a class share as many of those with a target.
+    """
     mentions = edges.filter("active and relation = 'mention'").select("from_id", "to_id").distinct()
-    of = mentions.join(targets.select(F.col("id").alias("to_id"), F.col("id").alias("target")), "to_id").select("from_id", "target")
-    shared = of.join(mentions, "from_id").filter("to_id <> target").groupBy("target", F.col("to_id").alias("other")).agg(F.count("*").alias("shared"))
+    asked = targets.select(F.col("id").alias("target"))
+    named = entities.filter(F.col("entity_type") == entity_type) if entity_type else entities
+    counts = mentions.groupBy(F.col("to_id").alias("other")).agg(F.count("*").alias("mentions"))
+    named = named.select(F.col("id").alias("other"), "name").join(counts, "other", "left").withColumn("mentions", F.coalesce("mentions", F.lit(0)))
+    large = persisted(mentions.groupBy("from_id").agg(F.count("*").alias("n")).filter(F.col("n") > heavy).select("from_id"), "heavy")
+    some = not large.isEmpty()
+    light = mentions.join(bounded(large), "from_id", "left_anti") if some else mentions
+    of = light.join(asked.withColumn("to_id", F.col("target")), "to_id").select("from_id", "target")
+    shared = of.join(light, "from_id").filter("to_id <> target").groupBy("target", F.col("to_id").alias("other")).agg(F.count("*").alias("shared"))
     links = typed.filter("active")
-    ends = links.select(F.col("from_id").alias("target"), F.col("to_id").alias("other"), "relation", "confidence", F.lit("out").alias("direction")).union(
-        links.select("to_id", "from_id", "relation", "confidence", F.lit("in"))
+    ends = links.select(F.col("from_id").alias("target"), F.col("to_id").alias("other"), "confidence", F.lit(1).alias("outgoing")).union(links.select("to_id", "from_id", "confidence", F.lit(0)))
+    stated = ends.join(asked, "target").filter("target <> other").groupBy("target", "other").agg(
+        F.count("*").alias("links"), F.sum("outgoing").alias("outgoing"), F.max("confidence").alias("confidence")
     )
-    stated = ends.join(targets.select(F.col("id").alias("target")), "target").filter("target <> other")
-    stated = stated.groupBy("target", "other").agg(F.count("*").alias("links"), F.max("confidence").alias("confidence"))
-    both = shared.join(stated, ["target", "other"], "full_outer")
-    counts = mentions.groupBy(F.col("to_id").alias("other")).agg(F.count("*").alias("mentions"))
-    rows = both.join(counts, "other", "left").join(entities.select(F.col("id").alias("other"), "name"), "other")
+    rows = shared.join(stated, ["target", "other"], "full_outer")
+    if some:
+        rows, more = _with_heavy(rows, asked, named, mentions.join(bounded(large), "from_id", "left_semi"), limit)
+    rows = rows.join(named, "other")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    rows = rows.select("target", "other", "name", zero("links"), "confidence", zero("shared"), zero("mentions"))
+    rows = rows.select("target", "other", "name", zero("links"), zero("outgoing"), (zero("links") - zero("outgoing")).alias("incoming"), "confidence", zero("shared"), "mentions", *(["by_heavy"] if some else []))
     order = Window.partitionBy("target").orderBy(F.desc(F.col("links") > 0), F.desc("shared"), F.desc("mentions"), "name", "other")
-    total = F.count("*").over(Window.partitionBy("target"))
-    return rows.withColumn("total", total).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    whole = Window.partitionBy("target")
+    if some:
+        rows = rows.withColumn("total", F.count_if(~F.col("by_heavy")).over(whole)).join(more, "target", "left")
+        rows = rows.withColumn("total", F.col("total") + F.coalesce("reached", F.lit(0))).drop("reached", "by_heavy")
+    else:
+        rows = rows.withColumn("total", F.count("*").over(whole))
+    rows = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).withColumn("truncated", F.greatest(F.lit(0), F.col("total") - limit))
+    if aliases is None:
+        return rows
+    listed = aliases.groupBy(F.col("canonical_id").alias("other")).agg(F.sort_array(F.collect_list("name")).alias("aliases"))
+    return rows.join(listed, "other", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+
+
+def _with_heavy(rows: DataFrame, asked: DataFrame, named: DataFrame, mentions: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with what heavy sources add: to ``shared``, and as others of their own; and how many others these reach: (target, reached)."""
+    of = persisted(mentions.groupBy("to_id").agg(F.sort_array(F.collect_set("from_id")).alias("sources")).select("to_id", F.xxhash64("sources").alias("cls"), "sources"), "classes")
+    parts = of.select("cls", "sources").distinct().select("cls", F.explode("sources").alias("source"))
+    pairs = persisted(parts.join(parts.withColumnRenamed("cls", "with"), "source").groupBy("cls", "with").agg(F.count("*").alias("heavy")), "class-pairs")
+    members = of.select(F.col("to_id").alias("other"), F.col("cls").alias("with")).join(named, "other")
+    first = F.row_number().over(Window.partitionBy("with").orderBy(F.desc("mentions"), "name", "other"))
+    tops = members.withColumn("n", first).filter(F.col("n") <= limit + 1).select("with", "other")
+    own = asked.join(of.select(F.col("to_id").alias("target"), "cls"), "target")
+    reach = own.join(pairs, "cls")
+    made = reach.join(tops, "with").filter("target <> other").select("target", "other")
+    every = rows.join(made, ["target", "other"], "full_outer")
+    at = every.join(own, "target", "left").join(of.select(F.col("to_id").alias("other"), F.col("cls").alias("with")), "other", "left").join(pairs, ["cls", "with"], "left")
+    out = at.withColumn("shared", F.coalesce("shared", F.lit(0)) + F.coalesce("heavy", F.lit(0))).withColumn("by_heavy", F.col("heavy").isNotNull())
+    sizes = members.groupBy("with").agg(F.count("*").alias("n"))
+    reached = reach.join(sizes, "with").groupBy("target").agg(F.sum("n").alias("n"))
+    itself = named.select(F.col("other").alias("target"), F.lit(1).alias("itself"))
+    more = reached.join(itself, "target", "left").select("target", (F.col("n") - F.coalesce("itself", F.lit(0))).alias("reached"))
+    return out.drop("cls", "with", "heavy"), more
 
 
 def vocabulary_usage(vocabulary: DataFrame, used: DataFrame) -> DataFrame:

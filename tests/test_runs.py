@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import vectors as V
 from tarn.operators import embedding as E
+from tarn.operators import graph as G
 from tarn.operators import index_pass as I
 from tarn.operators import recheck as H
 from tarn.operators import recordings as A
@@ -477,3 +478,44 @@ def test_voice_matches_like_one_after_another(spark):
                 want.append((d, s, n, x))
     found = A.voice_matches(spark.createDataFrame(voices, "document long, speaker string, seconds double, vec array<double>"), spark.createDataFrame(prints, "name string, vec array<double>"))
     assert sorted((r.document, r.speaker, r.name, r.similarity) for r in found.collect()) == sorted(want) and len(want) > 15
+
+
+# related entities
+
+
+@pytest.mark.parametrize("heavy", [3, 12, 10_000])
+def test_related_entities_of_heavy_sources(spark, heavy):
+    """The same rows whether pairs of large sources are made or not."""
+    rng = random.Random(23)
+    edges = {(s, 100 + rng.randrange(40)) for s in range(30) for _ in range(rng.randrange(1, 6))} | {(50 + s, 100 + e) for s in range(3) for e in range(40) if e % (s + 2)}
+    typed = [(100 + rng.randrange(40), 100 + rng.randrange(40), rng.random(), rng.random() < 0.8) for _ in range(30)]
+    kinds = {100 + e: "person" if e % 3 else "place" for e in range(38)}  # two entities are gone
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    entities = frame([(e, f"e{e % 7}", k) for e, k in kinds.items()], "id long, name string, entity_type string")
+    mentions = frame([(a, b, "mention", True) for a, b in edges] + [(1, 101, "mention", False), (1, 102, "about", True)], "from_id long, to_id long, relation string, active boolean")
+    links = frame(typed, "from_id long, to_id long, confidence double, active boolean")
+    aliases = frame([(101, "b"), (101, "a")], "canonical_id long, name string")
+    for kind in (None, "person"):
+        want = []
+        sources = {e: {a for a, b in edges if b == e} for e in range(100, 140)}
+        for t in kinds:
+            found = []
+            for o, k in kinds.items():
+                stated = [(a == t) for a, b, _, on in typed if on and {a, b} == {t, o} and a != b]
+                both = len(sources[t] & sources[o])
+                if o != t and (both or stated) and kind in (None, k):
+                    found.append((not stated, -both, -len(sources[o]), f"e{o % 7}", o, sum(stated), len(stated)))
+            want += [(t, o, n, out, n - out, -b, len(found), max(0, len(found) - 5), p) for p, (_, b, _, _, o, out, n) in enumerate(sorted(found)[:5], 1)]
+        rows = G.related_entities(entities.select("id"), entities, mentions, links, 5, kind, aliases, heavy).collect()
+        assert sorted((r.target, r.other, r.links, r.outgoing, r.incoming, r.shared, r.total, r.truncated, r.place) for r in rows) == sorted(want)
+        assert all(r.aliases == (["a", "b"] if r.other == 101 else []) for r in rows)
+
+
+def test_a_source_of_very_many_mentions(spark):
+    """One source with 30,000 mentions: far from its square of rows."""
+    edges = spark.range(30_000).selectExpr("0L as from_id", "id as to_id", "'mention' as relation", "true as active")
+    entities = spark.range(30_000).selectExpr("id", "'n' || id % 10 as name")
+    links = spark.createDataFrame([], "from_id long, to_id long, confidence double, active boolean")
+    rows = G.related_entities(entities.select("id"), entities, edges, links)
+    got = rows.agg(F.count("*").alias("n"), F.min("total").alias("total"), F.min("shared").alias("shared")).first()
+    assert (got.n, got.total, got.shared) == (30_000 * 50, 29_999, 1)
