@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.checkpoints import bounded, persisted
 from tarn.functions.text import capitals, leads_with_punctuation, merge_key, name_key, name_tokens, version_tokens
 from tarn.functions.vectors import cosine
 from tarn.operators.components import components
@@ -21,20 +22,48 @@ def prepared(entities: DataFrame) -> DataFrame:
     )
 
 
-def block_pairs(entities: DataFrame) -> DataFrame:
+#: Names from which on a block is crowded: only those of its pairs are made that can be more than rejected.
+CROWDED = 1000
+
+
+def block_pairs(entities: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """Pairs (a, b), a < b, that share the first three characters of the merge key or a token.
 
     Equal names are one node of the blocking: a name that many entities have costs its entities once, not squared, and
-    its entities pair with one representative of each other name and with the smallest of their own.
+    its entities pair with one representative of each other name and with the smallest of their own. Of blocks with more than
+    ``crowded`` names, the pairs that judge() would reject are left out, so they cost what their names and results are.
     """
     keyed = entities.filter("mkey <> ''")
     names = keyed.groupBy("nkey").agg(F.min("id").alias("rep"), F.first("mkey").alias("mkey"), F.first("toks").alias("toks"))
     keys = F.array_distinct(F.concat(F.array(F.concat(F.lit("p:"), F.substring("mkey", 1, 3))), F.transform("toks", lambda t: F.concat(F.lit("t:"), t))))
     blocks = names.select("rep", F.explode(keys).alias("key"))
-    other = blocks.select(F.col("rep").alias("b"), "key")
-    pairs = blocks.withColumnRenamed("rep", "a").join(other, "key").filter("a < b").select("a", "b").distinct()
+    full = persisted(blocks.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowded).select("key"), "crowded")
+    some = not full.isEmpty()
+    open_ = blocks.join(bounded(full), "key", "left_anti") if some else blocks
+    pairs = open_.withColumnRenamed("rep", "a").join(open_.select(F.col("rep").alias("b"), "key"), "key").filter("a < b").select("a", "b")
+    if some:
+        pairs = pairs.unionByName(_likely(names.join(blocks.join(bounded(full), "key", "left_semi"), "rep")))
     same = keyed.select("id", "nkey").join(names.select("nkey", "rep"), "nkey").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    return pairs.unionByName(same)
+    return pairs.distinct().unionByName(same)
+
+
+def _likely(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of names (key: a block, rep, mkey, toks) of a block that are equal, one part of the other, or a few edits apart.
+
+    Merge keys at most k edits apart have a common string that each becomes by leaving out at most k characters.
+    """
+    without = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, 1, i - 1), F.substr(s, i + 1)))
+    one = without(F.col("mkey"))
+    two = F.when(F.length("mkey") >= LONG_KEY, F.flatten(F.transform(one, without))).otherwise(F.array().cast("array<string>"))
+    left = rows.select("key", "rep", F.explode(F.array_distinct(F.concat(F.array("mkey"), one, two))).alias("s"))
+    near = left.withColumnRenamed("rep", "a").join(left.withColumnRenamed("rep", "b"), ["key", "s"]).filter("a < b").select("a", "b")
+    n = F.size("toks")
+    part = lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice("toks", i, size), "|"))
+    sizes = F.sequence(F.greatest(F.lit(1), n - MOST_EXTRA), n)
+    long = rows.select("key", F.col("rep").alias("other"), F.explode(F.array_distinct(F.flatten(F.transform(sizes, part)))).alias("s"))
+    short = rows.select("key", "rep", F.array_join("toks", "|").alias("s"))
+    inside = short.join(long, ["key", "s"]).filter("rep <> other").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+    return near.unionByName(inside)
 
 
 def _phrase(short: Column, long: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import vectors as V
 from tarn.operators import embedding as E
+from tarn.operators import entities as N
 from tarn.operators import graph as G
 from tarn.operators import index_pass as I
 from tarn.operators import recheck as H
@@ -519,3 +520,24 @@ def test_a_source_of_very_many_mentions(spark):
     rows = G.related_entities(entities.select("id"), entities, edges, links)
     got = rows.agg(F.count("*").alias("n"), F.min("total").alias("total"), F.min("shared").alias("shared")).first()
     assert (got.n, got.total, got.shared) == (30_000 * 50, 29_999, 1)
+
+
+# crowded blocks of names
+
+
+def test_crowded_blocks_lose_no_likely_pair(spark):
+    rng = random.Random(29)
+    first = ["".join(rng.choice("abc") for _ in range(rng.randrange(2, 8))) for _ in range(160)]
+    names = [f"{f} {rng.choice(['smith', 'Smith', 'smiht', 'smith jr', 'q smith'])}" for f in first] + ["smith", "Smith!", "al smith", "al b smith", "al b c d smith"] + ["x1", "x2", "x-1", "x 1"]
+    rows = [(i, n, rng.choice(["person", "org"]), 1, [1.0, rng.random()]) for i, n in enumerate(names)]
+    entities = N.prepared(spark.createDataFrame(rows, "id long, name string, entity_type string, mentions long, vec array<double>"))
+    found = []
+    for crowded in (10_000, 5):
+        judged = N.judge(N.block_pairs(entities, crowded), entities).filter("verdict <> 'reject'")
+        found.append(sorted(map(tuple, judged.collect())))
+    assert found[0] == found[1] and len(found[0]) > 50 and {v[4] for v in found[0]} >= {"phrase", "edit", "same_key"}
+
+
+def test_a_token_of_very_many_names(spark):
+    rows = spark.range(20_000).selectExpr("id", "substring(sha2(cast(id as string), 256), 1, 14) || ' smith' as name", "'person' as entity_type", "1L as mentions", "array(1d) as vec")
+    assert N.block_pairs(N.prepared(rows)).count() < 200_000  # of 200 million
