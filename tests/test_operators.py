@@ -292,7 +292,7 @@ def test_extracted_links(spark):
     assert sorted((r.pos, r.relation) for r in got) == [(0, "knows"), (1, "mention")]
 
 
-def test_dedup_candidates_beside_copies(spark):
+def test_dedup_candidates_beside_copies_again(spark):
     rows = [("m", i, [1.0, 0.0], "own") for i in range(30)] + [("m", 100 + i, [1.0, 0.1 * i], f"h{i}") for i in range(1, 8)]
     rows = spark.createDataFrame([*rows, ("m", 99, [1.0, 0.0], None)], "src string, id long, vec array<double>, content_hash string")
     incoming = spark.createDataFrame([(1, [1.0, 0.0], "own"), (2, [1.0, 0.0], "new")], "qid long, vec array<double>, content_hash string")
@@ -300,7 +300,7 @@ def test_dedup_candidates_beside_copies(spark):
     assert found == [(1, k, 100 + k) for k in range(1, 6)] + [(2, k + 1, k) for k in range(5)]
 
 
-def test_anchors_beside_many_aliases(spark):
+def test_anchors_beside_many_aliases_again(spark):
     rows = [(i, 1, [1.0, 0.001 * i]) for i in range(90)] + [(100 + k, k, [1.0, 0.02 * k + 0.1]) for k in range(2, 14)]
     entities = spark.createDataFrame(rows, "id long, canonical long, vec array<double>")
     queries = spark.createDataFrame([(7, [1.0, 0.0])], "qid long, vec array<double>")
