@@ -143,17 +143,25 @@ def _dealt(rows: DataFrame, queries: DataFrame, least: float | None) -> tuple[Da
     Vectors lie in cells, those of the nearest pivot; large cells are split at random. Zero vectors, which are near nothing, go.
     """
     n = rows.count()
-    sample = rows.select("vec", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).select("vec").toArrow() if least is not None else None
-    points = _unit(sample.column("vec").combine_chunks()) if sample else np.zeros((0, 0))
+    # names of its own, as the queries may come from the rows
+    own = queries.select(F.col("qid").alias("q_id"), *(F.col(c).alias(f"q_{c}") for c in queries.columns[1:])).withColumnRenamed("q_vec", "vec")
+    most = min(PIVOTS, 4 * n // BLOCK)
+    if least is None or most < 2:  # all blocks meet
+        n_rows, n_queries = (max(1, -(-k // BLOCK)) for k in (n, queries.count()))
+        every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+        part = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k))
+        return own.withColumn("q_part", part("q_id", n_queries)).withColumn("r_part", every(n_rows)), rows.withColumn("r_part", part("id", n_rows)).withColumn("q_part", every(n_queries))
+    sample = rows.select("vec", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).select("vec").toArrow()
+    points = _unit(sample.column("vec").combine_chunks())
     points = points[np.isfinite(points).all(axis=1)]
-    centres = pivots(points, max(1, min(PIVOTS, 4 * n // BLOCK))) if len(points) else None
+    centres = pivots(points, most) if len(points) else np.zeros((1, 1))
 
     def cells(df: DataFrame, key: str) -> tuple[DataFrame, dict[int, float], DataFrame]:
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 unit = _unit(batch.column(batch.schema.get_field_index("vec")))
                 live = np.isfinite(unit).all(axis=1)
-                cosine_ = unit[live] @ centres.T if centres is not None else np.ones((int(live.sum()), 1))
+                cosine_ = unit[live] @ centres.T
                 own = batch.filter(pa.array(live)).append_column("cell", pa.array(cosine_.argmax(axis=1).astype(np.int32)))
                 yield own.append_column("angle", pa.array(np.arccos(np.clip(cosine_.max(axis=1, initial=-1), -1, 1))))
 
@@ -164,10 +172,8 @@ def _dealt(rows: DataFrame, queries: DataFrame, least: float | None) -> tuple[Da
         subbed = placed.join(F.broadcast(size), "cell").withColumn("sub", F.pmod(F.xxhash64(key), F.col("subs"))).drop("angle", "subs")
         return subbed, {r["cell"]: r["radius"] for r in found}, size
 
-    # names of its own, as the queries may come from the rows
-    own = queries.select(F.col("qid").alias("q_id"), *(F.col(c).alias(f"q_{c}") for c in queries.columns[1:])).withColumnRenamed("q_vec", "vec")
     (asked, q_radius, q_size), (given, r_radius, r_size) = cells(own, "q_id"), cells(rows, "id")
-    pairs = near_cells(centres, q_radius, r_radius, least) if centres is not None else [(a, b) for a in q_radius for b in r_radius]
+    pairs = near_cells(centres, q_radius, r_radius, least)
     meet = rows.sparkSession.createDataFrame(pairs, "q_cell int, r_cell int")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("other")
     part = lambda cell, sub: F.col(cell).cast("long") * (1 << 32) + F.col(sub)

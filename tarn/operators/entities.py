@@ -37,8 +37,9 @@ def block_pairs(entities: DataFrame, crowded: int = CROWDED) -> DataFrame:
     names = keyed.groupBy("nkey").agg(F.min("id").alias("rep"), F.first("mkey").alias("mkey"), F.first("toks").alias("toks"))
     keys = F.array_distinct(F.concat(F.array(F.concat(F.lit("p:"), F.substring("mkey", 1, 3))), F.transform("toks", lambda t: F.concat(F.lit("t:"), t))))
     blocks = names.select("rep", F.explode(keys).alias("key"))
-    full = persisted(blocks.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowded).select("key"), "crowded")
-    some = not full.isEmpty()
+    full = blocks.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowded).select("key")
+    if some := not full.isEmpty():
+        full = persisted(full, "crowded")
     open_ = blocks.join(bounded(full), "key", "left_anti") if some else blocks
     pairs = open_.withColumnRenamed("rep", "a").join(open_.select(F.col("rep").alias("b"), "key"), "key").filter("a < b").select("a", "b")
     if some:

@@ -77,8 +77,9 @@ def related_entities(
     named = entities.filter(F.col("entity_type") == entity_type) if entity_type else entities
     counts = mentions.groupBy(F.col("to_id").alias("other")).agg(F.count("*").alias("mentions"))
     named = named.select(F.col("id").alias("other"), "name").join(counts, "other", "left").withColumn("mentions", F.coalesce("mentions", F.lit(0)))
-    large = persisted(mentions.groupBy("from_id").agg(F.count("*").alias("n")).filter(F.col("n") > heavy).select("from_id"), "heavy")
-    some = not large.isEmpty()
+    large = mentions.groupBy("from_id").agg(F.count("*").alias("n")).filter(F.col("n") > heavy).select("from_id")
+    if some := not large.isEmpty():
+        large = persisted(large, "heavy")
     light = mentions.join(bounded(large), "from_id", "left_anti") if some else mentions
     of = light.join(asked.withColumn("to_id", F.col("target")), "to_id").select("from_id", "target")
     shared = of.join(light, "from_id").filter("to_id <> target").groupBy("target", F.col("to_id").alias("other")).agg(F.count("*").alias("shared"))
