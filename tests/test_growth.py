@@ -61,3 +61,21 @@ def test_registry_of_a_hot_name_is_folded_in_ranges(spark):
     assert got == entries
     assert sorted(tuple(r) for r in U.refusals(states).collect()) == refused
     assert U.registry(U.folded(df.limit(0))).collect() == []
+
+
+def test_approved_examples_of_a_hot_name(spark):
+    """A proposal whose examples lie in many ranges: the first 20 different ones of the life that was approved."""
+    events = [(i, "entity_type", "hot", "propose", None, f"Entity {i % 45}") for i in range(1, 400)]
+    events += [(400, "entity_type", "hot", "approve", None, None), (401, "entity_type", "hot", "status", "disabled", None), (402, "entity_type", "hot", "delete", None, None)]
+    events += [(403 + i, "entity_type", "hot", "propose", None, f"Later {i % 3}") for i in range(100)] + [(600, "entity_type", "hot", "approve", None, None)]
+    df = spark.createDataFrame(events, "seq long, kind string, name string, op string, value string, entity string")
+    none = F.lit(None).cast("string")
+    df = df.withColumn("from_name", none).withColumn("to_name", none).withColumn("confidence", F.lit(0.9)).withColumn("source", F.col("seq"))
+    states = U.folded(df, rows=30)
+    got = sorted((r.approved, r.seq, r.entity) for r in U.approved_examples(states, df).collect())
+    assert got == [(400, i, f"Entity {i}") for i in range(1, 21)] + [(600, 403 + i, f"Later {i}") for i in range(3)]
+    assert U.refusals(states).collect() == []
+    entities = spark.createDataFrame([(7, "Entity 3")], "id long, name string")
+    rest = spark.createDataFrame([], "canonical_id long, name string, from_id long, to_id long, relation string, active boolean")
+    linked = U.materialised(U.approved_examples(states, df), entities, rest, rest, df.select(F.col("seq").alias("id")).filter("id % 2 = 0"))[2]
+    assert sorted((r.approved, r.entities, r.edges) for r in linked.collect()) == [(400, 10, 0), (600, 1, 0)]
