@@ -20,11 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def persisted(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again: short lineage, survives lost executors."""
+def persisted(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read again: short lineage, survives lost executors.
+
+    With columns ``by``, a filter on them reads its own files only.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarn/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

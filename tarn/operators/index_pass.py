@@ -2,9 +2,11 @@
 
 Items are dealt by their place into waves and, within a wave, into lanes; lanes of a wave run at once, the items of a lane one batch
 after another. A lane stops after ``BREAKER`` failures in a row, and the pass after a wave with such a lane: what was not reached
-stays pending. A wave is one part of a ledger; items that any run indexed or skipped are not asked about again, failed and pending ones
-are, and a run that is cut off goes on at its first wave that is not complete. The graph is written from the ledger afterwards,
-in one step, so tasks never race for an entity.
+stays pending. Waves are worked on in rounds, one job and one part of a ledger each: 1, 1, 2, 4… and at most ``ROUND`` waves at once, so
+the jobs of a run don't grow with its waves. What a round's later waves found beside one with a stopped lane is not kept: those calls, at most as
+many as were made before and as a round has, are made again by a later run. Items that any run indexed or skipped are not asked about
+again, failed and pending ones are, and a run that is cut off goes on at its first round that is not complete. The graph is written from
+the ledger afterwards, in one step, so tasks never race for an entity.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.checkpoints import persisted
@@ -23,6 +25,8 @@ from tarn.sources.ledger import Ledger
 
 BREAKER = 5
 WAVE, LANE, BATCH = 1024, 64, 8
+#: The most waves of a round, a power of two.
+ROUND = 128
 ENTITY, LINK = "struct<name: string, type: string>", "struct<subject: string, predicate: string, confidence: double, object: string>"
 OUTCOMES = f"""run string, wave long, lane long, place long, kind string, id long, nth long, label string, outcome string, error string,
     tripped boolean, entities array<{ENTITY}>, links array<{LINK}>"""
@@ -86,6 +90,18 @@ def pending(found: DataFrame, ledger: Ledger, run: str) -> DataFrame:
     return found.join(done, ["kind", "id"], "left_anti")
 
 
+def round_of(wave: Column, most: int = ROUND) -> Column:
+    """The round of a wave: waves 0, 1, 2-3, 4-7… up to ``most``, then as many in each."""
+    digits = F.length(F.bin(wave))
+    return F.when(wave == 0, 0).when(wave < most, digits).otherwise(F.lit(most.bit_length() - 1) + F.floor(wave / most)).cast("int")
+
+
+def rounds(waves: int, most: int = ROUND) -> list[int]:
+    """The first wave of each round."""
+    starts = [0, *(1 << k for k in range(most.bit_length() - 1)), *range(most, waves, most)]
+    return [s for s in starts if s < waves]
+
+
 def index_pass(
     run: str, beliefs: DataFrame, chunks: DataFrame, extract: Extract, ledger: Ledger, wave: int = WAVE, lane: int = LANE, batch: int = BATCH
 ) -> DataFrame:
@@ -95,14 +111,20 @@ def index_pass(
     """
     ordered = pending(items(beliefs, chunks), ledger, run).withColumn("later", F.col("kind") == "chunk")
     todo = placed(ordered, ["later", "created_at", "chunk_index", "id"])
-    todo = persisted(todo.withColumn("wave", F.expr(f"place div {wave}")).withColumn("lane", F.expr(f"place div {lane}")), "items")
+    todo = todo.withColumn("wave", F.expr(f"place div {wave}")).withColumn("lane", F.expr(f"place div {lane}"))
+    todo = persisted(todo.withColumn("round", round_of(F.col("wave"))), "items", "round")
     total, first = todo.agg(F.count("*"), F.count_if(F.col("kind") == "memory")).first()
     nth = F.when(F.col("later"), F.col("place") - first).otherwise(F.col("place")) + 1
-    for k in range(-(-total // wave)):
-        name = f"{run}-wave-{k:06d}"
+    for k, start in enumerate(rounds(-(-total // wave))):
+        name = f"{run}-wave-{start:06d}"
         if not ledger.has(name):
-            own = todo.filter(F.col("wave") == k).withColumn("nth", nth)
-            ledger.put(name, own.groupBy("lane").applyInPandas(_lane(run, extract, batch), OUTCOMES))
+            own = todo.filter(F.col("round") == k).withColumn("nth", nth)
+            told = own.groupBy("lane").applyInPandas(_lane(run, extract, batch), OUTCOMES)
+            if k > 1:  # of several waves, those up to the first that stops
+                told = persisted(told, "round")
+                last = told.filter("tripped").agg(F.min("wave")).first()[0]
+                told = told if last is None else told.filter(F.col("wave") <= last)
+            ledger.put(name, told)
         if not ledger.get(name).filter("tripped").isEmpty():
             break
     rows = ledger.read(f"{run}-wave-")

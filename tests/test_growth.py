@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from tarn.operators import index_pass as I
 from tarn.operators import vocabulary as U
+from tarn.sources.ledger import Ledger
 
 # the schema's registry
 
@@ -79,3 +81,29 @@ def test_approved_examples_of_a_hot_name(spark):
     rest = spark.createDataFrame([], "canonical_id long, name string, from_id long, to_id long, relation string, active boolean")
     linked = U.materialised(U.approved_examples(states, df), entities, rest, rest, df.select(F.col("seq").alias("id")).filter("id % 2 = 0"))[2]
     assert sorted((r.approved, r.entities, r.edges) for r in linked.collect()) == [(400, 10, 0), (600, 1, 0)]
+
+
+# index passes
+
+
+def test_jobs_of_an_index_pass_do_not_grow_with_its_waves(spark, tmp_path):
+    assert I.rounds(300, 128) == [0, 1, 2, 4, 8, 16, 32, 64, 128, 256] and I.rounds(0) == [] and I.rounds(3) == [0, 1, 2]
+    waves = spark.range(600).select("id", I.round_of(F.col("id"), 128).alias("k")).groupBy("k").agg(F.min("id").alias("first")).orderBy("k").collect()
+    assert [(r.k, r.first) for r in waves] == list(enumerate(I.rounds(600, 128)))
+    now = F.lit("2024-06-01").cast("timestamp")
+    beliefs = spark.range(400).select("id", F.concat(F.lit("Text "), F.col("id")).alias("content"), F.lit("active").alias("status"), now.alias("created_at"))
+    chunks = spark.createDataFrame([], "id long, content string, title string, heading string, chunk_index int, session string, created_at timestamp")
+    ledger = Ledger(spark, str(tmp_path), I.OUTCOMES)
+
+    def extract(bad):
+        return lambda batch: [{"error": "down"} if i["id"] in bad else {"entities": [], "links": []} for i in batch]
+
+    # 100 waves of 4; the lane of wave 20 (ids 80-95, of the round of waves 16-31) stops at its fifth failure
+    go = lambda run, bad: I.index_pass(run, beliefs, chunks, extract(bad), ledger, wave=8, lane=8, batch=2).first()
+    row = go("a", {*range(160, 167), 250})
+    seen = {r.id for r in ledger.read("a-wave-").collect()}
+    assert row.status == "interrupted" and seen == set(range(166)) and len(ledger.parts("a-wave-")) == 6
+    row = go("b", ())
+    left = {i for i in range(400)} - set(range(160))
+    assert (row.status, row.total, row.memories) == ("success", len(left), len(left)) and len(ledger.parts("b-wave-")) == 6
+    assert sorted(r.id for r in ledger.read("b-wave-").collect()) == sorted(left)
