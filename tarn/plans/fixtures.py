@@ -39,10 +39,17 @@ def sql(names: str, body: str) -> str:
     return "with recursive " + ",\n".join(CTE[n] for n in names.split()) + "\n" + body if names else body
 
 
+#: Vectors that are broadcast; more are shuffled.
+FEW_VECTORS = 50_000
+
+
 def with_vectors(rows: DataFrame, spark: SparkSession, d: str, key: str) -> DataFrame:
+    """``rows`` with the vector that their key takes. Never are the rows broadcast, however small their files are: they grow, and are read often."""
     vectors = table(spark, d, "embeddings")
     n = vectors.count()
-    return rows.withColumn("vec_id", F.expr(f"{key} % {n}")).join(vectors.select("vec_id", F.col("embedding").alias("vec")), "vec_id").drop("vec_id")
+    own = vectors.select("vec_id", F.col("embedding").alias("vec"))
+    own = F.broadcast(own) if n <= FEW_VECTORS else own.hint("merge")
+    return rows.withColumn("vec_id", F.expr(f"{key} % {n}")).join(own, "vec_id").drop("vec_id")
 
 
 def mem(spark: SparkSession, d: str) -> DataFrame:

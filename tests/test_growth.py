@@ -2,10 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tarn.operators import index_pass as I
 from tarn.operators import vocabulary as U
+from tarn.plans import fixtures as X
 from tarn.sources.ledger import Ledger
 
 # the schema's registry
@@ -107,3 +109,21 @@ def test_jobs_of_an_index_pass_do_not_grow_with_its_waves(spark, tmp_path):
     left = {i for i in range(400)} - set(range(160))
     assert (row.status, row.total, row.memories) == ("success", len(left), len(left)) and len(ledger.parts("b-wave-")) == 6
     assert sorted(r.id for r in ledger.read("b-wave-").collect()) == sorted(left)
+
+
+# entities
+
+
+@pytest.mark.parametrize("few", [0, 1 << 30])
+def test_rows_are_not_broadcast_to_their_vectors(spark, monkeypatch, few):
+    """Parts lie in so small files that Spark would send all of them through the driver, once for each use."""
+    monkeypatch.setattr(X, "FEW_VECTORS", few)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = X.ent(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sent = [line for line in plan.splitlines() if "BroadcastExchange" in line]
+    assert len(sent) == (1 if few else 0)
+    if few:  # the vectors' side: what comes under the exchange
+        assert "part.parquet" not in plan[plan.index("BroadcastExchange") :]
