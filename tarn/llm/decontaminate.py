@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import persisted, slices
+from tarn.llm.common import SLICE, persisted, slices
 from tarn.llm.words import PLAIN, STEP, Words, grams, mixed, raw, words
 
 GRAM = 3
@@ -185,7 +185,7 @@ def _aligned(items: Items, threshold: float, w: Words) -> dict[tuple[int, int],
 
 def _score(items: Items, copies: list[int], threshold: float, kind: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> the best alignment of each text and item, if it reaches the threshold."""
-    for batch in slices(batches, most=2 << 20):
+    for batch in slices(batches, most=SLICE):
         data, offsets = raw(batch.column(1))
         w = words(data, offsets, PLAIN)
         rows = sorted(_aligned(items, threshold, w).items())
@@ -209,7 +209,7 @@ def _score(items: Items, copies: list[int], threshold: float, kind: pa.DataType,
 
 def _keep(items: Items, threshold: float, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows whose text, column number ``at``, holds no item."""
-    for batch in slices(batches, text=at, most=2 << 20):
+    for batch in slices(batches, text=at, most=SLICE):
         w = words(*raw(batch.column(at)), PLAIN)
         kept = np.ones(batch.num_rows, bool)
         kept[[t for t, _ in _aligned(items, threshold, w)]] = False

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import bounded, persisted, slices
+from tarn.llm.common import SLICE, bounded, persisted, slices
 from tarn.llm.words import grams, mixed, raw, words
 from tarn.operators.components import components
 
@@ -75,7 +75,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, most=2 << 20):
+    for batch in slices(batches, most=SLICE):
         sizes, digests, signatures = [], [], []
         for shingles in shingle_sets(batch):
             sizes.append(len(shingles))
@@ -98,7 +98,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, most=2 << 20):
+    for batch in slices(batches, most=SLICE):
         found = shingle_sets(batch)
         offsets = np.concatenate(([0], np.cumsum([len(s) for s in found]))).astype(np.int32)
         flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)

@@ -1,10 +1,13 @@
 """What has to grow no faster than the input."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tarn.llm import decontaminate, near_dup
 from tarn.operators import index_pass as I
 from tarn.operators import vocabulary as U
 from tarn.plans import fixtures as X
@@ -127,3 +130,20 @@ def test_rows_are_not_broadcast_to_their_vectors(spark, monkeypatch, few):
     assert len(sent) == (1 if few else 0)
     if few:  # the vectors' side: what comes under the exchange
         assert "part.parquet" not in plan[plan.index("BroadcastExchange") :]
+
+
+# the pipeline
+
+
+def test_slices_of_texts_take_little_memory():
+    """Peak of the arrays that a worker holds for a batch of 6.5 MB of text."""
+    rng = random.Random(1)
+    texts = [" ".join(f"word{rng.randrange(3000)}" for _ in range(300)) for _ in range(2600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    items = decontaminate.Items.of([1], [texts[0]])
+    for work in (lambda: decontaminate._keep(items, 0.5, 1, iter([batch])), lambda: near_dup._sign(iter([batch])), lambda: near_dup._sets(iter([batch]))):
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in work())
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows >= len(texts) - 1 and peak < 40e6
