@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,14 +48,19 @@ def due_beliefs(beliefs: DataFrame, now: Column, days: int = QUIET_DAYS) -> Data
     return beliefs.filter((F.col("status") == "active") & F.col("vec").isNotNull() & quiet)
 
 
-def neighbours(beliefs: DataFrame, subjects: DataFrame, settled: DataFrame) -> DataFrame:
-    """``subjects`` that have any, with their candidates in order: (id, content, place, candidates: id, content, similarity).
+def near_pairs(beliefs: DataFrame, subjects: DataFrame, settled: DataFrame) -> DataFrame:
+    """Candidates of the subjects without any text: (qid, id, similarity, rank).
 
     ``settled`` (a, b): pairs that were answered, found or queued as conflicts, either way round.
     """
     active = beliefs.filter("status = 'active'")
     due = subjects.select(F.col("id").alias("qid"), "vec", "content_hash", "root_id")
-    near = recheck_pairs(active.select("id", F.lit("").alias("src"), "vec", "content_hash", "root_id"), due, settled, NEIGHBOURS, LEAST)
+    return recheck_pairs(active.select("id", F.lit("").alias("src"), "vec", "content_hash", "root_id"), due, settled, NEIGHBOURS, LEAST)
+
+
+def with_texts(beliefs: DataFrame, subjects: DataFrame, near: DataFrame) -> DataFrame:
+    """The subjects that have any, with the pairs of near_pairs() in order: (id, content, place, candidates: id, content, similarity). A row holds up to NEIGHBOURS whole texts: read it once, store it nowhere."""
+    active = beliefs.filter("status = 'active'")
     texts = active.select("id", F.col("content").alias("text"))
     listed = near.join(texts, "id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id", F.col("text").alias("content"), "similarity"))).alias("candidates"))
     return subjects.select("id", "content", "place").join(listed.withColumnRenamed("qid", "id"), "id")
@@ -68,36 +73,41 @@ def estimate(input_price: float, output_price: float) -> Column:
 
 
 def answers(asked: DataFrame, ask: Ask) -> DataFrame:
-    """(id, content, candidates) -> (id, reply, input_tokens, output_tokens, usd, error), by calls of a batch in the tasks.
+    """(id, content, candidates) -> those and (reply, input_tokens, output_tokens, usd, error), by calls of a batch in the tasks.
 
     A call that raises fails its batch; one for which credit is missing fails it with the error ``credit``.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            questions = [
-                {"id": int(i), "content": c, "candidates": list(t)} for i, c, t in zip(frame["id"], frame["content"], frame["texts"], strict=True)
-            ]
+    names = ("reply", "input_tokens", "output_tokens", "usd", "error")
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("id", "content", "candidates")), strict=True)
+            questions = [{"id": i, "content": c, "candidates": [k["content"] for k in t]} for i, c, t in rows]
             try:
                 got = ask(questions)
             except OutOfCredit:
                 got = [{"error": "credit"}] * len(questions)
             except Exception as error:  # whatever the provider raises is this batch's failure, and is recorded
                 got = [{"error": str(error) or type(error).__name__}] * len(questions)
-            names = ("reply", "input_tokens", "output_tokens", "usd", "error")
-            yield pd.DataFrame({"id": frame["id"]} | {n: pd.Series([g.get(n) for g in got], dtype=object) for n in names})
+            told = [pa.array([g.get(n) for g in got], k) for n, k in zip(names, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *told], [*batch.schema.names, *names])
 
-    texts = F.transform("candidates", lambda c: c["content"]).alias("texts")
-    return asked.select("id", "content", texts).mapInPandas(run, "id long, reply string, input_tokens long, output_tokens long, usd double, error string")
+    asked = asked.select("id", "content", "candidates")
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema)
+    return asked.mapInArrow(run, f"{shape}, reply string, input_tokens long, output_tokens long, usd double, error string")
 
 
 def findings(replies: DataFrame) -> DataFrame:
-    """(id, content, candidates, reply) -> (id, claimed, findings): contradictions that were claimed, and those whose quotes are real.
+    """(id, content, candidates, reply, what the call took, error) -> (id, claimed, findings, what the call took, error): contradictions
+    that were claimed, and those whose quotes are real; null for calls with an error.
 
-    An item that isn't an object, or names no candidate, decides nothing.
+    An item that isn't an object, or names no candidate, decides nothing. The texts stay in the tasks that hold them.
     """
     items = F.from_json(json_array(F.col("reply")), "array<string>")
-    rows = replies.select("id", "content", "candidates", F.posexplode_outer(items).alias("pos", "item"))
+    call = F.struct("input_tokens", "output_tokens", "usd", "error").alias("call")
+    rows = replies.select("id", "content", "candidates", call, F.posexplode_outer(items).alias("pos", "item"))
     rows = rows.withColumn("v", F.when(F.col("item").startswith("{"), F.from_json("item", "candidate string, relation string, reason string, new_quote string, old_quote string")))
     number = F.expr("try_cast(v.candidate as double)")
     named = (number == F.floor(number)) & (number >= 1) & (number <= F.size("candidates"))
@@ -108,8 +118,11 @@ def findings(replies: DataFrame) -> DataFrame:
     found = F.struct(
         "pos", F.col("of.id").alias("candidate"), text("v.reason").alias("reason"), F.col("v.new_quote"), F.col("v.old_quote"), F.col("of.similarity")
     )
-    kept = rows.groupBy("id").agg(F.count_if(claim).cast("int").alias("claimed"), F.array_sort(F.collect_list(F.when(real, found))).alias("found"))
-    return kept.select("id", "claimed", F.transform("found", lambda f: f.dropFields("pos")).cast(f"array<{FINDING}>").alias("findings"))
+    told = rows.select("id", "call", F.coalesce(claim, F.lit(False)).alias("claim"), F.when(real, found).alias("one"))
+    kept = told.groupBy("id").agg(F.first("call").alias("call"), F.count_if("claim").cast("int").alias("claimed"), F.array_sort(F.collect_list("one")).alias("found"))
+    well = lambda c: F.when(F.col("call.error").isNull(), c)
+    real_ones = F.transform("found", lambda f: f.dropFields("pos")).cast(f"array<{FINDING}>")
+    return kept.select("id", well(F.col("claimed")).alias("claimed"), well(real_ones).alias("findings"), "call.*")
 
 
 def settled_pairs(answered: DataFrame, decisions: DataFrame, found: DataFrame) -> DataFrame:
@@ -123,13 +136,13 @@ def _page(
     run: str, page: int, subjects: DataFrame, beliefs: DataFrame, settled: DataFrame, ask: Ask, left: float | None, prices: tuple[float, float]
 ) -> DataFrame:
     """The outcome of each belief of the page: no_candidates, unasked (beyond the budget), failed or checked."""
-    known = persisted(neighbours(beliefs, subjects, settled), "neighbours")
+    near = persisted(near_pairs(beliefs, subjects, settled), "neighbours")
+    asked = with_texts(beliefs, subjects, near)
     if left is not None:
-        known = running(known, ["place"], before=estimate(*prices))
-    asked = known if left is None else known.filter(F.col("before") < left)
-    told = persisted(answers(asked, ask), "answers")  # each call once, whatever reads it
-    judged = findings(asked.join(told.filter("error is null"), "id"))
-    rows = subjects.select("id", "place").join(known.select("id", F.lit(True).alias("has")), "id", "left").join(told, "id", "left").join(judged, "id", "left")
+        asked = running(asked, ["place"], before=estimate(*prices)).filter(F.col("before") < left)
+    told = persisted(findings(answers(asked, ask)), "answers")  # each call once, whatever reads it
+    known = near.select(F.col("qid").alias("id"), F.lit(True).alias("has")).distinct()
+    rows = subjects.select("id", "place").join(known, "id", "left").join(told, "id", "left")
     outcome = (
         F.when(F.col("has").isNull(), "no_candidates")
         .when(F.col("error").isNotNull(), "failed")

@@ -2,13 +2,16 @@
 
 import random
 import tracemalloc
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tarn.checkpoints import shared_dir
 from tarn.llm import decontaminate, near_dup
 from tarn.operators import index_pass as I
+from tarn.operators import recheck as H
 from tarn.operators import vocabulary as U
 from tarn.plans import fixtures as X
 from tarn.sources.ledger import Ledger
@@ -147,3 +150,24 @@ def test_slices_of_texts_take_little_memory():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert rows >= len(texts) - 1 and peak < 40e6
+
+
+# re-check runs
+
+
+def test_no_stored_table_of_a_recheck_holds_candidates_texts(spark, tmp_path):
+    """Each belief has up to 20 candidates: stored with their texts, they took many times the space of the store."""
+    now = F.lit("2024-06-01").cast("timestamp")
+    beliefs = spark.range(40).select(
+        "id", F.concat(F.lit("a long text of belief number "), F.col("id")).alias("content"), F.concat(F.lit("h"), F.col("id")).alias("content_hash"), F.col("id").alias("root_id"),
+        F.lit("active").alias("status"), F.array(F.lit(1.0), F.col("id") / 100).alias("vec"), now.alias("asserted_at"), F.lit(None).cast("timestamp").alias("last_rechecked_at"),
+    )
+    none, pairs = spark.createDataFrame([], "incoming long, candidates array<long>"), spark.createDataFrame([], "a long, b long")
+    tables = Path(shared_dir(spark)) / "tarn"
+    tables.mkdir(exist_ok=True)
+    before = set(tables.iterdir())
+    ask = H.scripted(lambda q: {"reply": [{"candidate": 2, "relation": "contradictory", "new_quote": q["content"], "old_quote": q["candidates"][1]}], "input_tokens": 1, "output_tokens": 1, "usd": 0.1})
+    row = H.recheck_run("r", beliefs, pairs, none, ask, Ledger(spark, str(tmp_path), H.OUTCOMES), now, window=100).first()
+    assert (row.calls, row.claimed, row.possible, row.remaining) == (40, 40, 40, 0)
+    made = {p.name.split("-")[0]: spark.read.parquet(str(p)).columns for p in set(tables.iterdir()) - before if p.name.split("-")[0] in ("neighbours", "answers")}
+    assert set(made) == {"neighbours", "answers"} and not {"content", "candidates", "texts"} & {c for columns in made.values() for c in columns}
