@@ -12,6 +12,7 @@ from tarn.checkpoints import shared_dir
 from tarn.llm import decontaminate, near_dup
 from tarn.operators import index_pass as I
 from tarn.operators import recheck as H
+from tarn.operators import reconcile as C
 from tarn.operators import vocabulary as U
 from tarn.plans import fixtures as X
 from tarn.sources.ledger import Ledger
@@ -171,3 +172,16 @@ def test_no_stored_table_of_a_recheck_holds_candidates_texts(spark, tmp_path):
     assert (row.calls, row.claimed, row.possible, row.remaining) == (40, 40, 40, 0)
     made = {p.name.split("-")[0]: spark.read.parquet(str(p)).columns for p in set(tables.iterdir()) - before if p.name.split("-")[0] in ("neighbours", "answers")}
     assert set(made) == {"neighbours", "answers"} and not {"content", "candidates", "texts"} & {c for columns in made.values() for c in columns}
+
+
+# shadowed aliases
+
+
+def test_shadow_classes_tell_all_pairs(spark):
+    entities = spark.createDataFrame([(i, f"Name {i % 4}") for i in range(40)] + [(99, "Alone")], "id long, name string")
+    aliases = spark.createDataFrame([(i, (i * 7) % 50, f"name {i % 5}") for i in range(60)] + [(70, 99, "alone")], "id long, canonical_id long, name_key string")
+    key = F.lower("name")
+    pairs = C.alias_shadows(aliases, entities, key).groupBy("id").count().collect()
+    classes = C.alias_shadow_classes(aliases, entities, key).collect()
+    assert sorted((r.id, r.links) for r in classes) == sorted((r["id"], r["count"]) for r in pairs)
+    assert all(r.class_id == r.id % 5 for r in classes) and len(classes) == 48
