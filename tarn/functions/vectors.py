@@ -6,7 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +18,8 @@ from pyspark.sql.pandas.types import from_arrow_type
 from tarn.checkpoints import persisted
 
 TOKEN = "[a-z0-9]+"
-#: Rows and queries in a block, where queries are dealt as a table.
-BLOCK = 20_000
+#: Rows and queries in a block, where queries are dealt as a table; scores that a task holds at a time.
+BLOCK, SCORES = 20_000, 4 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -76,7 +76,8 @@ def nearest(
     """(qid, src, id, similarity) of the k most similar rows (src, id, vec) of each query (qid, vec); few queries may come as an Arrow table.
 
     Up to ``block`` queries are broadcast to where the rows are. More are dealt as a table: blocks of queries meet blocks of
-    rows in tasks, so that no vector goes through the driver; with ``least``, only blocks whose cells are near enough meet. Either way a task keeps only its own k best of a query,
+    rows in tasks, so that no vector goes through the driver; with ``least``, only blocks whose cells are near enough meet. There,
+    vectors that repeat are compared once (see _by_classes()). Either way a task keeps only its own k best of a query,
     whatever the number of its rows. ``least`` keeps those of at least that similarity, before the limit; ``unlike`` those
     with another value than the query's in each of those columns of both (null is neither); ``once`` takes the best row of
     each (src, id) only; ``others`` leaves out the row whose id is the query's.
@@ -100,13 +101,14 @@ def nearest(
     if len(held) <= block:
         shared = rows.sparkSession.sparkContext.broadcast(held)
         found = rows.mapInArrow(lambda batches: search.over(shared.value, batches), schema)
+    elif once:
+        found = _met(rows, queries, search)
     else:
-        names = queries.columns
-        asked, given = _dealt(rows, queries, least)
-        parts = ["q_part", "r_part"]
-        found = asked.groupBy(*parts).cogroup(given.groupBy(*parts)).applyInArrow(
-            lambda q, r: search.block(q.drop_columns(parts).rename_columns(names), r.drop_columns(parts)), schema
-        )
+        return _by_classes(rows, queries, k, least, unlike, others).select("qid", "src", "id", "similarity")
+    return _best(found, k, least, once)
+
+
+def _best(found: DataFrame, k: int, least: float | None, once: bool = False) -> DataFrame:
     if once:
         found = found.groupBy("qid", "src", "id").agg(F.max("similarity").alias("similarity"))
     if least is not None:
@@ -115,6 +117,87 @@ def nearest(
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
 
 
+def _met(rows: DataFrame, queries: DataFrame, search: Search) -> DataFrame:
+    """What the tasks keep where blocks of queries (qid, vec, values…) meet blocks of rows (src, id, vec, values…)."""
+    names, parts = queries.columns, ["q_part", "r_part"]
+    asked, given = _dealt(rows, queries, search.least)
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, src string, id {rows.schema['id'].dataType.simpleString()}, similarity double"
+    return asked.groupBy(*parts).cogroup(given.groupBy(*parts)).applyInArrow(
+        lambda q, r: search.block(q.drop_columns(parts).rename_columns(names), r.drop_columns(parts)), schema
+    )
+
+
+#: Rows looked at beyond the k asked for, as ``unlike`` leaves some out; rounds of four times as many each before single rows are compared.
+SPARE, ROUNDS = 16, 3
+
+
+def _by_classes(rows: DataFrame, queries: DataFrame, k: int, least: float | None, unlike: tuple[str, ...], others: bool) -> DataFrame:
+    """The k best (qid, src, id, similarity) of each query, where rows and queries of equal vectors are classes and only classes are compared.
+
+    Of each class of queries the nearest classes of rows are taken until they hold ``need`` rows, those of equal similarity together.
+    Queries that find k among these rows, or had all classes, are done: no row left out could come before. The rest takes more classes
+    and at last is compared row by row. Of a class only its first rows in order count: ``need`` of each value of ``unlike[0]``, as
+    those after them come behind k others for any query that wants the value, and 2 * ``need`` in all.
+    """
+    first, rest = [f"u{n}" for n in range(len(unlike))][:1], [f"u{n}" for n in range(len(unlike))][1:]
+    row_places, row_classes = _classes(rows, "r_class")
+    query_places, query_classes = _classes(queries, "q_class")
+    for n, c in enumerate(unlike):  # values as numbers; a query's value that no row has is unlike all
+        values = persisted(row_places.select(c).distinct().withColumn(f"u{n}", F.monotonically_increasing_id()), "values")
+        row_places, query_places = row_places.join(values, c).drop(c), query_places.join(values.withColumnRenamed(f"u{n}", f"q_u{n}"), c, "left").drop(c)
+    same = Window.partitionBy("r_class", *first)
+    row_places = row_places.withColumn("nth", F.row_number().over(same.orderBy("src", "id"))).withColumn("n_same", F.count("*").over(same))
+    row_places, query_places = persisted(row_places, "row-places"), persisted(query_places, "query-places")
+    points = row_classes.select(F.lit("").alias("src"), F.col("r_class").alias("id"), "vec")
+    done, open_, need = [], query_places, k + SPARE
+    for _ in range(ROUNDS):
+        asked = query_classes.withColumnRenamed("q_class", "qid").join(open_.select(F.col("q_class").alias("qid")).distinct(), "qid", "left_semi")
+        near = _best(_met(points, asked.select("qid", "vec"), Search(need, least, False, False)), need, least)
+        near = near.select(F.col("qid").alias("q_class"), F.col("id").alias("r_class"), "similarity", F.round("similarity", 9).alias("level"))
+        heads = row_places.filter(F.col("nth") <= need).withColumn("place", F.row_number().over(Window.partitionBy("r_class").orderBy("src", "id")))
+        # values after the first may leave out of its ``need`` rows more than can be spared
+        lost = F.lit(False)
+        for c in rest:
+            lost |= (F.col("n_same") > need) & (F.count("*").over(Window.partitionBy("r_class", *first, c)) >= SPARE)
+        heads = persisted(heads.withColumn("lost", lost), "heads")
+        size = heads.groupBy("r_class").agg(F.count("*").alias("n"), F.max("lost").alias("lost"))
+        by, peers = Window.partitionBy("q_class"), Window.partitionBy("q_class", "level")
+        near = near.join(size, "r_class").withColumn("cut", F.col("lost") | (F.col("n") > 2 * need))
+        before = F.sum("n").over(by.orderBy(F.desc("level"))) - F.sum("n").over(peers)  # the running sum holds all peers
+        whole = (F.count("*").over(by) < need) | (F.col("level") > F.min("level").over(by))
+        certain = ~F.max("cut").over(peers) | ((F.count("*").over(peers) == 1) & ~F.col("lost"))
+        near = persisted(near.withColumn("kept", whole & certain & (before < need)), "near-classes")
+        more = near.groupBy("q_class").agg(F.max(~F.col("kept") | F.col("cut")).alias("more"))
+        hits = near.filter("kept").select("q_class", "r_class", "similarity").join(heads.filter(F.col("place") <= 2 * need).drop("nth", "n_same", "place", "lost"), "r_class")
+        hits = hits.drop("r_class").join(open_, "q_class")
+        for n in range(len(unlike)):
+            hits = hits.filter(F.col(f"q_u{n}").isNull() | (F.col(f"q_u{n}") != F.col(f"u{n}")))
+        if others:
+            hits = hits.filter(F.col("qid") != F.col("id"))
+        # a query has one class, so that its rows lie together already
+        order = Window.partitionBy("q_class", "qid").orderBy(F.desc(F.round("similarity", 9)), "src", "id")
+        hits = hits.select("q_class", "qid", "src", "id", "similarity").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        hits = persisted(hits, "hits")
+        full = hits.filter(F.col("rank") == k).select("q_class", "qid")
+        left = persisted(open_.join(more.filter("more"), "q_class", "left_semi").join(full, ["q_class", "qid"], "left_anti"), "open")
+        if left.isEmpty():
+            done.append(hits)
+            break
+        done.append(hits.join(left, ["q_class", "qid"], "left_anti"))
+        open_, need = left, 4 * need
+    else:
+        asked = queries.join(open_.select("qid").distinct(), "qid", "left_semi").select(queries.columns)
+        done.append(_best(_met(rows, asked, Search(k, least, False, others)), k, least))
+    return reduce(DataFrame.unionByName, [d.select("qid", "src", "id", "similarity") for d in done])
+
+
+def _classes(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` without vec, with the number of its vector's class; (number, vec) of the classes."""
+    held = persisted(df.withColumn("point", F.sha2(F.to_json(F.struct("vec")), 256)), "points")
+    made = persisted(held.groupBy("point").agg(F.first("vec").alias("vec")).withColumn(name, F.monotonically_increasing_id()), "classes")
+    return held.drop("vec").join(made.select("point", name), "point").drop("point"), made.select(name, "vec")
+
+
 #: Rows that pivots are chosen from, and the most pivots; a cell holds about a quarter of a block.
 SAMPLE, PIVOTS = 4096, 1024
 
@@ -208,22 +291,28 @@ class Search:
         known = [pc.unique(v) for v in values]
         own = [pc.index_in(v, n).to_numpy() for v, n in zip(values, known, strict=True)]
         held, n_held = [], 0
-        for batch in batches:
-            if not batch.num_rows or not len(unit):
+        for whole in batches:
+            if not whole.num_rows or not len(unit):
                 continue
-            score = np.nan_to_num(unit @ _unit(batch.column(2)).T, nan=-np.inf)
-            for value, names, mine in zip(batch.columns[3:], known, own, strict=True):
-                score[mine[:, None] == pc.index_in(value, names).fill_null(-1).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
-            if self.others:
-                score[pc.index_in(qids, batch.column(1)).fill_null(-1).to_numpy(zero_copy_only=False)[:, None] == np.arange(batch.num_rows)] = -np.inf
-            if self.once:
-                batch, score = _best_of_each(batch, score)
-            n = min(self.k, score.shape[1])
-            edge = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
-            floor = edge - 1e-9 if self.least is None else np.maximum(edge - 1e-9, self.least - 1e-9)
-            q, at = np.nonzero((score >= floor[:, None]) & np.isfinite(score))
-            held.append((q, batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), score[q, at]))
-            n_held += len(q)
+            points = _unit(whole.column(2)).T
+            alike = [pc.index_in(value, names).fill_null(-1).to_numpy(zero_copy_only=False) for value, names in zip(whole.columns[3:], known, strict=True)]
+            itself = pc.index_in(qids, whole.column(1)).fill_null(-1).to_numpy(zero_copy_only=False) if self.others else None
+            step = max(1, SCORES // whole.num_rows)
+            for low in range(0, len(unit), step):
+                batch, part = whole, slice(low, low + step)
+                score = np.nan_to_num(unit[part] @ points, copy=False, nan=-np.inf)
+                for its, mine in zip(alike, own, strict=True):
+                    score[mine[part, None] == its[None, :]] = -np.inf
+                if self.others:
+                    score[itself[part, None] == np.arange(batch.num_rows)] = -np.inf
+                if self.once:
+                    batch, score = _best_of_each(batch, score)
+                n = min(self.k, score.shape[1])
+                edge = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
+                floor = edge - 1e-9 if self.least is None else np.maximum(edge - 1e-9, self.least - 1e-9)
+                q, at = np.nonzero((score >= floor[:, None]) & np.isfinite(score))
+                held.append((q + low, batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), score[q, at]))
+                n_held += len(q)
             if not self.once and n_held > 4 * self.k * len(unit) + 100_000:
                 held = [self._trimmed(held)]
                 n_held = len(held[0][0])

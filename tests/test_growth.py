@@ -4,11 +4,13 @@ import random
 import tracemalloc
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tarn.checkpoints import shared_dir
+from tarn.functions import vectors as V
 from tarn.llm import decontaminate, near_dup
 from tarn.operators import index_pass as I
 from tarn.operators import recheck as H
@@ -153,6 +155,49 @@ def test_slices_of_texts_take_little_memory():
         assert rows >= len(texts) - 1 and peak < 40e6
 
 
+# vectors
+
+
+def like_brute_force(rows, queries, k, least):
+    want = []
+    for qid, x, h, root in queries:
+        found = [(-round(float(x @ y), 9), src, i) for src, i, y, g, r in rows if g != h and r != root and i != qid]
+        want += [(qid, src, i) for s, src, i in sorted(f for f in found if -f[0] >= least)[:k]]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("hot", ["nothing", "a vector", "a text"])
+def test_vectors_that_repeat_are_compared_once(spark, monkeypatch, hot):
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(30, 4))
+    points = points / np.sqrt((points**2).sum(axis=1))[:, None]
+    vec = lambda i: points[0 if hot == "a vector" and i % 3 else i % 30]
+    text = lambda i: f"h{0 if hot == 'a text' and i % 7 else i % 200}"
+    made = [("s" if i % 4 else "t", i, vec(i), text(i), str(i // 3)) for i in range(400)]
+    rows = spark.createDataFrame([(s, i, v.tolist(), h, r) for s, i, v, h, r in made], "src string, id long, vec array<double>, content_hash string, root_id string")
+    queries = rows.select(F.col("id").alias("qid"), "vec", "content_hash", "root_id")
+    compared = []
+    met = V._met
+    monkeypatch.setattr(V, "_met", lambda r, q, s: (compared.append((r.count(), q.count())), met(r, q, s))[1])
+    got = V.nearest(rows, queries, 6, 0.5, block=10, unlike=("content_hash", "root_id"), others=True)
+    assert sorted((r.qid, r.src, r.id) for r in got.collect()) == like_brute_force(made, [(i, v, h, r) for _, i, v, h, r in made], 6, 0.5)
+    assert compared[0] == (len({tuple(v) for _, _, v, _, _ in made}),) * 2
+    if hot != "a text":
+        assert all(r <= 30 and q <= 30 for r, q in compared)
+
+
+def test_scores_of_a_task_take_little_memory():
+    rng = np.random.default_rng(6)
+    block = lambda n: pa.array(list(rng.normal(size=(n, 8))), pa.list_(pa.float64()))
+    queries = pa.table([pa.array(range(5000)), block(5000)], ["qid", "vec"])
+    rows = pa.table([pa.array([""] * 9000), pa.array(range(9000)), block(9000)], ["src", "id", "vec"])
+    tracemalloc.start()
+    assert V.Search(5, None, False, False).block(queries, rows).num_rows == 25000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6  # all scores at once: 360 MB, three times over
+
+
 # re-check runs
 
 
