@@ -219,6 +219,27 @@ def test_no_stored_table_of_a_recheck_holds_candidates_texts(spark, tmp_path):
     assert set(made) == {"neighbours", "answers"} and not {"content", "candidates", "texts"} & {c for columns in made.values() for c in columns}
 
 
+def test_subjects_of_one_vector_share_their_candidates_texts(spark, tmp_path):
+    """Each is asked about with its own candidates' texts, and no table that a re-check stores holds a text."""
+    now = F.lit("2024-06-01").cast("timestamp")
+    beliefs = spark.range(40).select(
+        "id", F.concat(F.lit("text "), F.col("id")).alias("content"), F.concat(F.lit("h"), F.col("id")).alias("content_hash"), F.col("id").alias("root_id"),
+        F.lit("active").alias("status"), F.array(F.lit(1.0), F.col("id") % 4 / 100).alias("vec"), now.alias("asserted_at"), F.lit(None).cast("timestamp").alias("last_rechecked_at"),
+    )
+    subjects = beliefs.withColumn("place", F.col("id"))
+    near = H.near_pairs(beliefs, subjects, spark.createDataFrame([], "a long, b long"))
+    asked = H.with_texts(beliefs, subjects, near)
+    rows = asked.collect()
+    assert len(rows) == 40 and all(r.content == f"text {r.id}" and len(r.candidates) == 20 for r in rows)
+    assert all(c.content == f"text {c.id}" and c.id != r.id for r in rows for c in r.candidates)
+    assert [[c.id for c in r.candidates] for r in rows] == [[c.id for c in sorted(r.candidates, key=lambda c: c.rank)] for r in rows]
+    tables = Path(shared_dir(spark)) / "tarn"
+    before = set(tables.iterdir())
+    none, pairs = spark.createDataFrame([], "incoming long, candidates array<long>"), spark.createDataFrame([], "a long, b long")
+    H.recheck_run("r", beliefs, pairs, none, H.scripted(lambda q: {"reply": []}), Ledger(spark, str(tmp_path), H.OUTCOMES), now, window=100)
+    assert not {"content", "candidates", "texts"} & {c for p in set(tables.iterdir()) - before for c in spark.read.parquet(str(p)).columns}
+
+
 # shadowed aliases
 
 
