@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tarn.llm.common import persisted, slices
+from tarn.llm.common import SLICE, persisted, slices
 from tarn.llm.words import EXACT, VALUE, raw, words
 
 LENGTH = 2048
@@ -61,7 +61,7 @@ class Ids:
     Up to ``KEPT`` runs are kept. A tokenizer of any other kind gets each text whole.
     """
 
-    KEPT = 1_200_000
+    KEPT, AT_ONCE = 1_200_000, 4096
 
     def __init__(self, path: str, separator: int = SEPARATOR) -> None:
         self.library, self.separator = Tokenizer.from_file(path), separator
@@ -74,8 +74,10 @@ class Ids:
         self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _add(self, hashes: np.ndarray, runs: list[bytes]) -> None:
-        found = self.library.encode_batch_fast([r.decode("utf-8", "replace") for r in runs], add_special_tokens=False)
-        ids = [one.ids for one in found]
+        ids = []
+        for low in range(0, len(runs), self.AT_ONCE):  # what the library gives for a run takes far more space than its ids
+            part = [r.decode("utf-8", "replace") for r in runs[low : low + self.AT_ONCE]]
+            ids += [one.ids for one in self.library.encode_batch_fast(part, add_special_tokens=False)]
         at = np.searchsorted(self.known, hashes)
         self.slot = np.insert(self.slot, at, np.arange(len(self.size), len(self.size) + len(ids), dtype=np.int32))
         self.known = np.insert(self.known, at, hashes)
@@ -127,7 +129,7 @@ def ids_of(path: str, separator: int = SEPARATOR) -> Ids:
 def _cut(path: str, length: int, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = ids_of(path)
     uid = TaskContext.get().partitionId() << 33
-    for batch in slices(batches, most=2 << 20):
+    for batch in slices(batches, most=SLICE):
         ids, first = found.texts(batch.column(1))
         size = np.diff(first)
         pieces = -(-size // length)

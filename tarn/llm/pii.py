@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tarn.llm.common import bounded, persisted
+from tarn.llm.common import SLICE, bounded, persisted, slices
 
 KINDS = ("email", "iban", "card", "ip", "ssn", "phone", "given_f", "given_m", "given_x", "surname")
 GROW, ATTEMPTS = 8, 24
@@ -303,7 +303,7 @@ def render(original: str, kind: str, form: str) -> str:
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> (doc_id, kind, form), each entity once a text."""
-    for batch in batches:
+    for batch in slices(batches, most=SLICE):
         owner, kinds, forms = [], [], []
         for k, text in enumerate(batch.column(1).to_pylist()):
             for kind, form in sorted({x[2:] for x in detect(text)}) if text else ():
@@ -353,7 +353,7 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
 
 def _rewrite(key: bytes, known: dict | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(…, text, entities drawn again) -> (…, text, counts by kind)."""
-    for batch in batches:
+    for batch in slices(batches, text=2, most=SLICE):
         *rest, texts, special = batch.columns
         out, counts = [], []
         for text, own in zip(texts.to_pylist(), special.to_pylist(), strict=True):

@@ -5,13 +5,14 @@ import tracemalloc
 from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tarn.checkpoints import shared_dir
 from tarn.functions import vectors as V
-from tarn.llm import decontaminate, near_dup
+from tarn.llm import decontaminate, near_dup, packing, pii
 from tarn.operators import index_pass as I
 from tarn.operators import recheck as H
 from tarn.operators import reconcile as C
@@ -120,6 +121,46 @@ def test_jobs_of_an_index_pass_do_not_grow_with_its_waves(spark, tmp_path):
     assert sorted(r.id for r in ledger.read("b-wave-").collect()) == sorted(left)
 
 
+# packing
+
+
+def test_runs_are_encoded_some_at_a_time(monkeypatch):
+    made = packing.Ids(public_tokenizers.path("word_bpe_49k.json"))
+    texts = pa.array([" ".join(f"run{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(9000)), "one, two", None])
+    want = [x for t in texts.to_pylist() for x in [*made.library.encode(t or "", add_special_tokens=False).ids, 0]]
+    asked = []
+
+    class Library:
+        def encode_batch_fast(self, runs, add_special_tokens):
+            asked.append(len(runs))
+            return library.encode_batch_fast(runs, add_special_tokens=add_special_tokens)
+
+    library, made.library = made.library, Library()
+    ids, first = made.texts(texts)
+    assert ids.tolist() == want and len(first) == 4
+    assert max(asked) <= 4096 and len(asked) > 1
+
+
+# personal data
+
+
+def test_personal_data_is_replaced_in_slices_of_texts():
+    """Peak of what a worker holds for a batch of 13 MB of text beyond the batch and its result, whose slices go on as they are made."""
+    rng = random.Random(2)
+    texts = [" ".join(f"word{rng.randrange(3000)}" for _ in range(300)) + f" mail a{i}@example.org" for i in range(5200)]
+    ids, none = pa.array(range(len(texts)), pa.int64()), pa.nulls(len(texts), pa.list_(pa.struct([("kind", pa.string()), ("form", pa.string()), ("attempt", pa.int32())])))
+    row = pa.StructArray.from_arrays([ids], ["_"])
+    two = pa.RecordBatch.from_arrays([ids, pa.array(texts)], ["doc_id", "text"])
+    four = pa.RecordBatch.from_arrays([ids, row, pa.array(texts), none], ["doc_id", "row", "text", "special"])
+    del texts
+    for work in (lambda: pii._found(iter([two])), lambda: pii._rewrite(b"key", {}, iter([four]))):
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in work())
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == 5200 and peak < 6e6
+
+
 # entities
 
 
