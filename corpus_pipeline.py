@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm import decontaminate, language, near_dup, packing, pii
-from tarn.llm.common import persisted, surrogate_key, table
+from tarn.llm.common import handed, persisted, surrogate_key, table
 
 
 #: The languages that the corpus is to hold; None: all that labelled rows tell of.
@@ -22,22 +22,27 @@ LANGUAGES: tuple[str, ...] | None = None
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    handed(spark)
     return language.keep_known(docs, LANGUAGES)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    handed(spark)
     return near_dup.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    handed(spark)
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def with_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    handed(spark)
     return pii.with_surrogates(docs, surrogate_key(spark))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    handed(spark)
     return packing.best_fit_packing(docs)
 
 

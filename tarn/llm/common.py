@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from tarn.checkpoints import persisted, shared_dir
 from tarn.tables import table
 
-__all__ = ["SLICE", "bounded", "persisted", "shared_dir", "slices", "surrogate_key", "table", "texts"]
+__all__ = ["SLICE", "bounded", "handed", "persisted", "shared_dir", "slices", "surrogate_key", "table", "texts"]
 
 
 #: Bytes of text at a time where each byte takes some dozens of bytes of arrays.
 SLICE = 512 << 10
+#: Bytes of rows that a task hands to its Python worker at a time; Spark's default lets 10,000 long texts pile up on both sides.
+HANDED = 4 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded(df: DataFrame, rows: int = 4_000_000) -> DataFrame:
@@ -25,6 +28,15 @@ def bounded(df: DataFrame, rows: int = 4_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def handed(spark: SparkSession) -> None:
+    """From now on this session's tasks hand rows to Python in batches of about ``HANDED`` bytes (a longer row comes alone), unless it says how many.
+
+    It stays set, as Spark reads it when a query is run. Results don't depend on it.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(HANDED))
+
+
 def surrogate_key(spark: SparkSession) -> bytes:
     """The key of the PII surrogates, from the session; without one, a key that is public and fit for tests only."""
     return spark.conf.get("spark.tarn.surrogateKey", "public key of tests").encode()

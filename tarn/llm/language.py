@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import slices, texts
+from tarn.llm.common import SLICE, slices, texts
 
 ORDERS = 3
 BITS = 16
@@ -73,7 +73,7 @@ def cells(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) -> (lang, cell, n)."""
     held: dict[str, np.ndarray] = {}
-    for batch in slices(batches, most=1 << 20):
+    for batch in slices(batches, most=SLICE):
         langs, found = batch.column(0).to_pylist(), texts(batch)
         at, owner = cells(found)
         for lang in set(langs):
@@ -116,7 +116,7 @@ def learn(rows: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], np.ndar
 
 
 def _score(langs: list[str], matrix: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, most=1 << 20):
+    for batch in slices(batches, most=SLICE):
         found = texts(batch)
         total = np.zeros((len(found), max(1, len(langs))))
         at, owner = cells(found)
@@ -172,7 +172,7 @@ def keep_known(
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text=at, most=1 << 20):
+        for batch in slices(batches, text=at, most=SLICE):
             text = batch.column(at).cast(pa.string())
             if langs:
                 none = pa.nulls(len(text), pa.bool_())

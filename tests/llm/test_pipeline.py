@@ -1,7 +1,9 @@
 """The corpus pipeline: each stage's decisions take effect, and clean documents stay."""
 
+import pyarrow as pa
+
 import corpus_pipeline
-from tarn.llm.common import persisted
+from tarn.llm.common import BATCH_BYTES, HANDED, persisted
 
 
 def test_stages(spark, tmp_path):
@@ -52,3 +54,27 @@ def test_odd_rows(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     written(spark, tmp_path, [], "some item")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_hand_few_bytes_at_a_time_to_python(spark, monkeypatch):
+    """By default, 10,000 rows of any length pile up in the executor and once more in its worker."""
+    long = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('word ', 1000) as text")
+
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    most = lambda: long.mapInArrow(size, "n long").agg({"n": "max"}).first()[0]
+    for module, name in (("language", "keep_known"), ("near_dup", "keep_one"), ("decontaminate", "keep_clean"), ("pii", "with_surrogates"), ("packing", "best_fit_packing")):
+        monkeypatch.setattr(getattr(corpus_pipeline, module), name, lambda docs, *_: docs)
+    spark.conf.unset(BATCH_BYTES)
+    assert most() > 3 * HANDED
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, long, "/root/testdata/sf0.001")
+        assert spark.conf.get(BATCH_BYTES) == str(HANDED)
+        assert most() < 1.1 * HANDED
+        spark.conf.unset(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, str(1 << 20))
+    corpus_pipeline.known_language(spark, long, "")
+    assert spark.conf.get(BATCH_BYTES) == str(1 << 20)  # a session's own figure holds
+    spark.conf.unset(BATCH_BYTES)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tarn.checkpoints import shared_dir
 from tarn.functions import vectors as V
-from tarn.llm import decontaminate, near_dup, packing, pii
+from tarn.llm import decontaminate, language, near_dup, packing, pii
 from tarn.operators import index_pass as I
 from tarn.operators import recheck as H
 from tarn.operators import reconcile as C
@@ -196,6 +196,19 @@ def test_slices_of_texts_take_little_memory():
         assert rows >= len(texts) - 1 and peak < 40e6
 
 
+def test_language_is_told_in_slices_of_texts():
+    rng = random.Random(3)
+    texts = [" ".join(f"word{rng.randrange(3000)}" for _ in range(300)) for _ in range(1300)]
+    none, matrix = pa.nulls(len(texts), pa.bool_()), np.log(np.full((language.BUCKETS, 2), 0.5, np.float32))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts), none], ["doc_id", "text", "held_out"])
+    language.letters()
+    tracemalloc.start()
+    assert sum(b.num_rows for b in language._score(["de", "en"], matrix, iter([batch]))) == len(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+
+
 # vectors
 
 
