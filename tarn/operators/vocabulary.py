@@ -79,6 +79,17 @@ def _walk(symbols: list[int], state: int) -> list[int]:
     return out
 
 
+def _leads(symbols: np.ndarray, run: int = 1000) -> tuple[list[int], list[int]]:
+    """Where each state leads, and how many proposals are made on the way; walks that have met go on as one, looked at after each ``run`` of events."""
+    ends, born = list(range(len(STATES))), [0] * len(STATES)
+    for lo in range(0, len(symbols), run):
+        part = symbols[lo : lo + run]
+        walks = {s: _walk(part.tolist(), s) for s in set(ends)}
+        made = {s: int(BORN[part, w[:-1]].sum()) for s, w in walks.items()}
+        ends, born = [walks[s][-1] for s in ends], [n + made[s] for s, n in zip(ends, born, strict=True)]
+    return ends, born
+
+
 def _sorted(events: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     """The events in order, each one's symbol, and where each name's begin (and where the last one's end)."""
     events = events.take(pc.sort_indices(events, [(c, "ascending") for c in ORDER], null_placement="at_start"))
@@ -101,12 +112,8 @@ def _edges(events: pa.Table) -> pa.Table:
     events, symbols, first = _sorted(events)
     rows = []
     for k in sorted({0, len(first) - 2}):
-        own = symbols[first[k] : first[k + 1]]
-        walks = [np.array(_walk(own.tolist(), s)) for s in range(len(STATES))]
-        rows.append(
-            {c: events.column(c)[int(first[k])].as_py() for c in KEY}
-            | {"_range": part, "at": k, "ends": [int(w[-1]) for w in walks], "born": [int(BORN[own, w[:-1]].sum()) for w in walks]}
-        )
+        ends, born = _leads(symbols[first[k] : first[k + 1]])
+        rows.append({c: events.column(c)[int(first[k])].as_py() for c in KEY} | {"_range": part, "at": k, "ends": ends, "born": born})
     return pa.Table.from_pylist(rows, pa.schema([*(events.schema.field(c) for c in KEY), ("_range", pa.int32()), ("at", pa.int32()), ("ends", pa.list_(pa.int32())), ("born", pa.list_(pa.int64()))]))
 
 

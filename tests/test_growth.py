@@ -77,6 +77,22 @@ def test_registry_of_a_hot_name_is_folded_in_ranges(spark):
     assert U.registry(U.folded(df.limit(0))).collect() == []
 
 
+def test_walks_of_a_range_go_on_as_one_once_they_met(monkeypatch):
+    """Of 20,000 events, all but the first thousand are walked once instead of from each of the 13 states."""
+    rng, steps, walk = random.Random(4), [], U._walk
+    symbols = np.array([rng.randrange(len(U.SYMBOLS)) for _ in range(20_000)])
+    want = [np.array(walk(symbols.tolist(), s)) for s in range(len(U.STATES))]
+    monkeypatch.setattr(U, "_walk", lambda part, s: steps.append(len(part)) or walk(part, s))
+    events = pa.table({"kind": ["k"] * len(symbols), "name": ["hot"] * len(symbols), "seq": range(len(symbols)), "_range": pa.array([0] * len(symbols), pa.int32())})
+    monkeypatch.setattr(U, "_sorted", lambda e: (e, symbols, np.array([0, len(symbols)])))
+    (row,) = U._edges(events).to_pylist()
+    assert row["ends"] == [w[-1] for w in want] and row["born"] == [U.BORN[symbols, w[:-1]].sum() for w in want]
+    assert sum(steps) <= len(symbols) + 12 * 1000
+    still = np.array([U.SYMBOLS.index(("propose", None))] * 2500)  # walks that never meet
+    want = [np.array(walk(still.tolist(), s)) for s in range(len(U.STATES))]
+    assert U._leads(still) == ([w[-1] for w in want], [U.BORN[still, w[:-1]].sum() for w in want])
+
+
 def test_approved_examples_of_a_hot_name(spark):
     """A proposal whose examples lie in many ranges: the first 20 different ones of the life that was approved."""
     events = [(i, "entity_type", "hot", "propose", None, f"Entity {i % 45}") for i in range(1, 400)]
