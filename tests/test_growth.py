@@ -18,6 +18,7 @@ from tarn.operators import recheck as H
 from tarn.operators import reconcile as C
 from tarn.operators import vocabulary as U
 from tarn.plans import fixtures as X
+from tarn.plans import run_queries as R
 from tarn.sources.ledger import Ledger
 
 # the schema's registry
@@ -93,6 +94,31 @@ def test_walks_of_a_range_go_on_as_one_once_they_met(monkeypatch):
     assert U._leads(still) == ([w[-1] for w in want], [U.BORN[still, w[:-1]].sum() for w in want])
 
 
+def test_events_of_the_registry_take_few_parts_however_many_there_are(spark, tmp_path):
+    src = "/root/testdata/sf0.001"
+    parts, orders = spark.read.parquet(f"{src}/part.parquet"), spark.read.parquet(f"{src}/orders.parquet")
+    more = parts.withColumn("p_partkey", F.col("p_partkey") + 1_000_000)
+    parts.unionByName(more).write.parquet(f"{tmp_path}/part.parquet")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the table were larger than any threshold
+    try:
+        rows = R._events(spark, str(tmp_path))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        got = rows.select("seq", "entity", "from_name", "to_name").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+    named = {r.p_partkey: r.p_name for r in parts.collect()}
+    want = []
+    for r in orders.collect():
+        one, two = named.get(1 + r.o_orderkey % 40), named.get(1 + r.o_orderkey % 37)
+        if one is not None and two is not None:
+            odd = r.o_custkey % 2
+            want.append((r.o_orderkey, None if odd or not r.o_custkey % 5 else one, one if odd else None, two if odd else None))
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_approved_examples_of_a_hot_name(spark):
     """A proposal whose examples lie in many ranges: the first 20 different ones of the life that was approved."""
     events = [(i, "entity_type", "hot", "propose", None, f"Entity {i % 45}") for i in range(1, 400)]
