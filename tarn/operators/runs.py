@@ -56,7 +56,7 @@ def questions(beliefs: DataFrame, edges: DataFrame) -> DataFrame:
 def entity_questions(aliases: DataFrame, entities: DataFrame, merges: DataFrame, key: Column) -> DataFrame:
     """What broke in the folding of entities, by alias or merge; none is repaired by a guess."""
     orphans = C.alias_orphans(aliases, entities).select("id", F.lit("entity_alias_orphan").alias("class"), F.when(F.col("chained"), "its entity was folded itself").otherwise("its entity is gone").alias("reason"), F.lit(4).alias("pass"))
-    shadows = C.alias_shadows(aliases, entities, key).select("id", F.lit("entity_alias_shadow").alias("class"), F.lit("folded, but still an entity").alias("reason"), F.lit(5).alias("pass"))
+    shadows = C.alias_shadow_classes(aliases, entities, key).select("id", F.lit("entity_alias_shadow").alias("class"), F.lit("folded, but still an entity").alias("reason"), F.lit(5).alias("pass"))
     broken = C.unfinished_merges(merges, entities).select("id", F.lit("entity_merge_incomplete").alias("class"), F.lit("its source was never absorbed").alias("reason"), F.lit(6).alias("pass"))
     every = orphans.unionByName(shadows.distinct()).unionByName(broken)
     return every.select(F.lit("question").alias("kind"), "class", F.col("id").alias("subject"), "reason", F.lit(True).alias("integrity"), "pass")

@@ -16,6 +16,7 @@ from tarn.llm import decontaminate, language, near_dup, packing, pii
 from tarn.operators import index_pass as I
 from tarn.operators import recheck as H
 from tarn.operators import reconcile as C
+from tarn.operators import runs as O
 from tarn.operators import vocabulary as U
 from tarn.plans import fixtures as X
 from tarn.plans import run_queries as R
@@ -347,3 +348,25 @@ def test_shadow_classes_tell_all_pairs(spark):
     classes = C.alias_shadow_classes(aliases, entities, key).collect()
     assert sorted((r.id, r.links) for r in classes) == sorted((r["id"], r["count"]) for r in pairs)
     assert all(r.class_id == r.id % 5 for r in classes) and len(classes) == 48
+
+
+def test_shadows_of_one_name_are_spread_over_tasks(spark):
+    """Small tables of a file each met in one task, whatever the number of pairs."""
+    key = F.lower("name")
+    entities = spark.range(9000).selectExpr("id", "if(id % 3000 = 1, null, if(id < 8995, 'Hot', concat('n', id))) as name").coalesce(1)
+    aliases = spark.range(5000).selectExpr("id", "if(id % 1000 = 2, null, id * 3) as canonical_id", "if(id < 4990, 'hot', concat('n', id + 4000)) as name_key").coalesce(1)
+    pairs = C.alias_shadows(aliases, entities, key)
+    met = pairs.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] > 0 for r in met) > 1
+    plain = aliases.join(entities.select(key.alias("name_key"), F.col("id").alias("entity")), "name_key").filter("entity <> canonical_id").select("id", "entity")
+    marks = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("id", "entity").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("entity", "id"))).first()
+    assert pairs.columns == plain.columns and marks(pairs) == marks(plain)
+
+
+def test_questions_on_entities_make_no_pairs(spark, monkeypatch):
+    aliases = spark.createDataFrame([(1, 10, 20, "a"), (2, 11, 21, "b"), (3, 12, 22, "c")], "id long, canonical_id long, entity_id long, name_key string")
+    entities = spark.createDataFrame([(10, "A"), (11, "x"), (12, "y"), (13, "b"), (14, "b")], "id long, name string")
+    merges = spark.createDataFrame([], "id long, source_id long, reverted_at timestamp")
+    monkeypatch.setattr(C, "alias_shadows", None)
+    asked = O.entity_questions(aliases, entities, merges, F.lower("name")).collect()
+    assert [(r["class"], r["subject"]) for r in asked] == [("entity_alias_shadow", 2)]
