@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,3 +36,18 @@ def persisted(df: DataFrame, name: str, *by: str) -> DataFrame:
 def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """``df`` (a written table of a few narrow columns) marked for broadcast if it has at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of a job go when the job is done, as what it makes is written and nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)

@@ -116,8 +116,17 @@ def plausible_name(name: Column) -> Column:
 
 
 def quote_found(source: Column, quote: Column, least: int = 15) -> Column:
+    """Whether the quote, of at least so many characters, stands in the source; white space and case don't count.
+
+    The whole source is brought to one form only where two cheaper looks decide nothing: a quote of ASCII that stands there as it is, is
+    found; one whose longest run of letters a to z and digits doesn't stand there in either case, is not.
+    """
     canon = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    return (F.length(canon(quote)) >= least) & F.contains(canon(source), canon(quote))
+    as_it_is = quote.rlike(r"^[\x00-\x7F]*$") & F.contains(source, quote)
+    runs = F.transform(F.split(canon(quote), "[^a-z0-9]+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    elsewhere = ~F.contains(F.lower(source), F.array_max(runs)["w"])
+    full = F.contains(canon(source), canon(quote))
+    return F.when(F.length(canon(quote)) < least, False).when(as_it_is, True).when(elsewhere, False).otherwise((F.length(canon(quote)) >= least) & full)
 
 
 def token_estimate(text: Column) -> Column:

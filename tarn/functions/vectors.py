@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -20,6 +21,8 @@ from tarn.checkpoints import persisted
 TOKEN = "[a-z0-9]+"
 #: Rows and queries in a block, where queries are dealt as a table; scores that a task holds at a time.
 BLOCK, SCORES = 20_000, 4 << 20
+#: Of parts of cells: the most rows, the most numbers in their vectors; queries and rows whose scores a task holds at a time.
+PART, POINTS, TILE = 1 << 16, 1 << 23, (256, 4096)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -120,11 +123,15 @@ def _best(found: DataFrame, k: int, least: float | None, once: bool = False) ->
 def _met(rows: DataFrame, queries: DataFrame, search: Search) -> DataFrame:
     """What the tasks keep where blocks of queries (qid, vec, values…) meet blocks of rows (src, id, vec, values…)."""
     names, parts = queries.columns, ["q_part", "r_part"]
-    asked, given = _dealt(rows, queries, search.least)
+    asked, given, near = _dealt(rows, queries, search.least)
     schema = f"qid {queries.schema['qid'].dataType.simpleString()}, src string, id {rows.schema['id'].dataType.simpleString()}, similarity double"
-    return asked.groupBy(*parts).cogroup(given.groupBy(*parts)).applyInArrow(
-        lambda q, r: search.block(q.drop_columns(parts).rename_columns(names), r.drop_columns(parts)), schema
-    )
+
+    def meet(q: pa.Table, r: pa.Table) -> pa.Table:
+        cells = None if near is None else (near, q.column("cell").to_numpy(), r.column("cell").to_numpy())
+        drop = parts if near is None else [*parts, "cell"]
+        return search.block(q.drop_columns(drop).rename_columns(names), r.drop_columns(drop), cells)
+
+    return asked.groupBy(*parts).cogroup(given.groupBy(*parts)).applyInArrow(meet, schema)
 
 
 #: Rows looked at beyond the k asked for, as ``unlike`` leaves some out; rounds of four times as many each before single rows are compared.
@@ -220,10 +227,30 @@ def near_cells(centres: np.ndarray, of: dict[int, float], against: dict[int, flo
     return [(a, b) for a, ra in of.items() for b, rb in against.items() if between[a, b] - ra - rb <= most]
 
 
-def _dealt(rows: DataFrame, queries: DataFrame, least: float | None) -> tuple[DataFrame, DataFrame]:
+def chain(centres: np.ndarray) -> list[int]:
+    """The centres in an order in which near ones follow each other."""
+    left, order = np.ones(len(centres), bool), [0]
+    for _ in range(len(centres) - 1):
+        left[order[-1]] = False
+        order.append(int(np.where(left, centres @ centres[order[-1]], -np.inf).argmax()))
+    return order
+
+
+def filled(order: list[int], sizes: dict[int, int], most: int) -> dict[int, list[int]]:
+    """The parts of about ``most`` rows that each cell goes to, filled in that order; large cells go to several."""
+    out, at = {}, 0
+    for cell in order:
+        if n := sizes.get(cell, 0):
+            out[cell] = list(range(at // most, (at + n - 1) // most + 1)) if n > most else [at // most]
+            at += n
+    return out
+
+
+def _dealt(rows: DataFrame, queries: DataFrame, least: float | None) -> tuple[DataFrame, DataFrame, np.ndarray | None]:
     """Both sides with ``q_part`` and ``r_part``: a query's row and a row share a pair of them exactly once, if they can be near enough.
 
-    Vectors lie in cells, those of the nearest pivot; large cells are split at random. Zero vectors, which are near nothing, go.
+    Vectors lie in cells, those of the nearest pivot. Parts hold as many cells as a task can take, so that a vector is sent once for
+    all cells of a part; which of them can hold near ones (by query's and row's ``cell``) comes third. Zero vectors, which are near nothing, go.
     """
     n = rows.count()
     # names of its own, as the queries may come from the rows
@@ -233,13 +260,13 @@ def _dealt(rows: DataFrame, queries: DataFrame, least: float | None) -> tuple[Da
         n_rows, n_queries = (max(1, -(-k // BLOCK)) for k in (n, queries.count()))
         every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
         part = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k))
-        return own.withColumn("q_part", part("q_id", n_queries)).withColumn("r_part", every(n_rows)), rows.withColumn("r_part", part("id", n_rows)).withColumn("q_part", every(n_queries))
+        return own.withColumn("q_part", part("q_id", n_queries)).withColumn("r_part", every(n_rows)), rows.withColumn("r_part", part("id", n_rows)).withColumn("q_part", every(n_queries)), None
     sample = rows.select("vec", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).select("vec").toArrow()
     points = _unit(sample.column("vec").combine_chunks())
     points = points[np.isfinite(points).all(axis=1)]
     centres = pivots(points, most) if len(points) else np.zeros((1, 1))
 
-    def cells(df: DataFrame, key: str) -> tuple[DataFrame, dict[int, float], DataFrame]:
+    def cells(df: DataFrame) -> tuple[DataFrame, dict[int, float], dict[int, int]]:
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 unit = _unit(batch.column(batch.schema.get_field_index("vec")))
@@ -251,22 +278,31 @@ def _dealt(rows: DataFrame, queries: DataFrame, least: float | None) -> tuple[Da
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
         placed = persisted(df.mapInArrow(place, f"{kinds}, cell int, angle double"), "cells")
         found = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()  # at most PIVOTS
-        size = df.sparkSession.createDataFrame([(r["cell"], -(-r["n"] // BLOCK)) for r in found], "cell int, subs long")
-        subbed = placed.join(F.broadcast(size), "cell").withColumn("sub", F.pmod(F.xxhash64(key), F.col("subs"))).drop("angle", "subs")
-        return subbed, {r["cell"]: r["radius"] for r in found}, size
-
-    (asked, q_radius, q_size), (given, r_radius, r_size) = cells(own, "q_id"), cells(rows, "id")
-    pairs = near_cells(centres, q_radius, r_radius, least)
-    meet = rows.sparkSession.createDataFrame(pairs, "q_cell int, r_cell int")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("other")
-    part = lambda cell, sub: F.col(cell).cast("long") * (1 << 32) + F.col(sub)
-    # at most PIVOTS squared pairs of cells; their parts are counted out row by row
-    to_rows = meet.join(r_size.withColumnRenamed("cell", "r_cell"), "r_cell").withColumnRenamed("q_cell", "cell")
-    to_queries = meet.join(q_size.withColumnRenamed("cell", "q_cell"), "q_cell").withColumnRenamed("r_cell", "cell")
-    asked = asked.join(F.broadcast(to_rows), "cell").select("*", other).withColumn("q_part", part("cell", "sub")).withColumn("r_part", part("r_cell", "other"))
-    given = given.join(F.broadcast(to_queries), "cell").select("*", other).withColumn("r_part", part("cell", "sub")).withColumn("q_part", part("q_cell", "other"))
+        return placed.drop("angle"), {r["cell"]: r["radius"] for r in found}, {r["cell"]: r["n"] for r in found}
+
+    (asked, q_radius, q_size), (given, r_radius, r_size) = cells(own), cells(rows)
+    near = np.zeros((len(centres), len(centres)), bool)
+    for pair in near_cells(centres, q_radius, r_radius, least):
+        near[pair] = True
+    # few parts, as a vector is sent once for each part it meets, but enough for all cores
+    order, cores = chain(centres), max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    largest, fewest = max(1024, min(PART, POINTS // centres.shape[1])), math.ceil(math.sqrt(3 * cores))
+    q_parts, r_parts = (filled(order, size, min(largest, max(1, -(-sum(size.values()) // fewest)))) for size in (q_size, r_size))
+    met = {(a, b) for q, r in np.argwhere(near).tolist() for a in q_parts.get(q, ()) for b in r_parts.get(r, ())}
+
+    def dealt(df: DataFrame, key: str, its: str, its_parts: dict[int, list[int]], others: str, pairs: set[tuple[int, int]]) -> DataFrame:
+        of: dict[int, list[int]] = {}
+        for a, b in sorted(pairs):
+            of.setdefault(a, []).append(b)
+        to = df.sparkSession.createDataFrame(list(its_parts.items()), "cell int, parts array<long>")
+        meets = df.sparkSession.createDataFrame(list(of.items()), f"{its} long, others array<long>")
+        placed = df.join(F.broadcast(to), "cell").withColumn(its, F.get("parts", F.pmod(F.xxhash64(key), F.size("parts")).cast("int"))).drop("parts")
+        return placed.join(F.broadcast(meets), its).withColumn(others, F.explode("others"))
+
     q_names = ["q_id", "vec", *(c for c in own.columns if c not in ("q_id", "vec"))]
-    return asked.select(*q_names, "q_part", "r_part"), given.select(*rows.columns, "r_part", "q_part")
+    asked = dealt(asked, "q_id", "q_part", q_parts, "r_part", met).select(*q_names, "cell", "q_part", "r_part")
+    given = dealt(given, "id", "r_part", r_parts, "q_part", {(b, a) for a, b in met}).select(*rows.columns, "cell", "r_part", "q_part")
+    return asked, given, near
 
 
 @dataclass
@@ -278,10 +314,76 @@ class Search:
     once: bool
     others: bool
 
-    def block(self, queries: pa.Table, rows: pa.Table) -> pa.Table:
+    def block(self, queries: pa.Table, rows: pa.Table, cells: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> pa.Table:
+        """``cells``: which cells of queries and rows can hold near ones, and the queries' and rows' cells."""
         kinds = [queries.schema.field("qid").type, rows.schema.field("src").type, rows.schema.field("id").type, pa.float64()]
         schema = pa.schema(list(zip(("qid", "src", "id", "similarity"), kinds, strict=True)))
-        return pa.Table.from_batches(list(self.over(queries, rows.to_batches(10_000))), schema)
+        if self.once:
+            return pa.Table.from_batches(list(self.over(queries, rows.to_batches(10_000))), schema)
+        if not len(queries) or not len(rows):
+            return schema.empty_table()
+        return pa.Table.from_batches(list(self.close(queries.combine_chunks(), rows.combine_chunks(), cells)), schema)
+
+    def close(self, queries: pa.Table, rows: pa.Table, cells: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+        """over() for all rows of a task at once.
+
+        Scores in single precision, some queries and rows at a time, propose pairs; what may reach a query's floor (the least similarity, or
+        its k-th best so far) with the most that rounding can take away is kept, and scored in double precision.
+        """
+        one, other = (_unit(_chunk(t.column("vec"))) for t in (queries, rows))
+        fast, points = one.astype(np.float32), other.astype(np.float32)
+        slack = np.float32((one.shape[1] + 8) * 2.0**-23)
+        values = []
+        for mine, its in zip(queries.columns[2:], rows.columns[3:], strict=True):
+            known = pc.unique(mine)
+            values.append((_codes(mine, known), _codes(its, known)))
+        if self.others:
+            values.append((np.arange(len(queries)), _codes(rows.column("id"), _chunk(queries.column("qid")))))
+        groups = [(np.arange(len(one)), None)]
+        if cells is not None:
+            near, q_cell, r_cell = cells
+            groups = [(np.flatnonzero(q_cell == c), np.flatnonzero(near[c][r_cell])) for c in np.unique(q_cell)]
+        for own, theirs in groups:
+            whole = theirs is None or len(theirs) == len(other)
+            against = points if whole else points[theirs]
+            for low in range(0, len(own), TILE[0]):
+                q = own[low : low + TILE[0]]
+                floor = np.full(len(q), -np.inf if self.least is None else self.least - 1e-9 - slack, np.float32)
+                held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+                n_held = 0
+                for start in range(0, len(against), TILE[1]):
+                    score = fast[q] @ against[start : start + TILE[1]].T
+                    at = np.flatnonzero(score >= floor[:, None])
+                    if len(at) > score.size // 16 and score.shape[1] > self.k:  # many: their k-th best is a floor
+                        number = np.arange(start, start + score.shape[1]) if whole else theirs[start : start + score.shape[1]]
+                        for mine, its in values:
+                            score[mine[q][:, None] == its[number][None, :]] = -np.inf
+                        score = np.nan_to_num(score, copy=False, nan=-np.inf)
+                        edge = np.partition(score, score.shape[1] - self.k, axis=1)[:, score.shape[1] - self.k]
+                        floor = np.maximum(floor, edge - 2 * slack)
+                        at = np.flatnonzero((score >= floor[:, None]) & np.isfinite(score))
+                    a, b = np.divmod(at, score.shape[1])
+                    found = a, (b + start if whole else theirs[b + start]), score.ravel()[at]
+                    for mine, its in values:
+                        fit = mine[q[found[0]]] != its[found[1]]
+                        found = tuple(x[fit] for x in found)
+                    held.append(found)
+                    n_held += len(found[0])
+                    if n_held > 2 * self.k * len(q) + 10_000:
+                        a, b, s = (np.concatenate(x) for x in zip(*held, strict=True))
+                        floor = np.maximum(floor, _edges(a, s, self.k, len(q)) - 2 * slack)
+                        fit = s >= floor[a]
+                        held, n_held = [(a[fit], b[fit], s[fit])], int(fit.sum())
+                a, b, s = (np.concatenate(x) for x in zip(*held, strict=True))
+                fit = np.isfinite(s) & (s >= np.maximum(floor, _edges(a, s, self.k, len(q)) - 2 * slack)[a])
+                a, b = a[fit], b[fit]
+                exact = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", one[q[a[i : i + TILE[1]]]], other[b[i : i + TILE[1]]]) for i in range(0, len(a), TILE[1]))])
+                fit = exact >= _edges(a, exact, self.k, len(q))[a] - 1e-9
+                if self.least is not None:
+                    fit &= exact >= self.least - 1e-9
+                if fit.any():
+                    b = pa.array(b[fit])
+                    yield pa.RecordBatch.from_arrays([_chunk(queries.column("qid")).take(pa.array(q[a[fit]])), _chunk(rows.column("src")).take(b), _chunk(rows.column("id")).take(b), pa.array(exact[fit])], ["qid", "src", "id", "similarity"])
 
     def over(self, queries: pa.Table, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """``queries`` (qid, vec, values…), batches (src, id, vec, values…) -> (qid, src, id, similarity)."""
@@ -336,6 +438,25 @@ class Search:
         return q[kept], src.take(at), ids.take(at), score[kept]
 
 
+def _chunk(column: pa.ChunkedArray) -> pa.Array:
+    made = column.combine_chunks()
+    return pa.concat_arrays(made.chunks) if isinstance(made, pa.ChunkedArray) else made
+
+
+def _codes(column: pa.ChunkedArray, known: pa.Array) -> np.ndarray:
+    return pc.index_in(_chunk(column), known).fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def _edges(of: np.ndarray, score: np.ndarray, k: int, n: int) -> np.ndarray:
+    """The k-th best score of each of n; -inf where there are fewer."""
+    order = np.lexsort((-score, of))
+    first = np.searchsorted(of[order], np.arange(n + 1))
+    full = first[1:] - first[:-1] >= k
+    out = np.full(n, -np.inf, score.dtype)
+    out[full] = score[order[first[:-1][full] + k - 1]]
+    return out
+
+
 def _unit(column: pa.Array) -> np.ndarray:
     """Vectors of norm 1; nan for zero vectors."""
     points = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)

@@ -77,7 +77,7 @@ def _recheck(spark: SparkSession, d: str) -> tuple[DataFrame, Ledger]:
     beliefs = X.mem(spark, d).withColumnRenamed("text", "content").withColumn("last_rechecked_at", F.expr(CHECKED_AT.replace("doc_id", "id")))
     answered = beliefs.select(F.col("id").alias("a"), (F.col("id") + 5).alias("b"))
     ledger = _ledger(spark, "recheck", H.OUTCOMES)
-    return H.recheck_run("r", beliefs, answered, decisions(spark, d), H.scripted(judged), ledger, now(), window=1 << 40), ledger
+    return H.recheck_run("r", beliefs, answered, decisions(spark, d), H.scripted(judged), ledger, now(), window=1 << 40, texts=X.plain_mem(spark, d).filter("status = 'active'").select("id", "content")), ledger
 
 
 @query(sql("mem act", RECHECK + "select id, candidate, reason, round(similarity, 6) as similarity from found"))

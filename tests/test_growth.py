@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tarn.checkpoints import shared_dir
 from tarn.functions import vectors as V
+from tarn.functions.text import quote_found
 from tarn.llm import decontaminate, language, near_dup, packing, pii
 from tarn.operators import index_pass as I
 from tarn.operators import recheck as H
@@ -370,3 +371,97 @@ def test_questions_on_entities_make_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(C, "alias_shadows", None)
     asked = O.entity_questions(aliases, entities, merges, F.lower("name")).collect()
     assert [(r["class"], r["subject"]) for r in asked] == [("entity_alias_shadow", 2)]
+
+
+# vectors and texts of large re-checks
+
+
+def test_a_vector_is_sent_once_to_all_cells_of_a_part(spark, monkeypatch):
+    """Where cells keep nothing apart, each vector was sent once for each cell."""
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([("m", i, v) for i, v in enumerate(rng.normal(size=(900, 8)).tolist())], "src string, id long, vec array<double>")
+    monkeypatch.setattr(V, "BLOCK", 60)
+    asked, given, near = V._dealt(rows, rows.select(F.col("id").alias("qid"), "vec"), 0.5)
+    assert len(near) == 60 and near.mean() > 0.5
+    assert asked.count() <= 5 * 900 and given.count() <= 5 * 900
+    pairs = asked.select("q_id", "q_part", "r_part").join(given.select("id", "q_part", "r_part"), ["q_part", "r_part"])
+    assert pairs.count() == pairs.select("q_id", "id").distinct().count()
+
+
+@pytest.mark.parametrize("least", [None, 0.2, 0.9])
+@pytest.mark.parametrize("tile", [(256, 4096), (7, 30)])
+def test_scores_in_single_precision_lose_nothing(monkeypatch, least, tile):
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(V, "TILE", tile)
+    points = rng.normal(size=(300, 5)).astype(np.float32)
+    points[::3] = points[0] + rng.normal(size=(100, 5)) * 1e-7
+    points[7] = 0
+    block = pa.array(points.tolist(), pa.list_(pa.float32()))
+    kinds = pa.array([str(i % 9) for i in range(300)])
+    queries = pa.table([pa.array(range(300)), block, kinds], ["qid", "vec", "kind"])
+    rows = pa.table([pa.array(["s"] * 300), pa.array(range(300)), block, kinds], ["src", "id", "vec", "kind"])
+    search = V.Search(6, least, False, True)
+    plain = pa.Table.from_batches(list(search.over(queries, rows.to_batches())))
+
+    def best(found):  # rows of equal similarity are told apart later
+        out = {}
+        for q, i, s in zip(found["qid"].to_pylist(), found["id"].to_pylist(), found["similarity"].to_pylist(), strict=True):
+            out.setdefault(q, []).append((-round(s, 9), i))
+        return {q: sorted(x)[:6] for q, x in out.items()}
+
+    assert best(search.block(queries, rows)) == best(plain)
+
+
+def test_findings_copy_no_texts(spark):
+    """An item's row took the texts of all candidates along."""
+    replies = spark.createDataFrame(
+        [
+            (1, "one  two three FOUR five six", [(7, "seven eight nine ten eleven", 0.9), (8, "x", 0.8)],
+             '[{"candidate": 1, "relation": "contra", "new_quote": "one two Three four", "old_quote": "EIGHT nine ten"}, {"candidate": 1, "relation": "CONTRA", "new_quote": "one two three four", "old_quote": "made up by itself"}, 5]', None),
+            (2, "text", [(9, "y", 0.7)], "no list", None),
+            (3, "text", [(9, "y", 0.7)], None, "down"),
+        ],
+        "id long, content string, candidates array<struct<id: long, content: string, similarity: double>>, reply string, error string",
+    ).selectExpr("*", "1L as input_tokens", "2L as output_tokens", "0.5D as usd")
+    found = H.findings(replies)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r for r in found.collect()}
+    assert [f.candidate for f in got[1].findings] == [] and got[1].claimed == 2  # a quote of fewer than 15 characters
+    assert (got[2].claimed, got[2].findings, got[3].claimed, got[3].findings, got[3].error) == (0, [], None, None, "down")
+
+
+def test_quotes_as_by_one_form_of_the_whole_text(spark):
+    letters = ["a", "B", "σ", "Σ", "İ", "K", "k", "é", " ", "  ", "\n", " ", "1", "-"]
+    rng = random.Random(4)
+    made = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    rows = []
+    for _ in range(400):
+        text = made(40)
+        at = rng.randrange(20)
+        part = text[at : at + rng.randrange(3, 20)]
+        rows += [(text, part), (text, part.upper()), (text, part.lower()), (text, part.replace(" ", "\t ")), (text, made(6)), (text, None), (None, part), (text, "")]
+    canon = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    plain = (F.length(canon(F.col("quote"))) >= 4) & F.contains(canon(F.col("text")), canon(F.col("quote")))
+    df = spark.createDataFrame(rows, "text string, quote string").select(plain.alias("a"), quote_found(F.col("text"), F.col("quote"), 4).alias("b"))
+    assert df.filter("not (a <=> b)").count() == 0 and df.filter("a").count() > 400
+
+
+def test_texts_are_sent_in_waves(spark, tmp_path, monkeypatch):
+    now = F.lit("2024-06-01").cast("timestamp")
+    beliefs = spark.range(60).select(
+        "id", F.concat(F.lit("a long text of belief number "), F.col("id")).alias("content"), F.concat(F.lit("h"), F.col("id")).alias("content_hash"), F.col("id").alias("root_id"),
+        F.lit("active").alias("status"), F.array(F.lit(1.0), F.col("id") % 30 / 100).alias("vec"), now.alias("asserted_at"), F.lit(None).cast("timestamp").alias("last_rechecked_at"),
+    )
+    none, pairs = spark.createDataFrame([], "incoming long, candidates array<long>"), spark.createDataFrame([], "a long, b long")
+    ask = H.scripted(lambda q: {"reply": [{"candidate": 2, "relation": "contradictory", "new_quote": q["content"], "old_quote": q["candidates"][1]}], "input_tokens": 1, "output_tokens": 1, "usd": 0.1})
+    sent = []
+    filled = H._filled
+    monkeypatch.setattr(H, "_filled", lambda texts, listed: (sent.append(H._wanted(listed).count()), filled(texts, listed))[1])
+    got = []
+    for most in (10**6, 100):
+        monkeypatch.setattr(H, "TEXTS", most)
+        ledger = Ledger(spark, str(tmp_path / str(most)), H.OUTCOMES)
+        row = H.recheck_run("r", beliefs, pairs, none, ask, ledger, now, window=100).first()
+        assert (row.calls, row.claimed, row.possible, row.remaining) == (60, 60, 60, 0)
+        got.append(sorted((r.id, r.candidate) for r in H.possible(ledger, "r").collect()))
+    assert got[0] == got[1] and len(sent) > 4 and max(sent[1:]) < sent[0] == sum(sent[1:])
