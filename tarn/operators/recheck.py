@@ -146,17 +146,16 @@ def findings(replies: DataFrame) -> DataFrame:
     shape = "candidate string, relation string, reason string, new_quote string, old_quote string"
     text = lambda c: F.coalesce(c, F.lit(""))
 
-    def said(item: Column, pos: Column) -> Column:
-        v = F.when(item.startswith("{"), F.from_json(item, shape))
-        return F.struct(pos.alias("pos"), v.alias("v"), v["candidate"].try_cast("double").alias("number"))
+    def said(item: Column) -> Column:
+        return F.when(item.startswith("{"), F.from_json(item, shape))
 
-    def claim(s: Column) -> Column:
-        number = s["number"]
+    def claim(v: Column) -> Column:
+        number = v["candidate"].try_cast("double")
         named = (number == F.floor(number)) & (number >= 1) & (number <= F.size("candidates"))
-        return F.coalesce(named & F.contains(F.lower(s["v"]["relation"]), F.lit("contra")), F.lit(False))
+        return F.coalesce(named & F.contains(F.lower(v["relation"]), F.lit("contra")), F.lit(False))
 
-    def named(s: Column) -> Column:
-        return F.struct(s["v"].alias("v"), F.get("candidates", s["number"].cast("int") - 1).alias("of"))
+    def named(v: Column) -> Column:
+        return F.struct(v.alias("v"), F.get("candidates", v["candidate"].try_cast("double").cast("int") - 1).alias("of"))
 
     def real(c: Column) -> Column:
         return quote_found(F.col("content"), text(c["v"]["new_quote"])) & quote_found(c["of"]["content"], text(c["v"]["old_quote"]))
