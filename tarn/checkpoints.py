@@ -39,15 +39,15 @@ def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
 
 
 @contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Within, the shuffle files of a job go when the job is done, as what it makes is written and nothing reads them again."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def tidy(spark: SparkSession, batch: str = "4m") -> Iterator[None]:
+    """Within, the shuffle files of a job go when the job is done, as what it makes is written and nothing reads them again, and rows are
+    handed to Python in batches of that many bytes, where the session doesn't say otherwise."""
+    keys = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": batch}
+    changed = {k: v for k, v in keys.items() if spark.conf.get(k, None) is None}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for k in changed:
+            spark.conf.unset(k)

@@ -465,3 +465,24 @@ def test_texts_are_sent_in_waves(spark, tmp_path, monkeypatch):
         assert (row.calls, row.claimed, row.possible, row.remaining) == (60, 60, 60, 0)
         got.append(sorted((r.id, r.candidate) for r in H.possible(ledger, "r").collect()))
     assert got[0] == got[1] and len(sent) > 4 and max(sent[1:]) < sent[0] == sum(sent[1:])
+
+
+def test_rows_of_a_recheck_go_to_python_in_small_batches(spark, tmp_path):
+    """10,000 rows with the texts of 20 candidates each lay in a batch, on both sides."""
+    now = F.lit("2024-06-01").cast("timestamp")
+    beliefs = spark.range(40).select(
+        "id", F.repeat(F.concat(F.lit("text "), F.col("id")), F.lit(20_000)).alias("content"), F.concat(F.lit("h"), F.col("id")).alias("content_hash"), F.col("id").alias("root_id"),
+        F.lit("active").alias("status"), F.array(F.lit(1.0), F.lit(0.5)).alias("vec"), now.alias("asserted_at"), F.lit(None).cast("timestamp").alias("last_rechecked_at"),
+    )
+    none, pairs = spark.createDataFrame([], "incoming long, candidates array<long>"), spark.createDataFrame([], "a long, b long")
+    folder = tmp_path / "calls"
+    folder.mkdir()
+
+    def ask(questions):
+        (folder / f"{questions[0]['id']}").write_text(str(len(questions)))
+        return [{"reply": "[]", "input_tokens": 1, "output_tokens": 1, "usd": 0.0}] * len(questions)
+
+    row = H.recheck_run("r", beliefs, pairs, none, ask, Ledger(spark, str(tmp_path / "ledger"), H.OUTCOMES), now, window=100).first()
+    sizes = [int(p.read_text()) for p in folder.iterdir()]
+    assert row.calls == sum(sizes) == 40 and max(sizes) <= 4  # a row holds 2.9 MB
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
